@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from tessella.llm import mixing
+from tessella.llm import exact_dedup, mixing, url_filters
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_url_filters": url_filters.op7_url_filters,
 }
 
 ORACLE_SQL = {
     "op1_mixing": mixing.ORACLE,
+    "op6_exact_dedup": exact_dedup.ORACLE,
+    "op7_url_filters": url_filters.ORACLE,
 }
