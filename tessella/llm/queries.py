@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from tessella.llm import exact_dedup, mixing, url_filters
+from tessella.llm import exact_dedup, line_dedup, mixing, token_counts, url_filters
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_url_filters": url_filters.op7_url_filters,
+    "op10_token_counts": token_counts.op10_token_counts,
 }
 
 ORACLE_SQL = {
     "op1_mixing": mixing.ORACLE,
+    "op5_line_dedup": line_dedup.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
     "op7_url_filters": url_filters.ORACLE,
 }
