@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
@@ -58,6 +59,11 @@ class Scratch:
             base = tempfile.mkdtemp(prefix="tessella-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.path = f"{base.rstrip('/')}/tessella-{uuid.uuid4().hex}"
+        self._count = itertools.count()
+
+    def serial(self) -> int:
+        """A number for a table name that was not given out before."""
+        return next(self._count)
 
     def table(self, df: DataFrame, name: str, mode: str = "errorifexists") -> DataFrame:
         """Write df and read it back."""
