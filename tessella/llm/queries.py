@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tessella.llm import exact_dedup, line_dedup, minhash_dedup, mixing, token_counts, url_filters
+from tessella.llm import exact_dedup, line_dedup, minhash_dedup, mixing, pieces, token_counts, toxicity, url_filters
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op3_minhash_dedup": minhash_dedup.op3_minhash_dedup,
+    "op4_pieces": pieces.op4_pieces,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_url_filters": url_filters.op7_url_filters,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 
