@@ -9,7 +9,8 @@ seen. It is trained on all trusted text: rows labelled of good quality, but for
 2. Documents are dealt to blocks of about BLOCK_BYTES. The distinct n-grams of each block are joined with the model, so a frequent n-gram
    is one row a block, and what comes back is scored against the documents of the block.
 3. Thresholds: of each language, the LOW and HIGH quantiles of the perplexity of trusted documents outside the training fold. Texts of few
-   repeated words have a low perplexity, junk a high one. MARGIN is added on both sides (in log2) to leave clean documents alone.
+   repeated words have a low perplexity, junk a high one. The mean over a short text strays more, so SPREAD / sqrt(characters) is allowed
+   for before quantiles are taken and texts compared; MARGIN is added on both sides (in log2) to leave clean documents alone.
 
 An n-gram is a 64-bit number of four 16-bit characters (others count as U+FFFD); three line feeds stand in front of each text.
 
@@ -35,7 +36,9 @@ ORDER = 4
 BLOCK_BYTES = 12_000_000
 LOW, HIGH = 0.01, 0.99
 #: log2 perplexity left beyond the quantiles, and the width of the steps in which quantiles are found.
-MARGIN, STEP = 0.15, 0.001
+MARGIN, STEP = 0.1, 0.001
+#: Bits a character that a single character strays by.
+SPREAD = 3.0
 #: Stands for a null lang.
 NO_LANG = "\0"
 _PAD = np.full(ORDER - 1, 10, np.uint64)
@@ -181,7 +184,7 @@ def quantile(rows: DataFrame, by: str, value: Column, q: float) -> DataFrame:
 
 
 def judge(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH, margin: float = MARGIN) -> DataFrame:
-    """Per document: doc_id, lang, log2_perplexity (bits a character), least and most of its language, kept."""
+    """Per document: doc_id, lang, log2_perplexity (bits a character), least and most of its language (for long texts), kept."""
     scratch = Scratch(docs.sparkSession)
     good = pick(labels, "doc_id", "quality").where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1")
     good = scratch.table(good.select(F.col("doc_id").cast("long").alias("of"), held_out(F.col("doc_id")).alias("out")), "trusted")
@@ -193,11 +196,12 @@ def judge(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HI
     scored = scratch.table(perplexity(rows, logs).withColumn("bits", -F.col("log2p")), "scores")
 
     outside = scored.join(small_enough(good.where("out")), F.col("doc_id") == F.col("of"), "left_semi").where("bits is not null")
-    least, most = (quantile(outside, "lang", F.col("bits"), q) for q in (low, high))
+    stray = F.lit(SPREAD) / F.sqrt(F.greatest("chars", F.lit(1)))
+    least, most = (quantile(outside, "lang", F.col("bits") + sign * stray, q) for sign, q in ((1, low), (-1, high)))
     limits = least.select("lang", (F.col("value") - margin).alias("least")).join(most.select("lang", (F.col("value") + margin).alias("most")), "lang")
     limits = scratch.table(limits, "limits")
     joined = scored.join(F.broadcast(limits), "lang", "left")  # one row a language
-    kept = (F.col("chars") > 0) & F.coalesce(F.col("bits").between(F.col("least"), F.col("most")), F.lit(True))
+    kept = (F.col("chars") > 0) & F.coalesce(F.col("bits").between(F.col("least") - stray, F.col("most") + stray), F.lit(True))
     return joined.select("doc_id", F.nullif("lang", F.lit(NO_LANG)).alias("lang"), F.round("bits", 9).alias("log2_perplexity"), "least", "most", kept.alias("kept"))
 
 

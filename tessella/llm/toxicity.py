@@ -1,7 +1,7 @@
 """Operator 8: toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence has a logistic score over its words, a document the noisy-or of its sentences:
-1 - prod(1 - p). Labels exist for documents only; maximising their likelihood makes the sentences that explain a label score high,
+A document is a bag of sentences. A sentence has a logistic score over its words and the beginnings of its words (so that inflected
+forms count as their stem does), a document the noisy-or of its sentences: 1 - prod(1 - p). Labels exist for documents only; maximising their likelihood makes the sentences that explain a label score high,
 so the same weights also locate the offending sentences.
 
 Training takes at most SAMPLE_DOCS labelled rows (by a hash of their id; documented bound). Word counts by label choose the words,
@@ -31,6 +31,10 @@ SAMPLE_DOCS = 20_000
 MIN_DOCS, MIN_G, MAX_WORDS = 3, 20.0, 4096
 STEPS, RATE, DECAY = 400, 0.1, 1e-4
 FOLDS = 5
+#: Beginnings of so many letters are features beside the whole words.
+BEGINNINGS = range(3, 8)
+#: Words whose features are remembered in a Python worker before the table is emptied.
+WORDS_KEPT = 500_000
 
 _SENTENCE = re.compile(r"[.!?\n]+")
 _WORD = re.compile(r"\w+")
@@ -47,8 +51,12 @@ def sentences(text: str | None) -> list[str]:
     return [s for s in _SENTENCE.split(text or "") if _WORD.search(s)] or [""]
 
 
+def features(word: str) -> list[str]:
+    return [word, *(word[:k] + "*" for k in BEGINNINGS if k < len(word))]
+
+
 def words(sentence: str) -> set[str]:
-    return set(_WORD.findall(sentence.lower()))
+    return {f for w in _WORD.findall(sentence.lower()) for f in features(w)}
 
 
 def held_out(doc_id: Column) -> Column:
@@ -134,24 +142,36 @@ def _train(rows: pa.Table, chosen: list[str]) -> Model:
     return Model(dict(zip(chosen, theta[:-1].tolist(), strict=True)), float(theta[-1]))
 
 
-def sentence_score(sentence: str, model: Model) -> float:
-    z = model.bias + sum(model.weights[w] for w in sorted(words(sentence) & model.weights.keys()))
-    return float(1 / (1 + np.exp(-min(max(z, -40.0), 40.0))))
+class Scorer:
+    """A model with a table of the words seen and the features of the model that they have."""
+
+    def __init__(self, model: Model):
+        self.model, self.seen = model, {}
+
+    def known(self, word: str) -> tuple[str, ...]:
+        found = self.seen.get(word)
+        if found is None:
+            if len(self.seen) >= WORDS_KEPT:
+                self.seen.clear()
+            found = self.seen[word] = tuple(f for f in features(word) if f in self.model.weights)
+        return found
 
+    def sentence(self, sentence: str) -> float:
+        found = {f for w in _WORD.findall(sentence.lower()) for f in self.known(w)}
+        z = self.model.bias + sum(self.model.weights[f] for f in sorted(found))
+        return float(1 / (1 + np.exp(-min(max(z, -40.0), 40.0))))
 
-def document_score(text: str | None, model: Model) -> float:
-    """Noisy-or over the sentences. Sentences without a word of the model count at once."""
-    parts = sentences(text)
-    known = model.weights.keys()
-    none = 0.0
-    plain = len(parts)
-    if not known.isdisjoint(_WORD.findall((text or "").lower())):
-        for s in parts:
-            if not known.isdisjoint(words(s)):
-                none += np.log1p(-min(sentence_score(s, model), 1 - 1e-15))
-                plain -= 1
-    none += plain * np.log1p(-min(sentence_score("", model), 1 - 1e-15))
-    return float(-np.expm1(none))
+    def document(self, text: str | None) -> float:
+        """Noisy-or over the sentences. Sentences without a word of the model count at once."""
+        parts = sentences(text)
+        none, plain = 0.0, len(parts)
+        if any(self.known(w) for w in set(_WORD.findall((text or "").lower()))):
+            for s in parts:
+                if any(self.known(w) for w in _WORD.findall(s.lower())):
+                    none += np.log1p(-min(self.sentence(s), 1 - 1e-15))
+                    plain -= 1
+        none += plain * np.log1p(-min(self.sentence(""), 1 - 1e-15))
+        return float(-np.expm1(none))
 
 
 def score(docs: DataFrame, model: Model, columns: tuple[str, ...]) -> DataFrame:
@@ -160,8 +180,9 @@ def score(docs: DataFrame, model: Model, columns: tuple[str, ...]) -> DataFrame:
     docs = pick(docs, *columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(sent.value)
         for batch in batches:
-            scores = [document_score(text, sent.value) for text in batch.column("text").to_pylist()]
+            scores = [scorer.document(text) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*columns, "score"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
@@ -172,8 +193,9 @@ def offending(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(sent.value)
         for batch in batches:
-            rows = [(d, i, s, p) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for i, s in enumerate(sentences(t)) if (p := sentence_score(s, sent.value)) >= least]
+            rows = [(d, i, s, p) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for i, s in enumerate(sentences(t)) if (p := scorer.sentence(s)) >= least]
             columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.string(), pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sentence_no", "sentence", "score"])
 
