@@ -46,8 +46,8 @@ def index_rows(df: DataFrame, order: list[Column], name: str = "row_idx") -> Dat
 
 def read_lines(spark: SparkSession, path: str, name: str, kind: str = "double") -> DataFrame:
     """(row_idx, name): one value a line; strings are stripped. A text file's lines keep their order within a single file."""
-    lines = spark.read.text(path, wholetext=False).select(F.trim("value").alias("v"), F.monotonically_increasing_id().alias("__at"), F.input_file_name().alias("__file"))
-    indexed = index_rows(lines, [F.col("__file"), F.col("__at")])
+    lines = spark.read.text(path, wholetext=False).select(F.trim("value").alias("v"), F.monotonically_increasing_id().alias("__line"), F.input_file_name().alias("__file"))
+    indexed = index_rows(lines, [F.col("__file"), F.col("__line")])
     return indexed.select("row_idx", F.col("v").cast(kind).alias(name))
 
 
