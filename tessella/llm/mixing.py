@@ -78,7 +78,7 @@ def mix_plan(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
 
 def mix(docs: DataFrame, columns: tuple[str, ...], seed: int = SEED, **options) -> DataFrame:
     """The mixed corpus: the given columns of each document, once for each copy."""
-    sized, targets = _planned(pick(docs, *columns), **options)
+    sized, targets = _planned(pick(docs, *dict.fromkeys((*columns, "doc_id", "source", "text"))), **options)
     targets = targets.toDF("__of", "__total", "__target")
     joined = sized.join(targets, F.col("source").eqNullSafe(F.col("__of")))
     n = copies(F.col("doc_id"), F.col("__size"), F.col("__total"), F.col("__target"), seed)
