@@ -37,6 +37,8 @@ BLOCK_BYTES = 12_000_000
 LOW, HIGH = 0.01, 0.99
 #: log2 perplexity left beyond the quantiles, and the width of the steps in which quantiles are found.
 MARGIN, STEP = 0.1, 0.001
+#: Discounts are at least this, so that every context leaves something for what was not seen.
+MIN_DISCOUNT = 0.1
 #: Bits a character that a single character strays by.
 SPREAD = 3.0
 #: Stands for a null lang.
@@ -78,7 +80,7 @@ def _discounted(counts: DataFrame) -> DataFrame:
     n = [F.sum((F.col("n") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)]
     found = counts.groupBy("lang").agg(*n)
     y = F.coalesce(F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2")), F.lit(0.5))
-    of = lambda k: F.least(F.lit(float(k)), F.greatest(F.lit(0.0), F.coalesce(k - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}")), F.lit(k / 2))))
+    of = lambda k: F.least(F.lit(float(k)), F.greatest(F.lit(MIN_DISCOUNT), F.coalesce(k - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}")), F.lit(k / 2))))
     found = found.select(F.col("lang").alias("of"), of(1).alias("d1"), of(2).alias("d2"), of(3).alias("d3"))
     joined = counts.join(F.broadcast(found), F.col("lang") == F.col("of"))  # one row a language
     return joined.select("lang", "gram", "n", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")).alias("d"))
