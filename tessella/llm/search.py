@@ -8,6 +8,8 @@
   every score in the block. The blocks with the highest bounds are scored first; with the k-th best score so far as the threshold,
   blocks whose bound is lower are never scored. As in block-max WAND nothing is lost by that; bounds are computed for all blocks of
   a list at once, since a cursor that moves document by document is slow in Python.
+* Lists that at least one in DENSE documents of a shard has are kept as rows of a matrix. One product gives their part of all scores
+  for a batch of queries, and its largest value in a block is their part of the block's bound.
 * The shards' results are merged by rank.
 
 A query is a whole text with all its distinct words, each weighted by its frequency in the query. Words are runs of other than white
@@ -40,8 +42,10 @@ SHARD_DOCS = 20_000
 #: Documents of a block; blocks that are scored before the threshold is first used.
 BLOCK, FIRST_BLOCKS = 64, 8
 DIGITS = 6
-#: Lists from this length on are added one by one, shorter ones of a query together.
-LONG = 256
+#: Lists from this length on are added one by one, shorter ones of a query together; the longest are dense.
+LONG, DENSE = 256, 5
+#: Queries whose dense parts are computed at once.
+BATCH = 64
 #: Bounds are compared with this slack, so that rounding cannot hide a result.
 SLACK = 1e-5
 NO_ID = 2**63 - 1
@@ -125,13 +129,22 @@ class Shard:
     def __init__(self, ids: np.ndarray, lengths: np.ndarray, term: np.ndarray, df: np.ndarray, docs: np.ndarray, tfs: np.ndarray, average: float):
         order = np.argsort(term)
         at = np.cumsum(df) - df
+        n = len(ids)
+        impact = lambda tf, doc: tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / average))
+        dense = order[df[order] * DENSE >= n]
+        self.dense_term = term[dense]
+        self.dense = np.zeros((len(dense), n))
+        for row, k in zip(self.dense, dense.tolist(), strict=True):
+            doc = docs[at[k] : at[k] + df[k]]
+            row[doc] = impact(tfs[at[k] : at[k] + df[k]].astype(np.float64), doc)
+        order = order[df[order] * DENSE < n]
         move = _spread(at[order], at[order] + df[order])
         self.ids, self.term = ids, term[order]
         self.begin = np.concatenate([[0], np.cumsum(df[order])]).astype(np.int64)
         self.doc = docs[move].astype(np.int64)
-        tf = tfs[move].astype(np.float64)
-        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / average))
-        self.blocks = -(-len(ids) // BLOCK)
+        self.impact = impact(tfs[move].astype(np.float64), self.doc)
+        self.blocks = -(-n // BLOCK)
+        self.starts = np.arange(self.blocks) * BLOCK
         new = np.zeros(len(self.doc), bool)
         new[self.begin[:-1]] = True
         block = self.doc // BLOCK
@@ -141,41 +154,49 @@ class Shard:
         self.part_max = np.maximum.reduceat(self.impact, self.part[:-1]) if len(self.doc) else np.empty(0)
         self.part_begin = np.searchsorted(self.part, self.begin)
 
-    def top(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """doc_ids and scores of the k best, best first, and how many blocks were scored."""
-        at = np.minimum(np.searchsorted(self.term, terms), max(0, len(self.term) - 1))
-        hit = self.term[at] == terms if len(self.term) else np.zeros(len(terms), bool)
+    def top(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """For each query (terms and weights): doc_ids and scores of the k best, best first, and how many blocks were scored."""
+        for lo in range(0, len(queries), BATCH):
+            batch = queries[lo : lo + BATCH]
+            matrix = np.zeros((len(batch), len(self.dense_term)))
+            for row, (terms, weights) in zip(matrix, batch, strict=True):
+                at, hit = _find(self.dense_term, terms)
+                row[at[hit]] = weights[hit]
+            for base, (terms, weights) in zip(matrix @ self.dense, batch, strict=True):
+                yield self._one(base, terms, weights, k)
+
+    def _one(self, base: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """base: what the dense lists give each document."""
+        n = len(self.ids)
+        at, hit = _find(self.term, terms)
         at, weights = at[hit], weights[hit]
-        if not len(at):
-            return np.empty(0, np.int64), np.empty(0), 0
         begin, end = self.part_begin[at], self.part_begin[at + 1]
         parts, weight = _spread(begin, end), np.repeat(weights, end - begin)
-        bound = np.bincount(self.part_block[parts], self.part_max[parts] * weight, self.blocks)
-        n = len(self.ids)
+        bound = np.bincount(self.part_block[parts], self.part_max[parts] * weight, self.blocks) + np.maximum.reduceat(base, self.starts)
         first = np.zeros(self.blocks, bool)
         first[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
-        score = self._some(parts, weight, first, n)
+        score = np.where(np.repeat(first, BLOCK)[:n], base + self._some(parts, weight, first, n), 0.0)
         best = np.partition(score, n - k)[n - k] if n > k else 0.0
         rest = (bound >= best - SLACK) & (bound > 0) & ~first
         if 2 * rest.sum() > self.blocks:
-            score = self._every(at, weights, n)
+            score = base + self._every(at, weights, n)
         elif rest.any():
-            score += self._some(parts, weight, rest, n)
-        score = np.round(score, DIGITS)
-        least = np.partition(score, n - k)[n - k] if n > k else 0.0
-        found = np.flatnonzero((score >= least) & (score > 0))
-        found = found[np.lexsort((self.ids[found], -score[found]))][:k]
-        return self.ids[found], score[found], int((first | rest).sum())
+            score = np.where(np.repeat(rest, BLOCK)[:n], base + self._some(parts, weight, rest, n), score)
+        candidates = np.flatnonzero(score >= (np.partition(score, n - k)[n - k] if n > k else 0.0) - SLACK)
+        rounded = np.round(score[candidates], DIGITS)
+        candidates, rounded = candidates[rounded > 0], rounded[rounded > 0]
+        order = np.lexsort((self.ids[candidates], -rounded))[:k]
+        return self.ids[candidates[order]], rounded[order], int((first | rest).sum())
 
     def _some(self, parts: np.ndarray, weight: np.ndarray, wanted: np.ndarray, n: int) -> np.ndarray:
-        """Scores of the documents in the wanted blocks."""
+        """What the other lists give the documents in the wanted blocks."""
         here = wanted[self.part_block[parts]]
         begin, end = self.part[parts[here]], self.part[parts[here] + 1]
         postings = _spread(begin, end)
         return np.bincount(self.doc[postings], self.impact[postings] * np.repeat(weight[here], end - begin), n)
 
     def _every(self, at: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
-        """Scores of all documents of the lists."""
+        """What the other lists give all documents."""
         begin, end = self.begin[at], self.begin[at + 1]
         short = end - begin < LONG
         postings = _spread(begin[short], end[short])
@@ -185,6 +206,14 @@ class Shard:
         return score
 
 
+def _find(sorted_terms: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the terms stand, and which of them do."""
+    if not len(sorted_terms):
+        return np.zeros(len(terms), np.int64), np.zeros(len(terms), bool)
+    at = np.minimum(np.searchsorted(sorted_terms, terms), len(sorted_terms) - 1)
+    return at, sorted_terms[at] == terms
+
+
 def _loaded(parts: list[pa.RecordBatch], average: float) -> Shard:
     table = pa.Table.from_batches(parts)
     flat = lambda col, kind: np.frombuffer(b"".join(col.to_pylist()), kind)
@@ -224,9 +253,9 @@ def _found(shard: Shard, queries: pa.RecordBatch, k: int) -> pa.RecordBatch:
     lists = queries.column("terms")
     offsets = lists.offsets.to_numpy()
     terms, weights = (lists.values.field(i).to_numpy() for i in (0, 1))
-    for i, (query, tid) in enumerate(zip(queries.column("query_id").to_pylist(), queries.column("tid").to_pylist(), strict=True)):
-        a, b = offsets[i], offsets[i + 1]
-        ids, scores, _ = shard.top(terms[a:b], weights[a:b], k)
+    asked = [(terms[a:b], weights[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    names = zip(queries.column("query_id").to_pylist(), queries.column("tid").to_pylist(), strict=True)
+    for (query, tid), (ids, scores, _) in zip(names, shard.top(asked, k), strict=True):
         for column, values in zip(out, ([query] * len(ids), [tid] * len(ids), ids.tolist(), scores.tolist()), strict=True):
             column.extend(values)
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())

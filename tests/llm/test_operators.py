@@ -107,7 +107,7 @@ def test_search_skips_blocks():
     term = np.arange(2)
     docs = [np.arange(n, dtype=np.int32), np.sort(rng.choice(n, 40, replace=False)).astype(np.int32)]
     shard = search.Shard(np.arange(n), np.full(n, 10, np.int32), term, np.array([n, 40]), np.concatenate(docs), np.concatenate([np.ones(n, np.int32), rng.integers(1, 9, 40).astype(np.int32)]), 10.0)
-    ids, scores, scored = shard.top(term, np.array([0.01, 5.0]), 3)
+    ((ids, scores, scored),) = shard.top([(term, np.array([0.01, 5.0]))], 3)
     assert scored < shard.blocks and (np.diff(scores) <= 0).all() and set(ids) <= set(docs[1].tolist())
 
 
