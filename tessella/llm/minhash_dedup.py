@@ -1,14 +1,17 @@
 """Operator 3: near duplicates by MinHash with tensored banding.
 
 * Documents with the same shingle set are one class, so copies cost nothing further.
-* A class gets two collections of COLLECTION minhashes. Table key (i, j) combines hash i of the first with hash j of the second:
-  COLLECTION ** 2 tables of two rows each from 2 * COLLECTION minhashes. A pair with Jaccard s shares no key with probability
-  below 2 * (1 - s) ** COLLECTION: 3e-5 at s = 0.75 for the default of 8.
-* Candidates of a table key: every class of a bucket with the smallest and the largest class id in it, never all pairs. Pairs whose
-  2 * COLLECTION minhashes agree in fewer than MIN_AGREE places are left out (a pair with s = 0.75 does so with probability 6e-6).
-* Candidates are confirmed on their full shingle sets, and links are merged to components.
-* What that leaves: buckets whose classes are still in several components. There every class outside the bucket's largest component
-  is compared with all classes of other components, so no link between components is lost, whatever the size of a bucket.
+* A class gets two collections of COLLECTION sub-keys, each of ROWS minhashes. Table key (i, j) combines sub-key i of the first with
+  sub-key j of the second: COLLECTION ** 2 tables of 2 * ROWS rows each from 2 * COLLECTION * ROWS minhashes. A pair with Jaccard s
+  shares no key with probability below 2 * (1 - s ** ROWS) ** COLLECTION: 0.12 % at s = 0.75, 0.02 % at 0.8.
+* Candidates of a bucket: every class with the bucket's centre, never all pairs. Pairs whose minhashes agree in fewer than MIN_AGREE
+  places are left out (a pair with s = 0.75 does so with probability 3e-5). Candidates are confirmed on their full shingle sets, and
+  links are merged to components.
+* That is repeated ROUNDS times with other centres, each time for the classes that are in another component than the larger part of
+  their bucket.
+* What that leaves is compared exactly: in buckets that still hold several components, every class outside the largest one with all
+  classes of other components, each pair in the first bucket it shares. No link between components is lost, whatever the size of a
+  bucket; the work is that of the classes left over, not of the bucket.
 
 Edge cases: null and empty texts, and texts without words, have the empty set (n_shingles 0) and are linked with nothing, not even
 with each other; fewer words than a shingle make one shingle of all words; rows repeated in full, or with equal ids, fall in the class
@@ -24,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.llm.bloom import mix64
@@ -33,12 +37,15 @@ from tessella.llm.components import components
 WORDS = 5
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-COLLECTION = 8
-MIN_AGREE = 4
-#: Members that are compared with one copy of a bucket's centre.
-SITE_ROWS = 2000
-
-_SEEDS = mix64(np.arange(1, 2 * COLLECTION + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+COLLECTION, ROWS = 9, 2
+HASHES = 2 * COLLECTION * ROWS
+MIN_AGREE = 16
+ROUNDS = 3
+#: Members that are compared with one copy of a bucket's centre; classes left over in a bucket that are compared in one task.
+SITE_ROWS, PART_ROWS = 2000, 1000
+
+#: Odd multipliers of a 64-bit hash: each permutes the shingles' hashes.
+_FACTORS = mix64(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 _POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(64)]
 
 
@@ -56,44 +63,49 @@ def shingle_set(text: str | None, width: int = WORDS) -> np.ndarray:
 
 
 def minhashes(shingles: np.ndarray) -> np.ndarray:
-    return np.array([mix64(shingles ^ s).min() for s in _SEEDS], np.uint64)
+    out = np.full(HASHES, np.iinfo(np.uint64).max)
+    for at in range(0, len(shingles), 4096):
+        out = np.minimum(out, (shingles[None, at : at + 4096] * _FACTORS[:, None]).min(axis=1))
+    return out
+
+
+def sub_keys(mins: np.ndarray) -> np.ndarray:
+    """The first collection's sub-keys, then the second's."""
+    out = np.zeros(2 * COLLECTION, np.uint64)
+    for r in range(ROWS):
+        out = mix64(out ^ mins[r::ROWS]) * np.uint64(0x9E3779B97F4A7C15)
+    return out
 
 
 def _sketches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, sizes, mins = [], [], []
+            digests, sizes, subs, sigs = [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text, width)
+                m = minhashes(s) if len(s) else None
                 sizes.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                mins.append(minhashes(s).view(np.int64) if len(s) else None)
-            columns = [batch.column("doc_id"), batch.column("tid"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(mins, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tid", "n_shingles", "digest", "mins"])
+                subs.append(sub_keys(m).view(np.int64) if len(s) else None)
+                sigs.append((m >> np.uint64(20)).astype(np.uint16).view(np.int16) if len(s) else None)
+            columns = [batch.column("doc_id"), batch.column("tid"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(subs, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int16()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tid", "n_shingles", "digest", "subs", "sig"])
 
     return run
 
 
-def table_keys(mins: Column, size: int = COLLECTION) -> Column:
-    """Array of the size ** 2 keys: hash i of the first collection with hash j of the second."""
-    return F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.lit(size)),
-            lambda i: F.transform(F.sequence(F.lit(1), F.lit(size)), lambda j: F.xxhash64(i, j, F.element_at(mins, i), F.element_at(mins, j + size))),
-        )
-    )
-
-
-def _agree(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+def table_keys(subs: Column, size: int = COLLECTION) -> Column:
+    """Array of (at, key) of the size ** 2 tables: sub-key i of the first collection with sub-key j of the second."""
+    numbers = F.sequence(F.lit(0), F.lit(size - 1))
+    one = lambda i, j: F.struct((i * size + j).cast("int").alias("at"), F.xxhash64(i, j, F.element_at(subs, i + 1), F.element_at(subs, j + size + 1)).alias("key"))
+    return F.flatten(F.transform(numbers, lambda i: F.transform(numbers, lambda j: one(i, j))))
 
 
-def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of (a, b) pairs those that can be links by size and by agreement of their minhashes."""
-    one = classes.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("mins").alias("ma"))
-    two = classes.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("mins").alias("mb"))
-    sizes = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT
-    return pairs.join(one, "a").join(two, "b").where(sizes & (_agree(F.col("ma"), F.col("mb")) >= MIN_AGREE)).select("a", "b")
+def _likely(a: str, b: str) -> Column:
+    """Whether two classes (structs with n and sig) can be linked, by size and by agreement of their minhashes."""
+    sizes = F.least(f"{a}.n", f"{b}.n") * 100 >= F.greatest(f"{a}.n", f"{b}.n") * PERCENT
+    agree = F.aggregate(F.zip_with(f"{a}.sig", f"{b}.sig", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    return sizes & (agree >= MIN_AGREE)
 
 
 def _compare(width: int, percent: int):
@@ -135,40 +147,40 @@ def confirm(pairs: DataFrame, source: DataFrame, classes: DataFrame, scratch: Sc
     return placed.mapInArrow(_compare(width, percent), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Per document: doc_id, n_shingles, class_id, component_id, n_links (links of its class that were confirmed), kept."""
+def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
+    """Per document: doc_id, n_shingles, class_id (smallest doc_id of its class), component_id, kept."""
     scratch = Scratch(docs.sparkSession)
     source = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tid"))
-    sketches = source.mapInArrow(_sketches(width), "doc_id long, tid long, n_shingles long, digest binary, mins array<long>")
+    sketches = source.mapInArrow(_sketches(width), "doc_id long, tid long, n_shingles long, digest binary, subs array<long>, sig array<short>")
     sketches = scratch.table(sketches.withColumn("node", F.xxhash64("digest")), "sketches")
-    classes = sketches.where("digest is not null").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first(F.struct("doc_id", "tid")).alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("mins").alias("mins")
-    )
+    firsts = [F.first(c).alias(c) for c in ("n_shingles", "subs", "sig")]
+    classes = sketches.where("digest is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("doc_id", "tid")).alias("one"), *firsts)
     classes = scratch.table(classes, "classes")
-
-    rows = classes.select("node", F.explode(table_keys(F.col("mins"))).alias("key"))
-    buckets = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high")
-    shared = scratch.table(rows.join(buckets, "key"), "shared")  # the rows of buckets with two classes or more
-    stars = shared.where("node != low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    stars = stars.union(shared.where("node != high and node != low").select("node", "high")).distinct()
-
-    pairs = scratch.table(_likely(stars, classes), "pairs")
-    links = scratch.table(confirm(pairs, source, classes, scratch, width, percent), "links")
-    labels = components(links, scratch)
-
-    turned = pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    more = _cross_pairs(shared, labels, classes, scratch).join(pairs.union(turned), ["a", "b"], "left_anti")
-    more = scratch.table(more, "more-pairs")
-    if not more.isEmpty():
-        found = scratch.table(confirm(more, source, classes, scratch, width, percent), "more-links")
-        if not found.isEmpty():
-            links = scratch.table(links.unionByName(found), "all-links")
-            labels = components(links, scratch)
-
-    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
+    shared = scratch.table(_shared(classes), "shared")
+
+    labels, links, tested = None, None, None
+    for step in range(rounds + 1):
+        open_ = _open_buckets(shared, labels)
+        if labels is not None:
+            open_ = scratch.table(open_, f"open-{step}")
+            if open_.isEmpty():
+                break
+        pairs = _centre_pairs(open_, step) if step < rounds else _cross_pairs(open_)
+        pairs = pairs.distinct() if tested is None else pairs.distinct().join(tested, ["a", "b"], "left_anti")
+        pairs = scratch.table(pairs, f"pairs-{step}")
+        if pairs.isEmpty():
+            continue
+        found = scratch.table(confirm(pairs, source, classes, scratch, width, percent), f"links-{step}")
+        both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        tested = both if tested is None else tested.union(both)
+        links = found if links is None else links.union(found)
+        labels = components(links, scratch) if labels is None or not found.isEmpty() else labels
+
+    if labels is None:
+        labels = classes.select("node", F.col("node").alias("label")).where("false")
     named = classes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    placed = named.join(lowest, "label").join(degree, "node", "left").select("node", F.col("doc_id").alias("class_id"), "component_id", "n_links")
+    placed = named.join(lowest, "label").select("node", F.col("doc_id").alias("class_id"), "component_id")
     joined = sketches.select("doc_id", "n_shingles", F.when(F.col("digest").isNotNull(), F.col("node")).alias("node")).join(placed, "node", "left")
     alone = F.col("node").isNull()
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
@@ -177,21 +189,86 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
         "n_shingles",
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         component.alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"),
     )
 
 
-def _cross_pairs(shared: DataFrame, labels: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs of classes that share a bucket but not a component, as far as they can be links."""
-    named = shared.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    counts = named.groupBy("key", "label").agg(F.count("*").alias("n"))
-    open_ = counts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", "top.label")
-    open_ = scratch.table(named.join(open_.withColumnRenamed("label", "top"), "key"), "open")
-    minor = open_.where("label != top").select("key", F.col("node").alias("a"), F.col("label").alias("la"))
-    other = open_.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), (F.col("label") == F.col("top")).alias("main"))
-    pairs = minor.join(other, "key").where("la != lb and (main or a < b)").select("a", "b").distinct()
-    return _likely(pairs, classes)
+def _shared(classes: DataFrame) -> DataFrame:
+    """(key, at, node, n, sig) of the buckets with two classes or more. Keys alone are shuffled; signatures join what is left."""
+    rows = classes.select("node", F.inline(table_keys(F.col("subs"))))
+    held = rows.withColumn("held", F.count("*").over(W.partitionBy("key"))).where("held > 1").drop("held")
+    return held.join(classes.select("node", F.col("n_shingles").alias("n"), "sig"), "node").select("key", "at", "node", "n", "sig")
+
+
+def _open_buckets(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The rows of buckets that hold several components, with label and top, the label that most of a bucket has."""
+    if labels is None:
+        return shared.withColumns({"label": F.col("node"), "top": F.lit(None).cast("long")})
+    named = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    counts = named.groupBy("key", "label").agg(F.count("*").alias("n_label"))
+    tops = counts.groupBy("key").agg(F.max(F.struct("n_label", "label")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    return named.join(tops.select("key", F.col("most.label").alias("top")), "key")
+
+
+def _centre_pairs(open_: DataFrame, step: int) -> DataFrame:
+    """(a, b): each class outside the top component of its bucket with the bucket's centre, another one in each step."""
+    of = F.struct("n", "sig").alias("of")
+    rows = open_.select("key", "label", "top", F.col("node").alias("a"), of)
+    order = F.struct((F.col("node") if step == 0 else F.xxhash64("node", F.lit(step))).alias("rank"), "node", "label", "n", "sig")
+    centres = open_.where("top is null or label = top").groupBy("key").agg(F.min(order).alias("c"))
+    centres = centres.select("key", F.col("c.node").alias("b"), F.struct("c.n", "c.sig").alias("centre"), F.col("c.label").alias("centre_label"))
+    return rows.join(centres, "key").where((F.col("label") != F.col("centre_label")) & _likely("of", "centre")).select("a", "b")
+
+
+def _cross_pairs(open_: DataFrame) -> DataFrame:
+    """(a, b): each class outside the top component of its bucket with all classes of other components there that are likely links.
+
+    The classes left over in a bucket are dealt to parts of PART_ROWS, each with all other classes of the bucket as a stream. A part
+    holds its own classes only.
+    """
+    parts = open_.where("label != top").groupBy("key").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
+    rows = open_.join(parts, "key")
+    minor = F.col("label") != F.col("top")
+    own = rows.where(minor).withColumns({"part": F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), "role": F.lit(0)})
+    every = rows.withColumns({"part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "role": F.lit(1)})
+    both = own.unionByName(every).select("key", "part", "role", "at", "node", "n", "sig", "label", minor.alias("minor"))
+    return both.repartition("key", "part").sortWithinPartitions("key", "part", "role").mapInArrow(_cross, "a long, b long")
+
+
+def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    at, own = None, None
+    for batch in batches:
+        key, part, role = (batch.column(c).to_numpy() for c in ("key", "part", "role"))
+        cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]) | (role[1:] != role[:-1]), True]) if len(key) else []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            here = (key[lo], part[lo])
+            piece = batch.slice(lo, hi - lo)
+            rows = {c: piece.column(c).to_numpy(zero_copy_only=False) for c in ("at", "node", "n", "label", "minor")}
+            rows["sig"] = piece.column("sig").flatten().to_numpy().reshape(-1, HASHES)
+            if here != at:
+                at, own = here, None
+            if role[lo] == 0:
+                own = rows if own is None else {c: np.concatenate([own[c], rows[c]]) for c in rows}
+            elif own is not None:  # a part may have got none of its own
+                yield _pairs(own, rows)
+
+
+def _pairs(own: dict, other: dict) -> pa.RecordBatch:
+    out: list[list[np.ndarray]] = [[], []]
+    for lo in range(0, len(own["node"]), 64):
+        mine = {c: v[lo : lo + 64, None] if v.ndim == 1 else v[lo : lo + 64, None, :] for c, v in own.items()}
+        for at in range(0, len(other["node"]), 1024):
+            theirs = {c: v[None, at : at + 1024] for c, v in other.items()}
+            fits = (mine["label"] != theirs["label"]) & (~theirs["minor"] | (mine["node"] < theirs["node"]))
+            fits &= np.minimum(mine["n"], theirs["n"]) * 100 >= np.maximum(mine["n"], theirs["n"]) * PERCENT
+            x, y = np.nonzero(fits)
+            if len(x):
+                same = own["sig"][lo + x] == other["sig"][at + y]
+                first = same.reshape(len(x), 2, COLLECTION, ROWS).all(axis=3).argmax(axis=2)  # the first bucket that both are in
+                yes = (same.sum(axis=1) >= MIN_AGREE) & (first[:, 0] * COLLECTION + first[:, 1] == own["at"][0])
+                out[0].append(own["node"][lo + x[yes]])
+                out[1].append(other["node"][at + y[yes]])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else np.empty(0, np.int64), pa.int64()) for v in out], ["a", "b"])
 
 
 def keep_one(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
@@ -203,4 +280,4 @@ def keep_one(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
 
 def op3_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept", "class_id", "n_links")
+    return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
