@@ -1,6 +1,6 @@
 """Systematic variations of primary events: energy scales, soft missing momentum, thresholds, normalisations.
 
-All steps are projections and filters in the order of the reference treatment: normalise weights, vary, cut, derive. They add no
+All steps are projections and filters in this order: normalise weights, vary, cut, derive. They add no
 shuffle. Branches of variations that are switched off are not built.
 """
 
