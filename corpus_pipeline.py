@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and works on all that the stage before ke
 where a stage changes texts, n_chars follows.
 
 Edge cases: a null text is an empty text from the line dedup on; documents without words are near duplicates of nothing and stay;
-null doc_ids: the near-dedup keeps rows with a doc_id that names its group only. Empty tables give an empty result.
+rows without a doc_id are treated by their text; of rows repeated in full the near-dedup keeps one. Empty tables give an empty result.
 """
 
 from __future__ import annotations
