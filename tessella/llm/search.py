@@ -172,7 +172,7 @@ class Shard:
         at, weights = at[hit], weights[hit]
         begin, end = self.part_begin[at], self.part_begin[at + 1]
         parts, weight = _spread(begin, end), np.repeat(weights, end - begin)
-        bound = np.bincount(self.part_block[parts], self.part_max[parts] * weight, self.blocks) + np.maximum.reduceat(base, self.starts)
+        bound = _sums(self.part_block[parts], self.part_max[parts] * weight, self.blocks) + np.maximum.reduceat(base, self.starts)
         first = np.zeros(self.blocks, bool)
         first[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
         score = np.where(np.repeat(first, BLOCK)[:n], base + self._some(parts, weight, first, n), 0.0)
@@ -193,19 +193,24 @@ class Shard:
         here = wanted[self.part_block[parts]]
         begin, end = self.part[parts[here]], self.part[parts[here] + 1]
         postings = _spread(begin, end)
-        return np.bincount(self.doc[postings], self.impact[postings] * np.repeat(weight[here], end - begin), n)
+        return _sums(self.doc[postings], self.impact[postings] * np.repeat(weight[here], end - begin), n)
 
     def _every(self, at: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
         """What the other lists give all documents."""
         begin, end = self.begin[at], self.begin[at + 1]
         short = end - begin < LONG
         postings = _spread(begin[short], end[short])
-        score = np.bincount(self.doc[postings], self.impact[postings] * np.repeat(weights[short], (end - begin)[short]), n)
+        score = _sums(self.doc[postings], self.impact[postings] * np.repeat(weights[short], (end - begin)[short]), n)
         for a, b, w in zip(begin[~short].tolist(), end[~short].tolist(), weights[~short].tolist(), strict=True):
             score[self.doc[a:b]] += self.impact[a:b] * w
         return score
 
 
+def _sums(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of values by place; without values numpy itself would count in integers."""
+    return np.bincount(at, values, n).astype(np.float64, copy=False)
+
+
 def _find(sorted_terms: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the terms stand, and which of them do."""
     if not len(sorted_terms):

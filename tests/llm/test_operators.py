@@ -111,6 +111,14 @@ def test_search_skips_blocks():
     assert scored < shard.blocks and (np.diff(scores) <= 0).all() and set(ids) <= set(docs[1].tolist())
 
 
+def test_search_with_long_lists_only():
+    n, docs = 6400, np.arange(0, 6400, 10, dtype=np.int32)
+    shard = search.Shard(np.arange(n), np.full(n, 10, np.int32), np.array([3]), np.array([640]), docs, np.ones(640, np.int32), 10.0)
+    for terms in (np.array([3]), np.array([4])):
+        ((ids, scores, _),) = shard.top([(terms, np.array([2.0]))], 5)
+        assert ids.tolist() == ([0, 10, 20, 30, 40] if terms[0] == 3 else []) and (scores == 2.0).all()
+
+
 # -- near duplicates -----------------------------------------------------------------------------------------------------
 def shingles(text):
     w = WORD.findall((text or "").translate(ASCII))
