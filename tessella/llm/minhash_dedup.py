@@ -9,9 +9,10 @@
   links are merged to components.
 * That is repeated ROUNDS times with other centres, each time for the classes that are in another component than the larger part of
   their bucket.
-* What that leaves is compared exactly: in buckets that still hold several components, every class outside the largest one with all
-  classes of other components, each pair in the first bucket it shares. No link between components is lost, whatever the size of a
-  bucket; the work is that of the classes left over, not of the bucket.
+* What that leaves is compared exactly: where classes with the same sub-key of the first collection still belong to several components,
+  every class outside the largest one is compared with all classes of other components there, on full sets, in the task that holds it.
+  No pairs are written, only the links that join two components. None is lost, whatever the size of a bucket; the work is that of the
+  classes left over, not of the bucket.
 
 Edge cases: null and empty texts, and texts without words, have the empty set (n_shingles 0) and are linked with nothing, not even
 with each other; fewer words than a shingle make one shingle of all words; rows repeated in full, or with equal ids, fall in the class
@@ -149,6 +150,19 @@ def confirm(pairs: DataFrame, source: DataFrame, classes: DataFrame, scratch: Sc
 
 def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
     """Per document: doc_id, n_shingles, class_id (smallest doc_id of its class), component_id, kept."""
+    alone = F.col("node").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
+    return _placed(docs, width, percent, rounds).select(
+        "doc_id",
+        "n_shingles",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        component.alias("component_id"),
+        F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"),
+    )
+
+
+def _placed(docs: DataFrame, width: int, percent: int, rounds: int) -> DataFrame:
+    """Per document: doc_id, tid (hash of its text), n_shingles, node (its class; null without words), label, class_id, component_id."""
     scratch = Scratch(docs.sparkSession)
     source = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tid"))
     sketches = source.mapInArrow(_sketches(width), "doc_id long, tid long, n_shingles long, digest binary, subs array<long>, sig array<short>")
@@ -159,38 +173,31 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT,
     shared = scratch.table(_shared(classes), "shared")
 
     labels, links, tested = None, None, None
-    for step in range(rounds + 1):
+    for step in range(rounds):
         open_ = _open_buckets(shared, labels)
         if labels is not None:
             open_ = scratch.table(open_, f"open-{step}")
             if open_.isEmpty():
                 break
-        pairs = _centre_pairs(open_, step) if step < rounds else _cross_pairs(open_)
-        pairs = pairs.distinct() if tested is None else pairs.distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.table(pairs, f"pairs-{step}")
+        pairs = _centre_pairs(open_, step).distinct()
+        pairs = scratch.table(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), f"pairs-{step}")
         if pairs.isEmpty():
-            continue
+            break
         found = scratch.table(confirm(pairs, source, classes, scratch, width, percent), f"links-{step}")
-        both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        tested = both if tested is None else tested.union(both)
+        tested = pairs if tested is None else tested.union(pairs)
         links = found if links is None else links.union(found)
         labels = components(links, scratch) if labels is None or not found.isEmpty() else labels
+    if labels is not None:
+        found = scratch.table(_leftovers(shared, labels, source, classes, scratch, width, percent), "links-rest")
+        if not found.isEmpty():
+            labels = components(links.union(found), scratch)
 
     if labels is None:
         labels = classes.select("node", F.col("node").alias("label")).where("false")
     named = classes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    placed = named.join(lowest, "label").select("node", F.col("doc_id").alias("class_id"), "component_id")
-    joined = sketches.select("doc_id", "n_shingles", F.when(F.col("digest").isNotNull(), F.col("node")).alias("node")).join(placed, "node", "left")
-    alone = F.col("node").isNull()
-    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
-    return joined.select(
-        "doc_id",
-        "n_shingles",
-        F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"),
-    )
+    placed = named.join(lowest, "label").select("node", "label", F.col("doc_id").alias("class_id"), "component_id")
+    return sketches.select("doc_id", "tid", "n_shingles", F.when(F.col("digest").isNotNull(), F.col("node")).alias("node")).join(placed, "node", "left")
 
 
 def _shared(classes: DataFrame) -> DataFrame:
@@ -220,62 +227,101 @@ def _centre_pairs(open_: DataFrame, step: int) -> DataFrame:
     return rows.join(centres, "key").where((F.col("label") != F.col("centre_label")) & _likely("of", "centre")).select("a", "b")
 
 
-def _cross_pairs(open_: DataFrame) -> DataFrame:
-    """(a, b): each class outside the top component of its bucket with all classes of other components there that are likely links.
+def _leftovers(shared: DataFrame, labels: DataFrame, source: DataFrame, classes: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame:
+    """(a, b): links between the components that open buckets still hold.
 
-    The classes left over in a bucket are dealt to parts of PART_ROWS, each with all other classes of the bucket as a stream. A part
-    holds its own classes only.
+    Pairs with a common table key have a common sub-key of the first collection, of which a class has COLLECTION only. The classes left
+    over there are dealt to parts of PART_ROWS, each with all classes of the group as a stream.
     """
-    parts = open_.where("label != top").groupBy("key").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
-    rows = open_.join(parts, "key")
-    minor = F.col("label") != F.col("top")
-    own = rows.where(minor).withColumns({"part": F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), "role": F.lit(0)})
-    every = rows.withColumns({"part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "role": F.lit(1)})
-    both = own.unionByName(every).select("key", "part", "role", "at", "node", "n", "sig", "label", minor.alias("minor"))
-    return both.repartition("key", "part").sortWithinPartitions("key", "part", "role").mapInArrow(_cross, "a long, b long")
-
-
-def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    at, own = None, None
-    for batch in batches:
-        key, part, role = (batch.column(c).to_numpy() for c in ("key", "part", "role"))
-        cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]) | (role[1:] != role[:-1]), True]) if len(key) else []
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            here = (key[lo], part[lo])
-            piece = batch.slice(lo, hi - lo)
-            rows = {c: piece.column(c).to_numpy(zero_copy_only=False) for c in ("at", "node", "n", "label", "minor")}
-            rows["sig"] = piece.column("sig").flatten().to_numpy().reshape(-1, HASHES)
-            if here != at:
-                at, own = here, None
-            if role[lo] == 0:
-                own = rows if own is None else {c: np.concatenate([own[c], rows[c]]) for c in rows}
-            elif own is not None:  # a part may have got none of its own
-                yield _pairs(own, rows)
-
-
-def _pairs(own: dict, other: dict) -> pa.RecordBatch:
-    out: list[list[np.ndarray]] = [[], []]
-    for lo in range(0, len(own["node"]), 64):
-        mine = {c: v[lo : lo + 64, None] if v.ndim == 1 else v[lo : lo + 64, None, :] for c, v in own.items()}
-        for at in range(0, len(other["node"]), 1024):
-            theirs = {c: v[None, at : at + 1024] for c, v in other.items()}
-            fits = (mine["label"] != theirs["label"]) & (~theirs["minor"] | (mine["node"] < theirs["node"]))
-            fits &= np.minimum(mine["n"], theirs["n"]) * 100 >= np.maximum(mine["n"], theirs["n"]) * PERCENT
-            x, y = np.nonzero(fits)
-            if len(x):
-                same = own["sig"][lo + x] == other["sig"][at + y]
-                first = same.reshape(len(x), 2, COLLECTION, ROWS).all(axis=3).argmax(axis=2)  # the first bucket that both are in
-                yes = (same.sum(axis=1) >= MIN_AGREE) & (first[:, 0] * COLLECTION + first[:, 1] == own["at"][0])
-                out[0].append(own["node"][lo + x[yes]])
-                out[1].append(other["node"][at + y[yes]])
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else np.empty(0, np.int64), pa.int64()) for v in out], ["a", "b"])
-
-
-def keep_one(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """The given columns of one document of each component: the one with the smallest doc_id."""
-    docs = pick(docs, *columns)
-    found = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+    nodes = _open_buckets(shared, labels).select("node").distinct()
+    sub_key = F.posexplode(F.slice("subs", 1, COLLECTION)).alias("at", "sub")
+    groups = classes.join(nodes, "node").select("node", F.col("n_shingles").alias("n"), "sig", "subs", sub_key).withColumn("key", F.xxhash64("at", "sub")).drop("sub")
+    rows = _open_buckets(groups, labels).withColumn("minor", F.col("label") != F.col("top"))
+    rows = scratch.table(rows.select("key", "at", "node", "n", "sig", F.slice("subs", COLLECTION + 1, COLLECTION).alias("second"), "label", "minor"), "rest")
+    parts = rows.where("minor").groupBy("key").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
+    dealt = rows.join(parts, "key")
+    own = dealt.where("minor").withColumns({"part": F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), "role": F.lit(0)})
+    every = dealt.withColumns({"part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "role": F.lit(1)})
+    places = scratch.table(own.unionByName(every).select("key", "part", "role", "node"), "places")
+    named = places.join(classes.select("node", F.col("one.doc_id").alias("rid"), F.col("one.tid").alias("rtid")), "node")
+    texts = source.join(small_enough(named), F.col("doc_id").eqNullSafe(F.col("rid")) & (F.col("tid") == F.col("rtid"))).select("key", "part", "role", "node", "text")
+    both = texts.join(rows, ["key", "node"]).select("key", "part", "role", "at", "node", "n", "sig", "second", "label", "minor", "text")
+    return both.repartition("key", "part").sortWithinPartitions("key", "part", "role").mapInArrow(_cross(width, percent), "a long, b long")
+
+
+def _cross(width: int, percent: int):
+    """Rows come sorted by (key, part, role): a part's own classes are held, all classes of the group pass by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, part = None, None
+        for batch in batches:
+            columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "part", "role", "at", "node", "n", "label", "minor")}
+            columns |= {c: batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1) for c in ("sig", "second")}
+            texts, links = batch.column("text"), []
+            for k in range(batch.num_rows):
+                here = (columns["key"][k], columns["part"][k])
+                if here != at:
+                    at, part = here, Part(percent)
+                row = {c: v[k] for c, v in columns.items()}
+                if columns["role"][k] == 0:
+                    part.hold(row, shingle_set(texts[k].as_py(), width))
+                else:
+                    links += part.links(row, lambda k=k, texts=texts: shingle_set(texts[k].as_py(), width))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return run
+
+
+class Part:
+    """Classes left over in a group. A pair is compared at the first sub-key it shares, and only if nothing has joined its components yet."""
+
+    def __init__(self, percent: int):
+        self.percent, self.rows, self.sets, self.own, self.joined = percent, [], [], None, {}
+
+    def hold(self, row: dict, shingles: np.ndarray) -> None:
+        self.rows.append(row)
+        self.sets.append(shingles)
+
+    def root(self, label: int) -> int:
+        while label in self.joined:
+            label = self.joined[label]
+        return label
+
+    def links(self, row: dict, shingles) -> list[tuple[int, int]]:
+        if not self.rows:
+            return []
+        if self.own is None:
+            self.own = {c: np.array([r[c] for r in self.rows]) for c in ("node", "n", "label", "sig", "second")}
+        own, found, mine = self.own, [], None
+        likely = (own["label"] != row["label"]) & (np.minimum(own["n"], row["n"]) * 100 >= np.maximum(own["n"], row["n"]) * self.percent)
+        if row["minor"]:
+            likely &= own["node"] < row["node"]
+        at = np.flatnonzero(likely)
+        same = own["sig"][at] == row["sig"]
+        first = same[:, : COLLECTION * ROWS].reshape(len(at), COLLECTION, ROWS).all(axis=2).argmax(axis=1)
+        at = at[(same.sum(axis=1) >= MIN_AGREE) & (first == row["at"]) & (own["second"][at] == row["second"]).any(axis=1)]
+        for k in at.tolist():
+            a, b = self.root(int(own["label"][k])), self.root(int(row["label"]))
+            if a != b:
+                mine = shingles() if mine is None else mine
+                both = np.intersect1d(self.sets[k], mine, assume_unique=True).size
+                if 100 * both >= self.percent * (len(self.sets[k]) + len(mine) - both):
+                    self.joined[a] = b
+                    found.append((int(own["node"][k]), int(row["node"])))
+        return found
+
+
+def keep_one(docs: DataFrame, columns: tuple[str, ...], width: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The given columns of one document of each component: the smallest doc_id (null last), and of equal ids the text with the smallest
+    hash. Documents without words all stay; of rows with the same doc_id and text one stays."""
+    docs = pick(docs, *dict.fromkeys((*columns, "doc_id", "text")))
+    placed = _placed(docs, width, percent, ROUNDS)
+    group = F.coalesce(F.col("label").cast("string"), F.concat_ws(":", F.lit("alone"), "doc_id", "tid"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tid")).alias("first")
+    chosen = placed.groupBy(group.alias("group")).agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.tid").alias("__tid"))
+    named = docs.withColumns({"__of": F.col("doc_id").cast("long"), "__text": F.xxhash64("text")})
+    kept = named.join(chosen, F.col("__of").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__tid")), "left_semi")
+    return kept.dropDuplicates(["__of", "__text"]).select(*columns)
 
 
 def op3_minhash_dedup(spark, sf_dir: str) -> DataFrame:
