@@ -33,7 +33,9 @@ from tessella.llm.common import Scratch, pick, small_enough
 from tessella.llm.toxicity import held_out
 
 ORDER = 4
-BLOCK_BYTES = 12_000_000
+#: Characters whose n-grams a task sorts at once.
+CHUNK = 1_000_000
+BLOCK_BYTES = 20_000_000
 LOW, HIGH = 0.01, 0.99
 #: log2 perplexity left beyond the quantiles, and the width of the steps in which quantiles are found.
 MARGIN, STEP = 0.1, 0.001
@@ -58,15 +60,31 @@ def grams(text: str) -> np.ndarray:
     return out.view(np.int64)
 
 
+def tally(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of texts and their counts, CHUNK characters at a time."""
+    found, held, size = [], [], 0
+    for i, text in enumerate(texts):
+        held.append(grams(text))
+        size += len(text)
+        if size >= CHUNK or i == len(texts) - 1:
+            found.append(np.unique(np.concatenate(held), return_counts=True))
+            held, size = [], 0
+    values, counts = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(values)
+    values, counts = values[order], counts[order]
+    starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+    return values[starts], np.add.reduceat(counts, starts)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, gram, n) of each batch; n counts the rows marked as training text only."""
     for batch in batches:
-        by: dict[tuple[str, bool], list[np.ndarray]] = {}
+        by: dict[tuple[str, bool], list[str]] = {}
         for lang, train, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "train", "text")), strict=True):
             if text:
-                by.setdefault((lang, train), []).append(grams(text))
+                by.setdefault((lang, train), []).append(text)
         for (lang, train), found in by.items():
-            values, counts = np.unique(np.concatenate(found), return_counts=True)
+            values, counts = tally(found)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values), pa.string()), pa.array(values), pa.array(counts * train)], ["lang", "gram", "n"])
 
 
@@ -136,12 +154,12 @@ class Model:
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, lang, gram) of what a batch holds, each once."""
     for batch in batches:
-        by: dict[tuple, list[np.ndarray]] = {}
+        by: dict[tuple, list[str]] = {}
         for block, lang, text in zip(*(batch.column(c).to_pylist() for c in ("block", "lang", "text")), strict=True):
             if text:
-                by.setdefault((block, lang), []).append(grams(text))
+                by.setdefault((block, lang), []).append(text)
         for (block, lang), found in by.items():
-            values = np.unique(np.concatenate(found))
+            values, _ = tally(found)
             yield pa.RecordBatch.from_arrays([pa.array([block] * len(values), pa.int32()), pa.array([lang] * len(values), pa.string()), pa.array(values)], ["block", "lang", "gram"])
 
 
@@ -149,7 +167,7 @@ def _score(docs: pa.Table, logs: pa.Table) -> pa.Table:
     """Mean log2 probability of each document of a block."""
     models: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     of, number = np.unique(np.array(logs["lang"].to_pylist(), str), return_inverse=True)
-    gram, value = logs["gram"].to_numpy(), logs["log2p"].to_numpy()
+    gram, value = logs["gram"].to_numpy(), logs["log2p"].to_numpy().astype(np.float64)
     for i, lang in enumerate(of.tolist()):
         here = np.flatnonzero(number == i)
         here = here[np.argsort(gram[here])]
@@ -173,7 +191,8 @@ def perplexity(docs: DataFrame, logs: DataFrame, block_bytes: int = BLOCK_BYTES)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
-    here = dealt.mapInArrow(_distinct, "block int, lang string, gram long").join(logs, ["lang", "gram"])
+    known = logs.withColumn("log2p", F.col("log2p").cast("float"))
+    here = dealt.mapInArrow(_distinct, "block int, lang string, gram long").join(known, ["lang", "gram"])
     return dealt.groupBy("block").cogroup(here.groupBy("block")).applyInArrow(_score, "doc_id long, lang string, chars long, log2p double")
 
 
