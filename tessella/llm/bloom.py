@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 PROBES = 4
+#: Places (8 bytes each) of the table of reported hashes.
+REPORTED = 1 << 17
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -23,10 +25,11 @@ class Bloom:
         self.capacity, self.room = capacity, 0
 
     def _at(self, part: np.ndarray, hashes: np.ndarray):
-        step = mix64(hashes) | np.uint64(1)
+        start = mix64(hashes)  # the hashes of a shard share their low bits
+        step = (start >> np.uint64(32)) | np.uint64(1)
         bits = np.uint64(8 * len(part) - 1)
         for k in range(PROBES):
-            at = (hashes + np.uint64(k) * step) & bits
+            at = (start + np.uint64(k) * step) & bits
             yield at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
@@ -50,17 +53,22 @@ class Bloom:
 
 
 class TwiceSeen:
-    """Two Bloom filters: what was seen once, and what was seen again."""
+    """A Bloom filter of what was seen, and an exact table of fixed size with what was reported last at each of its places.
 
-    def __init__(self):
-        self.once, self.twice = Bloom(), Bloom()
+    A false positive of the filter reports a hash too many. A report is left out only for a hash that stands in the table itself, so
+    none is lost; a hash whose place another one took is reported again.
+    """
+
+    def __init__(self, places: int = REPORTED):
+        self.once, self.reported = Bloom(), np.zeros(places, np.uint64)
 
     def repeats(self, hashes: np.ndarray) -> np.ndarray:
-        """Of these hashes the ones seen before, each reported about once over the life of the filters."""
+        """Of these hashes the ones seen before, each reported at least once over the life of the filter."""
         values, counts = np.unique(hashes, return_counts=True)
         again = self.once.has(values) | (counts > 1)
         self.once.add(values[~again | (counts > 1)])
         suspects = values[again]
-        new = suspects[~self.twice.has(suspects)]
-        self.twice.add(new)
-        return new
+        at = mix64(suspects) % np.uint64(len(self.reported))
+        new = (self.reported[at] != suspects) | (suspects == 0)  # 0 marks a free place
+        self.reported[at[new]] = suspects[new]
+        return suspects[new]

@@ -1,7 +1,8 @@
 """Operator 5: drop lines that repeat across documents.
 
-1. Tasks hash the distinct line keys of each document and send the hashes, packed by shard, to their shard. There two Bloom filters
-   (seen once, seen twice) pick out the suspects. A Bloom filter never forgets, so no repeated key is missed.
+1. Tasks hash the distinct line keys of each document and send the hashes, packed by shard, to their shard. There a Bloom filter of
+   the hashes seen picks out the suspects. It never forgets, so no repeated key is missed. Reports of the same suspect are cut down by an
+   exact table: a second filter (seen twice) in its place would lose suspects by its false positives.
 2. Only lines whose hash is a suspect are shuffled, with their whole key: exact document counts, and the first occurrence.
 3. Confirmed keys are dropped from the texts.
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm import common, components, exact_dedup, line_dedup, minhash_dedup, mixing, pieces, quality, search, token_counts, toxicity, url_filters
+from tessella.llm import bloom, common, components, exact_dedup, line_dedup, minhash_dedup, mixing, pieces, quality, search, token_counts, toxicity, url_filters
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -228,6 +228,17 @@ def test_lines(spark, few):
     assert [got[i] for i in range(len(texts))] == brute_lines(texts, 10)
 
 
+@pytest.mark.parametrize("shards", [1, 32, 211])
+@pytest.mark.parametrize("places", [1, 64, bloom.REPORTED])
+def test_every_repeated_hash_is_reported(shards, places):
+    hashes = np.unique(np.random.default_rng(5).integers(0, 2**63, 100_000).astype(np.uint64) * np.uint64(shards))
+    hashes[0] = 0
+    seen = bloom.TwiceSeen(places)
+    rounds = [[seen.repeats(part) for part in np.array_split(hashes, 100)] for _ in range(3)]
+    assert set(np.concatenate(sum(rounds, [])).tolist()) == set(hashes.tolist())
+    assert sum(map(len, rounds[0])) < 0.01 * len(hashes)  # reports of hashes seen once
+
+
 def test_first_line_can_stay(spark):
     rows = line_dedup.dedup_lines(table(spark, ["a\nx", "x\nb", "x"]), min_docs=3, keep_first=True).orderBy("doc_id").collect()
     assert [r.text for r in rows] == ["a\nx", "b", ""]
