@@ -149,7 +149,7 @@ def _drop_by_join(docs: DataFrame, confirmed: DataFrame, columns: tuple[str, ...
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     keyed = docs.withColumns({"__lines": lines, "__id": id_, "__text": F.md5(F.coalesce("text", F.lit("")).cast("binary"))})
-    white = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+    white = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z"  # $ would match before a final U+0085, U+2028 or U+2029 too
     rows = keyed.select("__id", "__text", F.posexplode("__lines").alias("at", "line")).withColumn("text_key", lower_ascii(F.regexp_replace("line", white, "")))
     rows = rows.where(F.length("text_key") >= max(1, min_chars)).select("__id", "__text", "at", F.col("text_key").cast("binary").alias("key"))
     found = rows.join(confirmed.select("key", F.col("doc").alias("first_doc"), F.col("at").alias("first_at")), "key")

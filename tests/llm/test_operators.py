@@ -228,6 +228,15 @@ def test_lines(spark, few):
     assert [got[i] for i in range(len(texts))] == brute_lines(texts, 10)
 
 
+@pytest.mark.parametrize("few_key_bytes", [10**9, -1])
+def test_lines_that_end_in_other_separators(spark, few_key_bytes):
+    ends = ("\x85", " \x85", "  ", "  ", "\x85 ", "  ")
+    texts = ["\n".join((*(f" abc {e}" for e in ends), f"own {i}\t")) for i in range(12)] + [f"abc{e}" for e in ends]
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in line_dedup.dedup_lines(table(spark, texts), few_key_bytes=few_key_bytes).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_lines(texts, 10)
+    assert got[0] == (7, 6, "own 0\t") and got[12] == (1, 0, "abc\x85")
+
+
 @pytest.mark.parametrize("shards", [1, 32, 211])
 @pytest.mark.parametrize("places", [1, 64, bloom.REPORTED])
 def test_every_repeated_hash_is_reported(shards, places):
