@@ -3,7 +3,10 @@
 Edges run from the host of a page to the hosts of the absolute links in its html; links within a host say nothing about it and
 are left out. Trust starts at hosts whose pages the rules mostly allow and follows the links; distrust starts at hosts whose pages
 the rules mostly block and follows the links backwards (who links to a blocked host loses trust). Both are personalised PageRank
-vectors with one unit a seed. A page that no rule fits is blocked if the distrust of its host reaches THRESHOLD and exceeds its trust.
+vectors with one unit a seed. Distrust is divided among all who link to a blocked host, so it sinks with their number. Exposure is not:
+it goes from linked to linking host by the part of the links of the linking one, and is the mass on blocked hosts of a PageRank
+personalised to the host. With a single linker a blocked host both are the same. A page that no rule fits is blocked if the distrust or
+the exposure of its host reaches THRESHOLD and exceeds its trust.
 
 Everything here is DataFrame functions. Pages are aggregated to hosts and host pairs before any join, so a host that holds a third of
 the pages is one row in the graph.
@@ -58,10 +61,13 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.select(F.col("host").alias("src"), to.alias("dst")).where("dst != '' and src != dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("links"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Personalised PageRank (host, mass) of seeds (host, seed) over edges (src, dst, links), until it moves by TOLERANCE a seed at most."""
-    out = edges.groupBy("src").agg(F.sum("links").alias("total"))
-    shares = scratch.table(edges.join(out, "src").select("src", "dst", (F.col("links") / F.col("total")).alias("share")), f"{name}-shares")
+def propagate(seeds: DataFrame, edges: DataFrame, scratch: Scratch, name: str, by: str = "src") -> DataFrame:
+    """Personalised PageRank (host, mass) of seeds (host, seed) over edges (src, dst, links), until it moves by TOLERANCE a seed at most.
+
+    With by="dst" a link counts by its part of the links into dst: the mass is not divided among those it goes to.
+    """
+    out = edges.groupBy(by).agg(F.sum("links").alias("total"))
+    shares = scratch.table(edges.join(out, by).select("src", "dst", (F.col("links") / F.col("total")).alias("share")), f"{name}-shares")
     start = seeds.select("host", (F.col("seed") * (1 - DAMPING)).alias("base"))
     mass = scratch.table(start.withColumnRenamed("base", "mass"), f"{name}-0")
     if shares.isEmpty():
@@ -79,30 +85,31 @@ def propagate(seeds: DataFrame, edges: DataFrame, scratch: Scratch, name: str) -
 
 
 def host_trust(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """(host, trust, distrust) of all hosts that are seeds or that a link path joins to one. pages: host, verdict, html."""
+    """(host, trust, distrust, exposure) of all hosts that are seeds or that a link path joins to one. pages: host, verdict, html."""
     share = lambda v: (F.avg(F.when(F.col("verdict") == v, 1.0).otherwise(0.0)) > SEED_SHARE).cast("double")
     seeds = scratch.table(pages.where("host != ''").groupBy("host").agg(share("allow").alias("good"), share("block").alias("bad")), "seeds")
     edges = scratch.table(host_edges(pages), "edges")
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "links")
     trust = propagate(seeds.where("good > 0").select("host", F.col("good").alias("seed")), edges, scratch, "trust")
-    distrust = propagate(seeds.where("bad > 0").select("host", F.col("bad").alias("seed")), back, scratch, "distrust")
-    zero = F.lit(0.0)
-    both = trust.withColumnRenamed("mass", "trust").join(distrust.withColumnRenamed("mass", "distrust"), "host", "full")
-    return scratch.table(both.select("host", F.coalesce("trust", zero).alias("trust"), F.coalesce("distrust", zero).alias("distrust")), "hosts")
+    bad = seeds.where("bad > 0").select("host", F.col("bad").alias("seed"))
+    masses = {"trust": trust, "distrust": propagate(bad, back, scratch, "distrust"), "exposure": propagate(bad, back, scratch, "exposure", by="dst")}
+    every = reduce(lambda a, b: a.join(b, "host", "full"), (m.withColumnRenamed("mass", name) for name, m in masses.items()))
+    return scratch.table(every.select("host", *(F.coalesce(name, F.lit(0.0)).alias(name) for name in masses)), "hosts")
 
 
 def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
-    """Per page: page_id, host, path, rule, verdict, trust and distrust of the host."""
+    """Per page: page_id, host, path, rule, verdict, trust, distrust and exposure of the host."""
     scratch = Scratch(pages.sparkSession)
     parsed = pick(pages, "page_id", "url", "html").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     ruled = parsed.withColumns({"rule": rule, "verdict": verdict})
     hosts = host_trust(ruled, scratch)
-    bad = (F.coalesce("distrust", F.lit(0.0)) >= threshold) & (F.coalesce("distrust", F.lit(0.0)) > F.coalesce("trust", F.lit(0.0)))
+    risk = F.coalesce(F.greatest("distrust", "exposure"), F.lit(0.0))
+    bad = (risk >= threshold) & (risk > F.coalesce("trust", F.lit(0.0)))
     return (
         ruled.drop("html")
         .join(small_enough(hosts), "host", "left")
-        .select("page_id", "host", "path", "rule", F.coalesce("verdict", F.when(bad, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "trust", "distrust")
+        .select("page_id", "host", "path", "rule", F.coalesce("verdict", F.when(bad, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "trust", "distrust", "exposure")
     )
 
 

@@ -285,6 +285,16 @@ def test_url_rules_and_trust(spark):
     assert url_filters.judge(df.where("false")).count() == 0
 
 
+def test_linkers_of_a_blocked_host_however_many(spark):
+    link = lambda *hosts: "".join(f'<a href="http://{h}/x">y</a>' for h in hosts)
+    rows = [(i, f"http://s{i}.com/", link("bad.net")) for i in range(300)]
+    rows += [(300, "http://bad.net/", ""), (301, "http://few.com/", link("bad.net", *(f"c{i}.com" for i in range(19)))), (302, "http://w.org/fr/", link("s0.com", *(f"t{i}.com" for i in range(49))))]
+    got = {r.page_id: r for r in url_filters.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i].verdict for i in range(300)} == {"block"} and got[301].verdict == "allow"
+    assert got[0].trust == pytest.approx(0.15 * 0.85 / 50) and got[0].distrust < url_filters.THRESHOLD
+    assert got[1].exposure == pytest.approx(0.15 * 0.85) and got[301].exposure == pytest.approx(0.15 * 0.85 / 20)
+
+
 # -- toxicity ------------------------------------------------------------------------------------------------------------
 def test_toxicity(spark):
     rng = np.random.default_rng(9)
