@@ -8,6 +8,9 @@ it goes from linked to linking host by the part of the links of the linking one,
 personalised to the host. With a single linker a blocked host both are the same. A page that no rule fits is blocked if the distrust or
 the exposure of its host reaches THRESHOLD and exceeds its trust.
 
+Seeds are hosts of pages and hosts that are only linked to. Of a host with pages the rules' verdicts on its pages decide; of one without
+any, those on the urls that other hosts link to, link by link. A link without a path goes to the path ``/``.
+
 Everything here is DataFrame functions. Pages are aggregated to hosts and host pairs before any join, so a host that holds a third of
 the pages is one row in the graph.
 
@@ -30,7 +33,7 @@ DAMPING = 0.85
 STEPS = 20
 TOLERANCE = 1e-6
 THRESHOLD = 0.05
-#: Part of a host's pages that the rules must allow (block) to make it a trusted (blocked) seed: more than this.
+#: Part of a host's pages (of the links to it, if it has no pages) that the rules must allow (block) to make it a trusted (blocked) seed: more than this.
 SEED_SHARE = 0.5
 
 
@@ -53,12 +56,16 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return pick_by(lambda r: r[1] + r[2]), pick_by(lambda r: r[0])
 
 
-def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, links) between different hosts, from absolute and scheme-relative links. pages: host, html."""
+def host_edges(pages: DataFrame, rules=RULES) -> DataFrame:
+    """(src, dst, links, allowed, blocked) between different hosts, from absolute and scheme-relative links, and how many of the links
+    the rules allow and block. pages: host, html."""
     found = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"""(?i)href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""), 1)
     links = pages.where("host != ''").select("host", F.explode(found).alias("link"))
-    to = host_of(F.when(F.col("link").startswith("//"), F.concat(F.lit("http:"), "link")).otherwise(F.col("link")))
-    return links.select(F.col("host").alias("src"), to.alias("dst")).where("dst != '' and src != dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("links"))
+    url = F.when(F.col("link").startswith("//"), F.concat(F.lit("http:"), "link")).otherwise(F.col("link"))
+    ends = links.select(F.col("host").alias("src"), host_of(url).alias("dst"), path_of(url).alias("path")).where("dst != '' and src != dst")
+    _, verdict = longest_rule(F.col("dst"), F.when(F.col("path") == "", "/").otherwise(F.col("path")), rules)
+    times = lambda v: F.count(F.when(F.col("verdict") == v, 1)).cast("double")
+    return ends.withColumn("verdict", verdict).groupBy("src", "dst").agg(F.count("*").cast("double").alias("links"), times("allow").alias("allowed"), times("block").alias("blocked"))
 
 
 def propagate(seeds: DataFrame, edges: DataFrame, scratch: Scratch, name: str, by: str = "src") -> DataFrame:
@@ -84,11 +91,14 @@ def propagate(seeds: DataFrame, edges: DataFrame, scratch: Scratch, name: str, b
     return mass
 
 
-def host_trust(pages: DataFrame, scratch: Scratch) -> DataFrame:
+def host_trust(pages: DataFrame, scratch: Scratch, rules=RULES) -> DataFrame:
     """(host, trust, distrust, exposure) of all hosts that are seeds or that a link path joins to one. pages: host, verdict, html."""
     share = lambda v: (F.avg(F.when(F.col("verdict") == v, 1.0).otherwise(0.0)) > SEED_SHARE).cast("double")
-    seeds = scratch.table(pages.where("host != ''").groupBy("host").agg(share("allow").alias("good"), share("block").alias("bad")), "seeds")
-    edges = scratch.table(host_edges(pages), "edges")
+    crawled = scratch.table(pages.where("host != ''").groupBy("host").agg(share("allow").alias("good"), share("block").alias("bad")), "crawled")
+    edges = scratch.table(host_edges(pages, rules), "edges")
+    part = lambda n: (F.sum(n) / F.sum("links") > SEED_SHARE).cast("double")
+    linked = edges.groupBy(F.col("dst").alias("host")).agg(part("allowed").alias("good"), part("blocked").alias("bad")).where("good > 0 or bad > 0")
+    seeds = scratch.table(crawled.unionByName(linked.join(crawled, "host", "left_anti")), "seeds")
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "links")
     trust = propagate(seeds.where("good > 0").select("host", F.col("good").alias("seed")), edges, scratch, "trust")
     bad = seeds.where("bad > 0").select("host", F.col("bad").alias("seed"))
@@ -103,7 +113,7 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFr
     parsed = pick(pages, "page_id", "url", "html").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     ruled = parsed.withColumns({"rule": rule, "verdict": verdict})
-    hosts = host_trust(ruled, scratch)
+    hosts = host_trust(ruled, scratch, rules)
     risk = F.coalesce(F.greatest("distrust", "exposure"), F.lit(0.0))
     bad = (risk >= threshold) & (risk > F.coalesce("trust", F.lit(0.0)))
     return (

@@ -295,6 +295,19 @@ def test_linkers_of_a_blocked_host_however_many(spark):
     assert got[1].exposure == pytest.approx(0.15 * 0.85) and got[301].exposure == pytest.approx(0.15 * 0.85 / 20)
 
 
+def test_hosts_that_are_only_linked_to_are_seeds(spark):
+    link = lambda *urls: "".join(f'<a href="{u}">y</a>' for u in urls)
+    rows = [
+        (0, "http://a.com/", link("http://bad.net/x")), (1, "http://b.com/", link("//worse.net")), (2, "http://c.com/", link("http://X.Example.com/de/1")),
+        (3, "http://d.com/", link(*["http://y.example.com/de/1", "http://y.example.com/"] * 2)), (4, "http://e.com/", link("http://mixed.example.com/de/1")),
+        (5, "http://mixed.example.com/", ""), (6, "http://f.com/", link("http://w.org/fr/", "http://w.org/")), (7, "http://g.com/", link("https://two.net/?q", "http://w.org/fr/2")),
+    ]
+    got = {r.page_id: r for r in url_filters.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    # d's target is blocked in half of its links only; e's target has a page of its own, which no rule blocks
+    assert [got[i].verdict for i in range(8)] == ["block", "block", "block", "allow", "allow", "allow", "allow", "block"]
+    assert got[0].exposure == pytest.approx(0.15 * 0.85) and got[7].exposure == pytest.approx(0.15 * 0.85 / 2) and not got[3].distrust
+
+
 # -- toxicity ------------------------------------------------------------------------------------------------------------
 def test_toxicity(spark):
     rng = np.random.default_rng(9)
