@@ -114,7 +114,10 @@ def fit_isotonic(rows: DataFrame, score: str, target: Column, weight: str = "wei
 
 
 def isotonic_column(model, score: Column) -> Column:
-    """The fitted curve as a Column: linear between its points, constant beyond them, clipped to (CLIP, 1 - CLIP)."""
+    """The fitted curve as a Column: linear between its points, constant beyond them, clipped to (CLIP, 1 - CLIP).
+
+    Every point is written into the expression: for curves of few points. calibrate_isotonic has no such bound.
+    """
     xs, ys = [float(x) for x in model.boundaries.toArray()], [float(y) for y in model.predictions.toArray()]
     if not xs:
         raise ValueError("no points")
@@ -127,6 +130,15 @@ def isotonic_column(model, score: Column) -> Column:
     return F.greatest(F.lit(CLIP), F.least(F.lit(1 - CLIP), value))
 
 
+def calibrate_isotonic(rows: DataFrame, model, score: str, name: str = "calibrated") -> DataFrame:
+    """rows with the same curve at a score, for any number of points: the model finds the interval of a row by binary search."""
+    if not model._java_obj.boundaries().size():
+        raise ValueError("no points")
+    data = rows.withColumn("__score", F.col(score).cast("double"))
+    value = model.transform(data, {model.featuresCol: "__score", model.predictionCol: "__value"})
+    return value.withColumn(name, F.greatest(F.lit(CLIP), F.least(F.lit(1 - CLIP), F.col("__value")))).drop("__score", "__value")
+
+
 def fit_residuals(rows: DataFrame, features: list[str], target: str = "residual", **options) -> GBTRegressionModel:
     """Boosted trees that predict what a measurement misses its true value by."""
     data = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="keep").transform(rows)

@@ -93,7 +93,7 @@ def q_dcr_rescale_multi(spark, sf):
 def q_isotonic(spark, sf):
     s = scored(spark, sf).select("event_id", "p_htautau", "label", "weight")
     model = scoring.fit_isotonic(s, "p_htautau", F.col("label") == 0)
-    return s.select("event_id", r(scoring.isotonic_column(model, F.col("p_htautau")), 6).alias("calibrated"))
+    return scoring.calibrate_isotonic(s, model, "p_htautau").select("event_id", r(F.col("calibrated"), 6).alias("calibrated"))
 
 
 _RESIDUAL = ["mu_measured", "mu_measured_up", "mu_measured_down", "nu_tes", "nu_jes", "nu_met", "nu_bkg", "nu_tt", "nu_diboson"]

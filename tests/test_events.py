@@ -279,6 +279,21 @@ def test_trees_and_gradients(spark):
     assert tree.threshold == 5.0 and tree.left.value[0] == pytest.approx(math.log(0.5)) and tree.right.value[0] == pytest.approx(math.log(2))
 
 
+def test_isotonic_takes_many_points(spark):
+    n = 4_000
+    df = spark.range(n).select((F.col("id") / n).alias("s"), (0.1 + 0.8 * (F.col("id") / n) ** 2).alias("y"), F.lit(1.0).alias("weight"))
+    model = scoring.fit_isotonic(df, "s", F.col("y"))
+    at = spark.range(-50, 3 * n, 7).select((F.col("id") / (2.5 * n)).alias("s"))
+    out = scoring.calibrate_isotonic(at, model, "s")
+    got = out.orderBy("s").toPandas()
+    xs = np.arange(n) / n
+    assert model._java_obj.boundaries().size() == n and np.abs(got["calibrated"] - np.interp(got["s"], xs, 0.1 + 0.8 * xs**2)).max() < 1e-12
+    assert len(out._jdf.queryExecution().toString()) < 20_000  # the points are no part of the plan
+    few = scoring.fit_isotonic(df.where("s * 8 = floor(s * 8)"), "s", F.col("y"))
+    both = scoring.calibrate_isotonic(at, few, "s").withColumn("column", scoring.isotonic_column(few, F.col("s"))).toPandas()
+    assert np.abs(both["calibrated"] - both["column"]).max() < 1e-12
+
+
 def test_isotonic_is_monotone(spark):
     rng = np.random.default_rng(8)
     df = spark.createDataFrame([(float(s), int(rng.uniform() < s), 1.0) for s in rng.uniform(size=300)], "s double, y int, weight double")
