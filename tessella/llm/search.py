@@ -1,27 +1,30 @@
 """Operator 2: exact top-k search by BM25 on an inverted index with block-max pruning.
 
-* Index: documents are dealt to shards of about SHARD_DOCS by a hash of their id. A shard's task numbers its documents by length and
-  writes one posting list a term (document numbers and frequencies). Lengths and document counts are added up over all shards, so
+* Index: a task inverts what it reads, SHARD_POSTINGS postings at a time. Such a shard is one row of the index: its documents numbered by
+  length, and its posting lists as packed arrays. Texts are not shuffled. Lengths and document counts are added up over all shards, so
   every shard scores with the same global statistics.
-* Search: every query visits every shard, which loads its index once and takes the queries as a stream. BLOCK documents with
-  neighbouring numbers are a block, and each list knows the largest impact it has in a block. The sum of a query's block maxima bounds
-  every score in the block. The blocks with the highest bounds are scored first; with the k-th best score so far as the threshold,
-  blocks whose bound is lower are never scored. As in block-max WAND nothing is lost by that; bounds are computed for all blocks of
-  a list at once, since a cursor that moves document by document is slow in Python.
-* Lists that at least one in DENSE documents of a shard has are kept as rows of a matrix. One product gives their part of all scores
-  for a batch of queries, and its largest value in a block is their part of the block's bound.
-* The shards' results are merged by rank.
+* Search: queries go in blocks of about QUERY_BYTES, each broadcast, to the tasks that read the shards. A task keeps the k best of each
+  query over its shards, so the threshold of a query only rises from shard to shard. The tasks' results are merged by rank.
+* Pruning: BLOCK documents with neighbouring numbers are a block, and each list knows the largest impact it has in a block.
+  1. The block maxima of a query's lists bound every score in a block. Without a threshold yet, the FIRST_BLOCKS blocks with the highest
+     bounds are scored to get one. Blocks whose bound is lower than the threshold are skipped, postings and all.
+  2. Lists are set aside as long as their largest impacts together stay below the threshold, first those that cost most postings for
+     the score they can give. A document that stands in these lists only cannot be found. The other, essential lists give candidates.
+  3. A candidate stays if what it has, and the block maxima of the lists set aside, reach the threshold; first the lists that at least
+     one in DENSE documents has are added (kept as a matrix by document), then the rest, for the candidates that are left.
+  As in block-max WAND nothing is lost by that; cursors that move document by document would be slow in Python.
 
 A query is a whole text with all its distinct words, each weighted by its frequency in the query. Words are runs of other than white
 space, A-Z lower-cased; idf = ln(1 + (N - n + 0.5) / (n + 0.5)). Scores are rounded to 6 digits, then ties go to the smaller doc_id.
 
 Edge cases: null and empty texts have length 0 and are never found; as queries they find nothing; documents without a word of the
 query are not returned, so a query can have fewer than k rows; a row may find itself; repeated rows are found each; query rows
-repeated in full are one query; null doc_ids come last among ties. Terms are 64-bit hashes of words.
+repeated in full are one query; null doc_ids come last among ties; an empty table finds nothing. Terms are 64-bit hashes of words.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,19 +41,23 @@ K1, B = 1.2, 0.75
 TOP = 10
 #: Every row whose id it divides is a query.
 QUERY_EVERY = 50
-SHARD_DOCS = 20_000
-#: Documents of a block; blocks that are scored before the threshold is first used.
-BLOCK, FIRST_BLOCKS = 64, 8
+#: A shard ends after so many postings or documents (whose numbers have 16 bits).
+SHARD_POSTINGS, SHARD_DOCS = 2_000_000, 60_000
+#: Input partitions of fewer rows are read together.
+PARTITION_ROWS = 5_000
+#: Bytes of queries that are broadcast at once.
+QUERY_BYTES = 32_000_000
+#: Documents of a block; blocks that are scored when a query has no threshold yet.
+BLOCK, FIRST_BLOCKS = 32, 8
 DIGITS = 6
-#: Lists from this length on are added one by one, shorter ones of a query together; the longest are dense.
-LONG, DENSE = 256, 5
-#: Queries whose dense parts are computed at once.
-BATCH = 64
+#: Lists of at least one in so many documents are kept by document.
+DENSE = 8
 #: Bounds are compared with this slack, so that rounding cannot hide a result.
 SLACK = 1e-5
 NO_ID = 2**63 - 1
 
-_INDEX = "shard int, term long, df int, words long, docs binary, tfs binary"
+_FOUND = "query_id long, rank int, doc_id long, score double"
+_INDEX = "docs int, words long, ids binary, lengths binary, terms binary, dfs binary, numbers binary, tfs binary"
 
 
 def terms(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
@@ -62,41 +69,51 @@ def terms(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
     return hashes[order], tfs[order], int(tfs.sum())
 
 
-def _invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The posting lists of a shard, and one row without a term for its documents (ids and lengths)."""
-    held: dict[int, list] = {}
-    for batch in batches:
-        for shard, doc, text in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "text")), strict=True):
-            held.setdefault(shard, []).append((NO_ID if doc is None else doc, *terms(text)))
-    for shard, docs in held.items():
-        docs.sort(key=lambda d: (d[3], d[0]))
-        ids, lengths = np.array([d[0] for d in docs], np.int64), np.array([d[3] for d in docs], np.int32)
-        yield _rows(shard, [None], [len(docs)], [int(lengths.sum())], [ids.tobytes()], [lengths.tobytes()])
-        every = np.concatenate([d[1] for d in docs])
-        number = np.repeat(np.arange(len(docs), dtype=np.int32), [len(d[1]) for d in docs])
-        tfs = np.concatenate([d[2] for d in docs])
-        docs.clear()
-        order = np.argsort(every, kind="stable")
-        every, number, tfs = every[order], number[order], tfs[order]
-        starts = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.empty(0, np.int64)
-        ends = np.append(starts[1:], len(every)).astype(np.int64)
-        for at in range(0, len(starts), 10_000):
-            s, e = starts[at : at + 10_000].tolist(), ends[at : at + 10_000].tolist()
-            lists = [[x[a:b].tobytes() for a, b in zip(s, e, strict=True)] for x in (number, tfs)]
-            yield _rows(shard, every[s].tolist(), [b - a for a, b in zip(s, e, strict=True)], [0] * len(s), *lists)
-
-
-def _rows(shard: int, term: list, df: list, words: list, docs: list, tfs: list) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(([shard] * len(term), term, df, words, docs, tfs), kinds, strict=True)], ["shard", "term", "df", "words", "docs", "tfs"])
-
-
-def build_index(docs: DataFrame, scratch: Scratch, shard_docs: int = SHARD_DOCS) -> tuple[DataFrame, int]:
-    """The written index and the number of shards."""
+def _inverter(postings: int, documents: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                one = terms(text.as_py())
+                if held and (size + len(one[0]) > postings or len(held) >= documents):
+                    yield invert(held)
+                    held, size = [], 0
+                held.append((NO_ID if doc is None else doc, *one))
+                size += len(one[0])
+        if held:
+            yield invert(held)
+
+    return run
+
+
+def invert(docs: list[tuple[int, np.ndarray, np.ndarray, int]]) -> pa.RecordBatch:
+    """The shard of documents (doc_id, terms, frequencies, length), as one row."""
+    docs = sorted(docs, key=lambda d: (d[3], d[0]))
+    every, tfs = (np.concatenate([d[i] for d in docs]) for i in (1, 2))
+    number = np.repeat(np.arange(len(docs), dtype=np.uint16), [len(d[1]) for d in docs])
+    order = np.argsort(every, kind="stable")
+    every, number, tfs = every[order], number[order], tfs[order]
+    starts = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.empty(0, np.int64)
+    lengths = np.array([d[3] for d in docs], np.int32)
+    short = np.uint16 if tfs.max(initial=0) < 1 << 16 else np.int32
+    packed = (np.array([d[0] for d in docs], np.int64), lengths, every[starts], np.diff(np.append(starts, len(every))).astype(np.int32), number, tfs.astype(short))
+    columns = [pa.array([len(docs)], pa.int32()), pa.array([int(lengths.sum(dtype=np.int64))], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in packed)]
+    return pa.RecordBatch.from_arrays(columns, ["docs", "words", "ids", "lengths", "terms", "dfs", "numbers", "tfs"])
+
+
+def build_index(docs: DataFrame, scratch: Scratch, postings: int = SHARD_POSTINGS, documents: int = SHARD_DOCS) -> DataFrame:
+    """The written index, a shard a row. Small input partitions are read together (no shuffle), so that shards are not tiny."""
     rows = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    shards = max(1, -(-rows.count() // shard_docs))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int")).repartitionById(shards, "shard")
-    return scratch.table(dealt.mapInArrow(_invert, _INDEX), "index"), shards
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // PARTITION_ROWS))
+    index = rows.coalesce(tasks).mapInArrow(_inverter(postings, documents), _INDEX)
+    index.write.option("parquet.block.size", 16_000_000).parquet(f"{scratch.path}/index")
+    return scratch.read("index", index)
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for terms, dfs in zip(*(batch.column(c) for c in ("terms", "dfs")), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(terms.as_buffer(), np.int64)), pa.array(np.frombuffer(dfs.as_buffer(), np.int32))], ["term", "df"])
 
 
 def _query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +126,7 @@ def _query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def weighted_queries(queries: DataFrame, index: DataFrame, n_docs: int) -> DataFrame:
     """(query_id, tid, terms): per query the array of (term, weight), in order of the terms that the index has."""
-    counts = index.where("term is not null").groupBy("term").agg(F.sum("df").cast("double").alias("n"))
+    counts = index.select("terms", "dfs").mapInArrow(_counts, "term long, df int").groupBy("term").agg(F.sum("df").cast("double").alias("n"))
     idf = F.log(1 + (F.lit(float(n_docs)) - F.col("n") + 0.5) / (F.col("n") + 0.5))
     rows = queries.mapInArrow(_query_terms, "query_id long, tid long, term long, qtf int").join(counts, "term")
     weighed = rows.select("query_id", "tid", F.struct("term", (F.col("qtf") * idf).alias("weight")).alias("one"))
@@ -119,170 +136,216 @@ def weighted_queries(queries: DataFrame, index: DataFrame, n_docs: int) -> DataF
 def _spread(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """All numbers of the ranges, one after another."""
     sizes = ends - starts
-    before = np.cumsum(sizes) - sizes
-    return np.arange(int(sizes.sum())) + np.repeat(starts - before, sizes)
+    after = np.cumsum(sizes)
+    out = np.repeat(starts - after + sizes, sizes)
+    out += np.arange(len(out))
+    return out
+
+
+def _sums(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of values by place; without values numpy itself would count in integers."""
+    return np.bincount(at, values, n).astype(np.float64, copy=False)
 
 
 class Shard:
     """A shard's index in memory: lists by term, and for each list its blocks with the largest impact in each."""
 
     def __init__(self, ids: np.ndarray, lengths: np.ndarray, term: np.ndarray, df: np.ndarray, docs: np.ndarray, tfs: np.ndarray, average: float):
-        order = np.argsort(term)
-        at = np.cumsum(df) - df
-        n = len(ids)
-        impact = lambda tf, doc: tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / average))
-        dense = order[df[order] * DENSE >= n]
-        self.dense_term = term[dense]
-        self.dense = np.zeros((len(dense), n))
-        for row, k in zip(self.dense, dense.tolist(), strict=True):
-            doc = docs[at[k] : at[k] + df[k]]
-            row[doc] = impact(tfs[at[k] : at[k] + df[k]].astype(np.float64), doc)
-        order = order[df[order] * DENSE < n]
-        move = _spread(at[order], at[order] + df[order])
-        self.ids, self.term = ids, term[order]
-        self.begin = np.concatenate([[0], np.cumsum(df[order])]).astype(np.int64)
-        self.doc = docs[move].astype(np.int64)
-        self.impact = impact(tfs[move].astype(np.float64), self.doc)
-        self.blocks = -(-n // BLOCK)
-        self.starts = np.arange(self.blocks) * BLOCK
-        new = np.zeros(len(self.doc), bool)
-        new[self.begin[:-1]] = True
+        """term: sorted; df: the lengths of the lists, whose documents and frequencies follow one another in docs and tfs."""
+        self.ids, self.term, self.n = ids, term, len(ids)
+        self.begin = np.concatenate([[0], np.cumsum(df, dtype=np.int64)])
+        self.doc = docs.astype(np.int64)
+        norm = K1 * (1 - B + B * lengths / average)
+        self.impact = tfs * (K1 + 1) / (tfs + norm[docs])
+        self.blocks = -(-self.n // BLOCK)
         block = self.doc // BLOCK
-        new[1:] |= block[1:] != block[:-1]
-        self.part = np.append(np.flatnonzero(new), len(self.doc))  # where each (list, block) begins
+        new = np.zeros(len(block) + 1, bool)
+        new[self.begin] = True
+        new[1:-1] |= block[1:] != block[:-1]
+        self.part = np.flatnonzero(new)  # where each (list, block) begins
         self.part_block = block[self.part[:-1]]
-        self.part_max = np.maximum.reduceat(self.impact, self.part[:-1]) if len(self.doc) else np.empty(0)
         self.part_begin = np.searchsorted(self.part, self.begin)
-
-    def top(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-        """For each query (terms and weights): doc_ids and scores of the k best, best first, and how many blocks were scored."""
-        for lo in range(0, len(queries), BATCH):
-            batch = queries[lo : lo + BATCH]
-            matrix = np.zeros((len(batch), len(self.dense_term)))
-            for row, (terms, weights) in zip(matrix, batch, strict=True):
-                at, hit = _find(self.dense_term, terms)
-                row[at[hit]] = weights[hit]
-            for base, (terms, weights) in zip(matrix @ self.dense, batch, strict=True):
-                yield self._one(base, terms, weights, k)
-
-    def _one(self, base: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """base: what the dense lists give each document."""
-        n = len(self.ids)
-        at, hit = _find(self.term, terms)
+        self.part_max = np.maximum.reduceat(self.impact, self.part[:-1]) if len(block) else np.empty(0)
+        self.list_max = np.maximum.reduceat(self.part_max, self.part_begin[:-1]) if len(block) else np.empty(0)
+        common = np.flatnonzero(df * DENSE >= self.n)
+        self.row = np.full(len(term), -1)
+        self.row[common] = np.arange(len(common))
+        self.dense, self.dense_max = np.zeros((self.n, len(common))), np.zeros((self.blocks, len(common)))
+        for k, i in enumerate(common.tolist()):
+            a, b = self.begin[i : i + 2]
+            self.dense[self.doc[a:b], k] = self.impact[a:b]
+            a, b = self.part_begin[i : i + 2]
+            self.dense_max[self.part_block[a:b], k] = self.part_max[a:b]
+
+    @classmethod
+    def of(cls, row: dict[str, pa.Scalar], average: float) -> Shard:
+        """Of a row of the index; the arrays are views of the row's buffers."""
+        numbers = np.frombuffer(row["numbers"].as_buffer(), np.uint16)
+        tfs = row["tfs"].as_buffer()
+        kinds = (("ids", np.int64), ("lengths", np.int32), ("terms", np.int64), ("dfs", np.int32))
+        return cls(*(np.frombuffer(row[c].as_buffer(), kind) for c, kind in kinds), numbers, np.frombuffer(tfs, np.int32 if len(numbers) * 4 == tfs.size else np.uint16).astype(np.float64), average)
+
+    def find(self, terms: np.ndarray, weights: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray, int]:
+        """Numbers and scores of documents, with all of the k best that reach ``least`` among them, and how many blocks were scored."""
+        query = _Query(self, terms, weights)
+        found, scored = [], np.zeros(self.blocks, bool)
+        if len(query.at) and least <= 0:
+            scored[np.argsort(-query.bound, kind="stable")[:FIRST_BLOCKS]] = True
+            docs = np.flatnonzero(scored[np.arange(self.n) // BLOCK])
+            found.append((docs, query.whole(scored, docs)))
+            least = np.partition(found[0][1], len(docs) - k)[len(docs) - k] if len(docs) >= k else 0.0
+        if len(query.at):
+            docs, scores, blocks = query.candidates(~scored, least - SLACK)
+            found.append((docs, scores))
+            scored |= blocks
+        docs, scores = (np.concatenate([f[i] for f in found]) if found else np.empty(0, (np.int64, np.float64)[i]) for i in (0, 1))
+        here = scores > 0
+        return docs[here], scores[here], int(scored.sum())
+
+
+class _Query:
+    """A query's lists in a shard, first the ones that cost the fewest postings for the score they can give."""
+
+    def __init__(self, shard: Shard, terms: np.ndarray, weights: np.ndarray):
+        self.shard = shard
+        at = np.minimum(np.searchsorted(shard.term, terms), max(0, len(shard.term) - 1))
+        hit = shard.term[at] == terms if len(shard.term) else np.zeros(len(terms), bool)
         at, weights = at[hit], weights[hit]
-        begin, end = self.part_begin[at], self.part_begin[at + 1]
-        parts, weight = _spread(begin, end), np.repeat(weights, end - begin)
-        bound = _sums(self.part_block[parts], self.part_max[parts] * weight, self.blocks) + np.maximum.reduceat(base, self.starts)
-        first = np.zeros(self.blocks, bool)
-        first[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
-        score = np.where(np.repeat(first, BLOCK)[:n], base + self._some(parts, weight, first, n), 0.0)
-        best = np.partition(score, n - k)[n - k] if n > k else 0.0
-        rest = (bound >= best - SLACK) & (bound > 0) & ~first
-        if 2 * rest.sum() > self.blocks:
-            score = base + self._every(at, weights, n)
-        elif rest.any():
-            score = np.where(np.repeat(rest, BLOCK)[:n], base + self._some(parts, weight, rest, n), score)
-        candidates = np.flatnonzero(score >= (np.partition(score, n - k)[n - k] if n > k else 0.0) - SLACK)
-        rounded = np.round(score[candidates], DIGITS)
-        candidates, rounded = candidates[rounded > 0], rounded[rounded > 0]
-        order = np.lexsort((self.ids[candidates], -rounded))[:k]
-        return self.ids[candidates[order]], rounded[order], int((first | rest).sum())
-
-    def _some(self, parts: np.ndarray, weight: np.ndarray, wanted: np.ndarray, n: int) -> np.ndarray:
-        """What the other lists give the documents in the wanted blocks."""
-        here = wanted[self.part_block[parts]]
-        begin, end = self.part[parts[here]], self.part[parts[here] + 1]
+        most = weights * shard.list_max[at]
+        order = np.argsort((shard.begin[at + 1] - shard.begin[at]) / most, kind="stable")
+        order = np.concatenate([order[shard.row[at[order]] < 0], order[shard.row[at[order]] >= 0]])  # lists of the matrix last
+        self.at, self.weight, most = at[order], weights[order], most[order]
+        self.rest = np.cumsum(most[::-1])[::-1]  # what this list and those after it can give
+        self.sparse = int((shard.row[self.at] < 0).sum())
+        self.dense = self._dense(0)
+        begin, end = shard.part_begin[self.at[: self.sparse]], shard.part_begin[self.at[: self.sparse] + 1]
+        self.parts, self.sizes = _spread(begin, end), end - begin
+        self.part_weight = np.repeat(self.weight[: self.sparse], self.sizes)
+        self.part_block = shard.part_block.take(self.parts)
+        self.part_max = shard.part_max.take(self.parts) * self.part_weight
+        self.bound = _sums(self.part_block, self.part_max, shard.blocks) + shard.dense_max @ self.dense
+
+    def _dense(self, begin: int, end: int | None = None) -> np.ndarray:
+        """Weights by column of the matrix, of its lists from begin to end in the order of the query."""
+        out, columns = np.zeros(self.shard.dense.shape[1]), self.shard.row[self.at[begin:end]]
+        out[columns[columns >= 0]] = self.weight[begin:end][columns >= 0]
+        return out
+
+    def _add(self, picked: np.ndarray) -> np.ndarray:
+        """What the postings of the picked parts give each document."""
+        part = self.parts.take(picked)
+        begin, end = self.shard.part.take(part), self.shard.part.take(part + 1)
         postings = _spread(begin, end)
-        return _sums(self.doc[postings], self.impact[postings] * np.repeat(weight[here], end - begin), n)
-
-    def _every(self, at: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
-        """What the other lists give all documents."""
-        begin, end = self.begin[at], self.begin[at + 1]
-        short = end - begin < LONG
-        postings = _spread(begin[short], end[short])
-        score = _sums(self.doc[postings], self.impact[postings] * np.repeat(weights[short], (end - begin)[short]), n)
-        for a, b, w in zip(begin[~short].tolist(), end[~short].tolist(), weights[~short].tolist(), strict=True):
-            score[self.doc[a:b]] += self.impact[a:b] * w
-        return score
-
-
-def _sums(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of values by place; without values numpy itself would count in integers."""
-    return np.bincount(at, values, n).astype(np.float64, copy=False)
-
-
-def _find(sorted_terms: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the terms stand, and which of them do."""
-    if not len(sorted_terms):
-        return np.zeros(len(terms), np.int64), np.zeros(len(terms), bool)
-    at = np.minimum(np.searchsorted(sorted_terms, terms), len(sorted_terms) - 1)
-    return at, sorted_terms[at] == terms
-
-
-def _loaded(parts: list[pa.RecordBatch], average: float) -> Shard:
-    table = pa.Table.from_batches(parts)
-    flat = lambda col, kind: np.frombuffer(b"".join(col.to_pylist()), kind)
-    docs = table.filter(pa.compute.is_null(table["term"]))
-    lists = table.filter(pa.compute.is_valid(table["term"]))
-    return Shard(flat(docs["docs"], np.int64), flat(docs["tfs"], np.int32), lists["term"].to_numpy(), lists["df"].to_numpy().astype(np.int64), flat(lists["docs"], np.int32), flat(lists["tfs"], np.int32), average)
-
-
-def _searcher(k: int, average: float):
-    """Rows come sorted by (shard, kind): the index of a shard, then all queries."""
+        return _sums(self.shard.doc.take(postings), self.shard.impact.take(postings) * np.repeat(self.part_weight.take(picked), end - begin), self.shard.n)
+
+    def whole(self, blocks: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """Scores of the documents of some blocks."""
+        return self._add(np.flatnonzero(blocks[self.part_block]))[docs] + self.shard.dense[docs] @ self.dense
+
+    def candidates(self, blocks: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers and scores of the documents in these blocks that may reach ``least``, and the blocks in which scores were completed."""
+        shard, sparse = self.shard, self.sparse
+        blocks = blocks & (self.bound >= least)
+        none = np.empty(0, np.int64), np.empty(0), np.zeros(shard.blocks, bool)
+        needed = int((self.rest >= least).sum())  # the lists from here on cannot reach it together
+        if not needed or not blocks.any():
+            return none
+        own = int(self.sizes[: min(needed, sparse)].sum())
+        score = self._add(np.flatnonzero(blocks[self.part_block[:own]]))
+        aside = self._dense(max(needed, sparse))
+        if needed > sparse:
+            score += shard.dense @ (self.dense - aside)
+        later = _sums(self.part_block[own:], self.part_max[own:], shard.blocks)  # of the sparse lists set aside
+        bound = np.where(blocks, later + shard.dense_max @ aside, -np.inf)
+        docs = np.flatnonzero((score > 0) & (score + np.repeat(bound, BLOCK)[: shard.n] >= least))
+        score = score[docs] + shard.dense[docs] @ aside
+        here = score + later[docs // BLOCK] >= least
+        docs, score = docs[here], score[here]
+        wanted = none[2]
+        wanted[docs // BLOCK] = True
+        score = score + self._add(np.flatnonzero(wanted[self.part_block[own:]]) + own)[docs]
+        return docs, score, wanted
+
+
+class Best:
+    """The k best documents of each query so far. A query is its terms and weights."""
+
+    def __init__(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int):
+        self.queries, self.k = queries, k
+        self.ids, self.scores = [np.empty(0, np.int64)] * len(queries), [np.empty(0)] * len(queries)
+        self.blocks = self.scored = 0
+
+    def visit(self, shard: Shard) -> None:
+        for q, (terms, weights) in enumerate(self.queries):
+            least = self.scores[q][-1] if len(self.scores[q]) == self.k else 0.0
+            docs, scores, scored = shard.find(terms, weights, self.k, least)
+            self.blocks += shard.blocks
+            self.scored += scored
+            if len(docs):
+                ids, scores = np.concatenate([self.ids[q], shard.ids[docs]]), np.concatenate([self.scores[q], np.round(scores, DIGITS)])
+                ids, scores = ids[scores > 0], scores[scores > 0]
+                order = np.lexsort((ids, -scores))[: self.k]
+                self.ids[q], self.scores[q] = ids[order], scores[order]
+
+
+def _searcher(queries, k: int, average: float):
+    """The k best over the shards a task reads, for each query of the broadcast block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
-
-        at, parts, shard = None, [], None
+        best = Best([(a, b) for _, _, a, b in queries.value], k)
         for batch in batches:
-            of = batch.column("shard").to_numpy()
-            cuts = np.flatnonzero(np.r_[True, of[1:] != of[:-1], True]) if len(of) else []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if of[a] != at:
-                    at, parts, shard = of[a], [], None
-                piece = batch.slice(a, b - a)
-                kind = piece.column("kind").to_numpy()
-                n_index = int((kind == 0).sum())
-                if n_index:
-                    parts.append(piece.slice(0, n_index))
-                if n_index < len(kind):
-                    if shard is None:
-                        shard, parts = _loaded(parts, average), []
-                    yield _found(shard, piece.slice(n_index), k)
+            for i in range(batch.num_rows):
+                best.visit(Shard.of({c: batch.column(c)[i] for c in batch.schema.names}, average))
+        for at in range(0, len(queries.value), 10_000):
+            part = range(at, min(at + 10_000, len(queries.value)))
+            n = [len(best.ids[q]) for q in part]
+            names = [pa.array(np.repeat(np.array([queries.value[q][i] for q in part], np.int64), n)) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*names, *(pa.array(np.concatenate([x[q] for q in part])) for x in (best.ids, best.scores))], ["query_id", "tid", "doc_id", "score"])
 
     return run
 
 
-def _found(shard: Shard, queries: pa.RecordBatch, k: int) -> pa.RecordBatch:
-    out: list[list] = [[], [], [], []]
-    lists = queries.column("terms")
-    offsets = lists.offsets.to_numpy()
-    terms, weights = (lists.values.field(i).to_numpy() for i in (0, 1))
-    asked = [(terms[a:b], weights[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-    names = zip(queries.column("query_id").to_pylist(), queries.column("tid").to_pylist(), strict=True)
-    for (query, tid), (ids, scores, _) in zip(names, shard.top(asked, k), strict=True):
-        for column, values in zip(out, ([query] * len(ids), [tid] * len(ids), ids.tolist(), scores.tolist()), strict=True):
-            column.extend(values)
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
-    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], ["query_id", "tid", "doc_id", "score"])
+def _blocks(asked: DataFrame, scratch: Scratch, query_bytes: int) -> list[DataFrame]:
+    """The weighted queries in written blocks of about query_bytes (a single query of more is a block that large)."""
+    written = scratch.table(asked, "weighted")
+    size = written.agg(F.sum(16.0 * F.size("terms") + 100)).first()[0] or 0
+    n = max(1, math.ceil(size / query_bytes))
+    dealt = written.withColumn("block", F.pmod(F.xxhash64("query_id", "tid"), F.lit(n)).cast("int"))
+    dealt.write.partitionBy("block").parquet(f"{scratch.path}/queries")
+    every = scratch.read("queries", dealt)
+    return [every.where(F.col("block") == b).drop("block") for b in range(n)] if size else []
+
+
+def _arrays(block: DataFrame) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    table = block.toArrow().combine_chunks()
+    out = []
+    for batch in table.to_batches():
+        lists = batch.column("terms")
+        offsets = lists.offsets.to_numpy()
+        terms, weights = (lists.values.field(i).to_numpy() for i in (0, 1))
+        out += [(q, t, terms[a:b], weights[a:b]) for q, t, a, b in zip(batch.column("query_id").to_pylist(), batch.column("tid").to_pylist(), offsets[:-1], offsets[1:], strict=True)]
+    return out
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = TOP, shard_docs: int = SHARD_DOCS) -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, k: int = TOP, postings: int = SHARD_POSTINGS, documents: int = SHARD_DOCS, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query_id, rank, doc_id, score) of the k best documents for each (query_id, text) row."""
-    scratch = Scratch(docs.sparkSession)
-    index, shards = build_index(docs, scratch, shard_docs)
-    n_docs, words = index.where("term is null").agg(F.sum("df"), F.sum("words")).first()
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    index = build_index(docs, scratch, postings, documents)
+    n_docs, words = index.agg(F.sum("docs"), F.sum("words")).first()
     average = (words or 0) / max(1, n_docs or 0) or 1.0
-    asked = pick(queries, "query_id", "text").select(F.col("query_id").cast("long").alias("query_id"), F.xxhash64("text").alias("tid"), "text")
-    asked = scratch.table(weighted_queries(asked.dropDuplicates(["query_id", "tid"]), index, n_docs or 0), "queries")
-
-    empty = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in (*index.schema, *asked.schema)}
-    own = lambda df, kind: df.select("shard", F.lit(kind).alias("kind"), *(n if n in df.columns else c for n, c in empty.items() if n != "shard"))
-    everywhere = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    both = own(index, 0).unionByName(own(everywhere, 1)).repartitionById(shards, "shard").sortWithinPartitions("shard", "kind")
-    found = both.mapInArrow(_searcher(k, average), "query_id long, tid long, doc_id long, score double")
-    rank = F.row_number().over(W.partitionBy("query_id", "tid").orderBy(F.desc("score"), "doc_id"))  # k rows a shard
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "score")
+    asked = pick(queries, "query_id", "text").select(F.coalesce(F.col("query_id").cast("long"), F.lit(NO_ID)).alias("query_id"), F.xxhash64("text").alias("tid"), "text")
+    blocks = _blocks(weighted_queries(asked.dropDuplicates(["query_id", "tid"]), index, n_docs or 0), scratch, query_bytes)
+
+    rank = F.row_number().over(W.partitionBy("query_id", "tid").orderBy(F.desc("score"), "doc_id"))  # k rows a task
+    shards = index.coalesce(2 * spark.sparkContext.defaultParallelism)  # several shards a task, where there are many
+    shown = lambda c: F.nullif(F.col(c), F.lit(NO_ID)).alias(c)
+    found = spark.createDataFrame([], _FOUND)
+    for block in blocks:
+        asked = spark.sparkContext.broadcast(_arrays(block))
+        best = shards.mapInArrow(_searcher(asked, k, average), "query_id long, tid long, doc_id long, score double").withColumn("rank", rank).where(F.col("rank") <= k)
+        found = scratch.table(best.select(shown("query_id"), "rank", shown("doc_id"), "score"), "found", "append")
+        asked.destroy()
+    return found
 
 
 def op2_search(spark, sf_dir: str) -> DataFrame:

@@ -90,7 +90,7 @@ def test_search_is_exact_over_shards_and_blocks(spark, monkeypatch):
     df = table(spark, texts)
     asked = {20: texts[20], 100: texts[100], 1: "", 7: texts[7], 5000: "rare3 rare7"}
     queries = spark.createDataFrame([(k, v) for k, v in asked.items()] * 2, "query_id long, text string")
-    rows = search.search(df, queries, 5, shard_docs=200).collect()
+    rows = search.search(df, queries, 5, documents=200, query_bytes=400).collect()
     got = defaultdict(dict)
     for r in rows:
         got[r.query_id][r["rank"]] = (r.doc_id, r.score)
@@ -101,22 +101,71 @@ def test_search_is_exact_over_shards_and_blocks(spark, monkeypatch):
         assert [s for _, s in found] == pytest.approx([s for _, s in want], abs=2e-6)
 
 
+def shard_of(texts, average=None):
+    docs = [(i, *search.terms(t)) for i, t in enumerate(texts)]
+    row = search.invert(docs)
+    return search.Shard.of({c: row.column(c)[0] for c in row.schema.names}, average or sum(d[3] for d in docs) / len(docs))
+
+
+def asked(texts, queries):
+    """Terms and weights of the queries over these texts."""
+    df = Counter(h for t in texts for h in search.terms(t)[0].tolist())
+    found = [search.terms(q)[:2] for q in queries]
+    return [(h, tf * np.array([math.log(1 + (len(texts) - df[x] + 0.5) / (df[x] + 0.5)) for x in h.tolist()])) for h, tf in found]
+
+
 def test_search_skips_blocks():
+    """A selective query set: most blocks are never scored, and nothing is lost."""
     rng = np.random.default_rng(2)
-    n = 64 * 40
-    term = np.arange(2)
-    docs = [np.arange(n, dtype=np.int32), np.sort(rng.choice(n, 40, replace=False)).astype(np.int32)]
-    shard = search.Shard(np.arange(n), np.full(n, 10, np.int32), term, np.array([n, 40]), np.concatenate(docs), np.concatenate([np.ones(n, np.int32), rng.integers(1, 9, 40).astype(np.int32)]), 10.0)
-    ((ids, scores, scored),) = shard.top([(term, np.array([0.01, 5.0]))], 3)
-    assert scored < shard.blocks and (np.diff(scores) <= 0).all() and set(ids) <= set(docs[1].tolist())
+    texts = [prose(rng, int(rng.integers(5, 40))) + (f" rare{i % 97} odd{i}" if i % 5 == 0 else "") for i in range(6000)]
+    queries = [f"rare{k} alpha beta gamma" for k in range(20)] + [texts[i] for i in range(0, 100, 5)]
+    best = search.Best(asked(texts, queries), 10)
+    average = sum(len(t.split()) for t in texts) / len(texts)
+    for at in range(0, 6000, 2000):
+        best.visit(shard_of([""] * at + texts[at : at + 2000], average))
+    assert 0 < best.scored < 0.5 * best.blocks
+    for q, ids, scores in zip(queries, best.ids, best.scores, strict=True):
+        want = brute_bm25(texts, q, 10)
+        assert ids.tolist() == [d for d, _ in want] and scores == pytest.approx([s for _, s in want], abs=2e-6)
+
+
+def test_search_completes_few_scores(monkeypatch):
+    """Whole texts as queries: scores are completed for a part of the blocks only once a threshold is known."""
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{i}" for i in range(20_000)])
+    texts = [" ".join(words[np.minimum(rng.zipf(1.3, int(rng.integers(50, 300))), 20_000) - 1]) for i in range(3000)]
+    texts += [" ".join(w for w in texts[i].split() if rng.random() < 0.9) for i in range(0, 200, 10) for _ in range(12)]
+    queries = [texts[i] for i in range(0, 200, 10)]
+    best = search.Best(asked(texts, queries), 10)
+    average = sum(len(t.split()) for t in texts) / len(texts)
+    best.visit(shard_of([""] * 3000 + texts[3000:], average))
+    best.blocks = best.scored = 0
+    best.visit(shard_of(texts[:3000], average))
+    assert best.scored < 0.5 * best.blocks
+    for q, ids in zip(queries, best.ids, strict=True):
+        assert ids.tolist() == [d for d, _ in brute_bm25(texts, q, 10)]
 
 
 def test_search_with_long_lists_only():
-    n, docs = 6400, np.arange(0, 6400, 10, dtype=np.int32)
-    shard = search.Shard(np.arange(n), np.full(n, 10, np.int32), np.array([3]), np.array([640]), docs, np.ones(640, np.int32), 10.0)
-    for terms in (np.array([3]), np.array([4])):
-        ((ids, scores, _),) = shard.top([(terms, np.array([2.0]))], 5)
-        assert ids.tolist() == ([0, 10, 20, 30, 40] if terms[0] == 3 else []) and (scores == 2.0).all()
+    texts = ["a b" if i % 10 == 0 else "c d" for i in range(6400)]
+    shard = shard_of(texts)
+    for word, want in (("a", [0, 10, 20, 30, 40]), ("never", [])):
+        best = search.Best([(search.terms(word)[0], np.array([2.0]))], 5)
+        best.visit(shard)
+        assert best.ids[0].tolist() == want and len(set(best.scores[0].tolist())) <= 1
+
+
+def test_search_of_odd_tables(spark):
+    """Empty tables, null ids, rows repeated in full, frequencies beyond 16 bits."""
+    empty = table(spark, []).limit(0)
+    none = spark.createDataFrame([], "query_id long, text string")
+    assert search.search(empty, none).count() == 0 and search.search(table(spark, ODD), none).count() == 0
+    rows = [(None, "x y", "en", "s", 1)] * 2 + [(1, "x y", "en", "s", 1), (2, "x " * 70_000, "en", "s", 1), (3, None, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = search.search(docs, spark.createDataFrame([(None, "x y"), (7, "x")], "query_id long, text string"), 9).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.doc_id) for r in got if r.query_id is None] == [(None, 1), (None, None), (None, None), (None, 2)]
+    want = brute_bm25([r[1] for r in rows], "x", 9)
+    assert [r.score for r in got if r.query_id == 7] == pytest.approx([s for _, s in want], abs=2e-6)
 
 
 # -- near duplicates -----------------------------------------------------------------------------------------------------
