@@ -6,13 +6,15 @@ seen. It is trained on all trusted text: rows labelled of good quality, but for
 1. Counts: tasks count the n-grams of what they read; a shuffle adds them up. Counts of lower orders are numbers of distinct left
    neighbours, discounts come from counts of counts, and each order is joined with the weights of its contexts and the probabilities of
    the order below. All of that is grouping and joining of n-gram rows, sharded by n-gram.
-2. Documents are dealt to blocks of about BLOCK_BYTES. The distinct n-grams of each block are joined with the model, so a frequent n-gram
-   is one row a block, and what comes back is scored against the documents of the block.
+2. Each task packs the documents it reads into blocks of about BLOCK_BYTES, a compressed row each, so no text is dealt out by a key. The
+   distinct n-grams of each block are joined with the model, so a frequent n-gram is one row a block, and what comes back meets the
+   block again, where its documents are scored.
 3. Thresholds: of each language, the LOW and HIGH quantiles of the perplexity of trusted documents outside the training fold. Texts of few
    repeated words have a low perplexity, junk a high one. The mean over a short text strays more, so SPREAD / sqrt(characters) is allowed
    for before quantiles are taken and texts compared; MARGIN is added on both sides (in log2) to leave clean documents alone.
 
-An n-gram is a 64-bit number of four 16-bit characters (others count as U+FFFD); three line feeds stand in front of each text.
+An n-gram is a 64-bit number of four 16-bit characters; three line feeds stand in front of each text. Characters beyond U+FFFF take the
+2,048 numbers that surrogates leave free, by their low 11 bits, which keeps all emoji (U+1F300 to U+1FAFF) apart.
 
 Edge cases: null and empty texts have no perplexity (null) and are not kept; a null lang is a language of its own; languages without
 trusted text have no model: their perplexity and thresholds are null and their documents are kept; a doc_id with several labels is
@@ -21,10 +23,12 @@ trusted if all of them are good; rows repeated in full are scored each; an empty
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -51,7 +55,8 @@ _PAD = np.full(ORDER - 1, 10, np.uint64)
 def grams(text: str) -> np.ndarray:
     """The n-gram that ends at each character, as signed 64-bit numbers."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    points[points > 0xFFFF] = 0xFFFD
+    beyond = points > 0xFFFF
+    points[beyond] = np.uint64(0xD800) + (points[beyond] & np.uint64(0x7FF))
     every = np.concatenate([_PAD, points])
     n = len(points)
     out = np.zeros(n, np.uint64)
@@ -113,10 +118,11 @@ class Model:
 
     def __init__(self, counts: DataFrame, scratch: Scratch):
         """counts: (lang, gram, n) of the training text, n > 0."""
-        name = f"model-{scratch.serial()}"
+        name, self._scratch, self._tables = f"model-{scratch.serial()}", scratch, []
+        write = lambda df, of: self._tables.append(f"{name}-{of}") or scratch.table(df, f"{name}-{of}")
         by_order = {ORDER: counts}
         for k in range(ORDER - 1, 0, -1):  # numbers of distinct left neighbours
-            by_order[k] = scratch.table(by_order[k + 1].groupBy("lang", _suffix(F.col("gram"), k).alias("gram")).agg(F.count("*").alias("n")), f"{name}-{k}")
+            by_order[k] = write(by_order[k + 1].groupBy("lang", _suffix(F.col("gram"), k).alias("gram")).agg(F.count("*").alias("n")), k)
         self.probs: dict[int, DataFrame] = {}
         self.gammas: dict[int, DataFrame] = {}
         for k in range(1, ORDER + 1):
@@ -125,14 +131,19 @@ class Model:
             totals = totals.withColumn("gamma", F.col("left") / F.col("total"))
             if k == 1:  # the characters of the language, and one for all others
                 lower = lambda df: df.withColumn("lower", F.lit(1.0) / (F.col("kinds") + 1))
-                self.unseen = scratch.table(totals.select("lang", (F.col("gamma") / (F.col("kinds") + 1)).alias("p")), f"{name}-unseen")
+                self.unseen = write(totals.select("lang", (F.col("gamma") / (F.col("kinds") + 1)).alias("p")), "unseen")
             else:
                 below = self.probs[k - 1].select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower"))
                 lower = lambda df, k=k, below=below: df.withColumn("suffix", _suffix(F.col("gram"), k - 1)).join(below, ["lang", "suffix"])
-                self.gammas[k - 1] = scratch.table(totals.select("lang", F.col("context").alias("gram"), "gamma"), f"{name}-gamma-{k - 1}")
+                self.gammas[k - 1] = write(totals.select("lang", F.col("context").alias("gram"), "gamma"), f"gamma-{k - 1}")
             joined = lower(rows.join(totals, ["lang", "context"]))
             p = (F.col("n") - F.col("d")) / F.col("total") + F.col("gamma") * F.col("lower")
-            self.probs[k] = scratch.table(joined.select("lang", "gram", p.alias("p")), f"{name}-p-{k}")
+            self.probs[k] = write(joined.select("lang", "gram", p.alias("p")), f"p-{k}")
+
+    def drop(self) -> None:
+        """Delete the tables."""
+        while self._tables:
+            self._scratch.drop(self._tables.pop())
 
     def logs(self, found: DataFrame) -> DataFrame:
         """(lang, gram, log2p) of distinct (lang, gram): the longest suffix seen, times the weights of the contexts that back off to it."""
@@ -151,24 +162,63 @@ class Model:
         return out.select("lang", "gram", F.log2(F.coalesce(given, factors * F.col("p0"))).alias("log2p"))
 
 
-def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, lang, gram) of what a batch holds, each once."""
-    for batch in batches:
-        by: dict[tuple, list[str]] = {}
-        for block, lang, text in zip(*(batch.column(c).to_pylist() for c in ("block", "lang", "text")), strict=True):
-            if text:
-                by.setdefault((block, lang), []).append(text)
-        for (block, lang), found in by.items():
-            values, _ = tally(found)
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(values), pa.int32()), pa.array([lang] * len(values), pa.string()), pa.array(values)], ["block", "lang", "gram"])
+def _packer(block_bytes: int):
+    """Blocks of the (doc_id, lang, text) rows of a task: number and compressed rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        numbers = itertools.count(TaskContext.get().partitionId() << 32)
+        held, size = [], 0
+
+        def block() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for part in held:
+                    out.write_batch(part)
+            return pa.RecordBatch.from_arrays([pa.array([next(numbers)], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "docs"])
 
+        for batch in batches:
+            at = 0
+            for i, n in enumerate(pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).to_pylist()):
+                if size and size + n > block_bytes:
+                    held.append(batch.slice(at, i - at))
+                    yield block()
+                    held, size, at = [], 0, i
+                size += n + 16
+            held.append(batch.slice(at))
+        if size:
+            yield block()
 
-def _score(docs: pa.Table, logs: pa.Table) -> pa.Table:
+    return run
+
+
+def _unpacked(docs: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(docs.as_buffer()).read_all()
+
+
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, lang, gram) of each block, each once."""
+    for batch in batches:
+        for block, docs in zip(batch.column("block").to_pylist(), batch.column("docs"), strict=True):
+            by: dict[str, list[str]] = {}
+            rows = _unpacked(docs)
+            for lang, text in zip(rows["lang"].to_pylist(), rows["text"].to_pylist(), strict=True):
+                if text:
+                    by.setdefault(lang, []).append(text)
+            for lang, found in by.items():
+                values, _ = tally(found)
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(values), pa.int64()), pa.array([lang] * len(values), pa.string()), pa.array(values)], ["block", "lang", "gram"])
+
+
+def _score(block: pa.Table, logs: pa.Table) -> pa.Table:
     """Mean log2 probability of each document of a block."""
+    docs = _unpacked(block["docs"][0])
     models: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    of, number = np.unique(np.array(logs["lang"].to_pylist(), str), return_inverse=True)
+    of = logs["lang"].combine_chunks().dictionary_encode()
+    number = of.indices.to_numpy()
     gram, value = logs["gram"].to_numpy(), logs["log2p"].to_numpy().astype(np.float64)
-    for i, lang in enumerate(of.tolist()):
+    for i, lang in enumerate(of.dictionary.to_pylist()):
         here = np.flatnonzero(number == i)
         here = here[np.argsort(gram[here])]
         models[lang] = gram[here], value[here]
@@ -183,24 +233,24 @@ def _score(docs: pa.Table, logs: pa.Table) -> pa.Table:
     return pa.table([docs["doc_id"], docs["lang"], pa.array(sizes, pa.int64()), pa.array(means, pa.float64())], ["doc_id", "lang", "chars", "log2p"])
 
 
-def perplexity(docs: DataFrame, logs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def perplexity(docs: DataFrame, logs: DataFrame, scratch: Scratch, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row of (doc_id, lang, text): doc_id, lang, chars, log2p (mean a character; null without text or model).
 
-    logs: what Model.logs gives for the n-grams of docs. The texts are shuffled once; both uses below share that exchange.
+    logs: what Model.logs gives for the n-grams of docs. The blocks are written, so that a block keeps its documents if a task is repeated.
     """
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    packed = docs.select("doc_id", "lang", "text").mapInArrow(_packer(block_bytes), "block long, docs binary")
+    packed.write.option("parquet.block.size", 16_000_000).parquet(f"{scratch.path}/blocks")
+    packed = scratch.read("blocks", packed)
     known = logs.withColumn("log2p", F.col("log2p").cast("float"))
-    here = dealt.mapInArrow(_distinct, "block int, lang string, gram long").join(known, ["lang", "gram"])
-    return dealt.groupBy("block").cogroup(here.groupBy("block")).applyInArrow(_score, "doc_id long, lang string, chars long, log2p double")
+    here = packed.mapInArrow(_distinct, "block long, lang string, gram long").join(known, ["lang", "gram"])
+    return packed.groupBy("block").cogroup(here.groupBy("block")).applyInArrow(_score, "doc_id long, lang string, chars long, log2p double")
 
 
 def quantile(rows: DataFrame, by: str, value: Column, q: float) -> DataFrame:
     """(by, value): the smallest step of STEP that at least the share q of the rows reaches down to. Exact on steps, whatever the sizes."""
     counted = rows.select(by, F.ceil(value / STEP).alias("at")).groupBy(by, "at").agg(F.count("*").alias("n"))
     running = F.sum("n").over(W.partitionBy(by).orderBy("at"))
-    share = running / F.sum("n").over(W.partitionBy(by))  # windows over steps, not rows
+    share = running / F.sum("n").over(W.partitionBy(by))  # windows over the steps of a language, whose number does not grow with the rows
     return counted.withColumn("share", share).where(F.col("share") >= q).groupBy(by).agg((F.min("at") * F.lit(STEP)).alias("value"))
 
 
@@ -214,7 +264,11 @@ def judge(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HI
     counts = scratch.table(count_grams(marked.select("lang", F.col("of").isNotNull().alias("train"), "text")), "counts")
     model = Model(counts.where("n > 0"), scratch)
     logs = scratch.table(model.logs(counts.select("lang", "gram")), "logs")
-    scored = scratch.table(perplexity(rows, logs).withColumn("bits", -F.col("log2p")), "scores")
+    model.drop()
+    scratch.drop("counts")
+    scored = scratch.table(perplexity(rows, logs, scratch).withColumn("bits", -F.col("log2p")), "scores")
+    for name in ("logs", "blocks"):
+        scratch.drop(name)
 
     outside = scored.join(small_enough(good.where("out")), F.col("doc_id") == F.col("of"), "left_semi").where("bits is not null")
     stray = F.lit(SPREAD) / F.sqrt(F.greatest("chars", F.lit(1)))

@@ -427,7 +427,7 @@ def test_kneser_ney_matches_the_formulas(spark):
     scratch = common.Scratch(spark)
     counts = scratch.table(quality.count_grams(df.select("lang", "train", "text")), "counts")
     logs = quality.Model(counts.where("n > 0"), scratch).logs(counts.select("lang", "gram"))
-    got = {r.doc_id: r.log2p for r in quality.perplexity(df.select("doc_id", "lang", "text"), logs, block_bytes=500).collect()}
+    got = {r.doc_id: r.log2p for r in quality.perplexity(df.select("doc_id", "lang", "text"), logs, scratch, block_bytes=500).collect()}
     prob = brute_kneser_ney(train)
     assert sum(prob("\nal", c) for c in set("".join(train))) + prob("\nal", "☃") == pytest.approx(1)
     for i, t, _, _ in rows:
@@ -454,6 +454,40 @@ def test_quality_keeps_clean_text(spark):
     assert quality.judge(df.where("false"), labels.where("false")).count() == 0
 
 
+def test_quality_limits_by_brute_force(spark):
+    """Quantiles, limits and what is kept, from the perplexities; labels repeat, some lack a value, and no language or id is left out."""
+    rng = np.random.default_rng(12)
+    texts = [prose(rng, int(rng.integers(1, 60))) if i % 9 else "".join(map(chr, rng.integers(33, 1000, 40))) for i in range(400)] + ODD
+    rows = [(None if i == 7 else i, t, (None, "en", "xx")[i % 3], "s", 0) for i, t in enumerate(texts)] + [(50, texts[50], "xx", "s", 0)] * 2
+    marks = [(i, int(i % 9 != 0), 0) for i in range(0, 400, 2)] + [(20, 0, 0), (22, None, 0), (None, 1, 0), (9999, 1, 1)]
+    got = quality.judge(spark.createDataFrame(rows, DOCS), spark.createDataFrame(marks, "doc_id long, quality int, toxic int"), 0.1, 0.8, 0.05).collect()
+    assert sorted(((r.doc_id, r.lang) for r in got), key=repr) == sorted(((r[0], r[2]) for r in rows), key=repr)
+    worst = {}
+    for i, q, _ in marks:
+        if i is not None and q is not None:
+            worst[i] = min(q, worst.get(i, 1))
+    out = {i for i, q in worst.items() if q == 1 and zlib.crc32(str(i).encode()) % 5 == 0}
+    size = defaultdict(list)
+    for r in rows:
+        size[r[0]].append(len(r[1] or ""))
+    stray = {i: 3.0 / math.sqrt(max(1, max(n))) for i, n in size.items()}
+    limits = {}
+    for lang in (None, "en", "xx"):
+        bits = [(r.log2_perplexity, stray[r.doc_id]) for r in got if r.lang == lang and r.doc_id in out and r.log2_perplexity is not None]
+        for name, sign, q, margin in (("least", 1, 0.1, -0.05), ("most", -1, 0.8, 0.05)):
+            steps = sorted(math.ceil((b + sign * s) / quality.STEP) for b, s in bits)
+            limits[lang, name] = next(x for i, x in enumerate(steps) if (sum(y <= x for y in steps)) >= q * len(steps)) * quality.STEP + margin
+    for r in got:
+        assert (r.least, r.most) == (pytest.approx(limits[r.lang, "least"]), pytest.approx(limits[r.lang, "most"]))
+        b, chars = r.log2_perplexity, max(size[r.doc_id])
+        assert r.kept == (chars > 0 and limits[r.lang, "least"] - stray[r.doc_id] <= b <= limits[r.lang, "most"] + stray[r.doc_id])
+
+
+def test_quality_tells_emoji_apart():
+    points = [chr(x) for x in range(0x1F300, 0x1FB00)] + ["\ufffd", "a", "\uffff"]
+    assert len({int(quality.grams(c)[-1]) for c in points}) == len(points)
+
+
 # -- token counts --------------------------------------------------------------------------------------------------------
 def test_token_counts_and_cache(spark, tmp_path):
     from tokenizers import Tokenizer
