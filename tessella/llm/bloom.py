@@ -24,6 +24,13 @@ class Bloom:
         self.parts: list[np.ndarray] = []
         self.capacity, self.room = capacity, 0
 
+    @classmethod
+    def of(cls, bits: bytes) -> Bloom:
+        """The filter with these bits, for lookups."""
+        found = cls()
+        found.parts = [np.frombuffer(bits, np.uint8)] if bits else []
+        return found
+
     def _at(self, part: np.ndarray, hashes: np.ndarray):
         start = mix64(hashes)  # the hashes of a shard share their low bits
         step = (start >> np.uint64(32)) | np.uint64(1)

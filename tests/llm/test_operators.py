@@ -317,6 +317,54 @@ def test_exact(spark, digest):
     assert exact_dedup.assign_keepers(table(spark, []), digest).count() == 0
 
 
+def test_exact_of_repeated_rows_and_null_ids(spark, monkeypatch):
+    """One row of each group is kept, also of rows repeated in full and of rows without an id; groups go over several sites."""
+    monkeypatch.setattr(exact_dedup, "SITE_ROWS", 3)
+    rows = [(None, "p q"), (None, "pq"), (4, "pq"), (4, "pq"), (4, "pq"), (5, " pq")] + [(100 + i, "hot text" if i % 4 else "hottext") for i in range(40)] + [(None, "z")] * 3 + [(9, None), (8, "")]
+    got = exact_dedup.assign_keepers(spark.createDataFrame(rows, "doc_id long, text string"), batches=3).toPandas()
+    assert len(got) == len(rows) and got.groupby("digest").kept.sum().eq(1).all()
+    kept = got[got.kept].set_index("group_size").sort_index()
+    want = {2: 8, 3: None, 6: 5, 40: 101}
+    assert {n: None if math.isnan(r.doc_id) else int(r.doc_id) for n, r in kept.iterrows()} == want
+    ids = lambda c: [None if math.isnan(x) else int(x) for x in got[c]]
+    assert all(k == want[n] for k, n in zip(ids("keep_id"), got.group_size, strict=True))
+
+
+def test_index_in_batches_is_the_index_in_one(spark):
+    """Runs, levels and lookups: many batches give the groups that one gives, and every digest seen before is a hit."""
+    rng = np.random.default_rng(3)
+    rows = [(f"d{int(rng.integers(0, 300))}" if i % 3 else "hot", int(rng.integers(1, 9)), int(rng.integers(0, 50)), i) for i in range(900)]
+    df = spark.createDataFrame(rows, "digest string, len long, id long, row long")
+    groups = lambda index, hits: {tuple(r) for r in index.lookup(common.Scratch(spark).table(hits.distinct(), "asked")).collect()}
+    one = exact_dedup.MergeIndex(common.Scratch(spark))
+    want = groups(one, one.insert(df))
+    seen = defaultdict(list)
+    for digest, size, id_, row in rows:
+        seen[digest].append((-size, id_, row))
+    assert want == {(d, -min(x)[0], min(x)[1], min(x)[2], len(x)) for d, x in seen.items() if len(x) > 1}
+    many, hits, before = exact_dedup.MergeIndex(common.Scratch(spark), tier=2), None, Counter()
+    for b in range(7):
+        part = [r for r in rows if r[3] * 7 // 900 == b]
+        found = many.insert(spark.createDataFrame(part, df.schema))
+        now = Counter(r[0] for r in part)
+        assert {r.digest for r in found.collect()} == {d for d, n in now.items() if n > 1 or before[d]}
+        before += now
+        hits = found if hits is None else hits.union(found)
+    assert [len(level) for level in many.levels] == [1, 1, 1] and groups(many, hits) == want
+    assert many.insert(df.limit(0)).isEmpty()
+
+
+def test_filters_are_probed():
+    """What an earlier filter holds is reported, and next to nothing else."""
+    hashes = bloom.mix64(np.arange(1, 20_001, dtype=np.uint64))
+    row = lambda kind, packed: exact_dedup.pa.RecordBatch.from_pydict({"shard": [0], "kind": [kind], "bytes": [packed]})
+    ((first, none),) = (b.column("bytes").to_pylist() for b in exact_dedup._probe(iter([row(1, hashes[:10_000].tobytes())])))
+    assert none == b""
+    ((_, found),) = (b.column("bytes").to_pylist() for b in exact_dedup._probe(iter([row(0, first), row(1, hashes[9_000:].tobytes())])))
+    found = set(np.frombuffer(found, np.uint64).tolist())
+    assert set(hashes[9_000:10_000].tolist()) <= found and len(found) < 1_100
+
+
 # -- urls ----------------------------------------------------------------------------------------------------------------
 def test_url_rules_and_trust(spark):
     link = lambda *hosts: "".join(f'<a href="http://{h}/x">y</a>' for h in hosts)
