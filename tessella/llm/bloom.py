@@ -17,6 +17,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def probes(hashes: np.ndarray, bits: int):
+    """The PROBES places of each hash among so many bits, a power of two."""
+    start = mix64(hashes)  # the hashes of a shard share their low bits
+    step = (start >> np.uint64(32)) | np.uint64(1)
+    for k in range(PROBES):
+        yield (start + np.uint64(k) * step) & np.uint64(bits - 1)
+
+
 class Bloom:
     """A chain of filters, each twice as large as the one before: about 12 bits and 4 probes an entry, without a size known ahead."""
 
@@ -32,11 +40,7 @@ class Bloom:
         return found
 
     def _at(self, part: np.ndarray, hashes: np.ndarray):
-        start = mix64(hashes)  # the hashes of a shard share their low bits
-        step = (start >> np.uint64(32)) | np.uint64(1)
-        bits = np.uint64(8 * len(part) - 1)
-        for k in range(PROBES):
-            at = (start + np.uint64(k) * step) & bits
+        for at in probes(hashes, 8 * len(part)):
             yield at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)
 
     def has(self, hashes: np.ndarray) -> np.ndarray:

@@ -1,12 +1,12 @@
 """Operator 5: drop lines that repeat across documents.
 
 1. Tasks hash the distinct line keys of each document and send the hashes, packed by shard, to their shard. There a Bloom filter of
-   the hashes seen picks out the suspects. It never forgets, so no repeated key is missed. Reports of the same suspect are cut down by an
-   exact table: a second filter (seen twice) in its place would lose suspects by its false positives.
-2. Only lines whose hash is a suspect are shuffled, with their whole key: exact document counts, and the first occurrence.
-3. Confirmed keys are dropped from the texts.
-
-Suspects and confirmed keys are broadcast only if a count shows that they are few; else both steps join by shuffle.
+   the hashes seen once picks out the suspects. It never forgets, so no repeated key is missed. Reports of the same suspect are cut down
+   by an exact table: a filter in its place would lose suspects by its false positives.
+2. The suspects fill a second Bloom filter, of what was seen twice, that every task gets. Its size follows their number up to FILTER_BITS.
+   Only lines that it holds are shuffled, with their whole key: exact document counts, and the first occurrence. A false positive of
+   either filter is a line counted for nothing.
+3. Confirmed keys are dropped from the texts. They are broadcast only if their size shows that they are few; else lines join them by shuffle.
 
 Edge cases: a null text is one empty line and comes back as an empty text; a document whose lines all go keeps an empty text;
 keys under min_chars code points (empty lines too) are never dropped; a key counts once a document, rows repeated in full count
@@ -24,13 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.bloom import TwiceSeen
+from tessella.llm.bloom import TwiceSeen, probes
 from tessella.llm.common import Scratch, lower_ascii, pick
 
 MIN_DOCS = 10
 MIN_CHARS = 1
-#: Beyond so many suspects (8 bytes each) or so many bytes of confirmed keys, the steps join by shuffle.
-FEW_SUSPECTS = 2_000_000
+#: Size of the filter of suspects at most, a power of two, and its bits a suspect as long as it is smaller.
+FILTER_BITS, BITS_EACH = 1 << 28, 16
+#: Beyond so many bytes of confirmed keys, lines join them by shuffle.
 FEW_KEY_BYTES = 16_000_000
 _STRIP = b" \t\n\x0b\x0c\r"
 NO_ID = 2**63 - 1
@@ -47,11 +48,14 @@ def _hashes(keys) -> np.ndarray:
 
 
 def _packed(shards: int, min_chars: int):
+    """(shard, hashes): the hashes of a batch. Two of a hash say all about it, so that the commonest lines are no load for their shard."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [h for text in batch.column("text").to_pylist() if len(h := _hashes({k for k in line_keys(text, min_chars) if k}))]
             if found:
-                every = np.concatenate(found)
+                values, counts = np.unique(np.concatenate(found), return_counts=True)
+                every = np.repeat(values, np.minimum(counts, 2))
                 shard = (every % np.uint64(shards)).astype(np.int32)
                 order = np.argsort(shard, kind="stable")
                 ids, starts = np.unique(shard[order], return_index=True)
@@ -70,23 +74,48 @@ def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(new.view(np.int64))], ["hash"])
 
 
-def _occurrences(few, min_chars: int):
-    """(hash, key, doc, text_md5, at): each distinct key of a document whose hash is in the sorted array ``few`` (None: every key)."""
+def _filter_words(bits: int):
+    """(word, mask) of the bits that suspects set in a filter of so many bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.concatenate(list(probes(batch.column("hash").to_numpy().view(np.uint64), bits)))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int32)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["word", "mask"])
+
+    return run
+
+
+def suspect_filter(suspects: DataFrame, most_bits: int = FILTER_BITS) -> np.ndarray:
+    """The Bloom filter of the distinct hashes in a written table, as 64-bit words. Its words are put together by Spark."""
+    bits = min(most_bits, 1 << max(10, (BITS_EACH * suspects.count() - 1).bit_length()))
+    words = suspects.mapInArrow(_filter_words(bits), "word int, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()  # bits / 64 rows at most
+    out = np.zeros(bits // 64, np.uint64)
+    out[words["word"].to_numpy()] = words["mask"].to_numpy().view(np.uint64)
+    return out
+
+
+def _held(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    found = np.ones(len(hashes), bool)
+    for at in probes(hashes, 64 * len(words)):
+        found &= (words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) != 0
+    return found
+
+
+def _occurrences(suspects, min_chars: int):
+    """(key, doc, at): each distinct key of a document whose hash the broadcast filter of suspects holds, and the key's first line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = None if few is None else few.value
+        wanted = suspects.value
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], []]
             for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 keys = line_keys(text, min_chars)
                 first = {k: i for i, k in reversed(list(enumerate(keys))) if k}
-                hashes = _hashes(first)
-                hit = np.ones(len(first), bool) if wanted is None else wanted[np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)] == hashes
-                for k, h, yes in zip(first, hashes.view(np.int64).tolist(), hit.tolist(), strict=True):
+                for k, yes in zip(first, _held(wanted, _hashes(first)).tolist(), strict=True):
                     if yes:
-                        for column, value in zip(out, (h, k, doc, first[k]), strict=True):
+                        for column, value in zip(out, (k, doc, first[k]), strict=True):
                             column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.binary(), pa.int64(), pa.int32()), strict=True)], ["hash", "key", "doc", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.binary(), pa.int64(), pa.int32()), strict=True)], ["key", "doc", "at"])
 
     return run
 
@@ -111,7 +140,7 @@ def _dropper(bad, min_chars: int, keep_first: bool, names: list[str], id_name: s
 
 
 def dedup_lines(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text"), min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, keep_first: bool = False,
-                few_suspects: int = FEW_SUSPECTS, few_key_bytes: int = FEW_KEY_BYTES) -> DataFrame:
+                filter_bits: int = FILTER_BITS, few_key_bytes: int = FEW_KEY_BYTES) -> DataFrame:
     """The given columns of docs with repeated lines dropped from text, and n_lines, n_dropped.
 
     A key in min_docs documents or more loses its lines everywhere; with keep_first its first line (smallest doc_id, then the
@@ -126,14 +155,8 @@ def dedup_lines(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text"),
     suspects = scratch.table(packed.repartitionById(shards, "shard").mapInArrow(_suspects, "hash long"), "suspects").distinct()
     suspects = scratch.table(suspects, "distinct-suspects")
 
-    schema = "hash long, key binary, doc long, at int"
-    if (n := suspects.count()) == 0:
-        rows = source.limit(0).mapInArrow(_occurrences(None, min_chars), schema)
-    elif n <= few_suspects:
-        few = spark.sparkContext.broadcast(np.sort(suspects.toArrow().column("hash").to_numpy().view(np.uint64)))
-        rows = source.mapInArrow(_occurrences(few, min_chars), schema)
-    else:
-        rows = source.mapInArrow(_occurrences(None, min_chars), schema).join(suspects, "hash", "left_semi")
+    held = spark.sparkContext.broadcast(suspect_filter(suspects, filter_bits))
+    rows = source.mapInArrow(_occurrences(held, min_chars), "key binary, doc long, at int")
     counted = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc", "at")).alias("first"))
     confirmed = scratch.table(counted.where(F.col("n") >= min_docs).select("key", "first.doc", "first.at"), "confirmed")
     size = confirmed.agg(F.sum(F.length("key") + 64)).first()[0] or 0
