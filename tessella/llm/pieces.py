@@ -3,15 +3,17 @@
 The automaton holds all pieces. One pass over a text reports, at each position and through the output links, every piece that ends
 there; the pass keeps for each position how the best segmentation up to it ends:
 
-* unigram models: Viterbi, the highest sum of piece scores;
+* unigram models: Viterbi, the highest sum of piece scores, of equal sums the one with the longer last piece. A character that is no
+  piece by itself can also be passed as unknown, for the lowest score less UNKNOWN_PENALTY. Sums are of 64 bits and begin at each word,
+  so a choice between sums that the library's 32 bits cannot tell apart may differ from it. User-defined symbols get no bonus;
 * BPE models: the last piece of what the merges would give for that prefix. Of the pieces that end at a position exactly one can
   follow the piece kept where it begins without the merges joining across the two, so relaxing means testing that. (Maximising the
   scores of a BPE model, which are merge ranks, gives other segmentations than the model's own.)
 
 Pieces have the meta symbol for a space only in front, so words are segmented one by one and their ids kept in a bounded table.
 
-Edge cases: a null text is encoded as the empty text and gives no pieces; characters without a piece become byte pieces, or the unknown
-piece in models without them; decoding restores the text the model normalised (a text that itself holds the meta symbol, or one that
+Edge cases: a null text is encoded as the empty text and gives no pieces; characters without a piece become byte pieces, or in models
+without them one unknown piece for a run of them; decoding restores the text the model normalised (a text that itself holds the meta symbol, or one that
 the model's own normaliser changes, does not round-trip and is reported as such).
 """
 
@@ -57,7 +59,7 @@ class Pieces:
         self.control = {i for i in range(n) if sp.is_control(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.dummy_prefix = sp.normalize("a").startswith(SPACE)
-        singles = {t for t in self.id if len(t) == 1}
+        self.singles = singles = {t for t in self.id if len(t) == 1}
         if any(SPACE in t.lstrip(SPACE) for t in self.id):
             raise ValueError("pieces with a space inside are not supported")
         self.word = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -146,26 +148,45 @@ class Pieces:
 
     # -- unigram -----------------------------------------------------------------------------------------------------
     def _viterbi(self, word: str) -> list[int]:
-        best, ends = [0.0] + [float("-inf")] * len(word), [-1] * (len(word) + 1)
-        for at, (size, i) in self.automaton.iter(word):
-            reach = best[at + 1 - size] + self.score[i]
-            if reach > best[at + 1]:
-                best[at + 1], ends[at + 1] = reach, i
-        return self._back(ends, word)
+        n, score, singles = len(word), self.score, self.singles
+        best, ends = [0.0] + [float("-inf")] * n, [-1] * (n + 1)
+        found = self.automaton.iter(word)
+        hit = next(found, None)
+        for end in range(1, n + 1):
+            while hit is not None and hit[0] < end:
+                size, i = hit[1]
+                reach = best[end - size] + score[i]
+                if reach > best[end]:
+                    best[end], ends[end] = reach, i
+                hit = next(found, None)
+            if word[end - 1] not in singles and best[end - 1] + self.low > best[end]:
+                best[end], ends[end] = best[end - 1] + self.low, -1
+        out: list[int] = []
+        at = n
+        while at:
+            if ends[at] < 0:
+                at -= 1
+                out += reversed(self._missing(word[at]))
+            else:
+                out.append(ends[at])
+                at -= self.size[ends[at]]
+        return out[::-1]
+
+    def _missing(self, char: str) -> list[int]:
+        """A character without a piece."""
+        return [self.bytes[b] for b in char.encode()] if self.bytes else [self.unknown]
 
     def _word(self, word: str) -> bytes:
-        segment = self._bpe if self.kind == "bpe" else self._viterbi
-        if SPACE * 2 in word and self.kind == "bpe":  # merges of equal score: a run of spaces is taken apart by the merges themselves
+        if self.kind == "unigram":
+            out = self._viterbi(word)
+        elif SPACE * 2 in word:  # merges of equal score: a run of spaces is taken apart by the merges themselves
             out = self._run(word)
         elif self.odd.search(word) is None:
-            out = segment(word)
+            out = self._bpe(word)
         else:
             out = []
             for k, part in enumerate(self.odd.split(word)):
-                if k % 2:
-                    out += [self.bytes[b] for b in part.encode()] if self.bytes else [self.unknown]
-                elif part:
-                    out += segment(part)
+                out += self._missing(part) if k % 2 else self._bpe(part) if part else []
         return struct.pack(f"<{len(out)}i", *out)
 
     def _run(self, word: str) -> list[int]:
@@ -197,7 +218,7 @@ class Pieces:
         out: list[int] = []
         for s in symbols:
             if s is not None:
-                out += [self.id[s]] if s in self.id else [self.bytes[b] for b in s.encode()] if self.bytes else [self.unknown]
+                out += [self.id[s]] if s in self.id else self._missing(s)
         return out
 
     # -- texts -------------------------------------------------------------------------------------------------------
@@ -212,7 +233,13 @@ class Pieces:
                 if len(word) <= 64:
                     kept[word] = ids
             out.append(ids)
-        return np.frombuffer(b"".join(out), "<i4")
+        ids = np.frombuffer(b"".join(out), "<i4")
+        if not self.bytes and len(ids):  # a run of unknown characters is one piece, also over words
+            gone = ids == self.unknown
+            gone[1:] &= gone[:-1].copy()
+            gone[0] = False
+            ids = ids[~gone]
+        return ids
 
     def decode(self, ids: np.ndarray) -> str:
         out: list[str] = []

@@ -6,7 +6,8 @@ appended to the cache: texts that occur once where they are read, repeated ones
 Nothing else about the text is normalised, because any other change could change its count.
 
 Edge cases: a null text counts as the empty text (0 tokens); strings of special tokens inside a text are treated as the library does
-by default; an empty table leaves the cache as it is and gives an empty result.
+by default; null doc_ids and rows repeated in full are counted each; a digest that two jobs appended at the same time counts once; an
+empty table leaves the cache as it is and gives an empty result.
 """
 
 from __future__ import annotations
@@ -75,6 +76,10 @@ class CountCache:
         spark.createDataFrame([], CACHE).write.mode("append").parquet(path)
 
     def counts(self, tokenizer: str) -> DataFrame:
+        """One row a digest, also where jobs at the same time appended the same one."""
+        return self.stored(tokenizer).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
+
+    def stored(self, tokenizer: str) -> DataFrame:
         return self.spark.read.schema(CACHE).parquet(self.path).where(F.col("tokenizer") == tokenizer).select("digest", "n_tokens")
 
     def append(self, tokenizer: str, counted: DataFrame) -> None:
@@ -91,7 +96,7 @@ def count_tokens(docs: DataFrame, path: str, cache: CountCache | None = None) ->
     rows = pick(docs, "doc_id", "text").select("doc_id", text.alias("text"), F.sha2(text.cast("binary"), 256).alias("digest"))
     keys = scratch.table(rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest"), "keys")
 
-    known = cache.counts(version)
+    known = cache.stored(version)
     repeated = keys.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest").join(known, "digest", "left_anti")
     repeated = scratch.table(repeated, "repeated")
     elsewhere = small_enough(scratch.table(keys.join(known, "digest", "left_semi").select("digest").distinct().union(repeated), "elsewhere"))
@@ -99,7 +104,8 @@ def count_tokens(docs: DataFrame, path: str, cache: CountCache | None = None) ->
     one = rows.join(small_enough(repeated), "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
     encode = lambda df: df.mapInArrow(_encoder(path), "digest string, n_tokens long")
     cache.append(version, scratch.table(encode(once).unionByName(encode(one)), "new"))
-    return keys.join(cache.counts(version), "digest")
+    counts = scratch.table(cache.counts(version), "counts")  # written, so that the join can split a digest that very many rows have
+    return keys.join(counts, "digest").select("doc_id", "n_bytes", "digest", "n_tokens")
 
 
 def op10_token_counts(spark, sf_dir: str) -> DataFrame:
