@@ -73,6 +73,19 @@ class Scratch:
     def read(self, name: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(f"{self.path}/{name}")
 
+    def bucketed(self, df: DataFrame, name: str, key: str, **options) -> DataFrame:
+        """Write df in buckets of ``key``, as many as shuffle partitions: grouping or joining by it does not shuffle these rows again."""
+        table = self._catalog_name(name)
+        df.write.options(**options).bucketBy(int(self.spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", f"{self.path}/{name}").saveAsTable(table)
+        return self.spark.table(table)
+
+    def drop_bucketed(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._catalog_name(name)}")
+        self.drop(name)
+
+    def _catalog_name(self, name: str) -> str:
+        return f"{self.path.rsplit('/', 1)[1]}_{name}".replace("-", "_")
+
     def drop(self, name: str) -> None:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")

@@ -39,7 +39,7 @@ from tessella.llm.toxicity import held_out
 ORDER = 4
 #: Characters whose n-grams a task sorts at once.
 CHUNK = 1_000_000
-BLOCK_BYTES = 20_000_000
+BLOCK_BYTES = 12_000_000
 LOW, HIGH = 0.01, 0.99
 #: log2 perplexity left beyond the quantiles, and the width of the steps in which quantiles are found.
 MARGIN, STEP = 0.1, 0.001
@@ -236,11 +236,11 @@ def _score(block: pa.Table, logs: pa.Table) -> pa.Table:
 def perplexity(docs: DataFrame, logs: DataFrame, scratch: Scratch, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row of (doc_id, lang, text): doc_id, lang, chars, log2p (mean a character; null without text or model).
 
-    logs: what Model.logs gives for the n-grams of docs. The blocks are written, so that a block keeps its documents if a task is repeated.
+    logs: what Model.logs gives for the n-grams of docs. The blocks are written, so that a block keeps its documents if a task is
+    repeated, and in buckets, so that only the n-grams are shuffled to meet them.
     """
     packed = docs.select("doc_id", "lang", "text").mapInArrow(_packer(block_bytes), "block long, docs binary")
-    packed.write.option("parquet.block.size", 16_000_000).parquet(f"{scratch.path}/blocks")
-    packed = scratch.read("blocks", packed)
+    packed = scratch.bucketed(packed, "blocks", "block", **{"parquet.block.size": 16_000_000})
     known = logs.withColumn("log2p", F.col("log2p").cast("float"))
     here = packed.mapInArrow(_distinct, "block long, lang string, gram long").join(known, ["lang", "gram"])
     return packed.groupBy("block").cogroup(here.groupBy("block")).applyInArrow(_score, "doc_id long, lang string, chars long, log2p double")
@@ -267,8 +267,8 @@ def judge(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HI
     model.drop()
     scratch.drop("counts")
     scored = scratch.table(perplexity(rows, logs, scratch).withColumn("bits", -F.col("log2p")), "scores")
-    for name in ("logs", "blocks"):
-        scratch.drop(name)
+    scratch.drop("logs")
+    scratch.drop_bucketed("blocks")
 
     outside = scored.join(small_enough(good.where("out")), F.col("doc_id") == F.col("of"), "left_semi").where("bits is not null")
     stray = F.lit(SPREAD) / F.sqrt(F.greatest("chars", F.lit(1)))
