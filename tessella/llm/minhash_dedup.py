@@ -4,15 +4,19 @@
 * A class gets two collections of COLLECTION sub-keys, each of ROWS minhashes. Table key (i, j) combines sub-key i of the first with
   sub-key j of the second: COLLECTION ** 2 tables of 2 * ROWS rows each from 2 * COLLECTION * ROWS minhashes. A pair with Jaccard s
   shares no key with probability below 2 * (1 - s ** ROWS) ** COLLECTION: 0.12 % at s = 0.75, 0.02 % at 0.8.
-* Candidates of a bucket: every class with the bucket's centre, never all pairs. Pairs whose minhashes agree in fewer than MIN_AGREE
-  places are left out (a pair with s = 0.75 does so with probability 3e-5). Candidates are confirmed on their full shingle sets, and
+* Candidates of a bucket: every class with the bucket's centre, never all pairs. Candidates are confirmed on their full shingle sets, and
   links are merged to components.
 * That is repeated ROUNDS times with other centres, each time for the classes that are in another component than the larger part of
   their bucket.
-* What that leaves is compared exactly: where classes with the same sub-key of the first collection still belong to several components,
-  every class outside the largest one is compared with all classes of other components there, on full sets, in the task that holds it.
-  No pairs are written, only the links that join two components. None is lost, whatever the size of a bucket; the work is that of the
-  classes left over, not of the bucket.
+* What that leaves is compared in full: where classes with the same sub-key of the first collection still belong to several components,
+  every class outside the largest one is compared with all classes of other components there. Sketches come first: FINE further
+  minhashes of each class that is left, SKETCH_ROWS of them held by a task while the group passes by. Texts are fetched only for classes
+  with a pair that its sketches leave, PART_ROWS held at once, and their full sets are compared. No pairs are written, only the links
+  that join two components. The work is that of the classes left over, not of the bucket; a family of templates below the threshold
+  costs sketches, not texts.
+
+What can be lost: pairs that share no table key, above; pairs whose minhashes agree in fewer than MIN_AGREE of HASHES places (3e-5 at
+s = 0.75) or, if left over, in fewer than FINE_AGREE of the further ones (below 1e-5).
 
 Edge cases: null and empty texts, and texts without words, have the empty set (n_shingles 0) and are linked with nothing, not even
 with each other; fewer words than a shingle make one shingle of all words; rows repeated in full, or with equal ids, fall in the class
@@ -28,7 +32,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.llm.bloom import mix64
@@ -42,11 +45,18 @@ COLLECTION, ROWS = 9, 2
 HASHES = 2 * COLLECTION * ROWS
 MIN_AGREE = 16
 ROUNDS = 3
-#: Members that are compared with one copy of a bucket's centre; classes left over in a bucket that are compared in one task.
-SITE_ROWS, PART_ROWS = 2000, 1000
+#: Members that are compared with one copy of a bucket's centre.
+SITE_ROWS = 2000
+#: Classes left over in a group of which a task holds the sketches, or the full sets.
+SKETCH_ROWS, PART_ROWS = 10_000, 1000
+#: Minhashes (a byte each) of a class left over, and how many of the first FINE_FIRST and of all of a pair's must agree: 4.5 deviations
+#: below what s = 0.75 gives.
+FINE, FINE_FIRST = 1024, 256
+FINE_AGREE, FIRST_AGREE = 705, 160
 
 #: Odd multipliers of a 64-bit hash: each permutes the shingles' hashes.
 _FACTORS = mix64(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
+_FINE_FACTORS = mix64(np.arange(1, FINE + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 _POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(64)]
 
 
@@ -63,13 +73,17 @@ def shingle_set(text: str | None, width: int = WORDS) -> np.ndarray:
     return np.unique(mixed)
 
 
-def minhashes(shingles: np.ndarray) -> np.ndarray:
-    out = np.full(HASHES, np.iinfo(np.uint64).max)
-    for at in range(0, len(shingles), 4096):
-        out = np.minimum(out, (shingles[None, at : at + 4096] * _FACTORS[:, None]).min(axis=1))
+def minhashes(shingles: np.ndarray, factors: np.ndarray = _FACTORS) -> np.ndarray:
+    out, step = np.full(len(factors), np.iinfo(np.uint64).max), max(1, 4096 * HASHES // len(factors))
+    for at in range(0, len(shingles), step):
+        out = np.minimum(out, (shingles[None, at : at + step] * factors[:, None]).min(axis=1))
     return out
 
 
+def fine_sketch(shingles: np.ndarray) -> bytes:
+    return (minhashes(shingles, _FINE_FACTORS) >> np.uint64(40)).astype(np.uint8).tobytes()
+
+
 def sub_keys(mins: np.ndarray) -> np.ndarray:
     """The first collection's sub-keys, then the second's."""
     out = np.zeros(2 * COLLECTION, np.uint64)
@@ -137,17 +151,32 @@ def confirm(pairs: DataFrame, source: DataFrame, classes: DataFrame, scratch: Sc
     b is the centre of a site. A site's members are dealt by a salt to parts of about SITE_ROWS members, each with its own copy of
     the centre, so that a centre with very many members is no single task. Texts are shuffled once, to their sites.
     """
-    sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / SITE_ROWS).cast("int").alias("parts"))
-    salted = pairs.join(sizes, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
+    hot = pairs.groupBy("b").agg(F.ceil(F.count("*") / SITE_ROWS).cast("int").alias("parts")).where("parts > 1").withColumnRenamed("b", "of")
+    hot = scratch.table(hot, f"hot-{scratch.serial()}")  # one row for every SITE_ROWS pairs at most
+    salted = pairs.join(small_enough(hot), F.col("b") == F.col("of"), "left").withColumn("salt", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int"))
     members = salted.select(F.col("a").alias("node"), F.col("b").alias("site"), "salt", F.lit(True).alias("member"))
     centres = salted.select(F.col("b").alias("node"), F.col("b").alias("site"), "salt", F.lit(False).alias("member")).distinct()
     roles = members.unionByName(centres).join(classes.select("node", F.col("one.doc_id").alias("rid"), F.col("one.tid").alias("rtid")), "node")
     roles = scratch.table(roles, f"roles-{scratch.serial()}")
-    texts = source.join(small_enough(roles), F.col("doc_id").eqNullSafe(F.col("rid")) & (F.col("tid") == F.col("rtid")))
-    placed = texts.select("site", "salt", "member", "node", "text").repartition("site", "salt").sortWithinPartitions("site", "salt", "member")
+    texts = _texts(source, roles, ["site", "salt", "member", "node"])
+    placed = texts.repartition("site", "salt").sortWithinPartitions("site", "salt", "member")
     return placed.mapInArrow(_compare(width, percent), "a long, b long").distinct()
 
 
+def _texts(source: DataFrame, roles: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of roles (written, with rid and rtid) and the text that they name; of rows repeated in full a task passes on one."""
+    found = source.join(small_enough(roles), F.col("doc_id").eqNullSafe(F.col("rid")) & (F.col("tid") == F.col("rtid"))).select(*columns, "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+        for batch in batches:
+            rows = list(zip(*(batch.column(c).to_pylist() for c in columns), strict=True))
+            new = [r not in seen and not seen.add(r) for r in rows]
+            yield batch if all(new) else batch.filter(pa.array(new, pa.bool_()))
+
+    return found.mapInArrow(run, found.schema)
+
+
 def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
     """Per document: doc_id, n_shingles, class_id (smallest doc_id of its class), component_id, kept."""
     alone = F.col("node").isNull()
@@ -203,7 +232,7 @@ def _placed(docs: DataFrame, width: int, percent: int, rounds: int) -> DataFrame
 def _shared(classes: DataFrame) -> DataFrame:
     """(key, at, node, n, sig) of the buckets with two classes or more. Keys alone are shuffled; signatures join what is left."""
     rows = classes.select("node", F.inline(table_keys(F.col("subs"))))
-    held = rows.withColumn("held", F.count("*").over(W.partitionBy("key"))).where("held > 1").drop("held")
+    held = rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key", "left_semi")
     return held.join(classes.select("node", F.col("n_shingles").alias("n"), "sig"), "node").select("key", "at", "node", "n", "sig")
 
 
@@ -231,42 +260,89 @@ def _leftovers(shared: DataFrame, labels: DataFrame, source: DataFrame, classes:
     """(a, b): links between the components that open buckets still hold.
 
     Pairs with a common table key have a common sub-key of the first collection, of which a class has COLLECTION only. The classes left
-    over there are dealt to parts of PART_ROWS, each with all classes of the group as a stream.
+    over there are dealt to parts, each with all classes of the group as a stream: first by sketches, then what those leave by full sets.
     """
-    nodes = _open_buckets(shared, labels).select("node").distinct()
+    nodes = scratch.table(_open_buckets(shared, labels).select("node").distinct(), "open-nodes")
+    named = classes.select("node", F.col("one.doc_id").alias("rid"), F.col("one.tid").alias("rtid"))
+    texts = _texts(source, scratch.table(named.join(small_enough(nodes), "node"), "fine-roles"), ["node"])
+    fine = scratch.table(texts.mapInArrow(_fine(width), "node long, fine binary"), "fine").dropDuplicates(["node"])
     sub_key = F.posexplode(F.slice("subs", 1, COLLECTION)).alias("at", "sub")
-    groups = classes.join(nodes, "node").select("node", F.col("n_shingles").alias("n"), "sig", "subs", sub_key).withColumn("key", F.xxhash64("at", "sub")).drop("sub")
+    groups = classes.join(fine, "node").select("node", F.col("n_shingles").alias("n"), "sig", "subs", "fine", sub_key).withColumn("key", F.xxhash64("at", "sub")).drop("sub")
     rows = _open_buckets(groups, labels).withColumn("minor", F.col("label") != F.col("top"))
-    rows = scratch.table(rows.select("key", "at", "node", "n", "sig", F.slice("subs", COLLECTION + 1, COLLECTION).alias("second"), "label", "minor"), "rest")
-    parts = rows.where("minor").groupBy("key").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
-    dealt = rows.join(parts, "key")
+    rows = scratch.table(rows.select("key", "at", "node", "n", "sig", F.slice("subs", COLLECTION + 1, COLLECTION).alias("second"), "fine", "label", "minor"), "rest")
+    parts = lambda size: F.ceil(F.count("*") / size).cast("int")
+    parts = scratch.table(rows.where("minor").groupBy("key").agg(parts(SKETCH_ROWS).alias("parts"), parts(PART_ROWS).alias("places")), "parts")
+    dealt = rows.join(small_enough(parts), "key").withColumn("place", F.pmod(F.xxhash64("node", F.lit(1)), F.col("places")).cast("int"))
     own = dealt.where("minor").withColumns({"part": F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), "role": F.lit(0)})
     every = dealt.withColumns({"part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "role": F.lit(1)})
-    places = scratch.table(own.unionByName(every).select("key", "part", "role", "node"), "places")
-    named = places.join(classes.select("node", F.col("one.doc_id").alias("rid"), F.col("one.tid").alias("rtid")), "node")
-    texts = source.join(small_enough(named), F.col("doc_id").eqNullSafe(F.col("rid")) & (F.col("tid") == F.col("rtid"))).select("key", "part", "role", "node", "text")
-    both = texts.join(rows, ["key", "node"]).select("key", "part", "role", "at", "node", "n", "sig", "second", "label", "minor", "text")
-    return both.repartition("key", "part").sortWithinPartitions("key", "part", "role").mapInArrow(_cross(width, percent), "a long, b long")
+    both = own.unionByName(every).drop("parts", "places").repartition("key", "part").sortWithinPartitions("key", "part", "role")
+    left = scratch.table(both.mapInArrow(_sketched(percent), "key long, part int, role int, node long").distinct(), "left")
+    roles = scratch.table(left.join(named, "node"), "left-roles")
+    whole = _texts(source, roles, ["key", "part", "role", "node"]).join(rows, ["key", "node"])
+    return whole.repartition("key", "part").sortWithinPartitions("key", "part", "role").mapInArrow(_cross(width, percent), "a long, b long")
+
+
+def _fine(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [fine_sketch(shingle_set(t.as_py(), width)) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], ["node", "fine"])
+
+    return run
+
+
+_ROW = ("key", "part", "role", "at", "node", "n", "label", "minor")
+
+
+def _rows(batch: pa.RecordBatch, extra: tuple[str, ...] = ()) -> Iterator[tuple[tuple, dict]]:
+    """(key, part) and the values of each row of a batch."""
+    if not batch.num_rows:
+        return
+    columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in (*_ROW, *extra)}
+    columns |= {c: batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1) for c in ("sig", "second")}
+    columns["fine"] = np.frombuffer(b"".join(batch.column("fine").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+    for k in range(batch.num_rows):
+        yield (columns["key"][k], columns["part"][k]), {c: v[k] for c, v in columns.items()}
+
+
+def _sketched(percent: int):
+    """Rows come sorted by (key, part, role). Gives the places (key, part, role, node) in which full sets have to be compared: the place of
+    a class held that has a pair left, with this class in role 0 and the other in role 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, part = None, None
+        for batch in batches:
+            out: list[tuple] = []
+            for here, row in _rows(batch, ("place",)):
+                if here != at:
+                    at, part = here, Part(percent)
+                if row["role"] == 0:
+                    part.hold(row)
+                else:
+                    places = {(p, int(part.own["node"][k])) for k in part.pairs(row) for p in (int(part.own["place"][k]),)}
+                    out += [(here[0], p, 0, node) for p, node in places] + [(here[0], p, 1, int(row["node"])) for p in {p for p, _ in places}]
+            out = list(dict.fromkeys(out))
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["key", "part", "role", "node"])
+
+    return run
 
 
 def _cross(width: int, percent: int):
-    """Rows come sorted by (key, part, role): a part's own classes are held, all classes of the group pass by."""
+    """Rows come sorted by (key, part, role): a part's own classes are held with their sets, the classes that they may be linked with pass by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, part = None, None
         for batch in batches:
-            columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "part", "role", "at", "node", "n", "label", "minor")}
-            columns |= {c: batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1) for c in ("sig", "second")}
             texts, links = batch.column("text"), []
-            for k in range(batch.num_rows):
-                here = (columns["key"][k], columns["part"][k])
+            for k, (here, row) in enumerate(_rows(batch)):
                 if here != at:
                     at, part = here, Part(percent)
-                row = {c: v[k] for c, v in columns.items()}
-                if columns["role"][k] == 0:
-                    part.hold(row, shingle_set(texts[k].as_py(), width))
+                read = lambda k=k, texts=texts: shingle_set(texts[k].as_py(), width)
+                if row["role"] == 0:
+                    part.hold(row, read())
                 else:
-                    links += part.links(row, lambda k=k, texts=texts: shingle_set(texts[k].as_py(), width))
+                    links += part.links(row, read)
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return run
@@ -276,23 +352,30 @@ class Part:
     """Classes left over in a group. A pair is compared at the first sub-key it shares, and only if nothing has joined its components yet."""
 
     def __init__(self, percent: int):
-        self.percent, self.rows, self.sets, self.own, self.joined = percent, [], [], None, {}
+        self.percent, self.rows, self.sets, self.joined = percent, [], [], {}
+        self._own: dict | None = None
 
-    def hold(self, row: dict, shingles: np.ndarray) -> None:
+    @property
+    def own(self) -> dict:
+        if self._own is None:
+            self._own = {c: np.array([r[c] for r in self.rows]) for c in (self.rows[0] if self.rows else ())}
+        return self._own
+
+    def hold(self, row: dict, shingles: np.ndarray | None = None) -> None:
         self.rows.append(row)
         self.sets.append(shingles)
+        self._own = None
 
     def root(self, label: int) -> int:
         while label in self.joined:
             label = self.joined[label]
         return label
 
-    def links(self, row: dict, shingles) -> list[tuple[int, int]]:
+    def pairs(self, row: dict) -> list[int]:
+        """The classes held that may be linked with this one, by size and sketches."""
         if not self.rows:
             return []
-        if self.own is None:
-            self.own = {c: np.array([r[c] for r in self.rows]) for c in ("node", "n", "label", "sig", "second")}
-        own, found, mine = self.own, [], None
+        own = self.own
         likely = (own["label"] != row["label"]) & (np.minimum(own["n"], row["n"]) * 100 >= np.maximum(own["n"], row["n"]) * self.percent)
         if row["minor"]:
             likely &= own["node"] < row["node"]
@@ -300,14 +383,21 @@ class Part:
         same = own["sig"][at] == row["sig"]
         first = same[:, : COLLECTION * ROWS].reshape(len(at), COLLECTION, ROWS).all(axis=2).argmax(axis=1)
         at = at[(same.sum(axis=1) >= MIN_AGREE) & (first == row["at"]) & (own["second"][at] == row["second"]).any(axis=1)]
-        for k in at.tolist():
-            a, b = self.root(int(own["label"][k])), self.root(int(row["label"]))
+        for size, agree in ((FINE_FIRST, FIRST_AGREE), (FINE, FINE_AGREE)):
+            if len(at):
+                at = at[np.count_nonzero(own["fine"][at, :size] == row["fine"][:size], axis=1) >= agree]
+        return at.tolist()
+
+    def links(self, row: dict, shingles) -> list[tuple[int, int]]:
+        found, mine = [], None
+        for k in self.pairs(row):
+            a, b = self.root(int(self.own["label"][k])), self.root(int(row["label"]))
             if a != b:
                 mine = shingles() if mine is None else mine
                 both = np.intersect1d(self.sets[k], mine, assume_unique=True).size
                 if 100 * both >= self.percent * (len(self.sets[k]) + len(mine) - both):
                     self.joined[a] = b
-                    found.append((int(own["node"][k]), int(row["node"])))
+                    found.append((int(self.own["node"][k]), int(row["node"])))
         return found
 
 
