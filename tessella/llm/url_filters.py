@@ -129,8 +129,8 @@ def op7_url_filters(spark, sf_dir: str) -> DataFrame:
 
 def oracle(steps: int = STEPS) -> str:
     """The same in SQL, the steps written out; it always takes all steps, which moves a mass by TOLERANCE at most."""
-    def spread(name: str, seed: str, edges: str) -> str:
-        out = f"{name}_s AS (SELECT src, dst, links / sum(links) OVER (PARTITION BY src) AS share FROM {edges}), {name}_b AS (SELECT host, {1 - DAMPING!r}::DOUBLE AS base FROM seeds WHERE {seed}), {name}_0 AS (SELECT host, base AS mass FROM {name}_b)"
+    def spread(name: str, seed: str, edges: str, by: str = "src") -> str:
+        out = f"{name}_s AS (SELECT src, dst, links / sum(links) OVER (PARTITION BY {by}) AS share FROM {edges}), {name}_b AS (SELECT host, {1 - DAMPING!r}::DOUBLE AS base FROM seeds WHERE {seed}), {name}_0 AS (SELECT host, base AS mass FROM {name}_b)"
         for k in range(1, steps + 1):
             out += f""", {name}_{k} AS (SELECT host, sum(mass) AS mass FROM (SELECT host, base AS mass FROM {name}_b UNION ALL SELECT s.dst, {DAMPING}::DOUBLE * m.mass * s.share FROM {name}_{k - 1} m JOIN {name}_s s ON m.host = s.src) GROUP BY host)"""
         return out
@@ -139,17 +139,24 @@ def oracle(steps: int = STEPS) -> str:
     ordered = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
     case = lambda f: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{f(r)}'" for r in ordered) + " END"
     host = lambda url: f"translate(regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}')"
+    path = lambda url: f"regexp_extract({url}, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+    share = lambda v: f"avg(CASE WHEN verdict = '{v}' THEN 1.0 ELSE 0.0 END) > {SEED_SHARE}"
+    part = lambda v: f"sum(CASE WHEN verdict = '{v}' THEN 1.0 ELSE 0.0 END) / count(*) > {SEED_SHARE}"
     return f"""
-WITH p AS (SELECT page_id, {host("coalesce(url, '')")} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, coalesce(html, '') AS html FROM pages),
+WITH p AS (SELECT page_id, {host("coalesce(url, '')")} AS host, {path("coalesce(url, '')")} AS path, coalesce(html, '') AS html FROM pages),
 r AS (SELECT *, {case(lambda r: r[1] + r[2])} AS rule, {case(lambda r: r[0])} AS verdict FROM p),
-seeds AS (SELECT host, avg(CASE WHEN verdict = 'allow' THEN 1.0 ELSE 0.0 END) > {SEED_SHARE} AS good, avg(CASE WHEN verdict = 'block' THEN 1.0 ELSE 0.0 END) > {SEED_SHARE} AS bad FROM r WHERE host != '' GROUP BY host),
 l AS (SELECT host AS src, unnest(regexp_extract_all(html, '(?i)href\\s*=\\s*["'']?((?:[a-z][a-z0-9+.-]*:)?//[^"''\\s>]+)', 1)) AS link FROM r WHERE host != ''),
-m AS (SELECT src, {host("CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END")} AS dst FROM l),
-edges AS (SELECT src, dst, count(*)::DOUBLE AS links FROM m WHERE dst != '' AND src != dst GROUP BY src, dst),
+u AS (SELECT src, CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END AS url FROM l),
+m AS (SELECT src, {host("url")} AS host, CASE WHEN {path("url")} = '' THEN '/' ELSE {path("url")} END AS path FROM u),
+n AS (SELECT *, {case(lambda r: r[0])} AS verdict FROM m WHERE host != '' AND src != host),
+edges AS (SELECT src, host AS dst, count(*)::DOUBLE AS links FROM n GROUP BY src, host),
 back AS (SELECT dst AS src, src AS dst, links FROM edges),
-{spread("t", "good", "edges")}, {spread("b", "bad", "back")}
-SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.verdict, CASE WHEN coalesce(b.mass, 0) >= {THRESHOLD} AND coalesce(b.mass, 0) > coalesce(t.mass, 0) THEN 'block' ELSE 'allow' END) AS verdict
-FROM r LEFT JOIN t_{steps} t ON r.host = t.host LEFT JOIN b_{steps} b ON r.host = b.host
+crawled AS (SELECT host, {share("allow")} AS good, {share("block")} AS bad FROM r WHERE host != '' GROUP BY host),
+seeds AS (SELECT * FROM crawled UNION ALL SELECT host, {part("allow")} AS good, {part("block")} AS bad FROM n WHERE host NOT IN (SELECT host FROM crawled) GROUP BY host),
+{spread("t", "good", "edges")}, {spread("b", "bad", "back")}, {spread("e", "bad", "back", "dst")}
+SELECT r.page_id, r.host, r.path, r.rule,
+  coalesce(r.verdict, CASE WHEN greatest(coalesce(b.mass, 0), coalesce(e.mass, 0)) >= {THRESHOLD} AND greatest(coalesce(b.mass, 0), coalesce(e.mass, 0)) > coalesce(t.mass, 0) THEN 'block' ELSE 'allow' END) AS verdict
+FROM r LEFT JOIN t_{steps} t ON r.host = t.host LEFT JOIN b_{steps} b ON r.host = b.host LEFT JOIN e_{steps} e ON r.host = e.host
 """
 
 

@@ -201,6 +201,53 @@ def near_copies(rng, base, n, changes):
     return out
 
 
+def test_templates_below_the_threshold_cost_no_texts(spark, monkeypatch):
+    """A family of templates, 0.6 alike: what the left-over pass writes grows with the family, not with its square, and no text is fetched."""
+    common_part = " ".join(f"t{i}" for i in range(64))
+    written = {}
+
+    def table_of(self, df, name, mode="errorifexists", write=common.Scratch.table):
+        out = write(self, df, name, mode)
+        written[name] = written.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(common.Scratch, "table", table_of)
+    sizes = []
+    for n in (500, 2000):
+        written.clear()
+        texts = [f"{common_part} " + " ".join(f"u{i}x{k}" for k in range(20)) for i in range(n)]
+        texts += [texts[7] + " more", texts[9] + " end"]
+        got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(table(spark, texts)).collect()}
+        assert [got[i] for i in range(n + 2)] == [*range(n), 7, 9]
+        sizes.append({k: v for k, v in written.items() if not k.startswith("star")})
+    assert sizes[1]["left"] <= 40 and sizes[1]["open-nodes"] >= 1900  # the pairs that are links, if the rounds left them
+    assert all(sizes[1][k] <= 4.6 * v + 200 for k, v in sizes[0].items())
+
+
+def test_left_over_links_are_found(spark, monkeypatch):
+    """Without any round the left-over pass alone finds all links, over several parts."""
+    for name, value in (("SKETCH_ROWS", 7), ("PART_ROWS", 3)):
+        monkeypatch.setattr(minhash_dedup, name, value)
+    rng = np.random.default_rng(14)
+    base = [prose(rng, 60).split() for _ in range(4)]
+    texts = []
+    for i in range(60):
+        words = list(base[i % 4])
+        for _ in range(int(rng.integers(0, 5))):
+            words[int(rng.integers(0, 60))] = f"z{i}"
+        texts.append(" ".join(words))
+    sets, want = brute_groups(texts)
+    monkeypatch.setattr(minhash_dedup, "_centre_pairs", lambda open_, step, keep=minhash_dedup._centre_pairs: keep(open_, step).where("a % 5 = 0"))
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(table(spark, texts), rounds=1).collect()}
+    assert [got[i] for i in range(60)] == [want[i] for i in range(60)]
+
+
+def test_near_duplicates_of_rows_repeated_in_full(spark):
+    rows = [(None, "one two three four five six")] * 30 + [(4, "one two three four five six seven")] * 5 + [(4, "other words altogether in this one here")] * 2
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.component_id, r.n_shingles) for r in got) == {(None, None, 2): 30, (4, 4, 3): 5, (4, 4, 4): 2}
+
+
 def test_near_duplicates_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(minhash_dedup, "SITE_ROWS", 7)
     monkeypatch.setattr(minhash_dedup, "PART_ROWS", 5)
@@ -257,6 +304,57 @@ def test_pieces_equal_the_library(spark):
     assert one.ids_sha256 == hashlib.sha256(ids.tobytes()).hexdigest() and one.round_trip
 
 
+def model_of(pieces_, kind, byte_fallback):
+    """A model file in memory with the given (piece, score, type) vocabulary. Nothing is trained: only the file format is written out."""
+    import struct
+
+    def number(n):
+        out = b""
+        while n >= 128:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    field = lambda i, data: number(i << 3 | 2) + number(len(data)) + data
+    flag = lambda i, n: number(i << 3) + number(n)
+    out = b"".join(field(1, field(1, p.encode()) + number(2 << 3 | 5) + struct.pack("<f", s) + flag(3, t)) for p, s, t in pieces_)
+    return out + field(2, flag(3, kind) + flag(35, int(byte_fallback))) + field(3, field(1, b"identity") + flag(3, 1) + flag(4, 0) + flag(5, 1))
+
+
+NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
+
+
+@pytest.mark.parametrize("byte_fallback", [False, True])
+@pytest.mark.parametrize("spaces", [True, False])
+def test_unigram_is_the_library(byte_fallback, spaces):
+    """Random vocabularies, also with letters that are no pieces by themselves, and without the meta symbol as a piece."""
+    import sentencepiece
+
+    rng = np.random.default_rng(21)
+    letters = "abcdefgh"
+    for round_ in range(6):
+        vocabulary = {"".join(rng.choice(list(letters), int(rng.integers(2, 6)))) for _ in range(60)}
+        vocabulary |= {pieces.SPACE + w for w in list(vocabulary)[:25]} | set(letters[: 8 - round_]) | ({pieces.SPACE} if spaces else set())
+        special = [("<unk>", 0.0, UNKNOWN), ("<s>", 0.0, CONTROL), ("</s>", 0.0, CONTROL)] + [(f"<0x{b:02X}>", 0.0, BYTE) for b in range(256) if byte_fallback]
+        proto = model_of(special + [(w, float(-rng.uniform(1, 9)), NORMAL) for w in sorted(vocabulary)], 1, byte_fallback)
+        library, own = sentencepiece.SentencePieceProcessor(model_proto=proto), pieces.Pieces(kind="unigram", proto=proto)
+        texts = [" ".join("".join(rng.choice(list(letters + "zé☃"), int(rng.integers(1, 12)))) for _ in range(int(rng.integers(1, 9)))) for _ in range(60)]
+        for text in [*texts, "", " ", "ΩΨ", "ab ☃☃☃ ☃ cd", "  ab   z", "☃", None]:
+            assert own.encode(text).tolist() == library.encode(text or ""), text
+
+
+@pytest.mark.parametrize("byte_fallback", [False, True])
+def test_bpe_unknowns_are_the_library(byte_fallback):
+    import sentencepiece
+
+    words = [pieces.SPACE, "a", "b", "c", "ab", "abc", pieces.SPACE + "a", pieces.SPACE + "ab", "bc", "ca"]
+    special = [("<unk>", 0.0, UNKNOWN), ("<s>", 0.0, CONTROL), ("</s>", 0.0, CONTROL)] + [(f"<0x{b:02X}>", 0.0, BYTE) for b in range(256) if byte_fallback]
+    proto = model_of(special + [(w, float(-i), NORMAL) for i, w in enumerate(sorted(words, key=len, reverse=True))], 2, byte_fallback)
+    library, own = sentencepiece.SentencePieceProcessor(model_proto=proto), pieces.Pieces(proto=proto)
+    rng = np.random.default_rng(22)
+    for text in ["", "abcabc", "a☃☃b ☃", "ΩΨ", *("".join(rng.choice(list("abc z☃"), 20)) for _ in range(200))]:
+        assert own.encode(text).tolist() == library.encode(text), text
+
+
 # -- lines ---------------------------------------------------------------------------------------------------------------
 def brute_lines(texts, least):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(ASCII)
@@ -269,11 +367,11 @@ def brute_lines(texts, least):
     return out
 
 
-@pytest.mark.parametrize("few", [(2_000_000, 16_000_000), (0, 16_000_000), (2_000_000, -1)])
+@pytest.mark.parametrize("few", [(1 << 28, 10**9), (64, 10**9), (64, -1)])
 def test_lines(spark, few):
     rng = np.random.default_rng(7)
     texts = ODD + ["\n".join(("  Common LINE\t", "common line", f"own {i}", *rng.choice(["red", "green", "", "Blue "], 3), "\x0c")) for i in range(40)] + ["red", "red\nred"]
-    got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in line_dedup.dedup_lines(table(spark, texts), few_suspects=few[0], few_key_bytes=few[1]).collect()}
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in line_dedup.dedup_lines(table(spark, texts), filter_bits=few[0], few_key_bytes=few[1]).collect()}
     assert [got[i] for i in range(len(texts))] == brute_lines(texts, 10)
 
 
@@ -297,6 +395,29 @@ def test_every_repeated_hash_is_reported(shards, places):
     assert sum(map(len, rounds[0])) < 0.01 * len(hashes)  # reports of hashes seen once
 
 
+def test_suspect_filter_holds_all_and_little_else(spark):
+    hashes = bloom.mix64(np.arange(1, 5001, dtype=np.uint64))
+    df = spark.createDataFrame([(int(h),) for h in hashes.view(np.int64)[:2500]], "hash long")
+    words = line_dedup.suspect_filter(df)
+    held = line_dedup._held(words, hashes)
+    assert held[:2500].all() and held[2500:].mean() < 0.02 and len(words) * 64 <= 32 * 2500
+    assert line_dedup._held(line_dedup.suspect_filter(df, 256), hashes).all()  # a full filter lets all pass
+    assert not line_dedup._held(line_dedup.suspect_filter(df.limit(0)), hashes).any()
+
+
+def test_common_lines_are_no_load():
+    """A line of every document sends two hashes a batch to its shard, not one a document."""
+    batch = line_dedup.pa.RecordBatch.from_pydict({"text": [f"same\nown {i}" for i in range(1000)]})
+    (out,) = line_dedup._packed(1, 1)(iter([batch]))
+    assert len(out.column("hashes")[0].as_py()) == 8 * 1002
+
+
+def test_lines_of_repeated_rows_and_null_ids(spark):
+    rows = [(None, "x\ny")] * 4 + [(1, "x\nz")] * 6 + [(2, "y"), (None, None)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got) == {(None, "y", 2, 1): 4, (1, "z", 2, 1): 6, (2, "y", 1, 0): 1, (None, "", 1, 0): 1}
+
+
 def test_first_line_can_stay(spark):
     rows = line_dedup.dedup_lines(table(spark, ["a\nx", "x\nb", "x"]), min_docs=3, keep_first=True).orderBy("doc_id").collect()
     assert [r.text for r in rows] == ["a\nx", "b", ""]
@@ -366,6 +487,57 @@ def test_filters_are_probed():
 
 
 # -- urls ----------------------------------------------------------------------------------------------------------------
+def brute_rank(edges, seeds, by):
+    """Personalised PageRank by hand: by="src" divides a host's mass among its links, by="dst" weighs a link among those into its end."""
+    total = Counter()
+    for (a, b), n in edges.items():
+        total[a if by == "src" else b] += n
+    base = {h: 0.15 * v for h, v in seeds.items()}
+    mass = dict(base)
+    for _ in range(url_filters.STEPS):
+        after = defaultdict(float, base)
+        for (a, b), n in edges.items():
+            if a in mass:
+                after[b] += 0.85 * mass[a] * n / total[a if by == "src" else b]
+        mass = dict(after)
+    return mass
+
+
+def test_propagation_is_page_rank(spark):
+    """Cycles, hosts without links, a hot host that everything links to, and several links between the same hosts."""
+    rng = np.random.default_rng(31)
+    edges = Counter()
+    for _ in range(300):
+        a, b = (f"h{int(x)}" for x in rng.integers(0, 60, 2))
+        if a != b and a not in ("h3", "h4"):  # two hosts without links of their own
+            edges[a, b] += int(rng.integers(1, 4))
+    edges |= {(f"h{i}", "hot"): 1 for i in range(60)} | {("hot", "h1"): 7, ("h1", "h2"): 1, ("h2", "h1"): 1}
+    seeds = {"h1": 1.0, "hot": 1.0, "h3": 1.0, "far": 1.0}
+    frame = spark.createDataFrame([(a, b, float(n)) for (a, b), n in edges.items()], "src string, dst string, links double")
+    for by in ("src", "dst"):
+        got = {r.host: r.mass for r in url_filters.propagate(spark.createDataFrame(list(seeds.items()), "host string, seed double"), frame, common.Scratch(spark), "x", by).collect()}
+        want = brute_rank(edges, seeds, by)
+        assert set(want) == set(got) and all(got[h] == pytest.approx(m, abs=1e-5) for h, m in want.items())
+
+
+def test_verdicts_of_linked_pages_match_sql(spark):
+    """Pages with links between hosts: the SQL, the propagation by hand and the verdicts agree; hosts that are only linked to are seeds."""
+    import duckdb
+    import pandas as pd
+
+    rng = np.random.default_rng(32)
+    names = [f"h{i}.com" for i in range(25)] + ["a.net", "b.net", "c.org", "d.org", "example.com", "example.net"]
+    rows = []
+    for i in range(150):
+        links = "".join(f'<a href="{rng.choice(["http:", "https:", ""])}//{rng.choice([*names, "gone.net", "good.org"])}{rng.choice(["", "/fr/x", "/de/y", "/en/", "/z?q#f"])}">' for _ in range(int(rng.integers(0, 4))))
+        rows.append((i, None if i % 37 == 0 else f"https://{rng.choice(names)}{rng.choice(['', '/fr/x', '/de/y', '/en/', '/z'])}", links if i % 11 else None))
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filters.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(rows, columns=["page_id", "url", "html"]))
+    want = {r[0]: r[1:] for r in con.execute(url_filters.ORACLE).fetchall()}
+    assert got == want and {v for _, _, rule, v in got.values() if rule is None} == {"allow", "block"}
+
+
 def test_url_rules_and_trust(spark):
     link = lambda *hosts: "".join(f'<a href="http://{h}/x">y</a>' for h in hosts)
     rows = [
@@ -556,3 +728,16 @@ def test_token_counts_and_cache(spark, tmp_path):
     got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(table(spark, texts), model, cache).collect()}
     assert got == {i: len(sp.encode(t or "")) for i, t in enumerate(texts)}
     assert token_counts.count_tokens(table(spark, []), path, cache).count() == 0
+
+
+def test_token_cache_filled_twice(spark, tmp_path):
+    """Two jobs that appended the same digests: no document is returned twice; null ids and repeated rows are counted each."""
+    path = token_counts.public_path(token_counts.TOKENIZER)
+    docs = spark.createDataFrame([(None, "one two")] * 2 + [(1, "one two"), (2, "three"), (2, "three")], "doc_id long, text string")
+    cache = token_counts.CountCache(spark, f"{tmp_path}/cache")
+    want = sorted(map(repr, token_counts.count_tokens(docs, path, cache).collect()))
+    version = token_counts.file_digest(path)
+    for n in (1, 2):
+        cache.append(version, common.Scratch(spark).table(cache.stored(version), "again"))
+        assert cache.stored(version).count() == 2 ** (n + 1)
+        assert sorted(map(repr, token_counts.count_tokens(docs, path, cache).collect())) == want and len(want) == 5
