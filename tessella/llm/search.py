@@ -6,12 +6,14 @@
 * Search: queries go in blocks of about QUERY_BYTES, each broadcast, to the tasks that read the shards. A task keeps the k best of each
   query over its shards, so the threshold of a query only rises from shard to shard. The tasks' results are merged by rank.
 * Pruning: BLOCK documents with neighbouring numbers are a block, and each list knows the largest impact it has in a block.
-  1. The block maxima of a query's lists bound every score in a block. Without a threshold yet, the FIRST_BLOCKS blocks with the highest
+  1. Lists that at least one in DENSE documents has (a few hundred of some 400,000) are not worth skipping. They are rows of a matrix, and
+     one product adds them up for BATCH queries. All else works on the other lists, with these sums as exact parts of the bounds.
+  2. The block maxima of a query's lists bound every score in a block. Without a threshold yet, the FIRST_BLOCKS blocks with the highest
      bounds are scored to get one. Blocks whose bound is lower than the threshold are skipped, postings and all.
-  2. Lists are set aside as long as their largest impacts together stay below the threshold, first those that cost most postings for
-     the score they can give. A document that stands in these lists only cannot be found. The other, essential lists give candidates.
-  3. A candidate stays if what it has, and the block maxima of the lists set aside, reach the threshold; first the lists that at least
-     one in DENSE documents has are added (kept as a matrix by document), then the rest, for the candidates that are left.
+  3. In each other block, lists are set aside as long as their largest impacts there stay below what the threshold still asks for, first
+     those that cost most postings for the score they can give. The rest of the lists give the candidates.
+  4. A candidate stays if what it has, and the block maxima of the lists set aside, reach the threshold. Only blocks with such a candidate
+     have the lists set aside read.
   As in block-max WAND nothing is lost by that; cursors that move document by document would be slow in Python.
 
 A query is a whole text with all its distinct words, each weighted by its frequency in the query. Words are runs of other than white
@@ -42,7 +44,7 @@ TOP = 10
 #: Every row whose id it divides is a query.
 QUERY_EVERY = 50
 #: A shard ends after so many postings or documents (whose numbers have 16 bits).
-SHARD_POSTINGS, SHARD_DOCS = 2_000_000, 60_000
+SHARD_POSTINGS, SHARD_DOCS = 2_500_000, 60_000
 #: Input partitions of fewer rows are read together.
 PARTITION_ROWS = 5_000
 #: Bytes of queries that are broadcast at once.
@@ -50,8 +52,10 @@ QUERY_BYTES = 32_000_000
 #: Documents of a block; blocks that are scored when a query has no threshold yet.
 BLOCK, FIRST_BLOCKS = 32, 8
 DIGITS = 6
-#: Lists of at least one in so many documents are kept by document.
-DENSE = 8
+#: Lists of at least one in so many documents are kept as rows of a matrix.
+DENSE = 24
+#: Queries whose parts from the matrix are computed at once.
+BATCH = 64
 #: Bounds are compared with this slack, so that rounding cannot hide a result.
 SLACK = 1e-5
 NO_ID = 2**63 - 1
@@ -163,19 +167,19 @@ class Shard:
         new[self.begin] = True
         new[1:-1] |= block[1:] != block[:-1]
         self.part = np.flatnonzero(new)  # where each (list, block) begins
-        self.part_block = block[self.part[:-1]]
+        self.part_block = block[self.part[:-1]].astype(np.uint16)
         self.part_begin = np.searchsorted(self.part, self.begin)
         self.part_max = np.maximum.reduceat(self.impact, self.part[:-1]) if len(block) else np.empty(0)
-        self.list_max = np.maximum.reduceat(self.part_max, self.part_begin[:-1]) if len(block) else np.empty(0)
+        most = np.maximum.reduceat(self.part_max, self.part_begin[:-1]) if len(block) else np.empty(0)
+        self.cost = df / most  # postings for what a list can give
         common = np.flatnonzero(df * DENSE >= self.n)
         self.row = np.full(len(term), -1)
         self.row[common] = np.arange(len(common))
-        self.dense, self.dense_max = np.zeros((self.n, len(common))), np.zeros((self.blocks, len(common)))
+        self.dense = np.zeros((len(common), self.n))
         for k, i in enumerate(common.tolist()):
             a, b = self.begin[i : i + 2]
-            self.dense[self.doc[a:b], k] = self.impact[a:b]
-            a, b = self.part_begin[i : i + 2]
-            self.dense_max[self.part_block[a:b], k] = self.part_max[a:b]
+            self.dense[k, self.doc[a:b]] = self.impact[a:b]
+        self.starts = np.arange(self.blocks) * BLOCK
 
     @classmethod
     def of(cls, row: dict[str, pa.Scalar], average: float) -> Shard:
@@ -185,107 +189,125 @@ class Shard:
         kinds = (("ids", np.int64), ("lengths", np.int32), ("terms", np.int64), ("dfs", np.int32))
         return cls(*(np.frombuffer(row[c].as_buffer(), kind) for c, kind in kinds), numbers, np.frombuffer(tfs, np.int32 if len(numbers) * 4 == tfs.size else np.uint16).astype(np.float64), average)
 
-    def find(self, terms: np.ndarray, weights: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray, int]:
-        """Numbers and scores of documents, with all of the k best that reach ``least`` among them, and how many blocks were scored."""
-        query = _Query(self, terms, weights)
+    def lists(self, terms: np.ndarray) -> np.ndarray:
+        """Numbers of the lists of these sorted terms; -1 where there is none."""
+        at = np.minimum(self.term.searchsorted(terms), max(0, len(self.term) - 1))
+        return np.where(self.term[at] == terms, at, -1) if len(self.term) else np.full(len(terms), -1)
+
+    def common(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the lists of the matrix give each document, for each query (lists and weights)."""
+        weights = np.zeros((len(queries), len(self.dense)))
+        for out, (at, w) in zip(weights, queries, strict=True):
+            row = self.row[at]
+            out[row[row >= 0]] = w[row >= 0]
+        return weights @ self.dense
+
+    def find(self, base: np.ndarray, lists: np.ndarray, weights: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray, int]:
+        """Numbers and scores of documents, with all of the k best that reach ``least`` among them, and how many blocks were scored.
+
+        base: what the lists of the matrix give each document.
+        """
+        query = _Query(self, base, lists, weights)
         found, scored = [], np.zeros(self.blocks, bool)
-        if len(query.at) and least <= 0:
-            scored[np.argsort(-query.bound, kind="stable")[:FIRST_BLOCKS]] = True
+        if least <= 0:
+            scored[(-query.bound).argsort(kind="stable")[:FIRST_BLOCKS]] = True
             docs = np.flatnonzero(scored[np.arange(self.n) // BLOCK])
             found.append((docs, query.whole(scored, docs)))
             least = np.partition(found[0][1], len(docs) - k)[len(docs) - k] if len(docs) >= k else 0.0
-        if len(query.at):
-            docs, scores, blocks = query.candidates(~scored, least - SLACK)
-            found.append((docs, scores))
-            scored |= blocks
-        docs, scores = (np.concatenate([f[i] for f in found]) if found else np.empty(0, (np.int64, np.float64)[i]) for i in (0, 1))
+        docs, scores, blocks = query.candidates(~scored, least - SLACK)
+        found.append((docs, scores))
+        scored |= blocks
+        docs, scores = (np.concatenate([f[i] for f in found]) for i in (0, 1))
         here = scores > 0
         return docs[here], scores[here], int(scored.sum())
 
 
 class _Query:
-    """A query's lists in a shard, first the ones that cost the fewest postings for the score they can give."""
-
-    def __init__(self, shard: Shard, terms: np.ndarray, weights: np.ndarray):
-        self.shard = shard
-        at = np.minimum(np.searchsorted(shard.term, terms), max(0, len(shard.term) - 1))
-        hit = shard.term[at] == terms if len(shard.term) else np.zeros(len(terms), bool)
-        at, weights = at[hit], weights[hit]
-        most = weights * shard.list_max[at]
-        order = np.argsort((shard.begin[at + 1] - shard.begin[at]) / most, kind="stable")
-        order = np.concatenate([order[shard.row[at[order]] < 0], order[shard.row[at[order]] >= 0]])  # lists of the matrix last
-        self.at, self.weight, most = at[order], weights[order], most[order]
-        self.rest = np.cumsum(most[::-1])[::-1]  # what this list and those after it can give
-        self.sparse = int((shard.row[self.at] < 0).sum())
-        self.dense = self._dense(0)
-        begin, end = shard.part_begin[self.at[: self.sparse]], shard.part_begin[self.at[: self.sparse] + 1]
-        self.parts, self.sizes = _spread(begin, end), end - begin
-        self.part_weight = np.repeat(self.weight[: self.sparse], self.sizes)
-        self.part_block = shard.part_block.take(self.parts)
-        self.part_max = shard.part_max.take(self.parts) * self.part_weight
-        self.bound = _sums(self.part_block, self.part_max, shard.blocks) + shard.dense_max @ self.dense
-
-    def _dense(self, begin: int, end: int | None = None) -> np.ndarray:
-        """Weights by column of the matrix, of its lists from begin to end in the order of the query."""
-        out, columns = np.zeros(self.shard.dense.shape[1]), self.shard.row[self.at[begin:end]]
-        out[columns[columns >= 0]] = self.weight[begin:end][columns >= 0]
-        return out
+    """A query's lists in a shard: by block, first the ones that cost the fewest postings for the score they can give."""
+
+    def __init__(self, shard: Shard, base: np.ndarray, at: np.ndarray, weights: np.ndarray):
+        self.shard, self.base = shard, base
+        sparse = shard.row.take(at) < 0
+        at, weights = at[sparse], weights[sparse]
+        order = (shard.cost.take(at) / weights).argsort(kind="stable")
+        at = at.take(order)
+        begin, end = shard.part_begin.take(at), shard.part_begin.take(at + 1)
+        parts, weight = _spread(begin, end), weights.take(order).repeat(end - begin)
+        block = shard.part_block.take(parts)
+        order = block.argsort(kind="stable")  # by block, in the order of the lists
+        self.block, self.parts, self.weight = block.take(order), parts.take(order), weight.take(order)
+        self.most = shard.part_max.take(self.parts)
+        self.most *= self.weight
+        sums = np.zeros(len(parts) + 1)
+        self.most.cumsum(out=sums[1:])
+        ends = sums.take(np.bincount(block, minlength=shard.blocks).cumsum())
+        base_bound = np.maximum.reduceat(base, shard.starts)
+        self.bound = base_bound + ends
+        self.bound[1:] -= ends[:-1]
+        self.rest = (ends + base_bound).take(self.block)  # what this part, those after it in the block and the matrix can give
+        self.rest -= sums[:-1]
 
     def _add(self, picked: np.ndarray) -> np.ndarray:
         """What the postings of the picked parts give each document."""
-        part = self.parts.take(picked)
-        begin, end = self.shard.part.take(part), self.shard.part.take(part + 1)
+        shard, part = self.shard, self.parts.take(picked)
+        begin, end = shard.part.take(part), shard.part.take(part + 1)
         postings = _spread(begin, end)
-        return _sums(self.shard.doc.take(postings), self.shard.impact.take(postings) * np.repeat(self.part_weight.take(picked), end - begin), self.shard.n)
+        gives = shard.impact.take(postings)
+        gives *= self.weight.take(picked).repeat(end - begin)
+        return _sums(shard.doc.take(postings), gives, shard.n)
 
     def whole(self, blocks: np.ndarray, docs: np.ndarray) -> np.ndarray:
         """Scores of the documents of some blocks."""
-        return self._add(np.flatnonzero(blocks[self.part_block]))[docs] + self.shard.dense[docs] @ self.dense
+        return (self.base + self._add(blocks.take(self.block).nonzero()[0]))[docs]
 
     def candidates(self, blocks: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Numbers and scores of the documents in these blocks that may reach ``least``, and the blocks in which scores were completed."""
-        shard, sparse = self.shard, self.sparse
+        shard, wanted = self.shard, np.zeros(self.shard.blocks, bool)
         blocks = blocks & (self.bound >= least)
-        none = np.empty(0, np.int64), np.empty(0), np.zeros(shard.blocks, bool)
-        needed = int((self.rest >= least).sum())  # the lists from here on cannot reach it together
-        if not needed or not blocks.any():
-            return none
-        own = int(self.sizes[: min(needed, sparse)].sum())
-        score = self._add(np.flatnonzero(blocks[self.part_block[:own]]))
-        aside = self._dense(max(needed, sparse))
-        if needed > sparse:
-            score += shard.dense @ (self.dense - aside)
-        later = _sums(self.part_block[own:], self.part_max[own:], shard.blocks)  # of the sparse lists set aside
-        bound = np.where(blocks, later + shard.dense_max @ aside, -np.inf)
-        docs = np.flatnonzero((score > 0) & (score + np.repeat(bound, BLOCK)[: shard.n] >= least))
-        score = score[docs] + shard.dense[docs] @ aside
-        here = score + later[docs // BLOCK] >= least
-        docs, score = docs[here], score[here]
-        wanted = none[2]
+        if not blocks.any():
+            return np.empty(0, np.int64), np.empty(0), wanted
+        needed = self.rest >= least
+        needed &= blocks.take(self.block)
+        score = self.base + self._add(needed.nonzero()[0])
+        aside = (~needed).nonzero()[0]
+        block = self.block.take(aside)
+        later = _sums(block, self.most.take(aside), shard.blocks)
+        later[~blocks] = -np.inf
+        docs = (score + later.repeat(BLOCK)[: shard.n] >= least).nonzero()[0]
         wanted[docs // BLOCK] = True
-        score = score + self._add(np.flatnonzero(wanted[self.part_block[own:]]) + own)[docs]
-        return docs, score, wanted
+        return docs, score[docs] + self._add(aside[wanted.take(block)])[docs], wanted
 
 
 class Best:
     """The k best documents of each query so far. A query is its terms and weights."""
 
     def __init__(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int):
-        self.queries, self.k = queries, k
+        self.k = k
+        self.terms, at = np.unique(np.concatenate([np.empty(0, np.int64), *(q[0] for q in queries)]), return_inverse=True)
+        self.queries = list(zip(np.split(at, np.cumsum([len(q[0]) for q in queries])[:-1]), (q[1] for q in queries), strict=True)) if queries else []
         self.ids, self.scores = [np.empty(0, np.int64)] * len(queries), [np.empty(0)] * len(queries)
         self.blocks = self.scored = 0
 
     def visit(self, shard: Shard) -> None:
-        for q, (terms, weights) in enumerate(self.queries):
-            least = self.scores[q][-1] if len(self.scores[q]) == self.k else 0.0
-            docs, scores, scored = shard.find(terms, weights, self.k, least)
-            self.blocks += shard.blocks
-            self.scored += scored
-            if len(docs):
-                ids, scores = np.concatenate([self.ids[q], shard.ids[docs]]), np.concatenate([self.scores[q], np.round(scores, DIGITS)])
-                ids, scores = ids[scores > 0], scores[scores > 0]
-                order = np.lexsort((ids, -scores))[: self.k]
-                self.ids[q], self.scores[q] = ids[order], scores[order]
+        lists = shard.lists(self.terms)
+        for begin in range(0, len(self.queries), BATCH):
+            asked = []
+            for terms, weights in self.queries[begin : begin + BATCH]:
+                at = lists.take(terms)
+                asked.append((at[at >= 0], weights[at >= 0]))
+            for q, (base, (at, weights)) in enumerate(zip(shard.common(asked), asked, strict=True), begin):
+                self._one(shard, q, base, at, weights)
+
+    def _one(self, shard: Shard, q: int, base: np.ndarray, at: np.ndarray, weights: np.ndarray) -> None:
+        least = self.scores[q][-1] if len(self.scores[q]) == self.k else 0.0
+        docs, scores, scored = shard.find(base, at, weights, self.k, least)
+        self.blocks += shard.blocks
+        self.scored += scored
+        if len(docs):
+            ids, scores = np.concatenate([self.ids[q], shard.ids[docs]]), np.concatenate([self.scores[q], np.round(scores, DIGITS)])
+            ids, scores = ids[scores > 0], scores[scores > 0]
+            order = np.lexsort((ids, -scores))[: self.k]
+            self.ids[q], self.scores[q] = ids[order], scores[order]
 
 
 def _searcher(queries, k: int, average: float):
