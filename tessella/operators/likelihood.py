@@ -1,8 +1,8 @@
 """The unbinned extended likelihood over a grid of parameter points, in one job for all points.
 
 A scored event row has region, weight, label, class shares p_<process> and, per process, an array d_<process> of coefficients of the
-shape monomials. Parameters enter as Columns or as a list of points that each row is multiplied with in place; sums per (point, region)
-are partial before the shuffle, so what moves is points x regions rows a task.
+shape monomials. density_ratio is a Column for one point. For a list of points a batch of events is one matrix product for each process,
+and a task gives one vector of partial sums for each region: what moves is points x regions rows a task.
 """
 
 from __future__ import annotations
@@ -16,14 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.numeric import dot, log1p_or_nan, total
+from tessella.operators.cubes import SCALED_BY, Cubes, Point, events_for, rate_factors, regions_of
 from tessella.operators.selections import predicate, score_window
 from tessella.operators.yields import monomial_columns, monomials
 from tessella.schema import CODE, MONOMIALS, NORMS, PARAMETERS, POISSON_REGIONS, PROCESSES, RATE, SHAPES
 
-Point = dict[str, float]
-#: Normalisations that scale each process beside mu.
-SCALED_BY = {"htautau": (), "ztautau": ("nu_bkg",), "ttbar": ("nu_bkg", "nu_tt"), "diboson": ("nu_bkg", "nu_diboson")}
-
 
 def at(point: Point) -> dict[str, Column]:
     return {name: F.lit(float(point.get(name, 1.0 if name == "mu" else 0.0))) for name in PARAMETERS}
@@ -69,19 +66,41 @@ def asimov_weights(events: DataFrame, mu: float | None = None, nu_bkg: float | N
     return events.withColumn("weight", F.col("weight") * factor)
 
 
-def region_terms(toy: DataFrame, simulation: DataFrame, points: list[Point], log_yields: dict[str, list[float]]) -> DataFrame:
+def region_terms(toy: DataFrame | None, simulation: DataFrame | None, points: list[Point], log_yields: dict[str, list[float]]) -> DataFrame:
     """(point, region, shift, log_term, u): the inclusive shift on simulation, the log term on the toy, and -2 times their sum.
 
-    Both sides are added up in one pass over their union. Regions without events have no row, which is a contribution of 0.
+    Both sides are added up in one pass over their union; a side that is None adds nothing. Regions without events have no row, which is
+    a contribution of 0. A density ratio that is not positive makes its log term NaN.
     """
-    both = toy.withColumn("is_toy", F.lit(True)).unionByName(simulation.withColumn("is_toy", F.lit(False)))
-    r = density_ratio(from_columns(), log_yields)
-    one = with_points(both, points).select("point", "region", "is_toy", "weight", r.alias("r"))
-    summed = one.groupBy("point", "region").agg(
-        F.sum(F.when(~F.col("is_toy"), F.col("weight") * (1.0 - F.col("r"))).otherwise(0.0)).alias("shift"),
-        F.sum(F.when(F.col("is_toy"), F.col("weight") * log1p_or_nan(F.col("r") - 1.0)).otherwise(0.0)).alias("log_term"),
-    )
-    return summed.withColumn("u", -2.0 * (F.col("shift") + F.col("log_term")))
+    sides = [events_for(df).withColumn("is_toy", F.lit(toys)) for df, toys in ((toy, True), (simulation, False)) if df is not None]
+    both = sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])
+    shape = np.array([monomials([p.get(n, 0.0) for n in SHAPES]) for p in points]).T  # monomials x points
+    factors = [rate_factors(p) for p in points]
+    scale = {p: np.array([f[p] for f in factors]) for p in PROCESSES}
+    offset = {p: np.asarray(log_yields.get(p, [0.0] * len(MONOMIALS)), float) @ shape for p in PROCESSES}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            names, number = regions_of(batch)
+            weight, toys = batch.column("weight").to_numpy(), batch.column("is_toy").to_numpy(zero_copy_only=False)
+            ratio = np.zeros((batch.num_rows, len(points)))
+            for p in PROCESSES:
+                d = batch.column(f"d_{p}").flatten().to_numpy().reshape(batch.num_rows, -1)
+                ratio += batch.column(f"p_{p}").to_numpy()[:, None] * (scale[p] * np.exp(offset[p] + d @ shape))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                log = np.where(ratio > 0, np.log(ratio), np.nan)
+            for r, name in enumerate(names):
+                out = sums.setdefault(name, np.zeros((2, len(points))))
+                for side, values in ((0, 1.0 - ratio), (1, log)):
+                    rows = (number == r) & (toys == bool(side))
+                    out[side] += weight[rows] @ values[rows]
+        for name, out in sums.items():
+            columns = [pa.array(np.arange(len(points), dtype=np.int32)), pa.array([name] * len(points)), pa.array(out[0]), pa.array(out[1])]
+            yield pa.RecordBatch.from_arrays(columns, ["point", "region", "shift", "log_term"])
+
+    summed = both.mapInArrow(run, "point int, region string, shift double, log_term double").groupBy("point", "region")
+    return summed.agg(F.sum("shift").alias("shift"), F.sum("log_term").alias("log_term")).withColumn("u", -2.0 * (F.col("shift") + F.col("log_term")))
 
 
 def penalty(point: Point, floating: Iterable[str] = ()) -> float:
@@ -89,29 +108,24 @@ def penalty(point: Point, floating: Iterable[str] = ()) -> float:
 
 
 # -- Poisson regions -----------------------------------------------------------------------------------------------------
-def in_poisson_region(name: str) -> Column:
-    selection, windows = POISSON_REGIONS[name]
+def in_poisson_region(name: str, regions=POISSON_REGIONS) -> Column:
+    selection, windows = regions[name]
     condition = predicate(selection)
     for process, low, high in windows:
         condition = condition & score_window(process, low, high)
     return condition
 
 
-def poisson_rows(events: DataFrame, names: Iterable[str] = tuple(POISSON_REGIONS)) -> DataFrame:
-    """Events with the Poisson region they are in (column region); one scan for all regions."""
-    inside = F.array_compact(F.array(*(F.when(in_poisson_region(n), F.lit(n)) for n in names)))
+def poisson_rows(events: DataFrame, regions=POISSON_REGIONS) -> DataFrame:
+    """Events with the Poisson region they are in (column region); one scan for all regions (name -> selection and score windows)."""
+    inside = F.array_compact(F.array(*(F.when(in_poisson_region(n, regions), F.lit(n)) for n in regions)))
     return events.withColumn("region", F.explode(inside))
 
 
-def poisson_yields(events: DataFrame, observed: Column) -> DataFrame:
+def poisson_yields(events: DataFrame, observed: Column, regions=POISSON_REGIONS) -> DataFrame:
     """Per region: yield of each process, and the observation, which sums the given weight."""
     sums = [F.sum(F.when(F.col("label") == CODE[p], F.col("weight")).otherwise(0.0)).alias(f"s_{p}") for p in PROCESSES]
-    return poisson_rows(events).groupBy("region").agg(*sums, F.sum(observed).alias("observed"))
-
-
-def rate_factors(point: Point) -> dict[str, float]:
-    out = {p: math.exp(sum(point.get(n, 0.0) * math.log1p(RATE[n]) for n in SCALED_BY[p])) for p in PROCESSES}
-    return out | {"htautau": point.get("mu", 1.0)}
+    return poisson_rows(events, regions).groupBy("region").agg(*sums, F.sum(observed).alias("observed"))
 
 
 def poisson_term(point: Point, yields: dict[str, float], observed: float, log_yields: dict[str, list[float]]) -> float:
@@ -140,20 +154,24 @@ def poisson_term_column(parameters: dict[str, Column], log_yields: dict[str, lis
 
 # -- the objective -------------------------------------------------------------------------------------------------------
 class Likelihood:
-    """-2 log likelihood ratio as a function of parameter points. Each call evaluates all its points in one Spark job.
+    """-2 log likelihood ratio as a function of parameter points. Each call evaluates all its points in one Spark job over the toy.
 
-    toy and simulation are scored event rows with region; persist them if many calls follow.
+    toy and simulation are scored event rows with region; persist the toy if many calls follow. With cubes the inclusive shift comes from
+    them and the simulation is not read; else each call goes over it too. A region without toy events still has its shift.
     """
 
-    def __init__(self, toy: DataFrame, simulation: DataFrame, log_yields: dict[str, list[float]], poisson: DataFrame | None = None, floating: Iterable[str] = ()):
-        self.toy, self.simulation, self.log_yields, self.floating = toy, simulation, log_yields, tuple(floating)
+    def __init__(self, toy: DataFrame, simulation: DataFrame | None, log_yields: dict[str, list[float]], poisson: DataFrame | None = None, floating: Iterable[str] = (), cubes: Cubes | None = None):
+        if (simulation is None) == (cubes is None):
+            raise ValueError("give either simulation or cubes")
+        self.toy, self.simulation, self.log_yields, self.floating, self.cubes = toy, simulation, log_yields, tuple(floating), cubes
         rows = [] if poisson is None else poisson.collect()  # one row a Poisson region
         self.poisson = [({p: r[f"s_{p}"] for p in PROCESSES}, r["observed"]) for r in rows]
 
     def __call__(self, points: list[Point]) -> np.ndarray:
         terms = region_terms(self.toy, self.simulation, points, self.log_yields).groupBy("point").agg(F.sum("u").alias("u")).collect()  # one row a point
         u = {r.point: r.u for r in terms}
-        return np.array([u.get(i, 0.0) + penalty(p, self.floating) + sum(poisson_term(p, y, n, self.log_yields) for y, n in self.poisson) for i, p in enumerate(points)])
+        shift = [-2.0 * self.cubes.total(p) if self.cubes else 0.0 for p in points]
+        return np.array([u.get(i, 0.0) + shift[i] + penalty(p, self.floating) + sum(poisson_term(p, y, n, self.log_yields) for y, n in self.poisson) for i, p in enumerate(points)])
 
 
 def scan_frame(toy: DataFrame, simulation: DataFrame, poisson: DataFrame, points: list[Point], log_yields: dict[str, list[float]]) -> DataFrame:
@@ -165,36 +183,3 @@ def scan_frame(toy: DataFrame, simulation: DataFrame, poisson: DataFrame, points
     zero = F.lit(0.0)
     joined = grid.join(unbinned, "point", "left").join(counted, "point", "left").na.fill(0.0, ["unbinned", "poisson"])
     return joined.withColumn("q", F.coalesce("unbinned", zero) + F.col("poisson") + F.col("penalty"))
-
-
-# -- interpolation cubes -------------------------------------------------------------------------------------------------
-def yield_cube(events: DataFrame, process: str, grid: list[tuple[float, float, float]], coefficients: list[float]) -> DataFrame:
-    """(cell, value) of each grid point: sum over events of weight x share x (exp(L) - 1).
-
-    L is linear in the monomials, so a batch of events is one matrix product; each batch gives one vector of partial sums.
-    """
-    shape = np.array([monomials(g) for g in grid]).T  # monomials x grid
-    offset = np.asarray(coefficients, float) @ shape
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            w = batch.column("w").to_numpy()
-            d = batch.column("d").flatten().to_numpy().reshape(len(w), -1)
-            out = np.zeros(len(offset))
-            for a in range(0, len(w), 500):
-                out += w[a : a + 500] @ np.expm1(offset + d[a : a + 500] @ shape)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int32)), pa.array(out)], ["cell", "part"])
-
-    rows = events.select((F.col("weight") * F.col(f"p_{process}")).alias("w"), F.col(f"d_{process}").alias("d"))
-    return rows.mapInArrow(run, "cell int, part double").groupBy("cell").agg(F.sum("part").alias("value"))
-
-
-def yield_constants(events: DataFrame) -> DataFrame:
-    """Sum of weight x share, one column a process."""
-    return events.agg(*(F.coalesce(F.sum(F.col("weight") * F.col(f"p_{p}")), F.lit(0.0)).alias(f"c_{p}") for p in PROCESSES))
-
-
-def interpolated_shift(point: Point, cubes: dict[str, float], constants: dict[str, float]) -> float:
-    """The inclusive shift from cube values and constants per process at a point."""
-    f = rate_factors(point)
-    return -sum(f[p] * cubes[p] + (f[p] - 1.0) * constants[p] for p in PROCESSES)

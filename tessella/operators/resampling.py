@@ -6,14 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.schema import CODE
+from tessella.sources.events import index_rows
 
 SEED = 31415
-#: Beyond this mean a Poisson number is drawn by its normal approximation.
-POISSON_EXACT = 30.0
+#: Largest mean of a Poisson number that is drawn at once.
+PART = 30.0
 
 
 def sample_rows(df: DataFrame, size: int | float, seed: int = SEED) -> DataFrame:
-    """Rows without replacement: an int is a number of rows, a float a share of them from 0 to 1."""
+    """Rows without replacement: an int is a number of rows, a float a share of them from 0 to 1.
+
+    The order is that of a hash of the whole row, so that a repetition or another partitioning takes the same rows; rows are numbered
+    range by range, never in one task.
+    """
     if isinstance(size, bool) or not isinstance(size, int | float):
         raise ValueError("size is an int or a float")
     if isinstance(size, float):
@@ -22,7 +27,8 @@ def sample_rows(df: DataFrame, size: int | float, seed: int = SEED) -> DataFrame
         size = int(size * df.count())
     if size < 0:
         raise ValueError("a number of rows is not negative")
-    return df.withColumn("__r", F.rand(seed)).orderBy("__r").limit(size).drop("__r")
+    ranked = index_rows(df.withColumn("__r", F.xxhash64(*df.columns, F.lit(seed))), [F.col("__r")], "__rank")
+    return ranked.where(F.col("__rank") < size).drop("__r", "__rank")
 
 
 def shuffled(df: DataFrame, seed: int = SEED) -> DataFrame:
@@ -40,18 +46,24 @@ def repeat_by_weight(events: DataFrame, weight: str = "weight") -> DataFrame:
 
 
 def with_poisson(df: DataFrame, name: str, mean: Column, seed: int) -> DataFrame:
-    """df with a Poisson number: by inversion of one uniform draw, beyond POISSON_EXACT by the normal approximation."""
-    drawn = df.withColumns({"__mean": mean, "__u": F.rand(seed), "__z": F.randn(seed + 1)})
-    m, u = F.col("__mean"), F.col("__u")
-    start = F.struct(F.lit(0.0).alias("sum"), F.exp(-m).alias("p"), F.lit(0).alias("n"))
-
-    def step(a: Column, k: Column) -> Column:
-        reach = a["sum"] + a["p"]
-        return F.struct(reach.alias("sum"), (a["p"] * m / (k + 1)).alias("p"), (a["n"] + F.when(u > reach, 1).otherwise(0)).alias("n"))
-
-    exact = F.aggregate(F.sequence(F.lit(0), F.lit(int(4 * POISSON_EXACT))), start, step)["n"]
-    normal = F.greatest(F.lit(0), F.rint(m + F.sqrt(m) * F.col("__z")).cast("int"))
-    return drawn.withColumn(name, F.when(m > POISSON_EXACT, normal).when(m > 0, exact).otherwise(F.lit(0))).drop("__mean", "__u", "__z")
+    """df with a Poisson number, by inversion of uniform draws. A large mean is the sum of parts of PART at most, each drawn on its own,
+    so the distribution is exact at every size."""
+    drawn = df.withColumns({"__mean": mean, "__u": F.rand(seed)})
+    parts = F.greatest(F.lit(1), F.ceil(F.col("__mean") / PART).cast("int"))
+    m = F.col("__mean") / parts
+
+    def invert(u: Column) -> Column:
+        start = F.struct(F.lit(0.0).alias("sum"), F.exp(-m).alias("p"), F.lit(0).alias("n"))
+
+        def step(a: Column, k: Column) -> Column:
+            reach = a["sum"] + a["p"]
+            return F.struct(reach.alias("sum"), (a["p"] * m / (k + 1)).alias("p"), (a["n"] + F.when(u > reach, 1).otherwise(0)).alias("n"))
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(int(4 * PART))), start, step)["n"]
+
+    bits = lambda k: F.shiftrightunsigned(F.xxhash64("__u", k, F.lit(seed)), 11).cast("double") / F.lit(float(1 << 53))
+    every = F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda n, k: n + invert(F.when(k == 1, F.col("__u")).otherwise(bits(k))))
+    return drawn.withColumn(name, F.when(F.col("__mean") > 0, every).otherwise(F.lit(0))).drop("__mean", "__u")
 
 
 def bootstrap(events: DataFrame, mu: float = 1.0, background: float | None = None, ttbar: float | None = None, diboson: float | None = None, draw: bool = True, seed: int = SEED) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, IsotonicRegr
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.numeric import dot, sigmoid, softplus, total
+from tessella.functions.numeric import below, dot, sigmoid, softplus, sure, total
 from tessella.operators.quality import running_sums
 from tessella.operators.yields import design, monomial_columns, standardised
 from tessella.schema import PROCESSES
@@ -179,20 +179,26 @@ class Leaf:
 
 @dataclass(frozen=True)
 class Split:
-    """left takes feature <= threshold."""
+    """left takes feature <= threshold; a null or NaN goes right, or left with missing_left."""
 
     feature: str
     threshold: float
     left: Split | Leaf
     right: Split | Leaf
+    missing_left: bool = False
+
+    def goes_left(self) -> Column:
+        """Never null, so that its complement is all the rest."""
+        x = F.col(self.feature).cast("double")
+        known = below(x, self.threshold, True)
+        return known | x.isNull() | sure(F.isnan(x)) if self.missing_left else known
 
 
 def tree_column(node: Split | Leaf, k: int = 0) -> Column:
-    """Component k of the tree's leaf value as nested conditions. A NaN goes right."""
+    """Component k of the tree's leaf value as nested conditions."""
     if isinstance(node, Leaf):
         return F.lit(float(node.value[k]))
-    left = (F.col(node.feature) <= node.threshold) & ~F.isnan(F.col(node.feature).cast("double"))
-    return F.when(left, tree_column(node.left, k)).otherwise(tree_column(node.right, k))
+    return F.when(node.goes_left(), tree_column(node.left, k)).otherwise(tree_column(node.right, k))
 
 
 def ensemble(trees: list[Split | Leaf], rate: float, k: int = 0, n_trees: int | None = None, last_counts_full: bool = False) -> Column:
@@ -211,16 +217,17 @@ def best_split(events: DataFrame, features: list[str], points: list[tuple[float,
     """(feature, threshold, loss) of the best split of each feature, best first.
 
     events: features, weight and point (0 nominal, else the number of its base point). Weights and counts are added up by distinct
-    value, so the running sums see values, not events. A split needs min_size events of every point on both sides.
+    value, so the running sums see values, not events. A split needs min_size events of every point on both sides; events without a value
+    count on the right side.
     """
     n = len(points)
     mm = design(points, combinations)["MV"]
-    cells = [F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features]
+    cells = [F.struct(F.lit(f).alias("feature"), F.nanvl(F.col(f).cast("double"), F.lit(None)).alias("value")) for f in features]
     flat = events.select("weight", "point", F.inline(F.array(*cells)))
     at = lambda k, v: F.sum(F.when(F.col("point") == k, v).otherwise(0))
     names = [f"{x}{k}" for k in range(n) for x in "wc"]
     counted = flat.groupBy("feature", "value").agg(*(at(int(m[1:]), F.col("weight") if m[0] == "w" else F.lit(1)).alias(m) for m in names))
-    summed = running_sums(counted, "value", names, by=("feature",))
+    summed = running_sums(counted.where("value is not null"), "value", names, by=("feature",))
     totals = counted.groupBy("feature").agg(*(F.sum(m).alias(f"all_{m}") for m in names), F.max("value").alias("last"))
     both = summed.join(F.broadcast(totals), "feature").where("value < last")  # one row a feature
     left, right = {m: F.col(f"run_{m}") for m in names}, {m: F.col(f"all_{m}") - F.col(f"run_{m}") for m in names}
@@ -254,6 +261,6 @@ def grow_tree(events: DataFrame, features: list[str], points: list[tuple[float,
     best = best_split(events, features, points, combinations, min_size).first()
     if best is None:
         return leaf
-    left = F.col(best.feature) <= best.threshold
+    left = Split(best.feature, float(best.threshold), leaf, leaf).goes_left()
     grow = lambda part: grow_tree(part, features, points, combinations, depth - 1, min_size)
     return Split(best.feature, float(best.threshold), grow(events.where(left)), grow(events.where(~left)))

@@ -144,36 +144,44 @@ def simplex(objective: Objective, start: dict[str, float], fixed: dict[str, floa
 
 
 def hessian(objective: Objective, at: dict[str, float], fixed: dict[str, float] | None = None, bounds=BOUNDS, step: float = 0.2) -> np.ndarray:
-    """Finite differences, all points in one call. At a bound the diagonal is one-sided; a mixed term with a corner outside is 0."""
+    """Second derivatives by finite differences, all points in one call.
+
+    Points are cut to the bounds and the formulas take the distances that are left. Where a parameter stands at a bound, the diagonal is
+    taken from two steps inside and mixed terms are 0.
+    """
     names = tuple(at)
     f = _Batch(objective, names, fixed or {}, bounds)
-    x, n = np.array([at[k] for k in names], float), len(at)
-    unit = step * np.eye(n)
+    x, n = f.clip(np.array([at[k] for k in names], float)), len(at)
+    up, down = np.minimum(x + step, f.high) - x, x - np.maximum(x - step, f.low)
     shifts: list[np.ndarray] = [np.zeros(n)]
-    kinds: list[tuple] = []
-    for i in range(n):
-        if x[i] - step < f.low[i]:
-            ahead = (unit[i], 2 * unit[i])
-        elif x[i] + step > f.high[i]:
-            ahead = (-unit[i], -2 * unit[i])
-        else:
-            ahead = (unit[i], -unit[i])
-        kinds.append(("d", i, len(shifts), bool(np.allclose(ahead[1], 2 * ahead[0]))))
-        shifts += ahead
+
+    def ask(*places: tuple[int, float]) -> int:
+        shift = np.zeros(n)
+        for i, by in places:
+            shift[i] = by
+        shifts.append(shift)
+        return len(shifts) - 1
+
+    diagonal, mixed = {}, {}
     for i in range(n):
+        if up[i] > 0 and down[i] > 0:
+            ahead, back = up[i], -down[i]
+        else:  # two steps away from the bound
+            way = 1.0 if up[i] > 0 else -1.0
+            far = min(2 * step, f.high[i] - x[i] if way > 0 else x[i] - f.low[i])
+            ahead, back = way * far / 2, way * far
+        if ahead != back:
+            diagonal[i] = (ask((i, ahead)), ask((i, back)), ahead, back)
         for j in range(i):
-            corners = [unit[i] + unit[j], unit[i] - unit[j], -unit[i] + unit[j], -unit[i] - unit[j]]
-            if all(np.all((x + c >= f.low) & (x + c <= f.high)) for c in corners):
-                kinds.append(("m", (i, j), len(shifts), False))
-                shifts += corners
+            if min(up[i], down[i], up[j], down[j]) > 0:
+                corners = [ask((i, a), (j, b)) for a in (up[i], -down[i]) for b in (up[j], -down[j])]
+                mixed[i, j] = (corners, (up[i] + down[i]) * (up[j] + down[j]))
     v = f(x + np.array(shifts))
     out = np.zeros((n, n))
-    for kind, where, k, one_sided in kinds:
-        if kind == "d":
-            out[where, where] = (v[0] - 2 * v[k] + v[k + 1]) / step**2 if one_sided else (v[k] - 2 * v[0] + v[k + 1]) / step**2
-        else:
-            i, j = where
-            out[i, j] = out[j, i] = (v[k] - v[k + 1] - v[k + 2] + v[k + 3]) / (4 * step**2)
+    for i, (a, b, p, q) in diagonal.items():  # second derivative of the parabola through three points
+        out[i, i] = 2 * ((v[a] - v[0]) / p - (v[b] - v[0]) / q) / (p - q)
+    for (i, j), ((a, b, c, d), area) in mixed.items():
+        out[i, j] = out[j, i] = (v[a] - v[b] - v[c] + v[d]) / area
     return out
 
 
@@ -203,11 +211,11 @@ def mu_scan(objective: Objective, fit: Fit, n: int = 21, delta: float | None = N
     return [(m, float(v - fit.q)) for m, v in zip(mus, q, strict=True)]
 
 
-def profile_scan(objective: Objective, fit: Fit, mus: list[float], **options) -> list[tuple[float, float]]:
+def profile_scan(objective: Objective, fit: Fit, mus: list[float], fixed: dict[str, float] | None = None, **options) -> list[tuple[float, float]]:
     """(mu, q - best q) with the nuisances minimised at each mu, starting from those of the point before."""
     start, out = {k: v for k, v in fit.values.items() if k != "mu"}, []
     for m in mus:
-        found = minimise(objective, start, {"mu": m}, **options)
+        found = minimise(objective, start, {**(fixed or {}), "mu": m}, **options)
         start = found.values
         out.append((m, found.q - fit.q))
     return out
@@ -249,26 +257,54 @@ def finalise(mu_hat: float, found: list[float], delta: float, inflate: float = I
     return {"mu_hat": mu_hat, "p16": p16, "p84": p84, "delta_mu_hat": (p84 - p16) / 2}
 
 
-def predict_interval(objective: Objective, start: dict[str, float] | None = None) -> dict[str, float]:
-    """Fit, scan and interval of one toy."""
-    fit = global_fit(objective, start)
+def interval_of(objective: Objective, fit: Fit) -> dict[str, float]:
+    """Scan and interval of a fit."""
     delta = math.sqrt(abs(fit.covariance[0, 0]))
     return finalise(fit.values["mu"], crossings(mu_scan(objective, fit, delta=delta)), delta)
 
 
-def impact_of(objective: Objective, fit: Fit, name: str, threshold: float = 1.0, bounds=BOUNDS) -> dict[str, float]:
-    """The values of one nuisance where the profiled q rises by the threshold, and what mu does there."""
-    out = {}
+def predict_interval(objective: Objective, start: dict[str, float] | None = None) -> dict[str, float]:
+    """Fit, scan and interval of one toy."""
+    return interval_of(objective, global_fit(objective, start))
+
+
+def minos(objective: Objective, fit: Fit, name: str = "mu", errordef: float = 1.0, bounds=BOUNDS, reach: float = 1e-3, fixed: dict[str, float] | None = None, **options) -> tuple[float, float]:
+    """Where q, minimised over all other parameters, is errordef above its minimum, below and above the fitted value.
+
+    A side that never rises that far within the bounds gives the bound. The place is found to ``reach``, in the parameter or in q.
+    """
     others = {k: v for k, v in fit.values.items() if k != name}
-    for side, bound in (("down", bounds[name][0]), ("up", bounds[name][1])):
-        a, b = fit.values[name], bound
-        if minimise(objective, others, {name: b}).q - fit.q < threshold:
-            a = b  # never rises that far: the bound
-        for _ in range(40):
-            if abs(b - a) < 1e-3:
+    low, high = bounds[name]
+    first = math.sqrt(abs(fit.covariance[fit.names.index(name), fit.names.index(name)])) if fit.covariance is not None else 0.5
+
+    def rise(at: float, start: dict[str, float]) -> tuple[float, dict[str, float]]:
+        found = minimise(objective, start, {**(fixed or {}), name: at}, bounds, **options)
+        return found.q - fit.q - errordef, found.values
+
+    out = []
+    for side, bound in ((-1.0, low), (1.0, high)):
+        inside, below, start, step = fit.values[name], -errordef, others, max(first, 1e-2)
+        while True:  # outwards, until it has risen far enough
+            outside = max(inside + side * step, bound) if side < 0 else min(inside + side * step, bound)
+            above, start = rise(outside, start)
+            if above >= 0 or outside == bound:
+                break
+            inside, below, step = outside, above, 2 * step
+        for _ in range(60 if above > 0 else 0):  # inwards, by halving where the secant is slow
+            if abs(outside - inside) <= reach or abs(above) <= reach * errordef:
                 break
-            middle = (a + b) / 2
-            a, b = (middle, b) if minimise(objective, others, {name: middle}).q - fit.q < threshold else (a, middle)
-        at = minimise(objective, others, {name: a})
-        out |= {f"nu_{side}": a, f"mu_{side}": at.values["mu"], f"impact_{side}": at.values["mu"] - fit.values["mu"]}
+            share = below / (below - above)
+            middle = inside + min(max(share, 0.1), 0.9) * (outside - inside)
+            value, start = rise(middle, start)
+            inside, below, outside, above = (inside, below, middle, value) if value > 0 else (middle, value, outside, above)
+        out.append(outside if above <= 0 else inside + below / (below - above) * (outside - inside))
+    return out[0], out[1]
+
+
+def impact_of(objective: Objective, fit: Fit, name: str, threshold: float = 1.0, bounds=BOUNDS, fixed: dict[str, float] | None = None, **options) -> dict[str, float]:
+    """The values of one nuisance where the profiled q rises by the threshold (or its bound), and what mu does there."""
+    out, others = {}, {k: v for k, v in fit.values.items() if k != name}
+    for side, at in zip(("down", "up"), minos(objective, fit, name, threshold, bounds, fixed=fixed, **options), strict=True):
+        found = minimise(objective, others, {**(fixed or {}), name: at}, bounds, **options)
+        out |= {f"nu_{side}": at, f"mu_{side}": found.values["mu"], f"impact_{side}": found.values["mu"] - fit.values["mu"]}
     return out

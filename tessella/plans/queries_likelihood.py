@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
+from tessella.operators import cubes, quality, selections
 from tessella.operators import likelihood as L
-from tessella.operators import selections
 from tessella.operators.yields import monomials
 from tessella.plans import fit
 from tessella.plans.queries_events import sql_region, sql_regions
 from tessella.plans.registry import r, rs, scored
-from tessella.schema import PARAMETERS, POISSON_REGIONS, PROCESSES, RATE, SHAPES, UNBINNED_REGIONS
+from tessella.schema import MONOMIALS, PARAMETERS, POISSON_REGIONS, PROCESSES, RATE, SHAPES, UNBINNED_REGIONS
 from tessella.sources.fixture import LOG_YIELD, views
+from tessella.sources.scratch import cut
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -190,75 +192,157 @@ def q_finalize_interval(spark, sf):
 
 
 # -- cubes ---------------------------------------------------------------------------------------------------------------
-GRID = [(float(a), float(b), float(c)) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (0, 1)]
+_CUBE_REGION = "lowMT_VBFJet"
+_PRODUCTS = {f"mono{k}": "*".join(c) for k, c in enumerate(MONOMIALS)}
+_OFFSET = " + ".join(f"({x!r})::double*{m}" for x, m in zip(LOG_YIELD, _PRODUCTS, strict=True) if x)
+_axis = lambda name, values: f"{name} AS (SELECT unnest([{', '.join(f'{v!r}::double' for v in values)}]) AS nu_{name}, unnest(range({len(values)})) AS {name}_i)"
+_CELLS = (
+    ", ".join(_axis(n, v) for n, v in zip(("tes", "jes", "met"), cubes.AXES, strict=True))
+    + f", cells AS (SELECT CAST((tes_i*{len(cubes.AXES[1])} + jes_i)*{len(cubes.AXES[2])} + met_i AS INTEGER) AS cell, {', '.join(f'{v} AS {m}' for m, v in _PRODUCTS.items())} FROM tes, jes, met)"
+)
 
 
-def _sql_cell(i: int, g: tuple) -> str:
-    shapes = monomials(g)
-    offset = sum(a * b for a, b in zip(LOG_YIELD, shapes, strict=True))
-    return f"({offset!r})::double + " + " + ".join(f"d{i}{k}*({x!r})::double" for k, x in enumerate(shapes))
+def _exponent(i: int) -> str:
+    """The exponent of process i of a row of sc at a row that has the monomials as columns."""
+    return _OFFSET + "".join(f" + d{i}{k}*{m}" for k, m in enumerate(_PRODUCTS))
+
 
+def _six_digits(value) -> tuple:
+    """Exponent and six leading digits of a number, as integers that both sides agree on."""
+    power = F.coalesce(F.floor(F.log10(F.abs(value))), F.lit(0)).cast("int")
+    return power, F.round(value / F.pow(F.lit(10.0), power - 5)).cast("long")
 
-@query("q_csi_cube", views() + " UNION ALL ".join(f"SELECT '{p}' AS process, {k} AS cell, {rs(f'sum(w*p{i}*(exp({_sql_cell(i, g)})-1))')} AS value FROM sc" for i, p in enumerate(PROCESSES) for k, g in enumerate(GRID)))
+
+@query(
+    "q_csi_cube",
+    views(_RG, _CELLS, "c AS (" + " UNION ALL ".join(f"SELECT '{p}' AS process, cell, sum(w*p{i}*(exp({_exponent(i)})-1)) AS v FROM (SELECT * FROM rg WHERE region = '{_CUBE_REGION}'), cells GROUP BY cell" for i, p in enumerate(PROCESSES)) + ")",
+          "e AS (SELECT *, CAST(CASE WHEN v = 0 THEN 0 ELSE floor(log10(abs(v))) END AS INTEGER) AS power FROM c)")
+    + "SELECT process, cell, power, CAST(round(v/pow(10.0::double, power - 5)) AS BIGINT) AS digits FROM e",
+)
 def q_csi_cube(spark, sf):
-    s = scored(spark, sf)
-    parts = [L.yield_cube(s, p, GRID, LOG_YIELD).select(F.lit(p).alias("process"), "cell", r("value").alias("value")) for p in PROCESSES]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """All 6,561 grid points of one region, all processes: six leading digits, as the values span many orders."""
+    table = cubes.cube_table(in_regions(spark, sf).where(F.col("region") == _CUBE_REGION), LOG_YIELDS).where("cell >= 0")
+    power, digits = _six_digits(F.col("value"))
+    return table.select("process", "cell", power.alias("power"), digits.alias("digits"))
+
+
+def _cubes(spark, sf) -> cubes.Cubes:
+    """The interpolated cubes of all regions, by way of a written cube table."""
+    return cubes.Cubes.of(cut(cubes.cube_table(in_regions(spark, sf), LOG_YIELDS)))
 
 
-def _interpolated_sql() -> str:
-    f = {p: math.exp(_norm(p, POINT)) for p in PROCESSES} | {"htautau": POINT["mu"]}
-    cell = (POINT["nu_tes"], POINT["nu_jes"], POINT["nu_met"])
-    return " + ".join(f"{f[p]!r}::double*sum(w*p{i}*(exp({_sql_cell(i, cell)})-1)) + ({f[p] - 1!r})::double*sum(w*p{i})" for i, p in enumerate(PROCESSES))
+#: Digits in which interpolated and exact shifts agree: their difference is below 1e-5 of the shift between the grid points used here.
+_NEAR = 2
 
 
-@query("q_incs_param", views() + f"SELECT {rs(f'-({_interpolated_sql()})', 5)} AS shift FROM sc")
+@query("q_incs_param", views(_RG) + f"SELECT region, {rs(f'sum(w*(1-{_R}))', _NEAR)} AS shift FROM rg GROUP BY region")
 def q_incs_param(spark, sf):
-    """The shift from cubes evaluated at the point itself: no interpolation error, so that it can be compared."""
-    s = scored(spark, sf)
-    constants = L.yield_constants(s).first()
-    at = [tuple(POINT[n] for n in SHAPES)]
-    cubes = {p: L.yield_cube(s, p, at, LOG_YIELD).first()["value"] for p in PROCESSES}
-    return spark.createDataFrame([(round(L.interpolated_shift(POINT, cubes, {p: constants[f"c_{p}"] for p in PROCESSES}), 5),)], "shift double")
+    """The shift of each region at a point off the grid, interpolated from its cubes; the SQL sums over the events."""
+    found = _cubes(spark, sf)
+    return spark.createDataFrame([(x, round(found.shift(x, POINT), _NEAR) + 0.0) for x in found.regions], "region string, shift double")
 
 
-@query("q_ll_scan_compare", views(_RG, f"g AS {_GRID}") + f"SELECT point, {rs(f'sum(w*(1-{sql_ratio(POINT, "mu")}))', 4)} AS exact, {rs(f'sum(w*(1-{sql_ratio(POINT, "mu")}))', 4)} AS from_cube FROM rg, g GROUP BY point")
+@query("q_ll_scan_compare", views(_RG, f"g AS {_GRID}, x AS (SELECT point, sum(w*(1-{sql_ratio(POINT, 'mu')})) AS v FROM rg, g GROUP BY point)") + f"SELECT point, {rs('v', 4)} AS exact, {rs('v', _NEAR)} AS from_cube FROM x")
 def q_ll_scan_compare(spark, sf):
-    """The inclusive shift along a scan, from events and from cubes that are evaluated at the point itself."""
-    s = in_regions(spark, sf)
-    exact = L.region_terms(s.where("false"), s, SCAN, LOG_YIELDS).groupBy("point").agg(F.sum("shift").alias("exact"))
-    constants = L.yield_constants(s).first()
-    at = [tuple(POINT[n] for n in SHAPES)]
-    cubes = {p: L.yield_cube(s, p, at, LOG_YIELD).first()["value"] for p in PROCESSES}
-    shifts = [(i, L.interpolated_shift(p, cubes, {x: constants[f"c_{x}"] for x in PROCESSES})) for i, p in enumerate(SCAN)]
-    return spark.createDataFrame(shifts, "point int, from_cube double").join(exact, "point").select("point", r("exact", 4).alias("exact"), r("from_cube", 4).alias("from_cube"))
+    """The inclusive shift along a scan, from the events and interpolated from cubes."""
+    found, s = _cubes(spark, sf), in_regions(spark, sf)
+    exact = L.region_terms(None, s, SCAN, LOG_YIELDS).groupBy("point").agg(F.sum("shift").alias("exact"))
+    shifts = [(i, round(found.total(p), _NEAR) + 0.0) for i, p in enumerate(SCAN)]
+    return spark.createDataFrame(shifts, "point int, from_cube double").join(exact, "point").select("point", r("exact", 4).alias("exact"), "from_cube")
 
 
 # -- fits ----------------------------------------------------------------------------------------------------------------
-def _objective(spark, sf):
-    """Events of the regions are few columns, read many times by a fit: kept in memory or on disk."""
+@contextmanager
+def _objective(spark, sf, with_cubes: bool):
+    """Toy events are few columns, read many times by a fit: kept in memory or on disk. With cubes the simulation is read once."""
     from pyspark import StorageLevel
 
-    t, s = (df.persist(StorageLevel.MEMORY_AND_DISK) for df in (toy(spark, sf), in_regions(spark, sf)))
-    return L.Likelihood(t, s, LOG_YIELDS, poisson_input(spark, sf)), (t, s)
+    t = toy(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
+    s = None if with_cubes else in_regions(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
+    yield L.Likelihood(t, s, LOG_YIELDS, poisson_input(spark, sf), cubes=_cubes(spark, sf) if with_cubes else None)
+    for df in (t, s):
+        if df is not None:
+            df.unpersist()
+
+
+_HESSE, _STEP = {**POINT, "nu_met": 1.0}, 0.2
+
+
+def _sql_hessian() -> str:
+    """The stencil in SQL: every point once, with what it counts for in each second derivative."""
+    points: dict[tuple, int] = {}
+    terms = []
+
+    def at(*moves: tuple[str, float]) -> int:
+        p = dict(_HESSE)
+        for name, by in moves:
+            p[name] = p[name] + by
+        return points.setdefault(tuple(p[n] for n in PARAMETERS), len(points))
+
+    for i, a in enumerate(PARAMETERS):
+        terms += [(a, a, at(*m), c / _STEP**2) for m, c in ((((a, _STEP),), 1.0), ((), -2.0), (((a, -_STEP),), 1.0))]
+        for b in PARAMETERS[:i]:
+            for x in (1, -1):
+                for y in (1, -1):
+                    k = at((a, x * _STEP), (b, y * _STEP))
+                    terms += [(a, b, k, x * y / (4 * _STEP**2)), (b, a, k, x * y / (4 * _STEP**2))]
+    norm = lambda p: "(" + (" + ".join(f"{n}*{math.log1p(RATE[n])!r}::double" for n in L.SCALED_BY[p]) or "0.0::double") + ")"
+    column = lambda k: ", ".join(f"{p[k]!r}::double" for p in points)
+    ratio = " + ".join(f"{'mu*' if p == 'htautau' else ''}p{i}*exp({norm(p)} + {_exponent(i)})" for i, p in enumerate(PROCESSES))
+    scale = [f"{'mu*' if p == 'htautau' else ''}exp({norm(p)} + {_OFFSET})" for p in PROCESSES]
+    flat = lambda k: ", ".join(repr(t[k]) if k < 3 else f"{t[k]!r}::double" for t in terms)
+    return views(
+        _RG,
+        _PO,
+        f"g0 AS (SELECT unnest(range({len(points)})) AS point, {', '.join(f'unnest([{column(k)}]) AS {n}' for k, n in enumerate(PARAMETERS))})",
+        f"g AS (SELECT *, {', '.join(f'{v} AS {m}' for m, v in _PRODUCTS.items())} FROM g0)",
+        f"u AS (SELECT point, -2*(sum(w*(1-rat)) + sum(wt*ln(rat))) AS q FROM (SELECT point, w, wt, {ratio} AS rat FROM rg, g) GROUP BY point)",
+        f"v AS (SELECT point, sum(2*({' + '.join(f's{i}*({x} - 1)' for i, x in enumerate(scale))}) - 2*observed*ln(({' + '.join(f's{i}*{x}' for i, x in enumerate(scale))})/(s0+s1+s2+s3))) AS q FROM py, g GROUP BY point)",
+        f"y AS (SELECT point, u.q + v.q + {' + '.join(f'{n}*{n}' for n in PARAMETERS if n != 'mu')} AS q FROM g JOIN u USING (point) JOIN v USING (point))",
+        f"t AS (SELECT unnest([{flat(0)}]) AS a, unnest([{flat(1)}]) AS b, unnest([{flat(2)}]) AS point, unnest([{flat(3)}]) AS c)",
+    ) + f"SELECT a, b, {rs('sum(c*q)', 3)} AS value FROM t JOIN y USING (point) GROUP BY a, b"
+
+
+@query("q_hessian", _sql_hessian())
+def q_hessian(spark, sf):
+    with _objective(spark, sf, False) as objective:
+        h = fit.hessian(objective, _HESSE, step=_STEP)
+    return spark.createDataFrame([(a, b, round(float(h[i, j]), 3) + 0.0) for i, a in enumerate(PARAMETERS) for j, b in enumerate(PARAMETERS)], "a string, b string, value double")
 
 
-@query("q_hessian")
-def q_hessian(spark, sf):
-    objective, kept = _objective(spark, sf)
-    h = fit.hessian(objective, {**POINT, "nu_met": 1.0})
-    for df in kept:
-        df.unpersist()
-    return spark.createDataFrame([(a, b, float(h[i, j])) for i, a in enumerate(PARAMETERS) for j, b in enumerate(PARAMETERS)], "a string, b string, value double")
+#: Nuisances on which the toy has little to say start off their bounds.
+START = {n: 1.0 if n == "mu" else 0.1 if n == "nu_met" else 0.0 for n in PARAMETERS}
 
 
 @query("q_fit_interval")
 def q_fit_interval(spark, sf):
-    objective, kept = _objective(spark, sf)
-    out = fit.predict_interval(objective, {"mu": 1.0, "nu_bkg": 0.0, "nu_tt": 0.0, "nu_diboson": 0.0, "nu_tes": 0.0, "nu_jes": 0.0, "nu_met": 0.1})
-    for df in kept:
-        df.unpersist()
-    return spark.createDataFrame([tuple(float(v) for v in out.values())], ", ".join(f"{k} double" for k in out))
+    """Fit with cubes, scan and interval of a toy."""
+    with _objective(spark, sf, True) as objective:
+        out = fit.predict_interval(objective, START)
+    return spark.createDataFrame([tuple(map(float, out.values()))], ", ".join(f"{k} double" for k in out))
+
+
+#: What the two queries below let float; the others stay where the toy was made.
+_FREE = {"mu": 1.0, "nu_tt": 0.0}
+_FIXED = {n: ASIMOV.get(n, 0.0) for n in PARAMETERS if n not in _FREE}
+
+
+@query("q_impacts")
+def q_impacts(spark, sf):
+    """MINOS interval of mu, what nu_tt does to mu, and the correlation of the two."""
+    with _objective(spark, sf, True) as objective:
+        best = fit.minimise(objective, _FREE, _FIXED)
+        best.covariance = fit.covariance(fit.hessian(objective, best.values, _FIXED))
+        low, high = fit.minos(objective, best, fixed=_FIXED)
+        out = {"mu": best.values["mu"], "mu_low": low, "mu_high": high, "correlation": quality.correlations(best.covariance.tolist())[0][1]}
+        out |= fit.impact_of(objective, best, "nu_tt", fixed=_FIXED)
+    return spark.createDataFrame([tuple(map(float, out.values()))], ", ".join(f"{k} double" for k in out))
+
+
+@query("q_profile_scan")
+def q_profile_scan(spark, sf):
+    """q over mu with nu_tt minimised at each point."""
+    with _objective(spark, sf, True) as objective:
+        best = fit.minimise(objective, _FREE, _FIXED)
+        rows = fit.profile_scan(objective, best, [best.values["mu"] + d for d in (-0.2, -0.1, 0.1, 0.2)], _FIXED)
+    return spark.createDataFrame([(float(m), float(q)) for m, q in rows], "mu double, delta_q double")

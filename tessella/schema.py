@@ -7,6 +7,7 @@ import math
 
 from pyspark.sql import types as T
 
+# Names of the features.
 PRIMARY = (
     "PRI_lep_pt", "PRI_lep_eta", "PRI_lep_phi", "PRI_had_pt", "PRI_had_eta", "PRI_had_phi", "PRI_jet_leading_pt", "PRI_jet_leading_eta", "PRI_jet_leading_phi",
     "PRI_jet_subleading_pt", "PRI_jet_subleading_eta", "PRI_jet_subleading_phi", "PRI_n_jets", "PRI_jet_all_pt", "PRI_met", "PRI_met_phi",
@@ -72,13 +73,19 @@ SHAPES = ("nu_tes", "nu_jes", "nu_met")
 MONOMIALS = tuple((a,) for a in SHAPES) + tuple((a, a) for a in SHAPES) + tuple(itertools.combinations(SHAPES, 2))
 NORMS = ("nu_bkg", "nu_tt", "nu_diboson")
 PARAMETERS = ("mu", *NORMS, *SHAPES)
-#: Points at which yields and ratios are trained, the nominal one first: a 3 x 3 x 3 grid and the axes of the two scales up to 3 sigma.
 NOMINAL = (0.0, 0.0, 0.0)
-_GRID = {(float(a), float(b), float(c)) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (0, 1, 2)}
-_AXES = {p for s in (-3.0, -2.0, 2.0, 3.0) for p in ((s, 0.0, 0.0), (0.0, s, 0.0))}
-BASE_POINTS = (NOMINAL, *sorted((_GRID | _AXES) - {NOMINAL}))
+# Points (nu_tes, nu_jes, nu_met) at which yields and ratios are trained, the nominal one first.
+BASE_POINTS = (
+    (0.0, 0.0, 0.0), (-3.0, 0.0, 0.0), (-2.0, 0.0, 0.0), (-1.0, -1.0, 0.0), (-1.0, -1.0, 1.0),
+    (-1.0, -1.0, 2.0), (-1.0, 0.0, 0.0), (-1.0, 0.0, 1.0), (-1.0, 0.0, 2.0), (-1.0, 1.0, 0.0),
+    (-1.0, 1.0, 1.0), (-1.0, 1.0, 2.0), (0.0, -3.0, 0.0), (0.0, -2.0, 0.0), (0.0, -1.0, 0.0),
+    (0.0, -1.0, 1.0), (0.0, -1.0, 2.0), (0.0, 0.0, 1.0), (0.0, 0.0, 2.0), (0.0, 1.0, 0.0),
+    (0.0, 1.0, 1.0), (0.0, 1.0, 2.0), (0.0, 2.0, 0.0), (0.0, 3.0, 0.0), (1.0, -1.0, 0.0),
+    (1.0, -1.0, 1.0), (1.0, -1.0, 2.0), (1.0, 0.0, 0.0), (1.0, 0.0, 1.0), (1.0, 0.0, 2.0),
+    (1.0, 1.0, 0.0), (1.0, 1.0, 1.0), (1.0, 1.0, 2.0), (2.0, 0.0, 0.0), (3.0, 0.0, 0.0),
+)
 
-#: Regions of the likelihood; Poisson regions with (selection, [(class, low, high) windows of class scores]).
+# Regions of the likelihood; Poisson regions with (selection, [(class, low, high) windows of class scores]).
 UNBINNED_REGIONS = ("lowMT_VBFJet", "lowMT_noVBFJet_ptH100", "highMT_VBFJet")
 POISSON_REGIONS = {
     "lowMT_noVBFJet_ptH0to100": ("lowMT_noVBFJet_ptH0to100", ()),

@@ -17,7 +17,7 @@ from tessella.sources.scratch import cut
 
 SHIFTS = ("tes", "jes", "met")
 DEFAULTS = (1.0, 1.0, 0.0)
-#: Parts of a file name that mark a toy as no plain nominal one.
+# Parts of a file name that mark a toy as no plain nominal one.
 VETOED = ("nominal", "ttbar", "htautau", "diboson", "ztautau")
 
 
@@ -45,9 +45,10 @@ def index_rows(df: DataFrame, order: list[Column], name: str = "row_idx") -> Dat
 
 
 def read_lines(spark: SparkSession, path: str, name: str, kind: str = "double") -> DataFrame:
-    """(row_idx, name): one value a line; strings are stripped. A text file's lines keep their order within a single file."""
-    lines = spark.read.text(path, wholetext=False).select(F.trim("value").alias("v"), F.monotonically_increasing_id().alias("__line"), F.input_file_name().alias("__file"))
-    indexed = index_rows(lines, [F.col("__file"), F.col("__line")])
+    """(row_idx, name): one value a line; strings are stripped. The order is that of the files' names and of the lines within each."""
+    place = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__line")]
+    lines = spark.read.text(path, wholetext=False).select(F.trim("value").alias("v"), *place)
+    indexed = index_rows(lines, [F.col("__file"), F.col("__block"), F.col("__line")])
     return indexed.select("row_idx", F.col("v").cast(kind).alias(name))
 
 
@@ -59,9 +60,13 @@ def zip_columns(table: DataFrame, *others: DataFrame) -> DataFrame:
 
 
 def read_train(spark: SparkSession, folder: str) -> DataFrame:
-    """Primary events with label (1 signal), weight and detailed_label from the files that stand beside each other in a folder."""
-    data = spark.read.parquet(f"{folder}/data/data.parquet").toDF(*PRIMARY)
-    at = index_rows(data.select("*", F.monotonically_increasing_id().alias("__order")), [F.col("__order")]).drop("__order")
+    """Primary events with label (1 signal), weight and detailed_label from the files that stand beside each other in a folder.
+
+    Events are numbered by the name of their file and their row in it, however the scan splits and packs the files.
+    """
+    data = spark.read.parquet(f"{folder}/data/data.parquet")
+    named = data.select(*(F.col(c).alias(p) for c, p in zip(data.columns, PRIMARY, strict=True)), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    at = index_rows(named, [F.col("__file"), F.col("__row")]).drop("__file", "__row")
     sides = (("labels", "is_signal", "double"), ("weights", "weight", "double"), ("detailed_labels", "detailed_label", "string"))
     return zip_columns(at, *(read_lines(spark, f"{folder}/{n}/data.{n}", c, k) for n, c, k in sides))
 
@@ -107,20 +112,32 @@ def features_of(df: DataFrame) -> DataFrame:
 
 
 # -- names ---------------------------------------------------------------------------------------------------------------
+# A name is a process (or none) and pairs of a shift and its value, or the word nominal; underscores stand between all of them, and p
+# stands for the decimal point.
 def file_name(process: str | None = None, values: tuple[float, float, float] | None = None, suffix: str = ".h5") -> str:
-    """process_tes_1p01_..., values at their default left out, "nominal" where all are."""
-    shown = [f"{s}_{v!s}".replace(".", "p") for s, v, d in zip(SHIFTS, values or DEFAULTS, DEFAULTS, strict=True) if v != d]
-    return "_".join(([process] if process else []) + (shown or ["nominal"])) + suffix
+    """The name of a sample; shifts at their default are left out."""
+    tokens = [process] if process else []
+    for shift, default, value in zip(SHIFTS, DEFAULTS, values or DEFAULTS, strict=True):
+        if value != default:
+            tokens += [shift, str(value).replace(".", "p")]
+    if len(tokens) == bool(process):
+        tokens.append("nominal")
+    return "_".join(tokens) + suffix
 
 
 def parse_file_name(name: Column, suffix: str = ".h5") -> dict[str, Column]:
-    """process (null if there is none), tes, jes and met."""
-    base = F.regexp_replace(name, f"{suffix.replace('.', '[.]')}$", "")
-    first = F.regexp_extract(base, r"^(?!tes|jes|met)(.*?)(?:_|$)", 1)
-    process = F.when((first == "") | (first == "nominal"), F.lit(None)).otherwise(first)
-    rest = F.when(first == "", base).otherwise(F.substring(base, F.length(first) + 2, F.length(base)))
-    value = lambda s, d: F.coalesce(F.nullif(F.replace(F.regexp_extract(rest, rf"{s}_(\d+p\d+|\d+)", 1), F.lit("p"), F.lit(".")), F.lit("")).cast("double"), F.lit(d))
-    return {"process": process, **{s: value(s, d) for s, d in zip(SHIFTS, DEFAULTS, strict=True)}}
+    """process (null if there is none), tes, jes and met, token by token."""
+    stem = F.when(name.endswith(suffix), F.left(name, F.length(name) - len(suffix))).otherwise(name)
+    tokens = F.split(stem, "_")
+    first = F.element_at(tokens, 1)
+    is_process = ~first.isin("", "nominal", *SHIFTS)
+
+    def value(shift: str, default: float) -> Column:
+        after = F.try_element_at(tokens, (F.array_position(tokens, F.lit(shift)) + 1).cast("int"))
+        number = F.when(F.array_contains(tokens, shift) & after.rlike("^[0-9]+(p[0-9]+)?$"), F.translate(after, "p", "."))
+        return F.coalesce(number.cast("double"), F.lit(default))
+
+    return {"process": F.when(is_process, first), **{s: value(s, d) for s, d in zip(SHIFTS, DEFAULTS, strict=True)}}
 
 
 def mu_name(mu: Column) -> Column:
@@ -167,7 +184,10 @@ def copy_with_selection(events: DataFrame, condition: Column, path: str, process
     out = events.where(condition)
     if process is not None:
         out = out.where(F.col("label") == CODE[process])
-    (out if limit is None else out.limit(limit)).write.mode("overwrite" if overwrite else "ignore").parquet(path)
+    if limit is not None:  # any rows, numbered range by range
+        ranked = index_rows(out.withColumn("__r", F.xxhash64(*out.columns)), [F.col("__r")], "__rank")
+        out = ranked.where(F.col("__rank") < limit).drop("__r", "__rank")
+    out.write.mode("overwrite" if overwrite else "ignore").parquet(path)
 
 
 NTUPLE = T.StructType(

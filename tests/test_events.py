@@ -12,7 +12,7 @@ from tessella.functions import kinematics as K
 from tessella.functions import numeric as N
 from tessella.operators import histograms as H
 from tessella.operators import likelihood as L
-from tessella.operators import quality, resampling, scoring, selections, spline, systematics, yields
+from tessella.operators import cubes, quality, resampling, scoring, selections, spline, systematics, yields
 from tessella.plans import fit
 from tessella.schema import BASE_POINTS, FEATURES, MONOMIALS, PRIMARY
 from tessella.sources import events as S
@@ -184,6 +184,12 @@ def test_resampling(spark):
     big = spark.range(4000).select(F.lit(3.0).alias("m"))
     n = resampling.with_poisson(big, "n", F.col("m"), 5).agg(F.avg("n"), F.var_pop("n")).first()
     assert n[0] == pytest.approx(3, abs=0.15) and n[1] == pytest.approx(3, abs=0.3)
+    large = spark.range(3000).select(F.when(F.col("id") % 2 == 0, 75.5).otherwise(31.0).alias("m"))
+    for r in resampling.with_poisson(large, "n", F.col("m"), 6).groupBy("m").agg(F.avg("n").alias("a"), F.var_pop("n").alias("v"), F.skewness("n").alias("s")).collect():
+        assert (r.a, r.v) == (pytest.approx(r.m, rel=0.02), pytest.approx(r.m, rel=0.15)) and r.s == pytest.approx(r.m**-0.5, abs=0.15)
+    many = spark.range(500).select("id")
+    taken = {r.id for r in resampling.sample_rows(many, 100).collect()}
+    assert len(taken) == 100 and taken == {r.id for r in resampling.sample_rows(many.repartition(7), 100).collect()} and taken != {r.id for r in resampling.sample_rows(many, 100, 1).collect()}
     assert resampling.sample_rows(df, 2).count() == 2 and resampling.sample_rows(df, 0.5).count() == 1
     for bad in (1.5, "x", True, -1):
         with pytest.raises(ValueError):
@@ -224,14 +230,150 @@ def test_fit_recovers_pseudodata(spark):
     assert found.values["mu"] == pytest.approx(1.4, abs=0.02)
 
 
-def test_cube_and_exact_shift_agree(spark):
-    s, at = scored_rows(spark), (0.5, -0.3, 0.2)
-    point = {"mu": 1.3, "nu_tt": 0.5, **dict(zip(("nu_tes", "nu_jes", "nu_met"), at, strict=True))}
-    names = "htautau ztautau ttbar diboson".split()
-    cubes = {p: L.yield_cube(s, p, [at], [0.0] * 9).first().value for p in names}
-    constants = L.yield_constants(s).first()
-    exact = L.region_terms(s, s, [point], {}).first().shift
-    assert L.interpolated_shift(point, cubes, {p: constants[f"c_{p}"] for p in names}) == pytest.approx(exact)
+def test_cube_and_exact_shift_agree(spark, tmp_path):
+    """On a grid point, off the grid by interpolation, and through a written cube table."""
+    s = scored_rows(spark)
+    axes = (tuple(x / 2 for x in range(-4, 5)), tuple(x / 2 for x in range(-4, 5)), tuple(x / 2 for x in range(7)))
+    log_yields = {"ttbar": [0.01, -0.02, 0.003, 0.0, 0.0, 0.001, 0.0, 0.0, 0.0]}
+    table = cubes.cube_table(s, log_yields, axes)
+    assert table.count() == 4 * (9 * 9 * 7 + 1) and tuple(map(len, cubes.AXES)) == (27, 27, 9)
+    cubes.write_cubes(table, f"{tmp_path}/cubes")
+    found = cubes.Cubes.read(spark, f"{tmp_path}/cubes", ["r"], axes)
+    for at in ((0.5, -0.5, 1.0), (0.3, -1.27, 0.71)):
+        point = {"mu": 1.3, "nu_tt": 0.5, **dict(zip(("nu_tes", "nu_jes", "nu_met"), at, strict=True))}
+        exact = L.region_terms(None, s, [point], log_yields).first().shift
+        assert found.shift("r", point) == pytest.approx(exact, rel=1e-4)
+    for with_, without in zip(L.Likelihood(s, None, log_yields, cubes=found)([point]), L.Likelihood(s, s, log_yields)([point]), strict=True):
+        assert with_ == pytest.approx(without, rel=1e-4)
+    with pytest.raises(ValueError):
+        L.Likelihood(s, None, log_yields)
+    with pytest.raises(ValueError):
+        cubes.Cubes.of(table.where("cell != 5"), axes)
+    assert cubes.cube_table(s.withColumn("p_ttbar", F.lit(None).cast("double")), {}, axes).isEmpty()
+
+
+def test_region_terms_are_the_ratio_column(spark):
+    """The matrix form gives what the Column form gives, also NaN where a ratio is not positive."""
+    s = scored_rows(spark)
+    points = [{"mu": 1.3, "nu_tt": 0.5, "nu_tes": 0.4}, {"mu": 0.7, "nu_bkg": -1.0, "nu_met": 2.0}]
+    got = {r.point: r for r in L.region_terms(s, s, points, {}).collect()}
+    for k, p in enumerate(points):
+        r = L.density_ratio(L.at(p), {})
+        want = s.agg(F.sum(F.col("weight") * (1 - r)).alias("a"), F.sum(F.col("weight") * F.log(r)).alias("b")).first()
+        assert (got[k].shift, got[k].log_term) == (pytest.approx(want.a), pytest.approx(want.b))
+    assert math.isnan(L.region_terms(s, None, [{"mu": -1e6}], {}).first().log_term)
+
+
+def test_hessian_near_and_at_bounds():
+    """Mixed terms keep their value where a corner is cut off by a bound, and are 0 at the bound."""
+    f = lambda points: np.array([p["mu"] * p["nu_met"] + 2 * p["nu_met"] ** 2 + p["mu"] ** 2 for p in points])
+    assert fit.hessian(f, {"mu": 1.0, "nu_met": 0.1}) == pytest.approx(np.array([[2.0, 1.0], [1.0, 4.0]]))
+    assert fit.hessian(f, {"mu": 1.0, "nu_met": 0.0}) == pytest.approx(np.array([[2.0, 0.0], [0.0, 4.0]]))
+    assert fit.hessian(f, {"mu": 1.0, "nu_met": 5.0})[1, 1] == pytest.approx(4.0)
+
+
+def test_minos_and_impacts():
+    """A parabola with a correlation: the profiled width is the square root of the inverse curvature, on both sides."""
+    f = lambda points: np.array([((p["mu"] - 1) ** 2 + 1.2 * (p["mu"] - 1) * p["nu_tt"] + p["nu_tt"] ** 2) / 0.04 for p in points])
+    best = fit.minimise(f, {"mu": 0.8, "nu_tt": 0.3})
+    best.covariance = fit.covariance(fit.hessian(f, best.values), 1.0)
+    sigma = math.sqrt(0.04 / (1 - 0.36))
+    low, high = fit.minos(f, best)
+    assert (best.values["mu"] - low, high - best.values["mu"]) == (pytest.approx(sigma, rel=0.02), pytest.approx(sigma, rel=0.02))
+    impact = fit.impact_of(f, best, "nu_tt")
+    assert impact["nu_up"] == pytest.approx(sigma, rel=0.02) and impact["impact_up"] == pytest.approx(-0.6 * sigma, rel=0.05)
+    bounded = {**fit.BOUNDS, "mu": (0.95, math.inf)}
+    assert fit.minos(f, fit.minimise(f, {"mu": 1.0, "nu_tt": 0.0}, None, bounded), bounds=bounded)[0] == 0.95
+
+
+def test_models_come_back_as_they_were(spark, tmp_path):
+    from tessella.sources import models
+
+    network = scoring.Network(("a", "b"), (((((0.5, -1.0), (0.25, 2.0)), (0.0, 0.1))),), "linear", (1.0, 2.0), (3.0, 4.0), (1.0, 2.0))
+    tree = scoring.Split("a", 0.5, scoring.Leaf((1.0, 2.0)), scoring.Split("b", -1.0, scoring.Leaf((0.0, 1.0)), scoring.Leaf((3.0, 4.0)), True))
+    df = spark.createDataFrame([(float(i % 50) / 50, float(i % 3 == 0), 1.0) for i in range(300)], "s double, y double, weight double")
+    isotonic = scoring.fit_isotonic(df, "s", F.col("y"))
+    curve = models.Curve.of(isotonic)
+    table = models.Table.of(yields.class_yields(spark.createDataFrame([(0, 1.5), (0, 2.0), (1, 3.25)], "label int, weight double")))
+    found = fit.Fit({"mu": 1.2}, 3.5, np.array([[0.25]]), 7, ("mu",))
+    for i, model in enumerate((network, tree, [tree, tree.right], curve, table)):
+        models.save(spark, model, f"{tmp_path}/{i}")
+        assert models.load(spark, f"{tmp_path}/{i}") == model
+    models.save(spark, found, f"{tmp_path}/fit")
+    again = models.load(spark, f"{tmp_path}/fit")
+    assert again.row() == found.row() and again.names == ("mu",)
+    at = spark.createDataFrame([(-1.0,), (0.111,), (0.5,), (2.0,), (None,)], "s double")
+    a = [r.calibrated for r in curve(at, "s").orderBy("s").collect()]
+    b = [r.calibrated for r in scoring.calibrate_isotonic(at.dropna(), isotonic, "s").orderBy("s").collect()]
+    assert a[0] is None and a[1:] == pytest.approx(b)
+    assert str(table).splitlines()[0].split() == ["label", "yield", "n"] and len(str(table).splitlines()) == 3
+    with pytest.raises(TypeError):
+        models.to_json(object())
+
+
+def test_saved_ensemble_of_boosted_trees(spark):
+    """A small file in the saved format: strict conditions, missing values by default direction, softmax over classes."""
+    import json
+
+    from tessella.sources import models
+
+    tree = lambda feature, condition, a, b, default: {"left_children": [1, -1, -1], "right_children": [2, -1, -1], "split_indices": [feature, 0, 0], "split_conditions": [condition, a, b], "default_left": [default, 0, 0]}
+    text = json.dumps({"learner": {"feature_names": ["x", "z"], "learner_model_param": {"num_class": "2", "base_score": "5E-1"},
+                                   "gradient_booster": {"model": {"trees": [tree(0, 1.0, 0.5, -0.5, 1), tree(1, 2.0, 0.25, 1.0, 0)], "tree_info": [0, 1]}}}})
+    ensemble = models.read_ensemble(text)
+    rows = spark.createDataFrame([(0.999, 2.0), (1.0, 1.9), (None, None), (float("nan"), 5.0)], "x double, z double")
+    got = rows.select(*(m.alias(f"m{i}") for i, m in enumerate(ensemble.margins())), ensemble.scores(("a", "b"))["a"].alias("p")).collect()
+    want = [(1.0, 1.5), (0.0, 0.75), (1.0, 1.5), (1.0, 1.5)]
+    assert [(r.m0, r.m1) for r in got] == want
+    assert [r.p for r in got] == pytest.approx([math.exp(a) / (math.exp(a) + math.exp(b)) for a, b in want])
+
+
+def test_settings_and_overrides(tmp_path):
+    import json
+
+    from tessella import config
+
+    plain = {"Tasks": ["MultiClassifier", "htautau", "ttbar"], "Selections": ["highMT_VBFJet"], "Parameters": {"alpha_tt": 0.02}, "Poisson": {"a": {"preselection": "highMT_noVBFJet", "mva_selection": [["ttbar", 0.4, 100]]}, "b": {"preselection": "x", "ignore": True}}}
+    changed = config.overridden(plain, ["Parameters.alpha_tt=0.5", "CSI.use=true", "Save.n_split=100", "Poisson.b.ignore=false", "New.deep.text=a=b", "x=-1e-3", "y=none"])
+    assert "CSI" not in plain and changed["New"] == {"deep": {"text": "a=b"}} and changed["x"] == -0.001 and changed["y"] is None
+    with open(tmp_path / "c.json", "w") as f:
+        json.dump(plain, f)
+    s = config.read_settings(str(tmp_path / "c.json"), ["CSI.use=TRUE", "Parameters.alpha_tt=0.5"])
+    assert s.processes == ("htautau", "ttbar") and s.use_cubes and dict(s.rates)["nu_tt"] == 0.5 and dict(s.rates)["nu_bkg"] == 0.001
+    assert s.poisson_regions == {"a": ("highMT_noVBFJet", (("ttbar", 0.4, 100.0),))}
+    assert config.settings({}) == config.Settings()
+    for bad in (["novalue"], ["Tasks.x=1"]):
+        with pytest.raises(ValueError):
+            config.overridden(plain, bad)
+    with pytest.raises(ValueError):
+        config.settings({"Tasks": ["nothing"]})
+
+
+def test_train_rows_keep_their_lines(spark, tmp_path):
+    """A folder of several Parquet files: every event meets its own label and weight."""
+    from tessella.schema import PRIMARY
+
+    (tmp_path / "data" / "data.parquet").mkdir(parents=True)
+    n = 90
+    import pandas as pd
+
+    for part in range(3):
+        pd.DataFrame({c: [float(part * 30 + i) for i in range(30)] for c in PRIMARY}).to_parquet(tmp_path / "data" / "data.parquet" / f"part-{part}.parquet")
+    for name, values in (("labels", [i % 2 for i in range(n)]), ("weights", [i / 8 for i in range(n)]), ("detailed_labels", [f" d{i} " for i in range(n)])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / f"data.{name}").write_text("\n".join(map(str, values)))
+    rows = S.read_train(spark, str(tmp_path)).collect()
+    assert len(rows) == n and all((r.row_idx, r.weight, r.is_signal, r.detailed_label) == (r.PRI_met, r.PRI_met / 8, r.PRI_met % 2, f"d{int(r.PRI_met)}") for r in rows)
+
+
+def test_null_features_stay_in_the_tree(spark):
+    rows = [(float(i % 20) if i % 5 else None, 1.0, p) for i in range(400) for p in (0, 1)]
+    e = spark.createDataFrame(rows, "x double, weight double, point int").withColumn("weight", F.when((F.col("point") == 1) & (F.col("x") > 10), 2.0).otherwise(F.col("weight")))
+    tree = scoring.grow_tree(e, ["x"], [(0.0, 0.0, 0.0), (0.0, 1.0, 0.0)], (("nu_jes",),), 1, 5)
+    right = e.where(~tree.goes_left())
+    sums = {r.point: r.w for r in right.groupBy("point").agg(F.sum("weight").alias("w")).collect()}
+    assert tree.threshold == 9.0 and right.where("x is null").count() == 160
+    assert tree.right.value[0] == pytest.approx(math.log(sums[1] / sums[0]))
 
 
 def known(points):
