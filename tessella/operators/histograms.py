@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessella.functions.numeric import bin_of
 from tessella.schema import BINNING
@@ -18,10 +22,59 @@ def histogram(rows: DataFrame, value: Column, bins: int, low: float, high: float
 
 
 def feature_histograms(events: DataFrame, features: Iterable[str] = tuple(BINNING), *by: str, weight: str = "weight") -> DataFrame:
-    """(by, feature, bin, sum) of all features with their standard binning, in one pass."""
-    cells = [F.struct(F.lit(f).alias("feature"), bin_of(F.col(f).cast("double"), *BINNING[f]).alias("bin")) for f in features]
-    filled = events.select(*by, F.col(weight).alias("__w"), F.inline(F.array(*cells))).where("bin is not null")
-    return filled.groupBy(*by, "feature", "bin").agg(F.sum("__w").alias("sum"))
+    """(by, feature, bin, sum) of all features with their standard binning, in one pass.
+
+    A batch of events fills all its histograms at once, and a task hands on one row for each of its bins; events are never multiplied.
+    A null weight counts as 0.
+    """
+    features = list(features)
+    rows = events.select(*by, F.coalesce(F.col(weight).cast("double"), F.lit(0.0)).alias("__w"), *(F.col(f).cast("double").alias(f"__{i}") for i, f in enumerate(features)))
+    keys = [rows.schema[b] for b in by]
+    schema = T.StructType([*keys, T.StructField("feature", T.StringType()), T.StructField("bin", T.IntegerType()), T.StructField("part", T.DoubleType())])
+    cells = sum(BINNING[f][0] for f in features)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            groups, code = _groups(batch, by)
+            w = batch.column("__w").to_numpy()
+            filled, begin = np.zeros((len(groups), 2, cells)), 0  # sums and counts
+            for i, f in enumerate(features):
+                bins, low, high = BINNING[f]
+                x = batch.column(f"__{i}").to_numpy(zero_copy_only=False)
+                here = np.flatnonzero((x >= low) & (x <= high))
+                at = code[here] * bins + np.minimum(np.floor((x[here] - low) / ((high - low) / bins)).astype(np.int64), bins - 1)
+                for k, values in enumerate((w[here], None)):
+                    filled[:, k, begin : begin + bins] = np.bincount(at, values, len(groups) * bins).reshape(len(groups), bins)
+                begin += bins
+            for g, part in zip(groups, filled, strict=True):
+                sums[g] = sums[g] + part if g in sums else part
+        name = np.repeat(np.array(features, object), [BINNING[f][0] for f in features])
+        number = np.concatenate([np.arange(BINNING[f][0], dtype=np.int32) for f in features])
+        for g, (value, count) in sums.items():
+            at = np.flatnonzero(count)
+            columns = [pa.array([v] * len(at), t.type) for v, t in zip(g, to_arrow_schema(T.StructType(keys)), strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(name[at], pa.string()), pa.array(number[at]), pa.array(value[at])], [*by, "feature", "bin", "part"])
+
+    return rows.mapInArrow(run, schema).groupBy(*by, "feature", "bin").agg(F.sum("part").alias("sum"))
+
+
+def _groups(batch: pa.RecordBatch, by: tuple[str, ...]) -> tuple[list[tuple], np.ndarray]:
+    """The distinct keys of a batch, and which of them each row has."""
+    code, values = np.zeros(batch.num_rows, np.int64), []
+    for b in by:
+        coded = batch.column(b).dictionary_encode(null_encoding="encode")
+        values.append(coded.dictionary.to_pylist())
+        code = code * len(values[-1]) + coded.indices.to_numpy()
+    every, code = np.unique(code, return_inverse=True)
+    groups = []
+    for c in every.tolist():
+        key = []
+        for v in reversed(values):
+            c, k = divmod(c, len(v))
+            key.append(v[k])
+        groups.append(tuple(reversed(key)))
+    return groups, code
 
 
 def rebin(hist: DataFrame, factor: int, *by: str, value: str = "sum") -> DataFrame:
@@ -64,3 +117,11 @@ def histogram_2d(rows: DataFrame, x: Column, y: Column, bins: int = 50) -> DataF
     wide = lambda c: F.col(f"high_{c}") - F.col(f"low_{c}")
     at = lambda c: F.when(wide(c) > 0, F.least(F.floor((F.col(c) - F.col(f"low_{c}")) / wide(c) * bins).cast("int"), F.lit(bins - 1))).otherwise(F.lit(0))
     return data.join(span).groupBy(at("x").alias("bin_x"), at("y").alias("bin_y")).agg(F.count("*").alias("n"))
+
+
+def ratio_histograms(scored: DataFrame, ratio: Column, features: Iterable[str] = tuple(BINNING), *by: str, varied: str = "weight_varied") -> DataFrame:
+    """(by, feature, bin, true_sum, predicted): varied weights, and nominal weights times a predicted ratio, e.g. of each base point."""
+    features = list(features)
+    both = scored.withColumn("__predicted", F.col("weight") * ratio)
+    true = feature_histograms(both, features, *by, weight=varied).withColumnRenamed("sum", "true_sum")
+    return true.join(feature_histograms(both, features, *by, weight="__predicted").withColumnRenamed("sum", "predicted"), [*by, "feature", "bin"], "full")

@@ -66,12 +66,13 @@ def asimov_weights(events: DataFrame, mu: float | None = None, nu_bkg: float | N
     return events.withColumn("weight", F.col("weight") * factor)
 
 
-def region_terms(toy: DataFrame | None, simulation: DataFrame | None, points: list[Point], log_yields: dict[str, list[float]]) -> DataFrame:
+def region_terms(toy: DataFrame | None, simulation: DataFrame | None, points: list[Point], log_yields: dict[str, list[float]], *by: str) -> DataFrame:
     """(point, region, shift, log_term, u): the inclusive shift on simulation, the log term on the toy, and -2 times their sum.
 
     Both sides are added up in one pass over their union; a side that is None adds nothing. Regions without events have no row, which is
-    a contribution of 0. A density ratio that is not positive makes its log term NaN.
+    a contribution of 0. A density ratio that is not positive makes its log term NaN. With ``by`` given ("point") sums go over the rest.
     """
+    by = by or ("point", "region")
     sides = [events_for(df).withColumn("is_toy", F.lit(toys)) for df, toys in ((toy, True), (simulation, False)) if df is not None]
     both = sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])
     shape = np.array([monomials([p.get(n, 0.0) for n in SHAPES]) for p in points]).T  # monomials x points
@@ -99,7 +100,7 @@ def region_terms(toy: DataFrame | None, simulation: DataFrame | None, points: li
             columns = [pa.array(np.arange(len(points), dtype=np.int32)), pa.array([name] * len(points)), pa.array(out[0]), pa.array(out[1])]
             yield pa.RecordBatch.from_arrays(columns, ["point", "region", "shift", "log_term"])
 
-    summed = both.mapInArrow(run, "point int, region string, shift double, log_term double").groupBy("point", "region")
+    summed = both.mapInArrow(run, "point int, region string, shift double, log_term double").groupBy(*by)
     return summed.agg(F.sum("shift").alias("shift"), F.sum("log_term").alias("log_term")).withColumn("u", -2.0 * (F.col("shift") + F.col("log_term")))
 
 
@@ -168,7 +169,7 @@ class Likelihood:
         self.poisson = [({p: r[f"s_{p}"] for p in PROCESSES}, r["observed"]) for r in rows]
 
     def __call__(self, points: list[Point]) -> np.ndarray:
-        terms = region_terms(self.toy, self.simulation, points, self.log_yields).groupBy("point").agg(F.sum("u").alias("u")).collect()  # one row a point
+        terms = region_terms(self.toy, self.simulation, points, self.log_yields, "point").collect()  # one row a point
         u = {r.point: r.u for r in terms}
         shift = [-2.0 * self.cubes.total(p) if self.cubes else 0.0 for p in points]
         return np.array([u.get(i, 0.0) + shift[i] + penalty(p, self.floating) + sum(poisson_term(p, y, n, self.log_yields) for y, n in self.poisson) for i, p in enumerate(points)])
@@ -178,7 +179,7 @@ def scan_frame(toy: DataFrame, simulation: DataFrame, poisson: DataFrame, points
     """(point, mu, unbinned, poisson, penalty, q) of each point as a DataFrame."""
     spark = toy.sparkSession
     grid = spark.createDataFrame([(i, float(p.get("mu", 1.0)), float(penalty(p))) for i, p in enumerate(points)], "point int, mu double, penalty double")
-    unbinned = region_terms(toy, simulation, points, log_yields).groupBy("point").agg(F.sum("u").alias("unbinned"))
+    unbinned = region_terms(toy, simulation, points, log_yields, "point").select("point", F.col("u").alias("unbinned"))
     counted = with_points(poisson, points).groupBy("point").agg(F.sum(poisson_term_column(from_columns(), log_yields)).alias("poisson"))
     zero = F.lit(0.0)
     joined = grid.join(unbinned, "point", "left").join(counted, "point", "left").na.fill(0.0, ["unbinned", "poisson"])

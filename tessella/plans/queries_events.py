@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import kinematics as K
@@ -314,9 +317,11 @@ def q_onehot(spark, sf):
     return selections.one_hot(events(spark, sf)).select("event_id", *(f"is_{p}" for p in PROCESSES))
 
 
-@query("q_split_process")
+@query("q_split_process", views() + "SELECT event_id, weight, process FROM (SELECT event_id, w + 0.0::double AS weight, CASE label " + " ".join(f"WHEN {c} THEN '{p}'" for p, c in CODE.items()) + " END AS process FROM ev)")
 def q_split_process(spark, sf):
-    return resampling.shuffled(resampling.split_by_process(events(spark, sf))["ttbar"].select("event_id", "weight"))
+    parts = resampling.split_by_process(events(spark, sf).select("event_id", "weight", "label"))
+    every = [resampling.shuffled(rows.select("event_id", "weight", F.lit(p).alias("process"))) for p, rows in parts.items()]
+    return reduce(DataFrame.unionByName, every)
 
 
 @query("q_bootstrap")
@@ -355,12 +360,15 @@ def q_s_over_b(spark, sf):
     return yields.signal_over_background(selections.explode_regions(derived(spark, sf), selections.EXCLUSIVE), "region").select("region", r("s_over_b").alias("s_over_b"))
 
 
-_SCALED = tuple(f for f in FEATURES if f not in ("DER_mass_vis", "DER_mass_jet_jet"))
+#: Digits of mean and variance; fewer for the two masses that are roots of differences of large numbers.
+_ROUND = {f: (2, 0) if f in ("DER_mass_vis", "DER_mass_jet_jet") else (4, 3) for f in FEATURES}
 
 
-@query("q_scaler", views() + " UNION ALL ".join(f"SELECT '{f}' AS feature, {rs(f'avg({SQL_OF[f]})', 4)} AS mean, {rs(f'var_pop({SQL_OF[f]})', 3)} AS variance FROM ce" for f in _SCALED))
+@query("q_scaler", views() + " UNION ALL ".join(f"SELECT '{f}' AS feature, {rs(f'avg({SQL_OF[f]})', _ROUND[f][0])} AS mean, {rs(f'var_pop({SQL_OF[f]})', _ROUND[f][1])} AS variance FROM ce" for f in FEATURES))
 def q_scaler(spark, sf):
-    return yields.feature_statistics(derived(spark, sf), _SCALED).select("feature", r("mean", 4).alias("mean"), r("variance", 3).alias("variance"))
+    coarse = F.col("feature").isin(*(f for f, d in _ROUND.items() if d == (2, 0)))
+    rounded = lambda c, fine, rough: F.when(coarse, r(c, rough)).otherwise(r(c, fine)).alias(c)
+    return yields.feature_statistics(derived(spark, sf), FEATURES).select("feature", rounded("mean", 4, 2), rounded("variance", 3, 0))
 
 
 def _at_points(spark, sf):
@@ -396,12 +404,29 @@ def sql_bin(x: str, bins: int, low: float, high: float) -> str:
     return f"CASE WHEN {x} >= {low!r}::double AND {x} <= {high!r}::double AND NOT isnan({x}) THEN least(CAST(floor(({x} - {low!r}::double)/{(high - low) / bins!r}::double) AS INTEGER), {bins - 1}) END"
 
 
-_FILLED = tuple(f for f in BINNING if f not in ("DER_mass_vis", "DER_mass_jet_jet"))
 
 
-@query("q_hist_feature", views() + f"SELECT feature, bin, {rs('sum(w)')} AS sum FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, {sql_bin(f'({SQL_OF[f]})::double', *BINNING[f])} AS bin, w FROM ce" for f in _FILLED) + ") WHERE bin IS NOT NULL GROUP BY feature, bin")
+@query("q_hist_feature", views() + f"SELECT feature, bin, {rs('sum(w)')} AS sum FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, {sql_bin(f'({SQL_OF[f]})::double', *BINNING[f])} AS bin, w FROM ce" for f in FEATURES) + ") WHERE bin IS NOT NULL GROUP BY feature, bin")
 def q_hist_feature(spark, sf):
-    return H.feature_histograms(derived(spark, sf), _FILLED).select("feature", "bin", r("sum").alias("sum"))
+    return H.feature_histograms(derived(spark, sf)).select("feature", "bin", r("sum").alias("sum"))
+
+
+_RATIO_FEATURES = ("PRI_lep_pt", "PRI_had_pt", "PRI_met", "PRI_n_jets")
+_BIAS = 1.02
+
+
+@query(
+    "q_hist_net",
+    views(_POINTS, f"h AS (SELECT nu_tes, nu_jes, nu_met, lep_pt, had_pt, met, nj, w*exp({_LOG}) AS wv, w*{_BIAS}::double*exp({_LOG}) AS wp FROM ev, pts WHERE nu_tes != 0 OR nu_jes != 0 OR nu_met != 0)",
+          "b AS (" + " UNION ALL ".join(f"SELECT nu_tes, nu_jes, nu_met, '{f}' AS feature, {sql_bin(f'({SQL_OF[f]})::double', *BINNING[f])} AS bin, wv, wp FROM h" for f in _RATIO_FEATURES) + ")")
+    + f"SELECT nu_tes + 0.0::double AS nu_tes, nu_jes + 0.0::double AS nu_jes, nu_met, feature, bin, {rs('sum(wv)', 4)} AS true_sum, {rs('sum(wp)', 4)} AS predicted FROM b WHERE bin IS NOT NULL GROUP BY ALL",
+)
+def q_hist_net(spark, sf):
+    """Of every base point: varied weights, and nominal weights times a ratio net's answer, by feature and bin."""
+    e = events(spark, sf).select(*_RATIO_FEATURES, "weight")
+    at = yields.with_base_points(e).withColumn("weight_varied", F.col("weight") * F.exp(yields.log_ratio(LOG_YIELD)))
+    h = H.ratio_histograms(at, F.lit(_BIAS) * F.exp(yields.log_ratio(LOG_YIELD)), _RATIO_FEATURES, *SHAPES)
+    return h.select(*((F.col(s) + F.lit(0.0)).alias(s) for s in SHAPES), "feature", "bin", r("true_sum", 4).alias("true_sum"), r("predicted", 4).alias("predicted"))
 
 
 _MET_BIN = sql_bin("met", *BINNING["PRI_met"])

@@ -89,7 +89,16 @@ def q_dcr_rescale_multi(spark, sf):
     return scored(spark, sf).select("event_id", *(r(c, 9).alias(p) for p, c in out.items()))
 
 
-@query("q_isotonic")
+#: Isotonic regression by its minimax formula over the distinct scores: the largest, over all starts up to a score, of the smallest mean
+#: of the targets from there to any end from the score on. The synthetic scores have few distinct values.
+_ISOTONIC = (
+    "v AS (SELECT p0 AS x, sum(w*CASE WHEN label=0 THEN 1 ELSE 0 END) AS t, sum(w) AS w FROM sc GROUP BY p0), n AS (SELECT *, row_number() OVER (ORDER BY x) AS i FROM v), "
+    "c AS (SELECT a.i AS a, b.i AS b, sum(m.t)/sum(m.w) AS mean FROM n a JOIN n b ON a.i <= b.i JOIN n m ON m.i BETWEEN a.i AND b.i GROUP BY a.i, b.i), "
+    "low AS (SELECT n.i, c.a, min(c.mean) AS least FROM n JOIN c ON c.a <= n.i AND c.b >= n.i GROUP BY n.i, c.a), iso AS (SELECT n.x, max(least) AS y FROM low JOIN n USING (i) GROUP BY n.x)"
+)
+
+
+@query("q_isotonic", views(_ISOTONIC) + f"SELECT event_id, {rs('greatest(1e-6, least(1-1e-6, y))', 6)} AS calibrated FROM sc JOIN iso ON p0 = x")
 def q_isotonic(spark, sf):
     s = scored(spark, sf).select("event_id", "p_htautau", "label", "weight")
     model = scoring.fit_isotonic(s, "p_htautau", F.col("label") == 0)
@@ -222,8 +231,46 @@ def q_best_split(spark, sf):
     return best.select("feature", r("threshold", 4).alias("threshold"), r("loss", 4).alias("loss"))
 
 
-@query("q_grow_tree")
+def _sql_grown(depth: int, min_size: int) -> str:
+    """The tree level by level: the best split of each node, events sent to their side, and the leaf's log ratio of yields."""
+    features = (("PRI_lep_pt", "lep_pt"), ("PRI_met", "met"))
+    side = "({a}*({s}-ln(2)) + {b}*({t}-ln(2)))"
+    loss = lambda a, b: side.format(a=a, b=b, s=_SOFT.format(x=f"ln({b}/{a})"), t=_SOFT.format(x=f"(-ln({b}/{a}))"))
+    parts = ["e0 AS (SELECT event_id, lep_pt, met, w AS w0, w*CASE WHEN lep_pt > 40 THEN 1.2::double ELSE 0.9::double END AS w1, 1 AS node, true AS grows FROM ev)"]
+    for k in range(depth):
+        flat = " UNION ALL ".join(f"SELECT node, '{f}' AS feature, {c} AS v, w0, w1 FROM e{k} WHERE grows" for f, c in features)
+        parts += [
+            f"c{k} AS (SELECT node, feature, v, sum(w0) AS w0, sum(w1) AS w1, count(*) AS n FROM ({flat}) GROUP BY node, feature, v)",
+            f"r{k} AS (SELECT *, sum(w0) OVER o AS l0, sum(w1) OVER o AS l1, sum(n) OVER o AS ln, sum(w0) OVER p AS a0, sum(w1) OVER p AS a1, sum(n) OVER p AS an, max(v) OVER p AS last FROM c{k} "
+            "WINDOW o AS (PARTITION BY node, feature ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), p AS (PARTITION BY node, feature))",
+            f"s{k} AS (SELECT node, feature, v, round({loss('l0', 'l1')} + {loss('(a0-l0)', '(a1-l1)')}, 9) AS loss FROM r{k} WHERE v < last AND ln >= {min_size} AND an-ln >= {min_size})",
+            f"b{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY loss, feature, v) AS place FROM s{k}) WHERE place = 1)",
+            f"e{k + 1} AS (SELECT event_id, lep_pt, met, w0, w1, CASE WHEN b.node IS NULL THEN e.node WHEN (CASE b.feature WHEN 'PRI_met' THEN met ELSE lep_pt END) <= b.v THEN 2*e.node ELSE 2*e.node + 1 END AS node, grows AND b.node IS NOT NULL AS grows FROM e{k} e LEFT JOIN b{k} b ON e.node = b.node)",
+        ]
+    return ", ".join([*parts, f"leaf AS (SELECT node, ln(sum(w1)/sum(w0)) AS delta FROM e{depth} GROUP BY node)"])
+
+
+@query("q_grow_tree", views(_sql_grown(2, 50)) + f"SELECT event_id, {rs('delta')} AS delta FROM e2 JOIN leaf USING (node)")
 def q_grow_tree(spark, sf):
     tree = scoring.grow_tree(split_events(spark, sf), _SPLIT_FEATURES, _SPLIT_POINTS, _SPLIT_TERMS, 2, 50)
     return events(spark, sf).select("event_id", r(scoring.tree_column(tree, 0)).alias("delta"))
 
+
+#: A ratio net: linear outputs are the coefficients of the monomials.
+_RATIO_NET = scoring.Network(("PRI_lep_pt", "PRI_met"), (([[0.02, -0.01], [0.03, 0.04]], [0.0, 0.01]), ([[0.5, 0.1], [0.2, -0.3]], [0.01, 0.02])), "linear", (40.0, 80.0), (200.0, 2500.0))
+
+
+def _sql_ratio_net() -> str:
+    (w1, b1), (w2, b2) = _RATIO_NET.layers
+    x = [f"((lep_pt-{_RATIO_NET.mean[0]}::double)/sqrt({_RATIO_NET.variance[0]}::double))", f"((met-{_RATIO_NET.mean[1]}::double)/sqrt({_RATIO_NET.variance[1]}::double))"]
+    hidden = ", ".join(f"greatest(0::double, {' + '.join(f'{x[i]}*({w1[i][j]})::double' for i in range(2))} + ({b1[j]})::double) AS h{j}" for j in range(2))
+    out = ", ".join(f"{' + '.join(f'h{i}*({w2[i][j]})::double' for i in range(2))} + ({b2[j]})::double AS o{j}" for j in range(2))
+    return f"net AS (SELECT *, {out} FROM (SELECT *, {hidden} FROM ev))"
+
+
+@query("q_ratio_net", views(_sql_ratio_net()) + f"SELECT event_id, {rs('o0', 9)} AS d0, {rs('o1', 9)} AS d1, {rs('exp(0.5::double*o0 - 0.25::double*o1)', 9)} AS ratio FROM net")
+def q_ratio_net(spark, sf):
+    """A net with linear outputs: the coefficients of two monomials, and the ratio at a point."""
+    out = scoring.with_network(events(spark, sf).select("event_id", *_RATIO_NET.features), _RATIO_NET, "d")
+    d = [F.col("d")[k] for k in range(2)]
+    return out.select("event_id", r(d[0], 9).alias("d0"), r(d[1], 9).alias("d1"), r(F.exp(0.5 * d[0] - 0.25 * d[1]), 9).alias("ratio"))
