@@ -4,13 +4,13 @@ The automaton holds all pieces. One pass over a text reports, at each position a
 there; the pass keeps for each position how the best segmentation up to it ends:
 
 * unigram models: Viterbi, the highest sum of piece scores, of equal sums the one with the longer last piece. A character that is no
-  piece by itself can also be passed as unknown, for the lowest score less UNKNOWN_PENALTY. Sums are of 64 bits and begin at each word,
-  so a choice between sums that the library's 32 bits cannot tell apart may differ from it. User-defined symbols get no bonus;
+  piece by itself can also be passed as unknown, for the lowest score less UNKNOWN_PENALTY. Sums run from the start of the text and are
+  kept in 32 bits as the library keeps them, because ties are common. User-defined symbols get no bonus;
 * BPE models: the last piece of what the merges would give for that prefix. Of the pieces that end at a position exactly one can
   follow the piece kept where it begins without the merges joining across the two, so relaxing means testing that. (Maximising the
   scores of a BPE model, which are merge ranks, gives other segmentations than the model's own.)
 
-Pieces have the meta symbol for a space only in front, so words are segmented one by one and their ids kept in a bounded table.
+Pieces have the meta symbol for a space only in front, so a BPE model's words are segmented one by one and their ids kept in a bounded table.
 
 Edge cases: a null text is encoded as the empty text and gives no pieces; characters without a piece become byte pieces, or in models
 without them one unknown piece for a run of them; decoding restores the text the model normalised (a text that itself holds the meta symbol, or one that
@@ -40,6 +40,11 @@ WORDS_KEPT = 300_000
 UNKNOWN_PENALTY = 10.0
 
 
+def _short(x: float) -> float:
+    """Rounded to 32 bits."""
+    return struct.unpack("f", struct.pack("f", x))[0]
+
+
 class Pieces:
     """Encoder and decoder of one model file. kind: "bpe" or "unigram"."""
 
@@ -76,7 +81,7 @@ class Pieces:
             usable = [i for i in plain if len(self.text[i]) == 1 or i in self.halves]
         else:
             usable = plain
-        self.low = min((self.score[i] for i in plain), default=0.0) - UNKNOWN_PENALTY
+        self.low = _short(min((self.score[i] for i in plain), default=0.0) - UNKNOWN_PENALTY)
         self.automaton = ahocorasick.Automaton()
         for i in usable:
             self.automaton.add_word(self.text[i], (len(self.text[i]), i))
@@ -155,12 +160,12 @@ class Pieces:
         for end in range(1, n + 1):
             while hit is not None and hit[0] < end:
                 size, i = hit[1]
-                reach = best[end - size] + score[i]
+                reach = _short(best[end - size] + score[i])
                 if reach > best[end]:
                     best[end], ends[end] = reach, i
                 hit = next(found, None)
-            if word[end - 1] not in singles and best[end - 1] + self.low > best[end]:
-                best[end], ends[end] = best[end - 1] + self.low, -1
+            if word[end - 1] not in singles and (reach := _short(best[end - 1] + self.low)) > best[end]:
+                best[end], ends[end] = reach, -1
         out: list[int] = []
         at = n
         while at:
@@ -177,9 +182,7 @@ class Pieces:
         return [self.bytes[b] for b in char.encode()] if self.bytes else [self.unknown]
 
     def _word(self, word: str) -> bytes:
-        if self.kind == "unigram":
-            out = self._viterbi(word)
-        elif SPACE * 2 in word:  # merges of equal score: a run of spaces is taken apart by the merges themselves
+        if SPACE * 2 in word:  # merges of equal score: a run of spaces is taken apart by the merges themselves
             out = self._run(word)
         elif self.odd.search(word) is None:
             out = self._bpe(word)
@@ -223,8 +226,10 @@ class Pieces:
 
     # -- texts -------------------------------------------------------------------------------------------------------
     def encode(self, text: str | None) -> np.ndarray:
-        kept, out = self.kept, []
-        for word in self.word.findall(self.normalize(text or "")):
+        kept, out, normal = self.kept, [], self.normalize(text or "")
+        if self.kind == "unigram":
+            return self._merged_unknowns(np.array(self._viterbi(normal), "<i4"))
+        for word in self.word.findall(normal):
             ids = kept.get(word)
             if ids is None:
                 ids = self._word(word)
@@ -233,7 +238,9 @@ class Pieces:
                 if len(word) <= 64:
                     kept[word] = ids
             out.append(ids)
-        ids = np.frombuffer(b"".join(out), "<i4")
+        return self._merged_unknowns(np.frombuffer(b"".join(out), "<i4"))
+
+    def _merged_unknowns(self, ids: np.ndarray) -> np.ndarray:
         if not self.bytes and len(ids):  # a run of unknown characters is one piece, also over words
             gone = ids == self.unknown
             gone[1:] &= gone[:-1].copy()

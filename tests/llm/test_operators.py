@@ -245,7 +245,7 @@ def test_left_over_links_are_found(spark, monkeypatch):
 def test_near_duplicates_of_rows_repeated_in_full(spark):
     rows = [(None, "one two three four five six")] * 30 + [(4, "one two three four five six seven")] * 5 + [(4, "other words altogether in this one here")] * 2
     got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert Counter((r.doc_id, r.component_id, r.n_shingles) for r in got) == {(None, None, 2): 30, (4, 4, 3): 5, (4, 4, 4): 2}
+    assert Counter((r.doc_id, r.component_id, r.n_shingles) for r in got) == {(None, None, 2): 30, (4, 4, 3): 7}
 
 
 def test_near_duplicates_match_brute_force(spark, monkeypatch):
@@ -333,7 +333,7 @@ def test_unigram_is_the_library(byte_fallback, spaces):
     letters = "abcdefgh"
     for round_ in range(6):
         vocabulary = {"".join(rng.choice(list(letters), int(rng.integers(2, 6)))) for _ in range(60)}
-        vocabulary |= {pieces.SPACE + w for w in list(vocabulary)[:25]} | set(letters[: 8 - round_]) | ({pieces.SPACE} if spaces else set())
+        vocabulary |= {pieces.SPACE + w for w in sorted(vocabulary)[:25]} | set(letters[: 8 - round_]) | ({pieces.SPACE} if spaces else set())
         special = [("<unk>", 0.0, UNKNOWN), ("<s>", 0.0, CONTROL), ("</s>", 0.0, CONTROL)] + [(f"<0x{b:02X}>", 0.0, BYTE) for b in range(256) if byte_fallback]
         proto = model_of(special + [(w, float(-rng.uniform(1, 9)), NORMAL) for w in sorted(vocabulary)], 1, byte_fallback)
         library, own = sentencepiece.SentencePieceProcessor(model_proto=proto), pieces.Pieces(kind="unigram", proto=proto)
