@@ -38,6 +38,7 @@ ATOMS = {
     "ptH100": lambda: _window(100.0, None),
     "ptH200": lambda: _window(200.0, None),
 }
+# Names of the composite selections.
 COMPOSITES = (
     "lowMT_VBFJet", "highMT_VBFJet", "highMT_noVBFJet", "lowMT_noVBFJet_ptH0to100", "lowMT_noVBFJet_ptH100", "highMT_noVBFJet_ptH0to100",
     "highMT_noVBFJet_ptH100", "lowMT_noVBFJet_ptH100to200", "lowMT_noVBFJet_ptH200", "highMT_noVBFJet_ptH100to200", "highMT_noVBFJet_ptH200",

@@ -18,6 +18,7 @@ from tessella.schema import ALPHA_MEAN, ALPHA_SIGMA, CODE, UNDEFINED
 LEP_PT, JET_PT, HAD_PT = 20.0, 26.0, 26.0
 #: The pseudorapidity of a subleading jet counts up to this for its momentum.
 ETA_LIMIT = 10.0
+# The features that are rounded.
 ROUNDED = (
     "PRI_lep_pt", "PRI_lep_eta", "PRI_lep_phi", "PRI_had_pt", "PRI_had_eta", "PRI_had_phi", "PRI_jet_leading_pt", "PRI_jet_leading_eta", "PRI_jet_leading_phi",
     "PRI_jet_subleading_pt", "PRI_jet_subleading_eta", "PRI_jet_subleading_phi", "PRI_jet_all_pt", "PRI_met", "PRI_met_phi",
@@ -35,6 +36,8 @@ class Shift:
     diboson_scale: float | None = None
     bkg_scale: float | None = None
     seed: int = 31415
+    #: Names the column that says which draw of the soft term an event gets; without it draws follow the partitions.
+    key: str | None = None
 
 
 def alpha_to_nu(alpha: Column, which: str) -> Column:
@@ -74,12 +77,20 @@ def vary(events: DataFrame, shift: Shift) -> DataFrame:
             px, py = px + at(F.cos) * k, py + at(F.sin) * k
         scaled["PRI_jet_all_pt"] = F.col("PRI_jet_all_pt") * shift.jes
     if shift.soft_met > 0:
-        px, py = px + F.randn(shift.seed) * shift.soft_met, py + F.randn(shift.seed + 1) * shift.soft_met
+        x, y = keyed_normals(F.col(shift.key), shift.seed) if shift.key else (F.randn(shift.seed), F.randn(shift.seed + 1))
+        px, py = px + x * shift.soft_met, py + y * shift.soft_met
     moved = events.withColumns({**scaled, "__px": px, "__py": py})
     moved = moved.withColumns({"PRI_met": F.hypot("__px", "__py"), "PRI_met_phi": F.atan2("__py", "__px")}).drop("__px", "__py")
     return moved.withColumns({c: half_even(F.col(c)) for c in ROUNDED})
 
 
+def keyed_normals(key: Column, seed: int) -> tuple[Column, Column]:
+    """Two independent standard normal numbers of a key: the same wherever and however often they are drawn."""
+    uniform = lambda k: (F.shiftrightunsigned(F.xxhash64(key, F.lit(seed), F.lit(k)), 11).cast("double") + 1.0) / float(1 << 53)
+    reach, angle = F.sqrt(-2.0 * F.log(uniform(0))), 2.0 * F.pi() * uniform(1)
+    return reach * F.cos(angle), reach * F.sin(angle)
+
+
 def subleading_momentum() -> Vector4:
     """The subleading jet's momentum, pseudorapidity limited."""
     jet = JET[2]

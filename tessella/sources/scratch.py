@@ -8,14 +8,18 @@ import uuid
 from pyspark.sql import DataFrame
 
 
+#: The temporary folder of each local session that names none.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark) -> str:
     """The session's spark.checkpoint.dir; only a local session that has none gets a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="tessella-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        at = spark.sparkContext.applicationId
+        base = _LOCAL[at] = _LOCAL.get(at) or tempfile.mkdtemp(prefix="tessella-")
     return base.rstrip("/")
 
 

@@ -286,6 +286,19 @@ def test_minos_and_impacts():
     assert fit.minos(f, fit.minimise(f, {"mu": 1.0, "nu_tt": 0.0}, None, bounded), bounds=bounded)[0] == 0.95
 
 
+def test_soft_term_by_key(spark):
+    """Draws that follow a key do not follow the partitions, and are standard normal and independent."""
+    base = frame(spark, {}).drop("event_id") if "event_id" in frame(spark, {}).columns else frame(spark, {})
+    e = spark.range(4000).withColumnRenamed("id", "event_id").crossJoin(base)
+    shift = systematics.Shift(soft_met=3.0, key="event_id")
+    take = lambda df: {r.event_id: (r.PRI_met, r.PRI_met_phi) for r in systematics.vary(df, shift).select("event_id", "PRI_met", "PRI_met_phi").collect()}
+    a = take(e)
+    assert a == take(e.repartition(5)) and len(set(a.values())) > 3000
+    x, y = (c for c in systematics.keyed_normals(F.col("event_id"), 7))
+    r = e.select(x.alias("x"), y.alias("y")).agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"), F.stddev_pop("y").alias("t"), F.corr("x", "y").alias("c")).first()
+    assert (r.m, r.s, r.t, r.c) == (pytest.approx(0, abs=0.06), pytest.approx(1, abs=0.05), pytest.approx(1, abs=0.05), pytest.approx(0, abs=0.06))
+
+
 def test_models_come_back_as_they_were(spark, tmp_path):
     from tessella.sources import models
 
