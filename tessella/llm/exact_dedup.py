@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.bloom import Bloom
-from tessella.llm.common import WHITE, Scratch, pick, small_enough
+from tessella.llm.common import BROADCAST_ROWS, WHITE, Scratch, pick, small_enough
 
 #: Rows that a memtable takes before it is flushed.
 MEMTABLE_ROWS = 200_000
@@ -34,7 +34,7 @@ BATCHES, BATCH_ROWS = 5, 500_000_000
 #: Runs of a level that are compacted to one.
 TIER = 4
 #: Members of a group that are compared with one copy of the text that stays.
-SITE_ROWS = 1000
+SITE_ROWS = 200
 #: Stands for a null doc_id inside the index, so that it sorts last and stays an integer.
 NO_ID = 2**63 - 1
 RUN = "digest string, len long, id long, row long, n long"
@@ -155,22 +155,23 @@ class MergeIndex:
         return run, found.where("kind = 0"), found.where("kind = 1")
 
     def insert(self, rows: DataFrame) -> DataFrame:
-        """Take in the (digest, len, id, row) rows as a run; returns the digests that hit, each once."""
+        """Take in the (digest, len, id, row) rows as a run; returns the digests that hit, each once, read from written runs."""
         run, filters, reported = self._write(rows.mapInPandas(_memtables, RUN), True)
         hits, before = run.where("n > 1").select("digest"), self.runs()
-        reported = self.scratch.table(reported.mapInArrow(_hashes, "hash long").distinct(), f"{self.name}-{self.scratch.serial()}-reported")
-        if before and not reported.isEmpty():
-            asked = run.where("n = 1").join(small_enough(reported), F.xxhash64("digest") == F.col("hash"), "left_semi").select("digest")
-            asked = self.scratch.table(asked, f"{self.name}-{self.scratch.serial()}-asked")
-            hits = hits.unionByName(self.lookup(asked, before).select("digest"))
-        hits = self.scratch.table(hits, f"{self.name}-{self.scratch.serial()}-hits")
+        n = reported.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+        if before and n:  # at most n / 8 digests are looked up
+            few = F.broadcast if n // 8 <= BROADCAST_ROWS else lambda df: df
+            hashes = reported.mapInArrow(_hashes, "hash long")
+            asked = run.where("n = 1").join(few(hashes), F.xxhash64("digest") == F.col("hash"), "left_semi").select("digest")
+            every = reduce(DataFrame.unionByName, before)
+            hits = hits.unionByName(every.join(few(asked), "digest", "left_semi").select("digest").distinct())
         self.levels[0].append((run, filters))
         self._tidy()
         return hits
 
-    def lookup(self, asked: DataFrame, runs: list[DataFrame] | None = None) -> DataFrame:
+    def lookup(self, asked: DataFrame) -> DataFrame:
         """What the runs hold of these distinct digests (a written table), merged."""
-        every = reduce(DataFrame.unionByName, self.runs() if runs is None else runs)
+        every = reduce(DataFrame.unionByName, self.runs())
         return merged(every.join(small_enough(asked), "digest", "left_semi"))
 
     def _tidy(self) -> None:
@@ -211,7 +212,9 @@ def assign_keepers(docs: DataFrame, digest=sha256, batches: int | None = None) -
     differs = sited.mapInArrow(_differing, "digest string").distinct()
     differs = scratch.table(differs, "differs")
 
-    if not differs.isEmpty():  # texts that share a digest: their key is the digest and the whole text
+    if differs.isEmpty():
+        scratch.drop_all_but("keys", "groups")
+    else:  # texts that share a digest: their key is the digest and the whole text
         apart = texts.join(differs, "digest").select("id", "tid", F.concat_ws(":", "digest", "normal").alias("key")).distinct()
         keyed = keys.join(apart, ["id", "tid"])
         again = keyed.select(F.col("key").alias("digest"), "len", "id", "row", F.lit(1).cast("long").alias("n"))
