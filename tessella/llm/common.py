@@ -5,7 +5,9 @@ from __future__ import annotations
 import itertools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +45,17 @@ def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most so many rows: what a worker holds as Python strings is a slice of a batch, not all of it."""
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(at, rows)
+
+
+#: The temporary folder of each local session that names none.
+_LOCAL: dict[str, str | None] = {}
+
+
 class Scratch:
     """Tables written to the folder that driver and executors share, to cut lineage.
 
@@ -56,8 +69,8 @@ class Scratch:
         if not base:
             if not spark.sparkContext.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            base = tempfile.mkdtemp(prefix="tessella-")
-            spark.conf.set("spark.checkpoint.dir", base)
+            base = _LOCAL.setdefault(spark.sparkContext.applicationId, None) or tempfile.mkdtemp(prefix="tessella-")
+            _LOCAL[spark.sparkContext.applicationId] = base
         self.path = f"{base.rstrip('/')}/tessella-{uuid.uuid4().hex}"
         self._count = itertools.count()
 
@@ -86,7 +99,17 @@ class Scratch:
     def _catalog_name(self, name: str) -> str:
         return f"{self.path.rsplit('/', 1)[1]}_{name}".replace("-", "_")
 
+    def _folder(self, name: str = ""):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def drop(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path, files = self._folder(name)
+        files.delete(path, True)
+
+    def drop_all_but(self, *names: str) -> None:
+        """What the result is read from stays; a session's own folder keeps no other table of a finished operator."""
+        path, files = self._folder()
+        for status in files.listStatus(path):
+            if status.getPath().getName() not in names:
+                files.delete(status.getPath(), True)

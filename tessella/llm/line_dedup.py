@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.llm.bloom import TwiceSeen, probes
-from tessella.llm.common import Scratch, lower_ascii, pick
+from tessella.llm.common import Scratch, lower_ascii, pick, slices
 
 MIN_DOCS = 10
 MIN_CHARS = 1
@@ -52,7 +52,7 @@ def _packed(shards: int, min_chars: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [h for text in batch.column("text").to_pylist() if len(h := _hashes({k for k in line_keys(text, min_chars) if k}))]
+            found = [h for text in batch.column("text") if len(h := _hashes({k for k in line_keys(text.as_py(), min_chars) if k}))]
             if found:
                 values, counts = np.unique(np.concatenate(found), return_counts=True)
                 every = np.repeat(values, np.minimum(counts, 2))
@@ -106,16 +106,14 @@ def _occurrences(suspects, min_chars: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = suspects.value
-        for batch in batches:
-            out: list[list] = [[], [], []]
-            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                keys = line_keys(text, min_chars)
-                first = {k: i for i, k in reversed(list(enumerate(keys))) if k}
-                for k, yes in zip(first, _held(wanted, _hashes(first)).tolist(), strict=True):
-                    if yes:
-                        for column, value in zip(out, (k, doc, first[k]), strict=True):
-                            column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.binary(), pa.int64(), pa.int32()), strict=True)], ["key", "doc", "at"])
+        for batch in slices(batches):
+            every: list[tuple] = []
+            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text"), strict=True):
+                first = {k: i for i, k in reversed(list(enumerate(line_keys(text.as_py(), min_chars)))) if k}
+                every += [(k, doc, i) for k, i in first.items()]
+            out = [every[i] for i in np.flatnonzero(_held(wanted, _hashes([x[0] for x in every]))).tolist()]
+            columns = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "doc", "at"])
 
     return run
 
@@ -125,7 +123,7 @@ def _dropper(bad, min_chars: int, keep_first: bool, names: list[str], id_name: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop = bad.value
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts, lines, dropped = batch.column(id_name).to_pylist(), [], [], []
             for doc, text in zip(ids, batch.column("text").to_pylist(), strict=True):
                 keys, doc = line_keys(text, min_chars), NO_ID if doc is None else doc
@@ -159,6 +157,7 @@ def dedup_lines(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text"),
     rows = source.mapInArrow(_occurrences(held, min_chars), "key binary, doc long, at int")
     counted = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc", "at")).alias("first"))
     confirmed = scratch.table(counted.where(F.col("n") >= min_docs).select("key", "first.doc", "first.at"), "confirmed")
+    scratch.drop_all_but("confirmed")
     size = confirmed.agg(F.sum(F.length("key") + 64)).first()[0] or 0
     if size <= few_key_bytes:
         bad = spark.sparkContext.broadcast({bytes(r.key): (r.doc, r.at) for r in confirmed.collect()})

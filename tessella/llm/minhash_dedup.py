@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.bloom import mix64
-from tessella.llm.common import Scratch, pick, small_enough
+from tessella.llm.common import Scratch, pick, slices, small_enough
 from tessella.llm.components import components
 
 WORDS = 5
@@ -94,7 +94,7 @@ def sub_keys(mins: np.ndarray) -> np.ndarray:
 
 def _sketches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             digests, sizes, subs, sigs = [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text, width)
@@ -225,7 +225,8 @@ def _placed(docs: DataFrame, width: int, percent: int, rounds: int) -> DataFrame
         labels = classes.select("node", F.col("node").alias("label")).where("false")
     named = classes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    placed = named.join(lowest, "label").select("node", "label", F.col("doc_id").alias("class_id"), "component_id")
+    placed = scratch.table(named.join(lowest, "label").select("node", "label", F.col("doc_id").alias("class_id"), "component_id"), "placed")
+    scratch.drop_all_but("sketches", "placed")
     return sketches.select("doc_id", "tid", "n_shingles", F.when(F.col("digest").isNotNull(), F.col("node")).alias("node")).join(placed, "node", "left")
 
 

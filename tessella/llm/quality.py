@@ -275,6 +275,7 @@ def judge(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HI
     least, most = (quantile(outside, "lang", F.col("bits") + sign * stray, q) for sign, q in ((1, low), (-1, high)))
     limits = least.select("lang", (F.col("value") - margin).alias("least")).join(most.select("lang", (F.col("value") + margin).alias("most")), "lang")
     limits = scratch.table(limits, "limits")
+    scratch.drop_all_but("scores", "limits")
     joined = scored.join(F.broadcast(limits), "lang", "left")  # one row a language
     kept = (F.col("chars") > 0) & F.coalesce(F.col("bits").between(F.col("least") - stray, F.col("most") + stray), F.lit(True))
     return joined.select("doc_id", F.nullif("lang", F.lit(NO_LANG)).alias("lang"), F.round("bits", 9).alias("log2_perplexity"), "least", "most", kept.alias("kept"))

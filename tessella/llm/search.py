@@ -367,6 +367,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP, postings: int = SH
         best = shards.mapInArrow(_searcher(asked, k, average), "query_id long, tid long, doc_id long, score double").withColumn("rank", rank).where(F.col("rank") <= k)
         found = scratch.table(best.select(shown("query_id"), "rank", shown("doc_id"), "score"), "found", "append")
         asked.destroy()
+    scratch.drop_all_but("found")
     return found
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import Scratch, pick
+from tessella.llm.common import Scratch, pick, slices
 
 SAMPLE_DOCS = 20_000
 #: Words kept: at least so many labelled documents have them, and their G-test against the label reaches MIN_G (p about 1e-5).
@@ -75,7 +75,7 @@ def choose_words(sample: DataFrame) -> list[str]:
     """The words whose document counts differ between the labels, strongest first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 4096):
             counts: dict[str, list[int]] = {}
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
                 for w in words(text or ""):
@@ -105,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", size: int = S
     index = {w: i for i, w in enumerate(chosen)}
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found, plain = [], []
             for text in batch.column("text").to_pylist():
                 ids = [sorted(index[w] for w in words(s) if w in index) for s in sentences(text)]
@@ -181,7 +181,7 @@ def score(docs: DataFrame, model: Model, columns: tuple[str, ...]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
-        for batch in batches:
+        for batch in slices(batches):
             scores = [scorer.document(text) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*columns, "score"])
 
@@ -194,7 +194,7 @@ def offending(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
-        for batch in batches:
+        for batch in slices(batches):
             rows = [(d, i, s, p) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for i, s in enumerate(sentences(t)) if (p := scorer.sentence(s)) >= least]
             columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.string(), pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sentence_no", "sentence", "score"])
