@@ -305,6 +305,6 @@ def impact_of(objective: Objective, fit: Fit, name: str, threshold: float = 1.0,
     """The values of one nuisance where the profiled q rises by the threshold (or its bound), and what mu does there."""
     out, others = {}, {k: v for k, v in fit.values.items() if k != name}
     for side, at in zip(("down", "up"), minos(objective, fit, name, threshold, bounds, fixed=fixed, **options), strict=True):
-        found = minimise(objective, others, {**(fixed or {}), name: at}, bounds, **options)
+        found = minimise(objective, others, {**(fixed or {}), name: at}, bounds, **{k: v for k, v in options.items() if k != "reach"})
         out |= {f"nu_{side}": at, f"mu_{side}": found.values["mu"], f"impact_{side}": found.values["mu"] - fit.values["mu"]}
     return out
