@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import exact_dedup, line_dedup, minhash_dedup, mixing, pieces, quality, search, token_counts, toxicity, url_filters
+from tessella.llm import clustering, exact_dedup, line_dedup, manifest, minhash_dedup, mixing, pieces, quality, search, suffix_dedup, token_counts, toxicity, url_filters
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_quality": quality.op9_quality,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op11_clustering": clustering.op11_clustering,
+    "op12_manifest": manifest.op12_manifest,
+    "op13_suffix_dedup": suffix_dedup.op13_suffix_dedup,
 }
 
 ORACLE_SQL = {
@@ -23,4 +26,6 @@ ORACLE_SQL = {
     "op5_line_dedup": line_dedup.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
     "op7_url_filters": url_filters.ORACLE,
+    "op11_clustering": clustering.ORACLE,
+    "op12_manifest": manifest.ORACLE,
 }

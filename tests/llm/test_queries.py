@@ -130,4 +130,4 @@ def test_pipeline_stages(spark, duck):
 
 def test_pipeline_runs_whole(spark):
     assert entry.queries()["pipeline"](spark, SF).count() > 0
-    assert set(QUERIES) <= set(entry.queries()) and len([q for q in QUERIES if q.startswith("op")]) == 10
+    assert set(QUERIES) <= set(entry.queries()) and len([q for q in QUERIES if q.startswith("op")]) == 13
