@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import itertools
 import tempfile
 import uuid
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
+_LIBC = ctypes.CDLL(None)
 #: Rows that broadcast() may be told to carry; anything larger is joined by shuffle.
 BROADCAST_ROWS = 400_000
 
@@ -52,6 +55,26 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def release_memory() -> None:
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def gives_back(run):
+    """A batch function whose worker hands unused memory back to the system when a task is done.
+
+    Python workers live on from task to task; without this each keeps the most that any of its tasks ever took.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release_memory()
+
+    return wrapped
+
+
 #: The temporary folder of each local session that names none.
 _LOCAL: dict[str, str | None] = {}
 

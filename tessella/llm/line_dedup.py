@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.llm.bloom import TwiceSeen, probes
-from tessella.llm.common import Scratch, lower_ascii, pick, slices
+from tessella.llm.common import Scratch, gives_back, lower_ascii, pick, slices
 
 MIN_DOCS = 10
 MIN_CHARS = 1
@@ -50,6 +50,7 @@ def _hashes(keys) -> np.ndarray:
 def _packed(shards: int, min_chars: int):
     """(shard, hashes): the hashes of a batch. Two of a hash say all about it, so that the commonest lines are no load for their shard."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [h for text in batch.column("text") if len(h := _hashes({k for k in line_keys(text.as_py(), min_chars) if k}))]
@@ -65,6 +66,7 @@ def _packed(shards: int, min_chars: int):
     return run
 
 
+@gives_back
 def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: dict[int, TwiceSeen] = {}
     for batch in batches:
@@ -77,6 +79,7 @@ def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _filter_words(bits: int):
     """(word, mask) of the bits that suspects set in a filter of so many bits."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = np.concatenate(list(probes(batch.column("hash").to_numpy().view(np.uint64), bits)))
@@ -104,6 +107,7 @@ def _held(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 def _occurrences(suspects, min_chars: int):
     """(key, doc, at): each distinct key of a document whose hash the broadcast filter of suspects holds, and the key's first line."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = suspects.value
         for batch in slices(batches):
@@ -121,6 +125,7 @@ def _occurrences(suspects, min_chars: int):
 def _dropper(bad, min_chars: int, keep_first: bool, names: list[str], id_name: str):
     """Texts without the lines of the broadcast dict ``bad`` (key -> (doc, line) of the first occurrence)."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop = bad.value
         for batch in slices(batches):

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.bloom import mix64
-from tessella.llm.common import Scratch, pick, slices, small_enough
+from tessella.llm.common import Scratch, gives_back, pick, slices, small_enough
 from tessella.llm.components import components
 
 WORDS = 5
@@ -93,6 +93,7 @@ def sub_keys(mins: np.ndarray) -> np.ndarray:
 
 
 def _sketches(width: int):
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             digests, sizes, subs, sigs = [], [], [], []
@@ -126,6 +127,7 @@ def _likely(a: str, b: str) -> Column:
 def _compare(width: int, percent: int):
     """Rows come sorted by (site, salt), the centre first: each member is compared with the centre, one set is held."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, centre = None, None
         for batch in batches:
@@ -167,6 +169,7 @@ def _texts(source: DataFrame, roles: DataFrame, columns: list[str]) -> DataFrame
     """The columns of roles (written, with rid and rtid) and the text that they name; of rows repeated in full a task passes on one."""
     found = source.join(small_enough(roles), F.col("doc_id").eqNullSafe(F.col("rid")) & (F.col("tid") == F.col("rtid"))).select(*columns, "text")
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for batch in batches:
@@ -284,6 +287,7 @@ def _leftovers(shared: DataFrame, labels: DataFrame, source: DataFrame, classes:
 
 
 def _fine(width: int):
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fine_sketch(shingle_set(t.as_py(), width)) for t in batch.column("text")]
@@ -310,6 +314,7 @@ def _sketched(percent: int):
     """Rows come sorted by (key, part, role). Gives the places (key, part, role, node) in which full sets have to be compared: the place of
     a class held that has a pair left, with this class in role 0 and the other in role 1."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, part = None, None
         for batch in batches:
@@ -332,6 +337,7 @@ def _sketched(percent: int):
 def _cross(width: int, percent: int):
     """Rows come sorted by (key, part, role): a part's own classes are held with their sets, the classes that they may be linked with pass by."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, part = None, None
         for batch in batches:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tessella.llm.common import pick
+from tessella.llm.common import gives_back, pick
 from tessella.llm.token_counts import public_path
 
 MODEL = "piece_bpe_32k.model"
@@ -280,6 +280,7 @@ def encode(docs: DataFrame, path: str, columns: tuple[str, ...], kind: str = "bp
     """The given columns, piece_ids (array of int) and decoded (the text that the ids decode to). A narrow step: no shuffle."""
     docs = pick(docs, *columns)
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(path, kind)
         for batch in batches:
@@ -300,6 +301,7 @@ def digests(docs: DataFrame, path: str, kind: str = "bpe") -> DataFrame:
     docs = pick(docs, "doc_id", "text")
     sha = lambda b: hashlib.sha256(b).hexdigest()
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(path, kind)
         for batch in batches:

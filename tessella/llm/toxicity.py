@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import Scratch, pick, slices
+from tessella.llm.common import Scratch, gives_back, pick, slices
 
 SAMPLE_DOCS = 20_000
 #: Words kept: at least so many labelled documents have them, and their G-test against the label reaches MIN_G (p about 1e-5).
@@ -34,7 +34,7 @@ FOLDS = 5
 #: Beginnings of so many letters are features beside the whole words.
 BEGINNINGS = range(3, 8)
 #: Words whose features are remembered in a Python worker before the table is emptied.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 150_000
 
 _SENTENCE = re.compile(r"[.!?\n]+")
 _WORD = re.compile(r"\w+")
@@ -74,6 +74,7 @@ def sample_of(docs: DataFrame, labels: DataFrame, column: str = "toxic", size: i
 def choose_words(sample: DataFrame) -> list[str]:
     """The words whose document counts differ between the labels, strongest first."""
 
+    @gives_back
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4096):
             counts: dict[str, list[int]] = {}
@@ -104,6 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", size: int = S
     chosen = choose_words(sample)
     index = {w: i for i, w in enumerate(chosen)}
 
+    @gives_back
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found, plain = [], []
@@ -179,6 +181,7 @@ def score(docs: DataFrame, model: Model, columns: tuple[str, ...]) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)  # MAX_WORDS weights at most
     docs = pick(docs, *columns)
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
         for batch in slices(batches):
@@ -192,6 +195,7 @@ def offending(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """(doc_id, sentence_no, sentence, score) of the sentences that reach ``least``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
         for batch in slices(batches):
