@@ -57,3 +57,9 @@ def bin_of(x: Column, bins: int, low: float, high: float) -> Column:
     at = F.floor((x - low) / ((high - low) / bins)).cast("int")
     inside = above(x, low, True) & below(x, high, True)
     return F.when(inside, F.least(at, F.lit(bins - 1)))
+
+
+def keyed_uniform(key: Column, seed: int, k: int = 0) -> Column:
+    """Draw number k of a key, in [0, 1): the same wherever and however often it is drawn. 52 bits of SHA-256, four draws a digest."""
+    digits = F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string"), F.lit(f":{k // 4}")).cast("binary"), 256), 13 * (k % 4) + 1, 13)
+    return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 52))

@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.numeric import keyed_uniform
 from tessella.schema import CODE
-from tessella.sources.events import index_rows
 
 SEED = 31415
 #: Largest mean of a Poisson number that is drawn at once.
 PART = 30.0
+#: Rows that a sample sorts at most, unless so many have one hash.
+SORTED_ROWS = 10_000
 
 
-def sample_rows(df: DataFrame, size: int | float, seed: int = SEED) -> DataFrame:
+def sample_rows(df: DataFrame, size: int | float, seed: int = SEED, key: list[str] | None = None) -> DataFrame:
     """Rows without replacement: an int is a number of rows, a float a share of them from 0 to 1.
 
-    The order is that of a hash of the whole row, so that a repetition or another partitioning takes the same rows; rows are numbered
-    range by range, never in one task.
+    The order is that of a hash of the key columns (the whole row by default), so that a repetition or another partitioning takes the same
+    rows. Counts by the hash's leading bits find the hash at which the sample ends; rows below it are taken as they pass, and only the few
+    that share its leading bits are sorted.
     """
     if isinstance(size, bool) or not isinstance(size, int | float):
         raise ValueError("size is an int or a float")
@@ -27,12 +34,30 @@ def sample_rows(df: DataFrame, size: int | float, seed: int = SEED) -> DataFrame
         size = int(size * df.count())
     if size < 0:
         raise ValueError("a number of rows is not negative")
-    ranked = index_rows(df.withColumn("__r", F.xxhash64(*df.columns, F.lit(seed))), [F.col("__r")], "__rank")
-    return ranked.where(F.col("__rank") < size).drop("__r", "__rank")
-
-
-def shuffled(df: DataFrame, seed: int = SEED) -> DataFrame:
-    return df.withColumn("__r", F.rand(seed)).orderBy("__r").drop("__r")
+    name = F.concat_ws(":", *key) if key else F.xxhash64(*df.columns)
+    ranked = df.withColumn("__r", (keyed_uniform(name, seed) * float(1 << 52)).cast("long"))
+    low, bits, left = 0, 52, size  # the sample ends among the hashes from low on, 2 ** bits of them, and takes so many rows there
+    while bits:
+        bits -= 13
+        counts = {r.at: r.n for r in ranked.where((F.col("__r") >= low) & (F.col("__r") < low + (1 << bits + 13))).groupBy(F.shiftright(F.col("__r") - low, bits).alias("at")).agg(F.count("*").alias("n")).collect()}  # 8,192 rows at most
+        for at in sorted(counts):
+            if counts[at] > left:
+                break
+            left -= counts[at]
+        else:
+            return df.where("false") if not size else ranked.where(F.col("__r") < low + (1 << bits + 13)).drop("__r")
+        low += at << bits
+        if not left or counts[at] <= SORTED_ROWS:
+            break
+    taken = ranked.where(F.col("__r") < low)
+    if left:
+        taken = taken.unionByName(ranked.where((F.col("__r") >= low) & (F.col("__r") < low + (1 << bits))).orderBy("__r", *([] if key else df.columns)).limit(left))
+    return taken.drop("__r")
+
+
+def shuffled(df: DataFrame, seed: int = SEED, key: list[str] | None = None) -> DataFrame:
+    """In the order of a hash of the key columns (the whole row by default)."""
+    return df.orderBy(keyed_uniform(F.concat_ws(":", *key) if key else F.xxhash64(*df.columns), seed))
 
 
 def split_by_process(events: DataFrame) -> dict[str, DataFrame]:
@@ -45,28 +70,66 @@ def repeat_by_weight(events: DataFrame, weight: str = "weight") -> DataFrame:
     return events.where(n >= 1).withColumn("__copy", F.explode(F.sequence(F.lit(1), n))).drop("__copy", weight)
 
 
-def with_poisson(df: DataFrame, name: str, mean: Column, seed: int) -> DataFrame:
-    """df with a Poisson number, by inversion of uniform draws. A large mean is the sum of parts of PART at most, each drawn on its own,
-    so the distribution is exact at every size."""
-    drawn = df.withColumns({"__mean": mean, "__u": F.rand(seed)})
-    parts = F.greatest(F.lit(1), F.ceil(F.col("__mean") / PART).cast("int"))
-    m = F.col("__mean") / parts
+def poisson_numbers(keys: list[str], means: np.ndarray) -> np.ndarray:
+    """A Poisson number for each key (rows) and mean (columns), by inversion of the key's draws (those of keyed_uniform).
+
+    A large mean is the sum of parts of PART at most, each drawn on its own, so the distribution is exact at every size.
+    """
+    draws = np.empty(means.shape)
+    for i, key in enumerate(keys):
+        digits = "".join(hashlib.sha256(f"{key}:{b}".encode()).hexdigest()[:52] for b in range(-(-means.shape[1] // 4)))
+        draws[i] = [int(digits[13 * k : 13 * k + 13], 16) for k in range(means.shape[1])]
+    draws /= float(1 << 52)
+    out, rest = np.zeros(means.shape, np.int64), np.nan_to_num(means)
+    parts = np.maximum(1, np.ceil(rest / PART).astype(np.int64))
+    for part in range(int(parts.max(initial=1))):
+        rows, columns = np.nonzero((rest > 0) & (parts > part))
+        if part:
+            draws[rows, columns] = [int(hashlib.sha256(f"{keys[i]}:{k}:{part}".encode()).hexdigest()[:13], 16) / float(1 << 52) for i, k in zip(rows.tolist(), columns.tolist(), strict=True)]
+        m, u = rest[rows, columns] / parts[rows, columns], draws[rows, columns]
+        p = np.exp(-m)
+        reach, n, open_ = p.copy(), np.zeros(len(m), np.int64), np.arange(len(m))
+        while len(open_ := open_[(u[open_] > reach[open_]) & (n[open_] < 10 * PART)]):
+            n[open_] += 1
+            p[open_] *= m[open_] / n[open_]
+            reach[open_] += p[open_]
+        out[rows, columns] += n
+    return out
+
+
+def with_replicates(df: DataFrame, name: str, means: list[Column], seed: int = SEED, key: list[str] | None = None) -> DataFrame:
+    """df with an array of Poisson numbers, one of each mean: replicates of a bootstrap from one pass, without repeating rows.
+
+    Numbers follow the key columns and the place of the mean, so they are the same however often and wherever they are drawn; rows with one
+    key get the same numbers. Without a key they follow the row's place in its partition. A mean that is null, NaN or not positive gives 0.
+    """
+
+    width = len(means)
+
+    @F.pandas_udf("array<int>")
+    def draw(keys: pd.Series, values: pd.Series) -> pd.Series:
+        rows = np.array([np.asarray(v, float) for v in values]).reshape(len(values), width)
+        return pd.Series(list(poisson_numbers(keys.tolist(), rows).astype(np.int32)))
+
+    label = F.concat_ws(":", F.lit(str(seed)), *([F.col(k) for k in key] if key else [F.monotonically_increasing_id()]))
+    return df.withColumn(name, draw(label, F.array(*(F.coalesce(m.cast("double"), F.lit(0.0)) for m in means))))
 
-    def invert(u: Column) -> Column:
-        start = F.struct(F.lit(0.0).alias("sum"), F.exp(-m).alias("p"), F.lit(0).alias("n"))
 
-        def step(a: Column, k: Column) -> Column:
-            reach = a["sum"] + a["p"]
-            return F.struct(reach.alias("sum"), (a["p"] * m / (k + 1)).alias("p"), (a["n"] + F.when(u > reach, 1).otherwise(0)).alias("n"))
+def with_poisson(df: DataFrame, name: str, mean: Column, seed: int, key: list[str] | None = None) -> DataFrame:
+    """df with one Poisson number."""
+    drawn = with_replicates(df, "__n", [mean], seed, key)
+    return drawn.withColumn(name, F.col("__n")[0]).drop("__n")
 
-        return F.aggregate(F.sequence(F.lit(0), F.lit(int(4 * PART))), start, step)["n"]
 
-    bits = lambda k: F.shiftrightunsigned(F.xxhash64("__u", k, F.lit(seed)), 11).cast("double") / F.lit(float(1 << 53))
-    every = F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda n, k: n + invert(F.when(k == 1, F.col("__u")).otherwise(bits(k))))
-    return drawn.withColumn(name, F.when(F.col("__mean") > 0, every).otherwise(F.lit(0))).drop("__mean", "__u")
+def replicate_yields(events: DataFrame, replicates: int, *by: str, weight: str = "weight", seed: int = SEED, key: list[str] | None = None) -> DataFrame:
+    """(by, replicate, yield): what bootstrap replicates of the events count, all from one scan."""
+    drawn = with_replicates(events, "__n", [F.col(weight)] * replicates, seed, key)
+    sums = drawn.groupBy(*by).agg(*(F.sum(F.col("__n")[k]).alias(f"__{k}") for k in range(replicates)))
+    return sums.select(*by, F.posexplode(F.array(*(F.col(f"__{k}") for k in range(replicates)))).alias("replicate", "yield"))
 
 
-def bootstrap(events: DataFrame, mu: float = 1.0, background: float | None = None, ttbar: float | None = None, diboson: float | None = None, draw: bool = True, seed: int = SEED) -> DataFrame:
+def bootstrap(events: DataFrame, mu: float = 1.0, background: float | None = None, ttbar: float | None = None, diboson: float | None = None, draw: bool = True, seed: int = SEED,
+              key: list[str] | None = None) -> DataFrame:
     """Toy events: each event as often as a Poisson number of its scaled weight (draw), or as that weight cut to an int.
 
     The signal is scaled by mu, ztautau by background, ttbar and diboson by background times their own scale, if that is given.
@@ -78,6 +141,6 @@ def bootstrap(events: DataFrame, mu: float = 1.0, background: float | None = Non
         scale = F.when(F.col("label") == CODE[process], F.lit(float(s))).otherwise(scale)
     scaled = events.withColumn("weight", F.col("weight") * scale)
     if draw:
-        scaled = with_poisson(scaled, "weight", F.col("weight"), seed)
+        scaled = with_poisson(scaled, "weight", F.col("weight"), seed, key)
     toys = repeat_by_weight(scaled.where("weight > 0"))
     return shuffled(toys, seed) if draw else toys

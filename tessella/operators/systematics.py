@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.kinematics import DERIVE, JET, Vector4, has_jets, momentum, with_derived
-from tessella.functions.numeric import above, half_even
-from tessella.schema import ALPHA_MEAN, ALPHA_SIGMA, CODE, UNDEFINED
+from tessella.functions.numeric import above, half_even, keyed_uniform
+from tessella.schema import ALPHA_MEAN, ALPHA_SIGMA, CODE, PRIMARY, UNDEFINED
 
 LEP_PT, JET_PT, HAD_PT = 20.0, 26.0, 26.0
 #: The pseudorapidity of a subleading jet counts up to this for its momentum.
@@ -36,7 +36,7 @@ class Shift:
     diboson_scale: float | None = None
     bkg_scale: float | None = None
     seed: int = 31415
-    #: Names the column that says which draw of the soft term an event gets; without it draws follow the partitions.
+    #: Names the column that says which draw of the soft term an event gets; without it the event's primary columns do.
     key: str | None = None
 
 
@@ -77,7 +77,7 @@ def vary(events: DataFrame, shift: Shift) -> DataFrame:
             px, py = px + at(F.cos) * k, py + at(F.sin) * k
         scaled["PRI_jet_all_pt"] = F.col("PRI_jet_all_pt") * shift.jes
     if shift.soft_met > 0:
-        x, y = keyed_normals(F.col(shift.key), shift.seed) if shift.key else (F.randn(shift.seed), F.randn(shift.seed + 1))
+        x, y = keyed_normals(F.col(shift.key) if shift.key else F.xxhash64(*PRIMARY), shift.seed)
         px, py = px + x * shift.soft_met, py + y * shift.soft_met
     moved = events.withColumns({**scaled, "__px": px, "__py": py})
     moved = moved.withColumns({"PRI_met": F.hypot("__px", "__py"), "PRI_met_phi": F.atan2("__py", "__px")}).drop("__px", "__py")
@@ -86,8 +86,7 @@ def vary(events: DataFrame, shift: Shift) -> DataFrame:
 
 def keyed_normals(key: Column, seed: int) -> tuple[Column, Column]:
     """Two independent standard normal numbers of a key: the same wherever and however often they are drawn."""
-    uniform = lambda k: (F.shiftrightunsigned(F.xxhash64(key, F.lit(seed), F.lit(k)), 11).cast("double") + 1.0) / float(1 << 53)
-    reach, angle = F.sqrt(-2.0 * F.log(uniform(0))), 2.0 * F.pi() * uniform(1)
+    reach, angle = F.sqrt(-2.0 * F.log(keyed_uniform(key, seed) + F.lit(2.0**-53))), 2.0 * F.pi() * keyed_uniform(key, seed, 1)
     return reach * F.cos(angle), reach * F.sin(angle)
 
 

@@ -1,13 +1,14 @@
 """Bounded minimisation, curvature, scans and intervals of an objective that evaluates many points in one job.
 
 An objective takes a list of parameter dicts and gives their values; parameters always go by name. The driver holds a handful of
-numbers; whatever sums over events is the objective's single Spark job for each list.
+numbers; whatever sums over events is the objective's single Spark job for each list. Fits, sides of intervals and whole toys are
+problems that ask for points and wait for values: any number of them goes in step, with one job for a step of all.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Generator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -43,41 +44,73 @@ class Fit:
         return out
 
 
-class _Batch:
-    """An objective of vectors over the named parameters, the others fixed."""
+#: A problem that asks for the values of points and goes on with them. Many of them are run in step: their points go into one call.
+Steps = Generator[list[dict[str, float]], np.ndarray, object]
 
-    def __init__(self, objective: Objective, names: tuple[str, ...], fixed: dict[str, float], bounds: dict[str, tuple[float, float]]):
-        self.objective, self.names, self.fixed = objective, names, fixed
+
+def in_step(objective: Objective, problems: list[Steps]) -> tuple[list, int]:
+    """The results of all problems, and the number of calls: as many as the longest of them takes, not as all take together."""
+    results: list = [None] * len(problems)
+    asked, calls = {}, 0
+
+    def go_on(i: int, values: np.ndarray | None) -> None:
+        try:
+            asked[i] = problems[i].send(values)
+        except StopIteration as end:
+            asked.pop(i, None)
+            results[i] = end.value
+
+    for i in range(len(problems)):
+        go_on(i, None)
+    while asked:
+        now = list(asked)
+        values, at = np.asarray(objective([p for i in now for p in asked[i]]), float), 0
+        calls += 1
+        for i in now:
+            n = len(asked[i])
+            go_on(i, values[at : at + n])
+            at += n
+    return results, calls
+
+
+def _alone(objective: Objective, problem: Steps):
+    return in_step(objective, [problem])[0][0]
+
+
+class _Points:
+    """Vectors over the named parameters, the others fixed, as points within bounds."""
+
+    def __init__(self, names: tuple[str, ...], fixed: dict[str, float] | None, bounds: dict[str, tuple[float, float]]):
+        self.names, self.fixed, self.calls = names, fixed or {}, 0
         self.low = np.array([bounds[n][0] for n in names])
         self.high = np.array([bounds[n][1] for n in names])
-        self.calls = 0
 
-    def __call__(self, xs: np.ndarray) -> np.ndarray:
+    def of(self, xs: np.ndarray) -> list[dict[str, float]]:
         self.calls += 1
-        return np.asarray(self.objective([{**self.fixed, **dict(zip(self.names, map(float, x), strict=True))} for x in np.atleast_2d(xs)]), float)
+        return [{**self.fixed, **dict(zip(self.names, map(float, x), strict=True))} for x in np.atleast_2d(xs)]
 
     def clip(self, x: np.ndarray) -> np.ndarray:
         return np.clip(x, self.low, self.high)
 
 
-def _gradient(f: _Batch, x: np.ndarray, step: np.ndarray) -> tuple[float, np.ndarray]:
+def _gradient(f: _Points, x: np.ndarray, step: np.ndarray):
     """Value and gradient in one call: central, one-sided where a bound is near."""
     n = len(x)
     up, down = np.tile(x, (n, 1)), np.tile(x, (n, 1))
     up[np.arange(n), np.arange(n)] = np.minimum(x + step, f.high)
     down[np.arange(n), np.arange(n)] = np.maximum(x - step, f.low)
-    values = f(np.vstack([x, up, down]))
+    values = yield f.of(np.vstack([x, up, down]))
     return values[0], (values[1 : n + 1] - values[n + 1 :]) / np.maximum(np.diag(up) - np.diag(down), 1e-300)
 
 
-def minimise(objective: Objective, start: dict[str, float], fixed: dict[str, float] | None = None, bounds=BOUNDS, tolerance: float = 1e-6, max_steps: int = 100, step: float = 1e-3) -> Fit:
-    """Quasi-Newton (BFGS) within bounds. Each line search tries a ladder of step lengths in one call."""
+def minimise_steps(start: dict[str, float], fixed: dict[str, float] | None = None, bounds=BOUNDS, tolerance: float = 1e-6, max_steps: int = 100, step: float = 1e-3):
+    """minimise as a problem that can be run in step with others."""
     names = tuple(start)
-    f = _Batch(objective, names, fixed or {}, bounds)
+    f = _Points(names, fixed, bounds)
     x = f.clip(np.array([start[n] for n in names], float))
     h = np.full(len(x), step)
     inverse = np.eye(len(x))
-    value, g = _gradient(f, x, h)
+    value, g = yield from _gradient(f, x, h)
     ladder = 2.0 ** np.arange(2, -14, -1.0)
     for _ in range(max_steps):
         free = ~(((x <= f.low) & (g > 0)) | ((x >= f.high) & (g < 0)))
@@ -89,7 +122,7 @@ def minimise(objective: Objective, start: dict[str, float], fixed: dict[str, flo
             inverse = np.eye(len(x))
             direction = np.where(free, -g, 0.0)
         tries = f.clip(x + ladder[:, None] * direction)
-        found = f(tries)
+        found = np.array((yield f.of(tries)))
         found[~np.isfinite(found)] = np.inf
         best = int(np.argmin(found))
         if not found[best] < value:
@@ -98,7 +131,7 @@ def minimise(objective: Objective, start: dict[str, float], fixed: dict[str, flo
             inverse = np.eye(len(x))
             continue
         moved, gain = tries[best], value - found[best]
-        value, new = _gradient(f, moved, h)
+        value, new = yield from _gradient(f, moved, h)
         s, y = moved - x, new - g
         if s @ y > 1e-12:
             rho, eye = 1.0 / (s @ y), np.eye(len(x))
@@ -109,18 +142,27 @@ def minimise(objective: Objective, start: dict[str, float], fixed: dict[str, flo
     return Fit(dict(zip(names, map(float, x), strict=True)), float(value), None, f.calls, names)
 
 
+def minimise(objective: Objective, start: dict[str, float], fixed: dict[str, float] | None = None, bounds=BOUNDS, tolerance: float = 1e-6, max_steps: int = 100, step: float = 1e-3) -> Fit:
+    """Quasi-Newton (BFGS) within bounds. Each line search tries a ladder of step lengths in one call."""
+    return _alone(objective, minimise_steps(start, fixed, bounds, tolerance, max_steps, step))
+
+
 def simplex(objective: Objective, start: dict[str, float], fixed: dict[str, float] | None = None, bounds=BOUNDS, x_tolerance: float = 0.01, f_tolerance: float = 0.01, max_steps: int = 2000, spread: float = 0.5) -> Fit:
     """Nelder and Mead; points outside the bounds cost OUTSIDE. The candidate points of a step are evaluated in one call."""
+    return _alone(objective, simplex_steps(start, fixed, bounds, x_tolerance, f_tolerance, max_steps, spread))
+
+
+def simplex_steps(start: dict[str, float], fixed: dict[str, float] | None = None, bounds=BOUNDS, x_tolerance: float = 0.01, f_tolerance: float = 0.01, max_steps: int = 2000, spread: float = 0.5):
     names = tuple(start)
-    f = _Batch(objective, names, fixed or {}, bounds)
+    f = _Points(names, fixed, bounds)
 
-    def value(xs: np.ndarray) -> np.ndarray:
+    def value(xs: np.ndarray):
         inside = np.all((xs >= f.low) & (xs <= f.high), axis=1)
-        return np.where(inside, f(f.clip(xs)), OUTSIDE)
+        return np.where(inside, (yield f.of(f.clip(xs))), OUTSIDE)
 
     x0 = np.array([start[n] for n in names], float)
     points = np.vstack([x0, x0 + spread * np.eye(len(x0))])
-    values = value(points)
+    values = yield from value(points)
     for _ in range(max_steps):
         order = np.argsort(values, kind="stable")
         points, values = points[order], values[order]
@@ -129,7 +171,7 @@ def simplex(objective: Objective, start: dict[str, float], fixed: dict[str, floa
         centre = points[:-1].mean(axis=0)
         away = centre - points[-1]
         tries = np.vstack([centre + away, centre + 2 * away, centre + 0.5 * away, centre - 0.5 * away])
-        reflected, expanded, outer, inner = value(tries)
+        reflected, expanded, outer, inner = yield from value(tries)
         if reflected < values[0]:
             points[-1], values[-1] = (tries[1], expanded) if expanded < reflected else (tries[0], reflected)
         elif reflected < values[-2]:
@@ -138,7 +180,7 @@ def simplex(objective: Objective, start: dict[str, float], fixed: dict[str, floa
             points[-1], values[-1] = (tries[2], outer) if outer <= inner else (tries[3], inner)
         else:
             points[1:] = points[0] + 0.5 * (points[1:] - points[0])
-            values[1:] = value(points[1:])
+            values[1:] = yield from value(points[1:])
     best = int(np.argmin(values))
     return Fit(dict(zip(names, map(float, points[best]), strict=True)), float(values[best]), None, f.calls, names)
 
@@ -149,8 +191,12 @@ def hessian(objective: Objective, at: dict[str, float], fixed: dict[str, float]
     Points are cut to the bounds and the formulas take the distances that are left. Where a parameter stands at a bound, the diagonal is
     taken from two steps inside and mixed terms are 0.
     """
+    return _alone(objective, hessian_steps(at, fixed, bounds, step))
+
+
+def hessian_steps(at: dict[str, float], fixed: dict[str, float] | None = None, bounds=BOUNDS, step: float = 0.2):
     names = tuple(at)
-    f = _Batch(objective, names, fixed or {}, bounds)
+    f = _Points(names, fixed, bounds)
     x, n = f.clip(np.array([at[k] for k in names], float)), len(at)
     up, down = np.minimum(x + step, f.high) - x, x - np.maximum(x - step, f.low)
     shifts: list[np.ndarray] = [np.zeros(n)]
@@ -176,7 +222,7 @@ def hessian(objective: Objective, at: dict[str, float], fixed: dict[str, float]
             if min(up[i], down[i], up[j], down[j]) > 0:
                 corners = [ask((i, a), (j, b)) for a in (up[i], -down[i]) for b in (up[j], -down[j])]
                 mixed[i, j] = (corners, (up[i] + down[i]) * (up[j] + down[j]))
-    v = f(x + np.array(shifts))
+    v = yield f.of(x + np.array(shifts))
     out = np.zeros((n, n))
     for i, (a, b, p, q) in diagonal.items():  # second derivative of the parabola through three points
         out[i, i] = 2 * ((v[a] - v[0]) / p - (v[b] - v[0]) / q) / (p - q)
@@ -191,9 +237,13 @@ def covariance(curvature: np.ndarray, errordef: float = 0.5) -> np.ndarray:
 
 
 def global_fit(objective: Objective, start: dict[str, float] | None = None, bounds=BOUNDS, errordef: float = 0.5, **options) -> Fit:
+    return _alone(objective, global_fit_steps(start, None, bounds, errordef, **options))
+
+
+def global_fit_steps(start: dict[str, float] | None = None, fixed: dict[str, float] | None = None, bounds=BOUNDS, errordef: float = 0.5, **options):
     start = start or {n: (1.0 if n == "mu" else 0.0) for n in PARAMETERS}
-    fit = minimise(objective, start, None, bounds, **options)
-    fit.covariance = covariance(hessian(objective, fit.values, None, bounds), errordef)
+    fit = yield from minimise_steps(start, fixed, bounds, **options)
+    fit.covariance = covariance((yield from hessian_steps(fit.values, fixed, bounds)), errordef)
     return fit
 
 
@@ -212,13 +262,10 @@ def mu_scan(objective: Objective, fit: Fit, n: int = 21, delta: float | None = N
 
 
 def profile_scan(objective: Objective, fit: Fit, mus: list[float], fixed: dict[str, float] | None = None, **options) -> list[tuple[float, float]]:
-    """(mu, q - best q) with the nuisances minimised at each mu, starting from those of the point before."""
-    start, out = {k: v for k, v in fit.values.items() if k != "mu"}, []
-    for m in mus:
-        found = minimise(objective, start, {**(fixed or {}), "mu": m}, **options)
-        start = found.values
-        out.append((m, found.q - fit.q))
-    return out
+    """(mu, q - best q) with the nuisances minimised at each mu, from where the fit left them. All points of the scan go in step."""
+    start = {k: v for k, v in fit.values.items() if k != "mu"}
+    found, _ = in_step(objective, [minimise_steps(start, {**(fixed or {}), "mu": m}, **options) for m in mus])
+    return [(m, f.q - fit.q) for m, f in zip(mus, found, strict=True)]
 
 
 def crossings(scan: list[tuple[float, float]], threshold: float = 1.0) -> list[float]:
@@ -257,6 +304,23 @@ def finalise(mu_hat: float, found: list[float], delta: float, inflate: float = I
     return {"mu_hat": mu_hat, "p16": p16, "p84": p84, "delta_mu_hat": (p84 - p16) / 2}
 
 
+def mu_scan_steps(fit: Fit, fixed: dict[str, float] | None = None, n: int = 21, delta: float | None = None):
+    """mu_scan as a problem that can be run in step with others."""
+    delta = delta if delta is not None else math.sqrt(abs(fit.covariance[0, 0])) if fit.covariance is not None else 0.0
+    mu, reach = fit.values["mu"], max(3 * delta, 0.5)
+    mus = scan_points(mu - reach, mu + reach, n)
+    q = yield [{**(fixed or {}), **fit.values, "mu": m} for m in mus]
+    return [(m, float(v - fit.q)) for m, v in zip(mus, q, strict=True)]
+
+
+def interval_steps(start: dict[str, float] | None = None, fixed: dict[str, float] | None = None, **options):
+    """Fit, scan and interval of one toy."""
+    fit = yield from global_fit_steps(start, fixed, **options)
+    delta = math.sqrt(abs(fit.covariance[0, 0]))
+    scan = yield from mu_scan_steps(fit, fixed, delta=delta)
+    return finalise(fit.values["mu"], crossings(scan), delta)
+
+
 def interval_of(objective: Objective, fit: Fit) -> dict[str, float]:
     """Scan and interval of a fit."""
     delta = math.sqrt(abs(fit.covariance[0, 0]))
@@ -265,46 +329,62 @@ def interval_of(objective: Objective, fit: Fit) -> dict[str, float]:
 
 def predict_interval(objective: Objective, start: dict[str, float] | None = None) -> dict[str, float]:
     """Fit, scan and interval of one toy."""
-    return interval_of(objective, global_fit(objective, start))
+    return _alone(objective, interval_steps(start))
+
+
+def _side_steps(fit: Fit, name: str, side: float, errordef: float, bounds, reach: float, fixed: dict[str, float] | None, options: dict):
+    """Where q, minimised over all other parameters, has risen by errordef on one side, and the others there."""
+    others = {k: v for k, v in fit.values.items() if k != name}
+    bound = bounds[name][0 if side < 0 else 1]
+    first = math.sqrt(abs(fit.covariance[fit.names.index(name), fit.names.index(name)])) if fit.covariance is not None else 0.5
+
+    def rise(at: float, start: dict[str, float]):
+        found = yield from minimise_steps(start, {**(fixed or {}), name: at}, bounds, **options)
+        return found.q - fit.q - errordef, found.values
+
+    inside, below, start, step = fit.values[name], -errordef, others, max(first, 1e-2)
+    while True:  # outwards, until it has risen far enough
+        outside = max(inside + side * step, bound) if side < 0 else min(inside + side * step, bound)
+        above, start = yield from rise(outside, start)
+        if above >= 0 or outside == bound:
+            break
+        inside, below, step = outside, above, 2 * step
+    for _ in range(60 if above > 0 else 0):  # inwards, by halving where the secant is slow
+        if abs(outside - inside) <= reach or abs(above) <= reach * errordef:
+            break
+        share = below / (below - above)
+        middle = inside + min(max(share, 0.1), 0.9) * (outside - inside)
+        value, start = yield from rise(middle, start)
+        inside, below, outside, above = (inside, below, middle, value) if value > 0 else (middle, value, outside, above)
+    return (outside if above <= 0 else inside + below / (below - above) * (outside - inside)), start
 
 
 def minos(objective: Objective, fit: Fit, name: str = "mu", errordef: float = 1.0, bounds=BOUNDS, reach: float = 1e-3, fixed: dict[str, float] | None = None, **options) -> tuple[float, float]:
     """Where q, minimised over all other parameters, is errordef above its minimum, below and above the fitted value.
 
-    A side that never rises that far within the bounds gives the bound. The place is found to ``reach``, in the parameter or in q.
+    A side that never rises that far within the bounds gives the bound. The place is found to ``reach``, in the parameter or in q. Both
+    sides go in step.
     """
-    others = {k: v for k, v in fit.values.items() if k != name}
-    low, high = bounds[name]
-    first = math.sqrt(abs(fit.covariance[fit.names.index(name), fit.names.index(name)])) if fit.covariance is not None else 0.5
+    (low, high), _ = in_step(objective, [_side_steps(fit, name, side, errordef, bounds, reach, fixed, options) for side in (-1.0, 1.0)])
+    return low[0], high[0]
 
-    def rise(at: float, start: dict[str, float]) -> tuple[float, dict[str, float]]:
-        found = minimise(objective, start, {**(fixed or {}), name: at}, bounds, **options)
-        return found.q - fit.q - errordef, found.values
 
-    out = []
-    for side, bound in ((-1.0, low), (1.0, high)):
-        inside, below, start, step = fit.values[name], -errordef, others, max(first, 1e-2)
-        while True:  # outwards, until it has risen far enough
-            outside = max(inside + side * step, bound) if side < 0 else min(inside + side * step, bound)
-            above, start = rise(outside, start)
-            if above >= 0 or outside == bound:
-                break
-            inside, below, step = outside, above, 2 * step
-        for _ in range(60 if above > 0 else 0):  # inwards, by halving where the secant is slow
-            if abs(outside - inside) <= reach or abs(above) <= reach * errordef:
-                break
-            share = below / (below - above)
-            middle = inside + min(max(share, 0.1), 0.9) * (outside - inside)
-            value, start = rise(middle, start)
-            inside, below, outside, above = (inside, below, middle, value) if value > 0 else (middle, value, outside, above)
-        out.append(outside if above <= 0 else inside + below / (below - above) * (outside - inside))
-    return out[0], out[1]
+def impacts_of(objective: Objective, fit: Fit, names: list[str], threshold: float = 1.0, bounds=BOUNDS, reach: float = 1e-3, fixed: dict[str, float] | None = None, **options) -> tuple[dict[str, dict[str, float]], int]:
+    """impact_of of many nuisances, all sides in step, and the number of calls."""
+
+    def steps(name: str, side: float):
+        at, start = yield from _side_steps(fit, name, side, threshold, bounds, reach, fixed, options)
+        found = yield from minimise_steps(start, {**(fixed or {}), name: at}, bounds, **options)
+        return at, found.values["mu"]
+
+    sides = [(name, which, side) for name in names for which, side in (("down", -1.0), ("up", 1.0))]
+    found, calls = in_step(objective, [steps(name, side) for name, _, side in sides])
+    out: dict[str, dict[str, float]] = {name: {} for name in names}
+    for (name, which, _), (at, mu) in zip(sides, found, strict=True):
+        out[name] |= {f"nu_{which}": at, f"mu_{which}": mu, f"impact_{which}": mu - fit.values["mu"]}
+    return out, calls
 
 
 def impact_of(objective: Objective, fit: Fit, name: str, threshold: float = 1.0, bounds=BOUNDS, fixed: dict[str, float] | None = None, **options) -> dict[str, float]:
     """The values of one nuisance where the profiled q rises by the threshold (or its bound), and what mu does there."""
-    out, others = {}, {k: v for k, v in fit.values.items() if k != name}
-    for side, at in zip(("down", "up"), minos(objective, fit, name, threshold, bounds, fixed=fixed, **options), strict=True):
-        found = minimise(objective, others, {**(fixed or {}), name: at}, bounds, **{k: v for k, v in options.items() if k != "reach"})
-        out |= {f"nu_{side}": at, f"mu_{side}": found.values["mu"], f"impact_{side}": found.values["mu"] - fit.values["mu"]}
-    return out
+    return impacts_of(objective, fit, [name], threshold, bounds, fixed=fixed, **options)[0][name]

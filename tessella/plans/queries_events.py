@@ -40,9 +40,13 @@ def q_scan_events(spark, sf):
     return events(spark, sf).select("event_id", *(F.col(f) if f == "PRI_n_jets" else r(f).alias(f) for f in FEATURES[:16]), r("weight").alias("weight"), "label")
 
 
-@query("q_sample_n")
+#: Draw k of an event: 52 bits of a digest of seed and event_id, four draws a digest.
+_draw = lambda k, seed=resampling.SEED: f"(('0x' || substr(sha256('{seed}:' || event_id || ':{k // 4}'), {13 * (k % 4) + 1}, 13))::UBIGINT::DOUBLE/{1 << 52}::double)"
+
+
+@query("q_sample_n", views() + f"SELECT event_id FROM ev ORDER BY {_draw(0)} LIMIT 1000")
 def q_sample_n(spark, sf):
-    return resampling.sample_rows(events(spark, sf).select("event_id", "weight", "label"), 1000)
+    return resampling.sample_rows(events(spark, sf).select("event_id"), 1000, key=["event_id"])
 
 
 _ORDERED = "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_idx, o_orderkey, o_totalprice, o_custkey FROM orders"
@@ -167,9 +171,13 @@ def q_syst_jes(spark, sf):
     return v.select("event_id", r("PRI_jet_leading_pt").alias("j1_pt"), r("PRI_jet_subleading_pt").alias("j2_pt"), r("PRI_jet_all_pt").alias("all_pt"), r("PRI_met", 3).alias("met"))
 
 
-@query("q_syst_softmet")
+_NOISE = f"sqrt(-2*ln({_draw(0)} + {2.0**-53!r}::double))*{{}}(2*pi()*{_draw(1)})*2.0::double"
+
+
+@query("q_syst_softmet", views(f"n AS (SELECT event_id, met*cos(met_phi) + {_NOISE.format('cos')} AS x, met*sin(met_phi) + {_NOISE.format('sin')} AS y FROM ev)") + f"SELECT event_id, {rs('round_even(sqrt(x*x + y*y)*1000, 0)/1000', 2)} AS met, {rs('cos(round_even(atan2(y, x)*1000, 0)/1000)', 4)} AS c FROM n")
 def q_syst_softmet(spark, sf):
-    return systematics.vary(events(spark, sf), systematics.Shift(soft_met=2.0)).select("event_id", "PRI_met", "PRI_met_phi")
+    v = systematics.vary(events(spark, sf), systematics.Shift(soft_met=2.0, key="event_id"))
+    return v.select("event_id", r("PRI_met", 2).alias("met"), r(F.cos("PRI_met_phi"), 4).alias("c"))
 
 
 @query("q_round3", views() + f"SELECT event_id, {rs('round_even(w*1.23456789::double*1000, 0)/1000')} AS rounded FROM ev")
@@ -324,9 +332,27 @@ def q_split_process(spark, sf):
     return reduce(DataFrame.unionByName, every)
 
 
-@query("q_bootstrap")
+def sql_poisson(mean: str, u: str) -> str:
+    """The number of a draw: how many partial sums of the distribution it is above. For means that are not large."""
+    return f"list_sum(list_transform(range(40), lambda k: CASE WHEN {u} > list_sum(list_transform(range(k + 1), lambda i: exp(-({mean}) + i*ln({mean}) - lgamma(i + 1)))) THEN 1 ELSE 0 END))"
+
+
+_SCALE = "CASE label WHEN 0 THEN 1.5::double WHEN 1 THEN 1.001::double WHEN 2 THEN 1.02::double*1.001::double ELSE 1.0::double END"
+
+
+@query("q_bootstrap", views(f"b AS (SELECT event_id, label, w*{_SCALE} AS m, {_draw(0)} AS u FROM ev)") + f"SELECT event_id, label FROM (SELECT event_id, label, unnest(range(CAST({sql_poisson('m', 'u')} AS INTEGER))) FROM b)")
 def q_bootstrap(spark, sf):
-    return resampling.bootstrap(events(spark, sf).select("event_id", "label", "weight"), mu=1.5, background=1.001, ttbar=1.02)
+    return resampling.bootstrap(events(spark, sf).select("event_id", "label", "weight"), mu=1.5, background=1.001, ttbar=1.02, key=["event_id"])
+
+
+_REPLICATES = 9
+
+
+@query("q_bootstrap_yields", views("b AS (" + " UNION ALL ".join(f"SELECT label, {k} AS replicate, w AS m, {_draw(k)} AS u FROM ev" for k in range(_REPLICATES)) + ")") + f"SELECT label, CAST(replicate AS INTEGER) AS replicate, CAST(sum({sql_poisson('m', 'u')}) AS BIGINT) AS yield FROM b GROUP BY label, replicate")
+def q_bootstrap_yields(spark, sf):
+    """The yields of bootstrap replicates, all from one scan."""
+    e = events(spark, sf).select("event_id", "label", "weight")
+    return resampling.replicate_yields(e, _REPLICATES, "label", key=["event_id"])
 
 
 @query("q_bootstrap_det", views("b AS (SELECT event_id, label, CAST(floor(w*CASE label WHEN 0 THEN 3.0::double WHEN 1 THEN 2.0::double WHEN 2 THEN 1.04::double*2.0::double ELSE 1.0::double END) AS INTEGER) AS n FROM ev)") + "SELECT event_id, label FROM (SELECT event_id, label, unnest(range(n)) FROM b)")
