@@ -165,19 +165,25 @@ def confirm(pairs: DataFrame, source: DataFrame, classes: DataFrame, scratch: Sc
     return placed.mapInArrow(_compare(width, percent), "a long, b long").distinct()
 
 
-def _texts(source: DataFrame, roles: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns of roles (written, with rid and rtid) and the text that they name; of rows repeated in full a task passes on one."""
+def _texts(source: DataFrame, roles: DataFrame, columns: list[str], then=None, schema: str | None = None) -> DataFrame:
+    """The columns of roles (written, with rid and rtid) and the text that they name; of rows repeated in full a task passes on one.
+
+    ``then`` is a batch function that takes these rows in the same worker.
+    """
     found = source.join(small_enough(roles), F.col("doc_id").eqNullSafe(F.col("rid")) & (F.col("tid") == F.col("rtid"))).select(*columns, "text")
 
-    @gives_back
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for batch in batches:
             rows = list(zip(*(batch.column(c).to_pylist() for c in columns), strict=True))
             new = [r not in seen and not seen.add(r) for r in rows]
             yield batch if all(new) else batch.filter(pa.array(new, pa.bool_()))
 
-    return found.mapInArrow(run, found.schema)
+    @gives_back
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return then(distinct(batches)) if then else distinct(batches)
+
+    return found.mapInArrow(run, schema or found.schema)
 
 
 def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
@@ -268,8 +274,8 @@ def _leftovers(shared: DataFrame, labels: DataFrame, source: DataFrame, classes:
     """
     nodes = scratch.table(_open_buckets(shared, labels).select("node").distinct(), "open-nodes")
     named = classes.select("node", F.col("one.doc_id").alias("rid"), F.col("one.tid").alias("rtid"))
-    texts = _texts(source, scratch.table(named.join(small_enough(nodes), "node"), "fine-roles"), ["node"])
-    fine = scratch.table(texts.mapInArrow(_fine(width), "node long, fine binary"), "fine").dropDuplicates(["node"])
+    fine_roles = scratch.table(named.join(small_enough(nodes), "node"), "fine-roles")
+    fine = scratch.table(_texts(source, fine_roles, ["node"], _fine(width), "node long, fine binary"), "fine").dropDuplicates(["node"])
     sub_key = F.posexplode(F.slice("subs", 1, COLLECTION)).alias("at", "sub")
     groups = classes.join(fine, "node").select("node", F.col("n_shingles").alias("n"), "sig", "subs", "fine", sub_key).withColumn("key", F.xxhash64("at", "sub")).drop("sub")
     rows = _open_buckets(groups, labels).withColumn("minor", F.col("label") != F.col("top"))
