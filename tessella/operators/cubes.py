@@ -7,6 +7,8 @@ Fits call the interpolated cubes and never come back to the simulation.
 
 from __future__ import annotations
 
+import copy
+import itertools
 import math
 from collections.abc import Iterable, Iterator
 
@@ -22,9 +24,12 @@ from tessella.schema import MONOMIALS, PROCESSES, RATE, SHAPES
 Point = dict[str, float]
 #: Normalisations that scale each process beside mu.
 SCALED_BY = {"htautau": (), "ztautau": ("nu_bkg",), "ttbar": ("nu_bkg", "nu_tt"), "diboson": ("nu_bkg", "nu_diboson")}
-# Unit steps over the whole range, half steps up to 3.
-SCALE_AXIS = tuple(sorted({float(x) for x in range(-10, 11)} | {x / 2 for x in range(-6, 7)}))
-MET_AXIS = tuple(sorted({float(x) for x in range(6)} | {x / 2 for x in range(7)}))
+# The grid's axes.
+SCALE_AXIS = (
+    -10.0, -9.0, -8.0, -7.0, -6.0, -5.0, -4.0, -3.0, -2.5, -2.0, -1.5, -1.0, -0.5, 0.0,
+    0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0, 9.0, 10.0,
+)
+MET_AXIS = (0.0, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0)
 #: 27 x 27 x 9 points of nu_tes, nu_jes and nu_met.
 AXES = (SCALE_AXIS, SCALE_AXIS, MET_AXIS)
 #: Events that are multiplied with the grid at once.
@@ -45,7 +50,7 @@ def interpolated_shift(point: Point, cubes: dict[str, float], constants: dict[st
 
 def grid(axes=AXES) -> np.ndarray:
     """The points, the last axis running fastest."""
-    return np.stack(np.meshgrid(*axes, indexing="ij"), axis=-1).reshape(-1, len(axes))
+    return np.array(list(itertools.product(*axes)))
 
 
 def events_for(scored: DataFrame) -> DataFrame:
@@ -130,4 +135,18 @@ class Cubes:
         return interpolated_shift(point, values, {p: self.constants[region, p] for p in PROCESSES})
 
     def total(self, point: Point) -> float:
-        return sum(self.shift(r, point) for r in self.regions)
+        return float(self.totals([point])[0])
+
+    def totals(self, points: list[Point]) -> np.ndarray:
+        """The inclusive shift of all regions together at each point. Cubes of a process add up before they are evaluated."""
+        at = np.array([[p.get(n, 0.0) for n in SHAPES] for p in points])
+        factors, out = [rate_factors(p) for p in points], np.zeros(len(points))
+        for p in PROCESSES:
+            cubes = [self.cubes[r, p] for r in self.regions]
+            if not cubes:
+                continue
+            every = copy.copy(cubes[0])
+            every.coefficients = np.sum([c.coefficients for c in cubes], axis=0)
+            f = np.array([x[p] for x in factors])
+            out -= f * every.many(at) + (f - 1.0) * sum(self.constants[r, p] for r in self.regions)
+        return out

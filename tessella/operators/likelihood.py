@@ -171,7 +171,7 @@ class Likelihood:
     def __call__(self, points: list[Point]) -> np.ndarray:
         terms = region_terms(self.toy, self.simulation, points, self.log_yields, "point").collect()  # one row a point
         u = {r.point: r.u for r in terms}
-        shift = [-2.0 * self.cubes.total(p) if self.cubes else 0.0 for p in points]
+        shift = -2.0 * self.cubes.totals(points) if self.cubes else np.zeros(len(points))
         return np.array([u.get(i, 0.0) + shift[i] + penalty(p, self.floating) + sum(poisson_term(p, y, n, self.log_yields) for y, n in self.poisson) for i, p in enumerate(points)])
 
 

@@ -103,13 +103,13 @@ def _gradient(f: _Points, x: np.ndarray, step: np.ndarray):
     return values[0], (values[1 : n + 1] - values[n + 1 :]) / np.maximum(np.diag(up) - np.diag(down), 1e-300)
 
 
-def minimise_steps(start: dict[str, float], fixed: dict[str, float] | None = None, bounds=BOUNDS, tolerance: float = 1e-6, max_steps: int = 100, step: float = 1e-3):
-    """minimise as a problem that can be run in step with others."""
+def minimise_steps(start: dict[str, float], fixed: dict[str, float] | None = None, bounds=BOUNDS, tolerance: float = 1e-6, max_steps: int = 100, step: float = 1e-3, inverse: np.ndarray | None = None):
+    """minimise as a problem that can be run in step with others. inverse: the inverse curvature to begin with, if it is known."""
     names = tuple(start)
     f = _Points(names, fixed, bounds)
     x = f.clip(np.array([start[n] for n in names], float))
     h = np.full(len(x), step)
-    inverse = np.eye(len(x))
+    inverse = np.eye(len(x)) if inverse is None else inverse
     value, g = yield from _gradient(f, x, h)
     ladder = 2.0 ** np.arange(2, -14, -1.0)
     for _ in range(max_steps):
@@ -261,10 +261,27 @@ def mu_scan(objective: Objective, fit: Fit, n: int = 21, delta: float | None = N
     return [(m, float(v - fit.q)) for m, v in zip(mus, q, strict=True)]
 
 
+def _beside(fit: Fit, name: str, at: float, bounds=BOUNDS) -> tuple[dict[str, float], np.ndarray | None]:
+    """Where the other parameters are expected with one held elsewhere, and their inverse curvature, by the fit's covariance."""
+    others = {k: v for k, v in fit.values.items() if k != name}
+    if fit.covariance is None:
+        return others, None
+    i, rest = fit.names.index(name), [k for k, n in enumerate(fit.names) if n != name]
+    variance = fit.covariance[i, i]
+    if variance > 0:
+        others = {n: float(np.clip(v + fit.covariance[fit.names.index(n), i] / variance * (at - fit.values[name]), *bounds[n])) for n, v in others.items()}
+    curvature = np.linalg.pinv(fit.covariance)[np.ix_(rest, rest)]
+    inverse = np.linalg.pinv(curvature)
+    return others, inverse if np.all(np.linalg.eigvalsh((inverse + inverse.T) / 2) > 0) else None
+
+
 def profile_scan(objective: Objective, fit: Fit, mus: list[float], fixed: dict[str, float] | None = None, **options) -> list[tuple[float, float]]:
-    """(mu, q - best q) with the nuisances minimised at each mu, from where the fit left them. All points of the scan go in step."""
-    start = {k: v for k, v in fit.values.items() if k != "mu"}
-    found, _ = in_step(objective, [minimise_steps(start, {**(fixed or {}), "mu": m}, **options) for m in mus])
+    """(mu, q - best q) with the nuisances minimised at each mu, from where the fit expects them. All points of the scan go in step."""
+    problems = []
+    for m in mus:
+        start, inverse = _beside(fit, "mu", m, options.get("bounds", BOUNDS))
+        problems.append(minimise_steps(start, {**(fixed or {}), "mu": m}, inverse=inverse, **options))
+    found, _ = in_step(objective, problems)
     return [(m, f.q - fit.q) for m, f in zip(mus, found, strict=True)]
 
 
@@ -313,12 +330,12 @@ def mu_scan_steps(fit: Fit, fixed: dict[str, float] | None = None, n: int = 21,
     return [(m, float(v - fit.q)) for m, v in zip(mus, q, strict=True)]
 
 
-def interval_steps(start: dict[str, float] | None = None, fixed: dict[str, float] | None = None, **options):
-    """Fit, scan and interval of one toy."""
+def toy_steps(start: dict[str, float] | None = None, fixed: dict[str, float] | None = None, **options):
+    """Fit, and interval by the scan, of one toy."""
     fit = yield from global_fit_steps(start, fixed, **options)
     delta = math.sqrt(abs(fit.covariance[0, 0]))
     scan = yield from mu_scan_steps(fit, fixed, delta=delta)
-    return finalise(fit.values["mu"], crossings(scan), delta)
+    return fit, finalise(fit.values["mu"], crossings(scan), delta)
 
 
 def interval_of(objective: Objective, fit: Fit) -> dict[str, float]:
@@ -329,23 +346,23 @@ def interval_of(objective: Objective, fit: Fit) -> dict[str, float]:
 
 def predict_interval(objective: Objective, start: dict[str, float] | None = None) -> dict[str, float]:
     """Fit, scan and interval of one toy."""
-    return _alone(objective, interval_steps(start))
+    return _alone(objective, toy_steps(start))[1]
 
 
 def _side_steps(fit: Fit, name: str, side: float, errordef: float, bounds, reach: float, fixed: dict[str, float] | None, options: dict):
     """Where q, minimised over all other parameters, has risen by errordef on one side, and the others there."""
-    others = {k: v for k, v in fit.values.items() if k != name}
     bound = bounds[name][0 if side < 0 else 1]
     first = math.sqrt(abs(fit.covariance[fit.names.index(name), fit.names.index(name)])) if fit.covariance is not None else 0.5
 
-    def rise(at: float, start: dict[str, float]):
-        found = yield from minimise_steps(start, {**(fixed or {}), name: at}, bounds, **options)
+    def rise(at: float, start: dict[str, float] | None = None):
+        expected, inverse = _beside(fit, name, at, bounds)
+        found = yield from minimise_steps(start or expected, {**(fixed or {}), name: at}, bounds, inverse=inverse, **options)
         return found.q - fit.q - errordef, found.values
 
-    inside, below, start, step = fit.values[name], -errordef, others, max(first, 1e-2)
+    inside, below, start, step = fit.values[name], -errordef, None, max(first, 1e-2)
     while True:  # outwards, until it has risen far enough
         outside = max(inside + side * step, bound) if side < 0 else min(inside + side * step, bound)
-        above, start = yield from rise(outside, start)
+        above, start = yield from rise(outside)
         if above >= 0 or outside == bound:
             break
         inside, below, step = outside, above, 2 * step

@@ -7,8 +7,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
-from tessella.operators import cubes, selections
+from tessella.operators import cubes, quality, selections, toys
 from tessella.operators import likelihood as L
+from tessella.operators.spline import calibrated_mu
 from tessella.operators.yields import monomials
 from tessella.plans import fit
 from tessella.plans.queries_events import sql_region, sql_regions
@@ -322,17 +323,58 @@ def q_fit_interval(spark, sf):
     return spark.createDataFrame([tuple(map(float, out.values()))], ", ".join(f"{k} double" for k in out))
 
 
-#: What the query below lets float; the others stay where the toy was made.
-_FREE = {"mu": 1.0, "nu_tt": 0.0}
-_FIXED = {n: ASIMOV.get(n, 0.0) for n in PARAMETERS if n not in _FREE}
-#: Every evaluation is a Spark job: minima to a thousandth of q are near enough here.
+#: Every step is a Spark job: minima to a thousandth of q are near enough here.
 _NEAR_MINIMUM = {"tolerance": 1e-3}
 
 
 @query("q_profile_scan")
 def q_profile_scan(spark, sf):
-    """q over mu with nu_tt minimised at each point."""
+    """q at 21 values of mu, all six nuisances minimised at each."""
     with _objective(spark, sf, True) as objective:
-        best = fit.minimise(objective, _FREE, _FIXED, **_NEAR_MINIMUM)
-        rows = fit.profile_scan(objective, best, [best.values["mu"] + d for d in (-0.1, 0.1)], _FIXED, **_NEAR_MINIMUM)
+        best = fit.global_fit(objective, START, **_NEAR_MINIMUM)
+        mu = best.values["mu"]
+        rows = fit.profile_scan(objective, best, fit.scan_points(max(0.0, mu - 0.2), mu + 0.2, 21), **_NEAR_MINIMUM)
     return spark.createDataFrame([(float(m), float(q)) for m, q in rows], "mu double, delta_q double")
+
+
+@query("q_impacts")
+def q_impacts(spark, sf):
+    """Per nuisance: where the profiled q has risen by 1 on both sides, and what mu does there. All twelve sides go in step."""
+    names = [n for n in PARAMETERS if n != "mu"]
+    with _objective(spark, sf, True) as objective:
+        best = fit.global_fit(objective, START, **_NEAR_MINIMUM)
+        found, _ = fit.impacts_of(objective, best, names, reach=0.02, **_NEAR_MINIMUM)
+    keys = sorted(found[names[0]])
+    return spark.createDataFrame([(n, *(float(found[n][k]) for k in keys)) for n in names], "nuisance string, " + ", ".join(f"{k} double" for k in keys))
+
+
+@query("q_minos")
+def q_minos(spark, sf):
+    """The profiled interval of mu, both sides in step."""
+    with _objective(spark, sf, True) as objective:
+        best = fit.global_fit(objective, START, **_NEAR_MINIMUM)
+        low, high = fit.minos(objective, best, reach=0.02, **_NEAR_MINIMUM)
+    return spark.createDataFrame([(float(low), float(best.values["mu"]), float(high))], "low double, mu double, high double")
+
+
+# Signal strengths of the closure test.
+CLOSURE_MU = (0.1, 0.25, 0.5, 0.75, 1.0, 1.25, 1.5, 1.75, 2.0, 2.25, 2.5, 3.0)
+TOYS_EACH = 2
+
+
+def closure_likelihood(spark, sf) -> toys.ToyLikelihood:
+    truths = [toys.Truth(mu) for mu in CLOSURE_MU for _ in range(TOYS_EACH)]
+    return toys.ToyLikelihood(in_regions(spark, sf), truths, ["event_id"], LOG_YIELDS, _cubes(spark, sf), scored(spark, sf))
+
+
+@query("q_closure_fits")
+def q_closure_fits(spark, sf):
+    """Toys of twelve signal strengths fitted together: residual, interval and whether it covers; mu as a calibration trained on each other
+    toy corrects it; score, width and coverage of all intervals."""
+    objective = closure_likelihood(spark, sf)
+    found, _ = fit.in_step(objective, [fit.toy_steps(START, {"toy": t}, **_NEAR_MINIMUM) for t in range(len(objective.truths))])
+    fits = [{**f.values, "mu_true": t.mu, **interval} for t, (f, interval) in zip(objective.truths, found, strict=True)]
+    correction = toys.calibration(fits[::TOYS_EACH])
+    rows = [(i, f["mu_true"], f["mu"], calibrated_mu(correction, f["mu"], f["nu_jes"], f["nu_tes"], f["nu_met"]), f["p16"], f["p84"]) for i, f in enumerate(fits)]
+    fitted = quality.closure(spark.createDataFrame([(i, *map(float, r)) for i, *r in rows], "toy int, mu_true double, mu_measured double, mu_calibrated double, mu_down double, mu_up double"))
+    return fitted.join(F.broadcast(quality.coverage_score(fitted)))  # one row
