@@ -12,10 +12,11 @@ from tessella.functions import kinematics as K
 from tessella.functions.numeric import half_even
 from tessella.operators import histograms as H
 from tessella.operators import quality, resampling, selections, systematics, yields
+from tessella.operators import variations as V
 from tessella.plans.registry import SQL_OF, derived, events, r, rs, scored
 from tessella.schema import ALPHA_MEAN, ALPHA_SIGMA, BASE_POINTS, BINNING, CODE, FEATURES, MONOMIALS, PROCESSES, SHAPES
 from tessella.sources import events as S
-from tessella.sources.fixture import LOG_YIELD, derived_sql, momenta_sql, views
+from tessella.sources.fixture import LOG_YIELD, SQL_NAMES, centralities_sql, derived_sql, momenta_sql, views
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -174,10 +175,10 @@ def q_syst_jes(spark, sf):
 _NOISE = f"sqrt(-2*ln({_draw(0)} + {2.0**-53!r}::double))*{{}}(2*pi()*{_draw(1)})*2.0::double"
 
 
-@query("q_syst_softmet", views(f"n AS (SELECT event_id, met*cos(met_phi) + {_NOISE.format('cos')} AS x, met*sin(met_phi) + {_NOISE.format('sin')} AS y FROM ev)") + f"SELECT event_id, {rs('round_even(sqrt(x*x + y*y)*1000, 0)/1000', 2)} AS met, {rs('cos(round_even(atan2(y, x)*1000, 0)/1000)', 4)} AS c FROM n")
+@query("q_syst_softmet", views(f"n AS (SELECT event_id, met*cos(met_phi) + {_NOISE.format('cos')} AS x, met*sin(met_phi) + {_NOISE.format('sin')} AS y FROM ev)") + f"SELECT event_id, {rs('round_even(sqrt(x*x + y*y)*1000, 0)/1000', 3)} AS met, {rs('cos(round_even(atan2(y, x)*1000, 0)/1000)', 4)} AS c FROM n")
 def q_syst_softmet(spark, sf):
     v = systematics.vary(events(spark, sf), systematics.Shift(soft_met=2.0, key="event_id"))
-    return v.select("event_id", r("PRI_met", 2).alias("met"), r(F.cos("PRI_met_phi"), 4).alias("c"))
+    return v.select("event_id", r("PRI_met", 3).alias("met"), r(F.cos("PRI_met_phi"), 4).alias("c"))
 
 
 @query("q_round3", views() + f"SELECT event_id, {rs('round_even(w*1.23456789::double*1000, 0)/1000')} AS rounded FROM ev")
@@ -437,22 +438,42 @@ def q_hist_feature(spark, sf):
     return H.feature_histograms(derived(spark, sf)).select("feature", "bin", r("sum").alias("sum"))
 
 
-_RATIO_FEATURES = ("PRI_lep_pt", "PRI_had_pt", "PRI_met", "PRI_n_jets")
 _BIAS = 1.02
 
 
+_NUMBERED = "pts AS (SELECT unnest(range(" + str(len(BASE_POINTS)) + "))::INTEGER AS point, " + ", ".join(f"unnest([{', '.join(f'{p[k]}::double' for p in BASE_POINTS)}]) AS {s}" for k, s in enumerate(SHAPES)) + ")"
+_OWN = " + ".join(f"d0{k}*{'*'.join(c)}" for k, c in enumerate(MONOMIALS))
+_ALL_BINS = lambda src, *keep: " UNION ALL ".join(f"SELECT point, '{f}' AS feature, {sql_bin(f'({c})::double', *BINNING[f])} AS bin, {', '.join(keep)} FROM {src}" for c, f in SQL_NAMES.items())
+
+
 @query(
     "q_hist_net",
-    views(_POINTS, f"h AS (SELECT nu_tes, nu_jes, nu_met, lep_pt, had_pt, met, nj, w*exp({_LOG}) AS wv, w*{_BIAS}::double*exp({_LOG}) AS wp FROM ev, pts WHERE nu_tes != 0 OR nu_jes != 0 OR nu_met != 0)",
-          "b AS (" + " UNION ALL ".join(f"SELECT nu_tes, nu_jes, nu_met, '{f}' AS feature, {sql_bin(f'({SQL_OF[f]})::double', *BINNING[f])} AS bin, wv, wp FROM h" for f in _RATIO_FEATURES) + ")")
-    + f"SELECT nu_tes + 0.0::double AS nu_tes, nu_jes + 0.0::double AS nu_jes, nu_met, feature, bin, {rs('sum(wv)', 4)} AS true_sum, {rs('sum(wp)', 4)} AS predicted FROM b WHERE bin IS NOT NULL GROUP BY ALL",
-)
+    views(_NUMBERED, "cs AS (SELECT ce.*, " + ", ".join(f"(((event_id+{k})%5)-2)::double*0.01::double AS d0{k}" for k in range(len(MONOMIALS))) + " FROM ce)", f"h AS (SELECT cs.*, point, w*exp({_LOG}) AS wv, w*{_BIAS}::double*exp({_OWN}) AS wp FROM cs, pts WHERE point > 0)", f"b AS ({_ALL_BINS('h', 'wv', 'wp')})")
+    + f"SELECT point, feature, bin, {rs('sum(wv)', 4)} AS true_sum, {rs('sum(wp)', 4)} AS predicted FROM b WHERE bin IS NOT NULL GROUP BY ALL",
+)
 def q_hist_net(spark, sf):
-    """Of every base point: varied weights, and nominal weights times a ratio net's answer, by feature and bin."""
-    e = events(spark, sf).select(*_RATIO_FEATURES, "weight")
-    at = yields.with_base_points(e).withColumn("weight_varied", F.col("weight") * F.exp(yields.log_ratio(LOG_YIELD)))
-    h = H.ratio_histograms(at, F.lit(_BIAS) * F.exp(yields.log_ratio(LOG_YIELD)), _RATIO_FEATURES, *SHAPES)
-    return h.select(*((F.col(s) + F.lit(0.0)).alias(s) for s in SHAPES), "feature", "bin", r("true_sum", 4).alias("true_sum"), r("predicted", 4).alias("predicted"))
+    """Of every base point and feature: varied weights, and nominal weights times a ratio net's answer."""
+    h = V.point_histograms(scored(spark, sf), LOG_YIELD, "d_htautau", _BIAS)
+    return h.select("point", "feature", "bin", r("true_sum", 4).alias("true_sum"), r("predicted", 4).alias("predicted"))
+
+
+_TES_, _JES_ = "(1.0::double + nu_tes*0.01::double)", "(1.0::double + nu_jes*0.01::double)"
+_AT_POINTS = (
+    _NUMBERED,
+    f"mp AS (SELECT mo.*, point, {_TES_} AS tes, {_JES_} AS jes, nu_met AS soft, sqrt(-2*ln({_draw(0)} + {2.0**-53!r}::double))*cos(2*pi()*{_draw(1)}) AS zx, sqrt(-2*ln({_draw(0)} + {2.0**-53!r}::double))*sin(2*pi()*{_draw(1)}) AS zy FROM mo, pts)",
+    "mq AS (SELECT *, mx + CASE WHEN tes != 1 THEN hx*tes*((1-tes)/tes) ELSE 0 END + CASE WHEN jes != 1 THEN ax*jes*((1-jes)/jes) + bx*jes*((1-jes)/jes) ELSE 0 END + zx*soft AS x, "
+    "my + CASE WHEN tes != 1 THEN hy*tes*((1-tes)/tes) ELSE 0 END + CASE WHEN jes != 1 THEN ay*jes*((1-jes)/jes) + by_*jes*((1-jes)/jes) ELSE 0 END + zy*soft AS y FROM mp)",
+    "vp AS (SELECT event_id, point, w, nj, " + ", ".join(f"round_even({c}*1000, 0)/1000 AS {c}" for c in ("lep_pt", "lep_eta", "lep_phi", "had_eta", "had_phi", "j1_eta", "j1_phi", "j2_eta", "j2_phi"))
+    + ", round_even(had_pt*tes*1000, 0)/1000 AS had_pt, round_even(CASE WHEN nj>=1 THEN j1_pt*jes ELSE j1_pt END*1000, 0)/1000 AS j1_pt, round_even(CASE WHEN nj>=2 THEN j2_pt*jes ELSE j2_pt END*1000, 0)/1000 AS j2_pt, "
+    "round_even(all_pt*jes*1000, 0)/1000 AS all_pt, round_even(sqrt(x*x+y*y)*1000, 0)/1000 AS met, round_even(atan2(y, x)*1000, 0)/1000 AS met_phi FROM mq)",
+)
+_VARIED_BINS = views(*_AT_POINTS, f"th AS ({sql_thresholds('vp', 'had_pt > 26')})", f"mo2 AS ({momenta_sql('th')})", f"de2 AS ({derived_sql('mo2')})", f"ce2 AS ({centralities_sql('de2')})", f"b AS ({_ALL_BINS('ce2', 'w')})")
+
+
+@query("q_hist_variations", _VARIED_BINS + f"SELECT point, feature, bin, {rs('sum(w)', 4)} AS sum FROM b WHERE bin IS NOT NULL GROUP BY ALL")
+def q_hist_variations(spark, sf):
+    """All features at all base points, as they vary with the energy scales and the soft term, from one scan."""
+    return V.varied_histograms(events(spark, sf)).select("point", "feature", "bin", r("sum", 4).alias("sum"))
 
 
 _MET_BIN = sql_bin("met", *BINNING["PRI_met"])

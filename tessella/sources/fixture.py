@@ -123,6 +123,10 @@ def derived_sql(src: str) -> str:
     return _der.format(src=src)
 
 
+def centralities_sql(src: str) -> str:
+    return _cent.format(src=src)
+
+
 #: Features by the names that the SQL side gives them.
 SQL_NAMES = dict(
     zip(
