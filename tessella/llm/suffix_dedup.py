@@ -113,8 +113,10 @@ def anchors(data: np.ndarray, begin: np.ndarray, end: np.ndarray, threshold: int
     count[begin[long]] += 1
     count[end[long] - threshold + 1] -= 1
     starts = np.flatnonzero(np.cumsum(count[: len(least)]))
+    if not len(starts):
+        return empty, empty, empty, empty.view(np.uint64)
     anchor = (least[starts] & place).astype(np.int64)
-    new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)]) if len(starts) else empty
+    new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)])
     last = np.r_[new[1:], len(starts)] - 1
     anchor = anchor[new]
     return anchor, anchor - starts[last], anchor - starts[new], hashes[anchor]
