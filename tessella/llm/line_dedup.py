@@ -5,7 +5,8 @@
    by an exact table: a filter in its place would lose suspects by its false positives.
 2. The suspects fill a second Bloom filter, of what was seen twice, that every task gets. Its size follows their number up to FILTER_BITS.
    Only lines that it holds are shuffled, with their whole key: exact document counts, and the first occurrence. A false positive of
-   either filter is a line counted for nothing.
+   either filter is a line counted for nothing. Suspects that would fill it up are dealt by ranges of their hashes to several filters of
+   that size, each with a pass of its own over the texts, so that a filter never holds more than its bits allow.
 3. Confirmed keys are dropped from the texts. They are broadcast only if their size shows that they are few; else lines join them by shuffle.
 
 Edge cases: a null text is one empty line and comes back as an empty text; a document whose lines all go keeps an empty text;
@@ -31,6 +32,8 @@ MIN_DOCS = 10
 MIN_CHARS = 1
 #: Size of the filter of suspects at most, a power of two, and its bits a suspect as long as it is smaller.
 FILTER_BITS, BITS_EACH = 1 << 28, 16
+#: With fewer bits a suspect the suspects are dealt to several filters.
+BITS_LEAST = 8
 #: Beyond so many bytes of confirmed keys, lines join them by shuffle.
 FEW_KEY_BYTES = 16_000_000
 _STRIP = b" \t\n\x0b\x0c\r"
@@ -76,6 +79,11 @@ def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(new.view(np.int64))], ["hash"])
 
 
+def _part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """The range that a hash is in, of equal ranges of its upper 32 bits."""
+    return ((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+
+
 def _filter_words(bits: int):
     """(word, mask) of the bits that suspects set in a filter of so many bits."""
 
@@ -104,8 +112,9 @@ def _held(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return found
 
 
-def _occurrences(suspects, min_chars: int):
-    """(key, doc, at): each distinct key of a document whose hash the broadcast filter of suspects holds, and the key's first line."""
+def _occurrences(suspects, min_chars: int, part: int = 0, parts: int = 1):
+    """(key, doc, at): each distinct key of a document whose hash is in this part of all hashes and in the broadcast filter of its suspects,
+    and the key's first line."""
 
     @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +124,8 @@ def _occurrences(suspects, min_chars: int):
             for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text"), strict=True):
                 first = {k: i for i, k in reversed(list(enumerate(line_keys(text.as_py(), min_chars)))) if k}
                 every += [(k, doc, i) for k, i in first.items()]
-            out = [every[i] for i in np.flatnonzero(_held(wanted, _hashes([x[0] for x in every]))).tolist()]
+            hashes = _hashes([x[0] for x in every])
+            out = [every[i] for i in np.flatnonzero(_held(wanted, hashes) & (_part_of(hashes, parts) == part)).tolist()]
             columns = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, ["key", "doc", "at"])
 
@@ -158,8 +168,14 @@ def dedup_lines(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text"),
     suspects = scratch.table(packed.repartitionById(shards, "shard").mapInArrow(_suspects, "hash long"), "suspects").distinct()
     suspects = scratch.table(suspects, "distinct-suspects")
 
-    held = spark.sparkContext.broadcast(suspect_filter(suspects, filter_bits))
-    rows = source.mapInArrow(_occurrences(held, min_chars), "key binary, doc long, at int")
+    parts = max(1, -(-suspects.count() * BITS_LEAST // filter_bits))
+    upper = F.shiftrightunsigned("hash", 32)
+    rows = None
+    for part in range(parts):
+        inside = suspects if parts == 1 else suspects.where(F.shiftrightunsigned(upper * parts, 32) == part)
+        held = spark.sparkContext.broadcast(suspect_filter(inside, filter_bits))
+        found = source.mapInArrow(_occurrences(held, min_chars, part, parts), "key binary, doc long, at int")
+        rows = found if rows is None else rows.unionByName(found)
     counted = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc", "at")).alias("first"))
     confirmed = scratch.table(counted.where(F.col("n") >= min_docs).select("key", "first.doc", "first.at"), "confirmed")
     scratch.drop_all_but("confirmed")
