@@ -49,6 +49,8 @@ ROUNDS = 3
 SITE_ROWS = 2000
 #: Classes left over in a group of which a task holds the sketches, or the full sets.
 SKETCH_ROWS, PART_ROWS = 10_000, 1000
+#: Classes of a group that pass by the classes held in one task; beyond, several tasks hold the same ones.
+STREAM_ROWS = 100_000
 #: Minhashes (a byte each) of a class left over, and how many of the first FINE_FIRST and of all of a pair's must agree: 4.5 deviations
 #: below what s = 0.75 gives.
 FINE, FINE_FIRST = 1024, 256
@@ -280,16 +282,23 @@ def _leftovers(shared: DataFrame, labels: DataFrame, source: DataFrame, classes:
     groups = classes.join(fine, "node").select("node", F.col("n_shingles").alias("n"), "sig", "subs", "fine", sub_key).withColumn("key", F.xxhash64("at", "sub")).drop("sub")
     rows = _open_buckets(groups, labels).withColumn("minor", F.col("label") != F.col("top"))
     rows = scratch.table(rows.select("key", "at", "node", "n", "sig", F.slice("subs", COLLECTION + 1, COLLECTION).alias("second"), "fine", "label", "minor"), "rest")
-    parts = lambda size: F.ceil(F.count("*") / size).cast("int")
-    parts = scratch.table(rows.where("minor").groupBy("key").agg(parts(SKETCH_ROWS).alias("parts"), parts(PART_ROWS).alias("places")), "parts")
+    number = lambda n, size: F.greatest(F.lit(1), F.ceil(n / size)).cast("int")
+    minor = F.count(F.when(F.col("minor"), 1))
+    parts = rows.groupBy("key").agg(number(minor, SKETCH_ROWS).alias("parts"), number(minor, PART_ROWS).alias("places"), number(F.count("*"), STREAM_ROWS).alias("streams"), minor.alias("minors"))
+    parts = scratch.table(parts.where("minors > 0").drop("minors"), "parts")
     dealt = rows.join(small_enough(parts), "key").withColumn("place", F.pmod(F.xxhash64("node", F.lit(1)), F.col("places")).cast("int"))
-    own = dealt.where("minor").withColumns({"part": F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), "role": F.lit(0)})
-    every = dealt.withColumns({"part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "role": F.lit(1)})
-    both = own.unionByName(every).drop("parts", "places").repartition("key", "part").sortWithinPartitions("key", "part", "role")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    of = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+    own = dealt.where("minor").withColumns({"part": F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), "role": F.lit(0)}).withColumn("stream", each("streams"))
+    every = dealt.withColumns({"part": each("parts"), "role": F.lit(1), "stream": of("streams", 2)})
+    both = own.unionByName(every).drop("parts", "places", "streams").repartition("key", "part", "stream").sortWithinPartitions("key", "part", "stream", "role")
     left = scratch.table(both.mapInArrow(_sketched(percent), "key long, part int, role int, node long").distinct(), "left")
-    roles = scratch.table(left.join(named, "node"), "left-roles")
-    whole = _texts(source, roles, ["key", "part", "role", "node"]).join(rows, ["key", "node"])
-    return whole.repartition("key", "part").sortWithinPartitions("key", "part", "role").mapInArrow(_cross(width, percent), "a long, b long")
+    streams = scratch.table(left.groupBy("key", "part").agg(number(F.sum("role"), STREAM_ROWS).alias("streams")).where("streams > 1"), "left-streams")
+    placed = left.join(small_enough(streams), ["key", "part"], "left").withColumn("streams", F.coalesce("streams", F.lit(1)))
+    placed = placed.where("role = 0").withColumn("stream", each("streams")).unionByName(placed.where("role = 1").withColumn("stream", of("streams", 3))).drop("streams")
+    roles = scratch.table(placed.join(named, "node"), "left-roles")
+    whole = _texts(source, roles, ["key", "part", "stream", "role", "node"]).join(rows, ["key", "node"])
+    return whole.repartition("key", "part", "stream").sortWithinPartitions("key", "part", "stream", "role").mapInArrow(_cross(width, percent), "a long, b long")
 
 
 def _fine(width: int):
@@ -302,22 +311,22 @@ def _fine(width: int):
     return run
 
 
-_ROW = ("key", "part", "role", "at", "node", "n", "label", "minor")
+_ROW = ("key", "part", "stream", "role", "at", "node", "n", "label", "minor")
 
 
 def _rows(batch: pa.RecordBatch, extra: tuple[str, ...] = ()) -> Iterator[tuple[tuple, dict]]:
-    """(key, part) and the values of each row of a batch."""
+    """(key, part, stream) and the values of each row of a batch."""
     if not batch.num_rows:
         return
     columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in (*_ROW, *extra)}
     columns |= {c: batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1) for c in ("sig", "second")}
     columns["fine"] = np.frombuffer(b"".join(batch.column("fine").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
     for k in range(batch.num_rows):
-        yield (columns["key"][k], columns["part"][k]), {c: v[k] for c, v in columns.items()}
+        yield (columns["key"][k], columns["part"][k], columns["stream"][k]), {c: v[k] for c, v in columns.items()}
 
 
 def _sketched(percent: int):
-    """Rows come sorted by (key, part, role). Gives the places (key, part, role, node) in which full sets have to be compared: the place of
+    """Rows come sorted by (key, part, stream, role). Gives the places (key, part, role, node) in which full sets have to be compared: the place of
     a class held that has a pair left, with this class in role 0 and the other in role 1."""
 
     @gives_back
@@ -341,7 +350,7 @@ def _sketched(percent: int):
 
 
 def _cross(width: int, percent: int):
-    """Rows come sorted by (key, part, role): a part's own classes are held with their sets, the classes that they may be linked with pass by."""
+    """Rows come sorted by (key, part, stream, role): a part's own classes are held with their sets, the classes that they may be linked with pass by."""
 
     @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
