@@ -114,6 +114,7 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFr
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     ruled = parsed.withColumns({"rule": rule, "verdict": verdict})
     hosts = host_trust(ruled, scratch, rules)
+    scratch.drop_all_but("hosts")
     risk = F.coalesce(F.greatest("distrust", "exposure"), F.lit(0.0))
     bad = (risk >= threshold) & (risk > F.coalesce("trust", F.lit(0.0)))
     return (

@@ -245,3 +245,84 @@ def test_registered_passages(spark):
     want = brute_passages([t for _, t in rows], 100)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.op13_suffix_dedup(spark, SF).collect()}
     assert got == {d: (n, n - len(kept), len(begins), hashlib.sha256(kept).hexdigest()) for (d, _), (n, begins, _, kept) in zip(rows, want, strict=True)}
+
+
+# -- mends of earlier operators ------------------------------------------------------------------------------------------
+def test_line_filters_by_ranges(spark, monkeypatch):
+    """Filters far too small for the suspects: several of them, the same result, and few lines that are shuffled for nothing."""
+    from tessella.llm import line_dedup
+    from tests.llm.test_operators import brute_lines
+
+    rng = np.random.default_rng(4)
+    common = [prose(rng, 6) for _ in range(400)]
+    texts = ["\n".join([prose(rng, 7) for _ in range(40)] + [common[int(k)] for k in rng.integers(0, 400, 30)]) for _ in range(150)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS).repartition(4)
+    seen = []
+    real = line_dedup._occurrences
+    monkeypatch.setattr(line_dedup, "_occurrences", lambda held, least, part=0, parts=1: seen.append((part, parts, held)) or real(held, least, part, parts))
+    want = [t for _, _, t in brute_lines(texts, 10)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df, filter_bits=1 << 10).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert len(seen) == seen[0][1] > 2 and [s[0] for s in seen] == list(range(len(seen)))
+    keys = {k for t in texts for k in line_dedup.line_keys(t, 1)}
+    hashes = line_dedup._hashes(sorted(keys))
+    part = line_dedup._part_of(hashes, len(seen))
+    passed = sum(int((line_dedup._held(h.value, hashes) & (part == p)).sum()) for p, _, h in seen)
+    assert passed < 400 + 0.25 * (len(keys) - 400)
+
+
+def test_streams_of_a_group_of_one_component(spark, monkeypatch):
+    """One class left over among many of one component: what passes by it is dealt to several tasks, and the links are those of brute force."""
+    from tessella.llm import minhash_dedup
+    from tests.llm.test_operators import brute_groups
+
+    for name, value in (("STREAM_ROWS", 3), ("SKETCH_ROWS", 2), ("PART_ROWS", 2), ("ROUNDS", 0)):
+        monkeypatch.setattr(minhash_dedup, name, value)
+    rng = np.random.default_rng(6)
+    words = prose(rng, 80).split()
+    texts = []
+    for i in range(40):
+        own = list(words)
+        for k in rng.integers(0, 80, 1 + i % 3):
+            own[int(k)] = f"w{i}"
+        texts.append(" ".join(own))
+    texts += [prose(rng, 60) for _ in range(10)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS).repartition(3)
+    _, want = brute_groups(texts)
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(df, rounds=1).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_toxicity_by_brute_force(spark):
+    """Noisy-or of sentence scores, and the choice of words by their G-test, from the definitions."""
+    import math
+
+    from tessella.llm import toxicity
+
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(200):
+        toxic = i % 4 == 0
+        rows.append((prose(rng, 8) + ". " + ("vile " if toxic and i % 8 else "") + prose(rng, 6) + ".", float(toxic)))
+    sample = spark.createDataFrame(rows, "text string, label double").repartition(3)
+    have = {}
+    for t, y in rows:
+        for w in toxicity.words(t):
+            have.setdefault(w, [0, 0])[int(y)] += 1
+    n = [sum(y == k for _, y in rows) for k in (0, 1)]
+
+    def g(w):
+        total = 0.0
+        for k in (0, 1):
+            for seen, share in ((have[w][k], sum(have[w]) / 200), (n[k] - have[w][k], 1 - sum(have[w]) / 200)):
+                total += seen * math.log(seen / (share * n[k])) if seen else 0.0
+        return 2 * total
+
+    strong = sorted((w for w in have if sum(have[w]) >= toxicity.MIN_DOCS and g(w) >= toxicity.MIN_G), key=lambda w: (-round(g(w), 9), w))
+    assert toxicity.choose_words(sample) == strong and "vile" in strong
+    model = toxicity.Model({"vile": 4.0, "alpha": 0.5, "vi*": -1.0}, -3.0)
+    scorer = toxicity.Scorer(model)
+    text = "Vile alpha. Beta gamma! vile\n..."
+    p = [1 / (1 + math.exp(-z)) for z in (-3 + 4 + 0.5, -3, -3 + 4)]
+    assert scorer.document(text) == pytest.approx(1 - math.prod(1 - x for x in p))
+    assert scorer.document(None) == scorer.document("") == pytest.approx(1 / (1 + math.exp(3)))
