@@ -57,7 +57,8 @@ def with_network(events: DataFrame, network: Network, name: str) -> DataFrame:
     @F.pandas_udf("array<double>")
     def apply(columns: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for batch in columns:
-            yield pd.Series(list(network.run(np.column_stack([c.to_numpy(float) for c in batch]))))
+            every = batch if isinstance(batch, tuple) else (batch,)  # a net of one feature gets its column alone
+            yield pd.Series(list(network.run(np.column_stack([c.to_numpy(float) for c in every]))))
 
     return events.withColumn(name, apply(*(F.col(f).cast("double") for f in network.features)))
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessella.operators import quality, scoring
+from tessella.operators.score_cache import ScoreCache
 from tessella.plans.registry import derived, events, r, rs, scored
 from tessella.schema import MONOMIALS, PROCESSES
 from tessella.sources.fixture import views
+from tessella.sources.scratch import shared_folder
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -46,6 +50,17 @@ def q_mlp_softmax(spark, sf):
     return out.select("event_id", *(r(f"p_{p}", 8).alias(f"p_{p}") for p in PROCESSES))
 
 
+@query("q_score_cache", views(_sql_network()) + "SELECT event_id, " + ", ".join(f"{rs(f'exp(o{c})/(exp(o0)+exp(o1)+exp(o2)+exp(o3))', 8)} AS p_{p}" for c, p in enumerate(PROCESSES)) + " FROM net")
+def q_score_cache(spark, sf):
+    """The same scores from a cache of two parts, one of which an earlier evaluation has left there."""
+    cache = ScoreCache(spark, f"{shared_folder(spark)}/tessella-{uuid.uuid4().hex}")
+    e = events(spark, sf).select("event_id", "label", *NETWORK.features)
+    part = lambda rows: lambda: scoring.with_class_scores(e.where(rows), NETWORK).select("event_id", *(f"p_{p}" for p in PROCESSES))
+    parts = {"signal": part("label = 0"), "background": part("label != 0")}
+    cache.scored({"signal": parts["signal"]}, NETWORK)
+    return cache.scored(parts, NETWORK).select("event_id", *(r(f"p_{p}", 8).alias(f"p_{p}") for p in PROCESSES))
+
+
 _STATS = {"PRI_had_pt": (50.0, 300.0), "PRI_lep_pt": (40.0, 200.0), "PRI_met": (80.0, 2500.0), "PRI_met_phi": (0.0, 3.3), "DER_mass_transverse_met_lep": (70.0, 1500.0), "DER_mass_vis": (90.0, 3600.0)}
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,6 +45,39 @@ def index_rows(df: DataFrame, order: list[Column], name: str = "row_idx") -> Dat
     return ranged.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__at") + F.col("__offset")).drop("__part", "__at", "__offset")
 
 
+#: Files whose offsets are broadcast; more are joined by shuffle.
+BROADCAST_FILES = 400_000
+
+
+def file_offsets(spark: SparkSession, path: str) -> DataFrame:
+    """(file, n, first): the rows of each Parquet file and of those before it, by name. Counts come from the files' footers."""
+    counts = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("file")).groupBy("file").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1))  # one row a file
+    return counts.withColumn("first", F.coalesce(before, F.lit(0)))
+
+
+def numbered_rows(spark: SparkSession, path: str, name: str = "row_idx") -> DataFrame:
+    """The rows of a Parquet table numbered from 0, by the names of its files and their places in them: no sort and no shuffle of rows."""
+    offsets = cut(file_offsets(spark, path).select(F.col("file").alias("__of"), "first"))
+    offsets = F.broadcast(offsets) if offsets.count() <= BROADCAST_FILES else offsets
+    rows = spark.read.parquet(path)
+    placed = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    return placed.join(offsets, F.col("__file") == F.col("__of")).withColumn(name, F.col("first") + F.col("__row")).select(*rows.columns, name)
+
+
+def pick_numbered(spark: SparkSession, path: str, indices: Iterable[int], name: str = "row_idx") -> DataFrame:
+    """The rows with these numbers; only the files that hold one are read. Numbers beyond the table find nothing."""
+    wanted = spark.createDataFrame([(int(i),) for i in set(indices)], "wanted long")
+    inside = (F.col("wanted") >= F.col("first")) & (F.col("wanted") < F.col("first") + F.col("n"))
+    found = file_offsets(spark, path).join(F.broadcast(wanted), inside).select("file", "first", (F.col("wanted") - F.col("first")).alias("row")).collect()  # as many as asked for
+    if not found:
+        return spark.read.parquet(path).where("false").withColumn(name, F.lit(0).cast("long"))
+    rows = spark.read.parquet(*sorted({r.file for r in found}))
+    places = spark.createDataFrame([(r.file, r.row, r.first + r.row) for r in found], f"__of string, __at long, {name} long")
+    placed = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    return placed.join(F.broadcast(places), (F.col("__file") == F.col("__of")) & (F.col("__row") == F.col("__at"))).select(*rows.columns, name)
+
+
 def read_lines(spark: SparkSession, path: str, name: str, kind: str = "double") -> DataFrame:
     """(row_idx, name): one value a line; strings are stripped. The order is that of the files' names and of the lines within each."""
     place = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__line")]
@@ -64,9 +98,8 @@ def read_train(spark: SparkSession, folder: str) -> DataFrame:
 
     Events are numbered by the name of their file and their row in it, however the scan splits and packs the files.
     """
-    data = spark.read.parquet(f"{folder}/data/data.parquet")
-    named = data.select(*(F.col(c).alias(p) for c, p in zip(data.columns, PRIMARY, strict=True)), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    at = index_rows(named, [F.col("__file"), F.col("__row")]).drop("__file", "__row")
+    data = numbered_rows(spark, f"{folder}/data/data.parquet")
+    at = data.select(*(F.col(c).alias(p) for c, p in zip(data.columns[:-1], PRIMARY, strict=True)), "row_idx")
     sides = (("labels", "is_signal", "double"), ("weights", "weight", "double"), ("detailed_labels", "detailed_label", "string"))
     return zip_columns(at, *(read_lines(spark, f"{folder}/{n}/data.{n}", c, k) for n, c, k in sides))
 
