@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tessella.operators import quality, scoring
+from tessella.operators import isotonic, quality, scoring
 from tessella.operators.score_cache import ScoreCache
 from tessella.plans.registry import derived, events, r, rs, scored
 from tessella.schema import MONOMIALS, PROCESSES
@@ -120,6 +120,14 @@ def q_isotonic(spark, sf):
     return scoring.calibrate_isotonic(s, model, "p_htautau").select("event_id", r(F.col("calibrated"), 6).alias("calibrated"))
 
 
+@query("q_isotonic_ranges", views(_ISOTONIC.replace("p0 AS x", "lep_pt/100 AS x").replace("GROUP BY p0", "GROUP BY lep_pt")) + f"SELECT event_id, {rs('greatest(1e-6, least(1-1e-6, y))', 6)} AS calibrated FROM sc JOIN iso ON lep_pt/100 = x")
+def q_isotonic_ranges(spark, sf):
+    """Isotonic regression pooled range by range, on a score of some dozens of values."""
+    s = scored(spark, sf).select("event_id", (F.col("PRI_lep_pt") / 100.0).alias("score"), "label", "weight")
+    curve = isotonic.fit(s, "score", F.col("label") == 0)
+    return isotonic.calibrate(s, curve, "score").select("event_id", r("calibrated").alias("calibrated"))
+
+
 _RESIDUAL = ["mu_measured", "mu_measured_up", "mu_measured_down", "nu_tes", "nu_jes", "nu_met", "nu_bkg", "nu_tt", "nu_diboson"]
 
 

@@ -40,6 +40,6 @@ def test_matches_sql(spark, duck, name):
     assert a == b
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL) - {"q_fit_interval", "q_hessian"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_others_run(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
