@@ -334,8 +334,8 @@ def q_split_process(spark, sf):
 
 
 def sql_poisson(mean: str, u: str) -> str:
-    """The number of a draw: how many partial sums of the distribution it is above. For means that are not large."""
-    return f"list_sum(list_transform(range(40), lambda k: CASE WHEN {u} > list_sum(list_transform(range(k + 1), lambda i: exp(-({mean}) + i*ln({mean}) - lgamma(i + 1)))) THEN 1 ELSE 0 END))"
+    """The number of a draw: how many partial sums of the distribution it is above. For means up to about 1: numbers beyond 16 do not occur."""
+    return f"list_sum(list_transform(range(16), lambda k: CASE WHEN {u} > list_sum(list_transform(range(k + 1), lambda i: exp(-({mean}) + i*ln({mean}) - lgamma(i + 1)))) THEN 1 ELSE 0 END))"
 
 
 _SCALE = "CASE label WHEN 0 THEN 1.5::double WHEN 1 THEN 1.001::double WHEN 2 THEN 1.02::double*1.001::double ELSE 1.0::double END"
