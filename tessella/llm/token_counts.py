@@ -12,6 +12,7 @@ empty table leaves the cache as it is and gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 from collections.abc import Iterator
@@ -40,8 +41,12 @@ def file_digest(path: str) -> str:
         return hashlib.file_digest(f, "sha256").hexdigest()
 
 
-def counter(path: str):
-    """A function from a list of texts to their token counts."""
+@functools.lru_cache(maxsize=1)
+def counter(path: str, version: str | None = None):
+    """A function from a list of texts to their token counts; a worker keeps the last one for its next tasks.
+
+    ``version`` is the digest of the file: a worker that has an older version of the same file loads it anew.
+    """
     if path.endswith(".json"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Tokenizer
@@ -49,16 +54,16 @@ def counter(path: str):
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        return lambda texts: [len(x.ids) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return lambda texts: [len(x) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     import sentencepiece
 
     pieces = sentencepiece.SentencePieceProcessor(model_file=path)
     return lambda texts: [len(x) for x in pieces.encode(texts, num_threads=1)]
 
 
-def _encoder(path: str):
+def _encoder(path: str, version: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(path)
+        count = counter(path, version)
         for batch in batches:
             out: list[int] = []
             for at in range(0, batch.num_rows, CHUNK):
@@ -102,7 +107,7 @@ def count_tokens(docs: DataFrame, path: str, cache: CountCache | None = None) ->
     elsewhere = small_enough(scratch.table(keys.join(known, "digest", "left_semi").select("digest").distinct().union(repeated), "elsewhere"))
     once = rows.join(elsewhere, "digest", "left_anti").select("digest", "text")
     one = rows.join(small_enough(repeated), "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
-    encode = lambda df: df.mapInArrow(_encoder(path), "digest string, n_tokens long")
+    encode = lambda df: df.mapInArrow(_encoder(path, version), "digest string, n_tokens long")
     cache.append(version, scratch.table(encode(once).unionByName(encode(one)), "new"))
     counts = scratch.table(cache.counts(version), "counts")  # written, so that the join can split a digest that very many rows have
     scratch.drop_all_but("keys", "counts")
