@@ -327,7 +327,8 @@ def _rows(batch: pa.RecordBatch, extra: tuple[str, ...] = ()) -> Iterator[tuple[
 
 def _sketched(percent: int):
     """Rows come sorted by (key, part, stream, role). Gives the places (key, part, role, node) in which full sets have to be compared: the place of
-    a class held that has a pair left, with this class in role 0 and the other in role 1."""
+    a class held that has a pair left, with this class in role 0 and the other in role 1. A class held is told once, however many pairs it
+    has: what a batch gives is bounded by the classes held and the places of its rows, also in a group where everything is alike."""
 
     @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,10 +340,10 @@ def _sketched(percent: int):
                     at, part = here, Part(percent)
                 if row["role"] == 0:
                     part.hold(row)
-                else:
-                    places = {(p, int(part.own["node"][k])) for k in part.pairs(row) for p in (int(part.own["place"][k]),)}
-                    out += [(here[0], p, 0, node) for p, node in places] + [(here[0], p, 1, int(row["node"])) for p in {p for p, _ in places}]
-            out = list(dict.fromkeys(out))
+                elif found := part.pairs(row):
+                    place = part.own["place"]
+                    out += [(here[0], int(place[k]), 0, int(part.own["node"][k])) for k in part.untold(found)]
+                    out += [(here[0], p, 1, int(row["node"])) for p in np.unique(place[found]).tolist()]
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["key", "part", "role", "node"])
 
@@ -376,6 +377,7 @@ class Part:
     def __init__(self, percent: int):
         self.percent, self.rows, self.sets, self.joined = percent, [], [], {}
         self._own: dict | None = None
+        self._told: set[int] = set()
 
     @property
     def own(self) -> dict:
@@ -388,6 +390,12 @@ class Part:
         self.sets.append(shingles)
         self._own = None
 
+    def untold(self, found: list[int]) -> list[int]:
+        """Those of the classes held that were not asked for here before."""
+        new = [k for k in found if k not in self._told]
+        self._told.update(new)
+        return new
+
     def root(self, label: int) -> int:
         while label in self.joined:
             label = self.joined[label]

@@ -1,13 +1,15 @@
 """Clustering, manifest and repeated passages: edge cases, and brute force."""
 
 import hashlib
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm import clustering, manifest, suffix_dedup
+from tessella.llm import clustering, manifest, minhash_dedup, suffix_dedup
 from tests.llm.test_operators import DOCS, ODD, prose
 
 SF = "/root/testdata/sf0.001"
@@ -326,3 +328,34 @@ def test_toxicity_by_brute_force(spark):
     p = [1 / (1 + math.exp(-z)) for z in (-3 + 4 + 0.5, -3, -3 + 4)]
     assert scorer.document(text) == pytest.approx(1 - math.prod(1 - x for x in p))
     assert scorer.document(None) == scorer.document("") == pytest.approx(1 / (1 + math.exp(3)))
+
+
+def test_sketches_of_a_group_in_which_all_are_alike_take_bounded_memory():
+    """Each of n classes passes by n classes held and has a pair with every one; what is told is n held ones and n times the places."""
+    n, places = 600, 3
+    ids = np.tile(np.arange(n, dtype=np.int64), 2)
+    width = {"sig": minhash_dedup.HASHES, "second": minhash_dedup.COLLECTION}
+    columns = {
+        "key": pa.array(np.full(2 * n, 7)),
+        "part": pa.array(np.zeros(2 * n, np.int32)),
+        "stream": pa.array(np.zeros(2 * n, np.int32)),
+        "role": pa.array(np.repeat(np.array([0, 1], np.int32), n)),
+        "at": pa.array(np.zeros(2 * n, np.int32)),
+        "node": pa.array(ids),
+        "n": pa.array(np.full(2 * n, 50)),
+        "label": pa.array(ids),
+        "minor": pa.array(np.concatenate([np.ones(n, bool), np.zeros(n, bool)])),
+        "place": pa.array((ids % places).astype(np.int32)),
+        "sig": pa.array([[1] * width["sig"]] * (2 * n), pa.list_(pa.int16())),
+        "second": pa.array([[1] * width["second"]] * (2 * n), pa.list_(pa.int64())),
+        "fine": pa.array([bytes(minhash_dedup.FINE)] * (2 * n), pa.binary()),
+    }
+    batch = pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+    tracemalloc.start()
+    (told,) = minhash_dedup._sketched(75)(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    rows = [tuple(r.values()) for r in told.to_pylist()]
+    assert len(rows) == len(set(rows))
+    assert set(rows) == {(7, i % places, 0, i) for i in range(n)} | {(7, p, 1, i) for p in range(places) for i in range(n)}
+    assert peak < 12e6, peak
