@@ -1,7 +1,8 @@
 """The inclusive shift as a function of the shape nuisances: sums on a grid of points, for every region and process, interpolated.
 
 A cube is a table (region, process, cell, value) with one row a grid point. All regions and processes are filled in one pass over the
-scored events: a batch of events is one matrix product for each process, and gives one vector of partial sums for each region in it.
+scored events: rows that share a region and a process's coefficients are added up in the task, a batch of what is left is one matrix
+product for each process, and gives one vector of partial sums for each region in it.
 Fits call the interpolated cubes and never come back to the simulation.
 """
 
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.operators.alike import Added
 from tessella.operators.spline import Cube
 from tessella.operators.yields import monomials
 from tessella.schema import MONOMIALS, PROCESSES, RATE, SHAPES
@@ -32,7 +34,7 @@ SCALE_AXIS = (
 MET_AXIS = (0.0, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0)
 #: 27 x 27 x 9 points of nu_tes, nu_jes and nu_met.
 AXES = (SCALE_AXIS, SCALE_AXIS, MET_AXIS)
-#: Events that are multiplied with the grid at once.
+#: Distinct events that are multiplied with the grid at once.
 CHUNK = 250
 
 
@@ -59,10 +61,10 @@ def events_for(scored: DataFrame) -> DataFrame:
     return scored.select(*needed).dropna()
 
 
-def matrices(batch: pa.RecordBatch) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Per process the weights times shares and the coefficients of a batch."""
-    weight = batch.column("weight").to_numpy()
-    return {p: (weight * batch.column(f"p_{p}").to_numpy(), batch.column(f"d_{p}").flatten().to_numpy().reshape(len(weight), -1)) for p in PROCESSES}
+def weighted(batch: pa.RecordBatch, process: str) -> pa.RecordBatch:
+    """Region, coefficients of a process, and weight times share, which adds up over rows that agree in the others."""
+    w = batch.column("weight").to_numpy() * batch.column(f"p_{process}").to_numpy()
+    return pa.RecordBatch.from_arrays([batch.column("region"), batch.column(f"d_{process}"), pa.array(w)], ["region", "d", "w"])
 
 
 def regions_of(batch: pa.RecordBatch) -> tuple[list[str], np.ndarray]:
@@ -78,16 +80,26 @@ def cube_table(scored: DataFrame, log_yields: dict[str, list[float]], axes=AXES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[str, str], np.ndarray] = {}
-        for batch in batches:
+        alike = {p: Added(("w",)) for p in PROCESSES}
+
+        def fill(p: str, batch: pa.RecordBatch | None) -> None:
+            if batch is None:
+                return
             names, number = regions_of(batch)
-            for p, (w, d) in matrices(batch).items():
-                for r, name in enumerate(names):
-                    rows = np.flatnonzero(number == r)
-                    out = sums.setdefault((name, p), np.zeros(shape.shape[1] + 1))
-                    out[0] += w[rows].sum()
-                    for at in range(0, len(rows), CHUNK):
-                        some = rows[at : at + CHUNK]
-                        out[1:] += w[some] @ np.expm1(offset[p] + d[some] @ shape)
+            w, d = batch.column("w").to_numpy(), batch.column("d").flatten().to_numpy().reshape(batch.num_rows, -1)
+            for r, name in enumerate(names):
+                rows = np.flatnonzero(number == r)
+                out = sums.setdefault((name, p), np.zeros(shape.shape[1] + 1))
+                out[0] += w[rows].sum()
+                for at in range(0, len(rows), CHUNK):
+                    some = rows[at : at + CHUNK]
+                    out[1:] += w[some] @ np.expm1(offset[p] + d[some] @ shape)
+
+        for batch in batches:
+            for p in PROCESSES:
+                fill(p, alike[p].add(weighted(batch, p)))
+        for p in PROCESSES:
+            fill(p, alike[p].rest())
         for (name, p), out in sums.items():
             n = len(out)
             columns = [pa.array([name] * n), pa.array([p] * n), pa.array(np.arange(-1, n - 1, dtype=np.int32)), pa.array(out)]
