@@ -1,8 +1,8 @@
 """The unbinned extended likelihood over a grid of parameter points, in one job for all points.
 
 A scored event row has region, weight, label, class shares p_<process> and, per process, an array d_<process> of coefficients of the
-shape monomials. density_ratio is a Column for one point. For a list of points a batch of events is one matrix product for each process,
-and a task gives one vector of partial sums for each region: what moves is points x regions rows a task.
+shape monomials. density_ratio is a Column for one point. For a list of points events with the same shares and coefficients are added up
+first, a batch of what is left is one matrix product for each process, and a task gives one vector of partial sums for each region: what moves is points x regions rows a task.
 """
 
 from __future__ import annotations
@@ -16,10 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.numeric import dot, log1p_or_nan, total
+from tessella.operators.alike import added, added_up
 from tessella.operators.cubes import SCALED_BY, Cubes, Point, events_for, rate_factors, regions_of
 from tessella.operators.selections import predicate, score_window
 from tessella.operators.yields import monomial_columns, monomials
 from tessella.schema import CODE, MONOMIALS, NORMS, PARAMETERS, POISSON_REGIONS, PROCESSES, RATE, SHAPES
+from tessella.sources.scratch import cut
 
 
 def at(point: Point) -> dict[str, Column]:
@@ -66,15 +68,24 @@ def asimov_weights(events: DataFrame, mu: float | None = None, nu_bkg: float | N
     return events.withColumn("weight", F.col("weight") * factor)
 
 
+def sides(toy: DataFrame | None, simulation: DataFrame | None) -> DataFrame:
+    """The rows of both, those of the toy marked by is_toy."""
+    every = [events_for(df).withColumn("is_toy", F.lit(toys)) for df, toys in ((toy, True), (simulation, False)) if df is not None]
+    return every[0] if len(every) == 1 else every[0].unionByName(every[1])
+
+
 def region_terms(toy: DataFrame | None, simulation: DataFrame | None, points: list[Point], log_yields: dict[str, list[float]], *by: str) -> DataFrame:
     """(point, region, shift, log_term, u): the inclusive shift on simulation, the log term on the toy, and -2 times their sum.
 
     Both sides are added up in one pass over their union; a side that is None adds nothing. Regions without events have no row, which is
     a contribution of 0. A density ratio that is not positive makes its log term NaN. With ``by`` given ("point") sums go over the rest.
     """
+    return terms_of(sides(toy, simulation), points, log_yields, *by)
+
+
+def terms_of(both: DataFrame, points: list[Point], log_yields: dict[str, list[float]], *by: str) -> DataFrame:
+    """region_terms of rows that have both sides."""
     by = by or ("point", "region")
-    sides = [events_for(df).withColumn("is_toy", F.lit(toys)) for df, toys in ((toy, True), (simulation, False)) if df is not None]
-    both = sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])
     shape = np.array([monomials([p.get(n, 0.0) for n in SHAPES]) for p in points]).T  # monomials x points
     factors = [rate_factors(p) for p in points]
     scale = {p: np.array([f[p] for f in factors]) for p in PROCESSES}
@@ -82,7 +93,7 @@ def region_terms(toy: DataFrame | None, simulation: DataFrame | None, points: li
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in added(batches, "weight"):
             names, number = regions_of(batch)
             weight, toys = batch.column("weight").to_numpy(), batch.column("is_toy").to_numpy(zero_copy_only=False)
             ratio = np.zeros((batch.num_rows, len(points)))
@@ -155,21 +166,23 @@ def poisson_term_column(parameters: dict[str, Column], log_yields: dict[str, lis
 
 # -- the objective -------------------------------------------------------------------------------------------------------
 class Likelihood:
-    """-2 log likelihood ratio as a function of parameter points. Each call evaluates all its points in one Spark job over the toy.
+    """-2 log likelihood ratio as a function of parameter points. Each call evaluates all its points in one Spark job.
 
-    toy and simulation are scored event rows with region; persist the toy if many calls follow. With cubes the inclusive shift comes from
-    them and the simulation is not read; else each call goes over it too. A region without toy events still has its shift.
+    toy and simulation are scored event rows with region. They are read once: calls go over a written table, in which rows that agree in
+    region, shares and coefficients are one. With cubes the inclusive shift comes from them and the simulation is not read. A region
+    without toy events still has its shift.
     """
 
     def __init__(self, toy: DataFrame, simulation: DataFrame | None, log_yields: dict[str, list[float]], poisson: DataFrame | None = None, floating: Iterable[str] = (), cubes: Cubes | None = None):
         if (simulation is None) == (cubes is None):
             raise ValueError("give either simulation or cubes")
-        self.toy, self.simulation, self.log_yields, self.floating, self.cubes = toy, simulation, log_yields, tuple(floating), cubes
+        self.log_yields, self.floating, self.cubes = log_yields, tuple(floating), cubes
+        self.events = cut(added_up(sides(toy, simulation), "weight"))
         rows = [] if poisson is None else poisson.collect()  # one row a Poisson region
         self.poisson = [({p: r[f"s_{p}"] for p in PROCESSES}, r["observed"]) for r in rows]
 
     def __call__(self, points: list[Point]) -> np.ndarray:
-        terms = region_terms(self.toy, self.simulation, points, self.log_yields, "point").collect()  # one row a point
+        terms = terms_of(self.events, points, self.log_yields, "point").collect()  # one row a point
         u = {r.point: r.u for r in terms}
         shift = -2.0 * self.cubes.totals(points) if self.cubes else np.zeros(len(points))
         return np.array([u.get(i, 0.0) + shift[i] + penalty(p, self.floating) + sum(poisson_term(p, y, n, self.log_yields) for y, n in self.poisson) for i, p in enumerate(points)])

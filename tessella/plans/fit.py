@@ -94,13 +94,22 @@ class _Points:
 
 
 def _gradient(f: _Points, x: np.ndarray, step: np.ndarray):
-    """Value and gradient in one call: central, one-sided where a bound is near."""
+    """Value, gradient and a first inverse curvature in one call: central, one-sided where a bound is near.
+
+    The inverse is that of each parameter on its own, so that first steps have the right length however large the sample; where the
+    points do not tell a curvature the step is at most 1.
+    """
     n = len(x)
     up, down = np.tile(x, (n, 1)), np.tile(x, (n, 1))
     up[np.arange(n), np.arange(n)] = np.minimum(x + step, f.high)
     down[np.arange(n), np.arange(n)] = np.maximum(x - step, f.low)
     values = yield f.of(np.vstack([x, up, down]))
-    return values[0], (values[1 : n + 1] - values[n + 1 :]) / np.maximum(np.diag(up) - np.diag(down), 1e-300)
+    ahead, back = np.diag(up) - x, x - np.diag(down)
+    slope = (values[1 : n + 1] - values[n + 1 :]) / np.maximum(ahead + back, 1e-300)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        bend = 2 * ((values[1 : n + 1] - values[0]) / ahead - (values[0] - values[n + 1 :]) / back) / (ahead + back)
+    known = np.isfinite(bend) & (bend > 1e-3)
+    return values[0], slope, np.diag(1.0 / np.where(known, bend, np.maximum(1.0, np.abs(slope))))
 
 
 def minimise_steps(start: dict[str, float], fixed: dict[str, float] | None = None, bounds=BOUNDS, tolerance: float = 1e-6, max_steps: int = 100, step: float = 1e-3, inverse: np.ndarray | None = None):
@@ -109,8 +118,8 @@ def minimise_steps(start: dict[str, float], fixed: dict[str, float] | None = Non
     f = _Points(names, fixed, bounds)
     x = f.clip(np.array([start[n] for n in names], float))
     h = np.full(len(x), step)
-    inverse = np.eye(len(x)) if inverse is None else inverse
-    value, g = yield from _gradient(f, x, h)
+    value, g, own = yield from _gradient(f, x, h)
+    inverse = own if inverse is None else inverse
     ladder = 2.0 ** np.arange(2, -14, -1.0)
     for _ in range(max_steps):
         free = ~(((x <= f.low) & (g > 0)) | ((x >= f.high) & (g < 0)))
@@ -119,19 +128,19 @@ def minimise_steps(start: dict[str, float], fixed: dict[str, float] | None = Non
         direction = np.zeros_like(x)
         direction[free] = -inverse[np.ix_(free, free)] @ g[free]
         if direction @ g >= 0:
-            inverse = np.eye(len(x))
-            direction = np.where(free, -g, 0.0)
+            inverse = own
+            direction = np.where(free, -own @ g, 0.0)
         tries = f.clip(x + ladder[:, None] * direction)
         found = np.array((yield f.of(tries)))
         found[~np.isfinite(found)] = np.inf
         best = int(np.argmin(found))
         if not found[best] < value:
-            if np.allclose(inverse, np.eye(len(x))):
+            if inverse is own:
                 break
-            inverse = np.eye(len(x))
+            inverse = own
             continue
         moved, gain = tries[best], value - found[best]
-        value, new = yield from _gradient(f, moved, h)
+        value, new, own = yield from _gradient(f, moved, h)
         s, y = moved - x, new - g
         if s @ y > 1e-12:
             rho, eye = 1.0 / (s @ y), np.eye(len(x))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
@@ -253,17 +252,9 @@ def q_ll_scan_compare(spark, sf):
 
 
 # -- fits ----------------------------------------------------------------------------------------------------------------
-@contextmanager
-def _objective(spark, sf, with_cubes: bool):
-    """Toy events are few columns, read many times by a fit: kept in memory or on disk. With cubes the simulation is read once."""
-    from pyspark import StorageLevel
-
-    t = toy(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
-    s = None if with_cubes else in_regions(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
-    yield L.Likelihood(t, s, LOG_YIELDS, poisson_input(spark, sf), cubes=_cubes(spark, sf) if with_cubes else None)
-    for df in (t, s):
-        if df is not None:
-            df.unpersist()
+def _objective(spark, sf, with_cubes: bool) -> L.Likelihood:
+    """With cubes the simulation is read once, for them."""
+    return L.Likelihood(toy(spark, sf), None if with_cubes else in_regions(spark, sf), LOG_YIELDS, poisson_input(spark, sf), cubes=_cubes(spark, sf) if with_cubes else None)
 
 
 _HESSE, _STEP = {**POINT, "nu_met": 1.0}, 0.2
@@ -306,8 +297,7 @@ def _sql_hessian() -> str:
 
 @query("q_hessian", _sql_hessian())
 def q_hessian(spark, sf):
-    with _objective(spark, sf, False) as objective:
-        h = fit.hessian(objective, _HESSE, step=_STEP)
+    h = fit.hessian(_objective(spark, sf, False), _HESSE, step=_STEP)
     return spark.createDataFrame([(a, b, round(float(h[i, j]), 3) + 0.0) for i, a in enumerate(PARAMETERS) for j, b in enumerate(PARAMETERS)], "a string, b string, value double")
 
 
@@ -318,8 +308,7 @@ START = {n: 1.0 if n == "mu" else 0.1 if n == "nu_met" else 0.0 for n in PARAMET
 @query("q_fit_interval")
 def q_fit_interval(spark, sf):
     """Fit with cubes, scan and interval of a toy."""
-    with _objective(spark, sf, True) as objective:
-        out = fit.predict_interval(objective, START)
+    out = fit.predict_interval(_objective(spark, sf, True), START)
     return spark.createDataFrame([tuple(map(float, out.values()))], ", ".join(f"{k} double" for k in out))
 
 
@@ -330,10 +319,10 @@ _NEAR_MINIMUM = {"tolerance": 1e-3}
 @query("q_profile_scan")
 def q_profile_scan(spark, sf):
     """q at 21 values of mu, all six nuisances minimised at each."""
-    with _objective(spark, sf, True) as objective:
-        best = fit.global_fit(objective, START, **_NEAR_MINIMUM)
-        mu = best.values["mu"]
-        rows = fit.profile_scan(objective, best, fit.scan_points(max(0.0, mu - 0.2), mu + 0.2, 21), **_NEAR_MINIMUM)
+    objective = _objective(spark, sf, True)
+    best = fit.global_fit(objective, START, **_NEAR_MINIMUM)
+    mu = best.values["mu"]
+    rows = fit.profile_scan(objective, best, fit.scan_points(max(0.0, mu - 0.2), mu + 0.2, 21), **_NEAR_MINIMUM)
     return spark.createDataFrame([(float(m), float(q)) for m, q in rows], "mu double, delta_q double")
 
 
@@ -341,9 +330,9 @@ def q_profile_scan(spark, sf):
 def q_impacts(spark, sf):
     """Per nuisance: where the profiled q has risen by 1 on both sides, and what mu does there. All twelve sides go in step."""
     names = [n for n in PARAMETERS if n != "mu"]
-    with _objective(spark, sf, True) as objective:
-        best = fit.global_fit(objective, START, **_NEAR_MINIMUM)
-        found, _ = fit.impacts_of(objective, best, names, reach=0.02, **_NEAR_MINIMUM)
+    objective = _objective(spark, sf, True)
+    best = fit.global_fit(objective, START, **_NEAR_MINIMUM)
+    found, _ = fit.impacts_of(objective, best, names, reach=0.02, **_NEAR_MINIMUM)
     keys = sorted(found[names[0]])
     return spark.createDataFrame([(n, *(float(found[n][k]) for k in keys)) for n in names], "nuisance string, " + ", ".join(f"{k} double" for k in keys))
 
@@ -351,9 +340,9 @@ def q_impacts(spark, sf):
 @query("q_minos")
 def q_minos(spark, sf):
     """The profiled interval of mu, both sides in step."""
-    with _objective(spark, sf, True) as objective:
-        best = fit.global_fit(objective, START, **_NEAR_MINIMUM)
-        low, high = fit.minos(objective, best, reach=0.02, **_NEAR_MINIMUM)
+    objective = _objective(spark, sf, True)
+    best = fit.global_fit(objective, START, **_NEAR_MINIMUM)
+    low, high = fit.minos(objective, best, reach=0.02, **_NEAR_MINIMUM)
     return spark.createDataFrame([(float(low), float(best.values["mu"]), float(high))], "low double, mu double, high double")
 
 

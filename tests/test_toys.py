@@ -1,10 +1,11 @@
 """Fits in step, and toys fitted together, against each alone."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import cubes, likelihood, toys
+from tessella.operators import alike, cubes, likelihood, toys
 from tessella.plans import fit
 from tessella.plans import queries_likelihood as Q
 
@@ -114,3 +115,43 @@ def test_calibration_takes_residuals_away():
     from tessella.operators.spline import calibrated_mu
 
     assert calibrated_mu(correction, 0.9 * 1.5 + 0.05, 0.15, 0.0, 0.2) == pytest.approx(1.5, abs=0.02)
+
+
+def test_a_fit_goes_on_however_large_the_sample():
+    """A bowl as steep as that of very many events: the first steps must not all go too far."""
+    centre = np.array([1.2, 0.3, -0.2])
+    for size in (1.0, 1e4, 1e7):
+
+        def bowl(points, size=size):
+            d = np.array([[p[n] for n in NAMES] for p in points]) - centre
+            return size * np.einsum("ij,jk,ik->i", d, CURVES, d)
+
+        found, calls = fit.in_step(bowl, [fit.minimise_steps(START, {}, tolerance=1e-3)])
+        assert [found[0].values[n] for n in NAMES] == pytest.approx(centre.tolist(), abs=2e-2 / size**0.5 + 1e-6) and calls < 40
+
+
+def test_events_alike_are_added_up(spark, parts):
+    """What a call goes over has each distinct set of scores once a task, and the sums of all events."""
+    rows, found = parts
+    weights = rows.agg(F.sum("weight"), F.count("*")).first()
+    table = likelihood.Likelihood(rows, None, Q.LOG_YIELDS, cubes=found).events
+    n, total = table.count(), table.agg(F.sum("weight")).first()[0]
+    assert n <= 3 * 55 * rows.rdd.getNumPartitions() < weights[1] and total == pytest.approx(weights[0])
+    drawn = toys.ToyLikelihood(rows, [toys.Truth(), toys.Truth(2.0)], ["event_id"], Q.LOG_YIELDS, found)
+    toy = toys.draw_toys(rows, drawn.truths, ["event_id"])
+    of = lambda t: tuple(t.agg(*(F.sum(F.col("toys")[k]) for k in (0, 1))).first())
+    assert of(drawn.table) == of(toy) and drawn.table.count() <= 55 * rows.rdd.getNumPartitions()
+
+
+def test_added_up_loses_nothing():
+    rng = np.random.default_rng(1)
+    d = rng.choice([0.0, -0.0, 0.5, 1.0], (5_000, 2))
+    names, weight = rng.choice(["a", "b"], 5_000), rng.random(5_000)
+    for kind in ("repeated", "distinct"):
+        at = d if kind == "repeated" else rng.random((5_000, 2))
+        batch = pa.RecordBatch.from_arrays([pa.array(names), pa.FixedSizeListArray.from_arrays(pa.array(at.ravel()), 2).cast(pa.list_(pa.float64())), pa.array(weight)], ["region", "d", "weight"])
+        out = list(alike.added((batch.slice(k, 700) for k in range(0, 5_000, 700)), "weight", limit=900))
+        assert sum(b.num_rows for b in out) == (32 if kind == "repeated" else 5_000)
+        for x in "ab":
+            here = sum((w for b in out for r, w in zip(b.column("region").to_pylist(), b.column("weight").to_pylist(), strict=True) if r == x), 0.0)
+            assert here == pytest.approx(weight[names == x].sum())
