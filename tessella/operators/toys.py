@@ -1,7 +1,8 @@
 """Many toys at once: replicates of the simulation as columns of weights, and a likelihood whose points name their toy.
 
 A toy is a Poisson number for each event, drawn by the event's key, so that toys of all signal strengths come from one pass and no event is
-repeated. A call evaluates the points of all toys in one job over one table; each fit keeps its own optimiser state on the driver.
+repeated. Events with the same shares and coefficients are added up, their numbers with them. A call evaluates the points of all toys in
+one job over one table; each fit keeps its own optimiser state on the driver.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.alike import added_up
 from tessella.operators.cubes import Cubes, Point, rate_factors
 from tessella.operators.likelihood import penalty, poisson_rows, poisson_term
 from tessella.operators.resampling import SEED, with_replicates
@@ -60,7 +62,8 @@ class ToyLikelihood:
         self.log_yields, self.cubes, self.floating, self.truths = log_yields, cubes, tuple(floating), truths
         columns = [*(f"p_{p}" for p in PROCESSES), *(f"d_{p}" for p in PROCESSES)]
         toys = draw_toys(simulation.select(*key, "label", "weight", *columns).dropna(), truths, key, seed).select("toys", *columns)
-        self.table = cut(toys.where(F.exists("toys", lambda n: n > 0)))
+        drawn = toys.where(F.exists("toys", lambda n: n > 0)).withColumn("toys", F.col("toys").cast("array<long>"))
+        self.table = cut(added_up(drawn, "toys"))
         self.poisson: list[tuple[dict[str, float], list[float]]] = []
         if poisson_events is not None:
             rows = draw_toys(poisson_rows(poisson_events, regions).select(*key, "region", "label", "weight"), truths, key, seed)
