@@ -70,16 +70,24 @@ def repeat_by_weight(events: DataFrame, weight: str = "weight") -> DataFrame:
     return events.where(n >= 1).withColumn("__copy", F.explode(F.sequence(F.lit(1), n))).drop("__copy", weight)
 
 
+def _fractions(digests: bytes) -> np.ndarray:
+    """Four draws of 52 bits from the first 26 bytes of each digest of 32."""
+    words = np.frombuffer(digests, ">u8").reshape(-1, 4).astype(np.uint64)
+    a, b, c, d = words.T
+    bits = lambda x, n: x >> np.uint64(64 - n)
+    low = np.uint64((1 << 52) - 1)
+    parts = (bits(a, 52), (a << np.uint64(40) | bits(b, 40)) & low, (b << np.uint64(28) | bits(c, 28)) & low, (c << np.uint64(16) | bits(d, 16)) & low)
+    return np.column_stack(parts).astype(np.float64) / float(1 << 52)
+
+
 def poisson_numbers(keys: list[str], means: np.ndarray) -> np.ndarray:
     """A Poisson number for each key (rows) and mean (columns), by inversion of the key's draws (those of keyed_uniform).
 
     A large mean is the sum of parts of PART at most, each drawn on its own, so the distribution is exact at every size.
     """
-    draws = np.empty(means.shape)
-    for i, key in enumerate(keys):
-        digits = "".join(hashlib.sha256(f"{key}:{b}".encode()).hexdigest()[:52] for b in range(-(-means.shape[1] // 4)))
-        draws[i] = [int(digits[13 * k : 13 * k + 13], 16) for k in range(means.shape[1])]
-    draws /= float(1 << 52)
+    tails = [f":{b}".encode() for b in range(-(-means.shape[1] // 4))]
+    digests = b"".join(hashlib.sha256(key + tail).digest() for key in map(str.encode, keys) for tail in tails)
+    draws = _fractions(digests).reshape(len(keys), 4 * len(tails))[:, : means.shape[1]].copy()
     out, rest = np.zeros(means.shape, np.int64), np.nan_to_num(means)
     parts = np.maximum(1, np.ceil(rest / PART).astype(np.int64))
     for part in range(int(parts.max(initial=1))):
@@ -88,11 +96,17 @@ def poisson_numbers(keys: list[str], means: np.ndarray) -> np.ndarray:
             draws[rows, columns] = [int(hashlib.sha256(f"{keys[i]}:{k}:{part}".encode()).hexdigest()[:13], 16) / float(1 << 52) for i, k in zip(rows.tolist(), columns.tolist(), strict=True)]
         m, u = rest[rows, columns] / parts[rows, columns], draws[rows, columns]
         p = np.exp(-m)
-        reach, n, open_ = p.copy(), np.zeros(len(m), np.int64), np.arange(len(m))
-        while len(open_ := open_[(u[open_] > reach[open_]) & (n[open_] < 10 * PART)]):
-            n[open_] += 1
-            p[open_] *= m[open_] / n[open_]
-            reach[open_] += p[open_]
+        reach, n, open_, at = p.copy(), np.zeros(len(m), np.int64), np.arange(len(m)), 0
+        while at < 10 * PART:
+            over = u > reach
+            if not (left := np.count_nonzero(over)):
+                break
+            if 2 * left < len(over):
+                m, u, p, reach, open_, over = m[over], u[over], p[over], reach[over], open_[over], np.ones(left, bool)
+            at += 1
+            n[open_] += over
+            p *= m / at
+            reach += p
         out[rows, columns] += n
     return out
 
@@ -108,7 +122,7 @@ def with_replicates(df: DataFrame, name: str, means: list[Column], seed: int = S
 
     @F.pandas_udf("array<int>")
     def draw(keys: pd.Series, values: pd.Series) -> pd.Series:
-        rows = np.array([np.asarray(v, float) for v in values]).reshape(len(values), width)
+        rows = (np.concatenate(values.to_list()) if len(values) else np.empty(0)).reshape(len(values), width)
         return pd.Series(list(poisson_numbers(keys.tolist(), rows).astype(np.int32)))
 
     label = F.concat_ws(":", F.lit(str(seed)), *([F.col(k) for k in key] if key else [F.monotonically_increasing_id()]))
