@@ -36,3 +36,22 @@ def test_histograms_of_all_points(spark):
         want = {(i, r.feature, r.bin): r["sum"] for r in feature_histograms(d).collect()}
         assert {k: v for k, v in got.items() if k[0] == i} == pytest.approx(want)
     assert variations.varied_histograms(events.where("false"), points).count() == 0
+
+
+def test_points_of_one_pair_of_scales_share_the_rest(spark, monkeypatch):
+    """What differs in the missing momentum alone is derived once; the histograms are those of each point on its own."""
+    x, y = systematics.keyed_normals(F.col("event_id"), 31415)
+    rows = collision_events(spark, SF).limit(800).select(*(F.col(c).cast("double").alias(c) for c in PRIMARY), "weight", x.alias("noise_x"), y.alias("noise_y")).toPandas()
+    e, shifts, features, calls = {c: rows[c].to_numpy() for c in rows}, [variations.shift_of(p) for p in BASE_POINTS], list(FEATURES), []
+    own = variations.derive_own
+    monkeypatch.setattr(variations, "derive_own", lambda e: calls.append(1) or own(e))
+    empty = lambda: [np.zeros((variations.BINNING[f][0], 2)) for f in features]
+    filled = {i: empty() for i in range(len(shifts))}
+    variations.fill(e, shifts, features, filled)
+    assert len(calls) == len({s[:2] for s in shifts}) == 17
+    for i, shift in enumerate(shifts):
+        at_point = variations.derive(variations.cut_off(variations.varied(e, *shift)))
+        for f, got in zip(features, filled[i], strict=True):
+            at = variations.bins_of(at_point[f], f)
+            want = np.array([[np.sum(at == b), at_point["weight"][at == b].sum()] for b in range(len(got))])
+            assert got == pytest.approx(want), f
