@@ -1,15 +1,17 @@
 """Operator 2: exact top-k search by BM25 on an inverted index with block-max pruning.
 
-* Index: a task inverts what it reads, SHARD_POSTINGS postings at a time. Such a shard is one row of the index: its documents numbered by
-  length, and its posting lists as packed arrays. Texts are not shuffled. Lengths and document counts are added up over all shards, so
+* Index: a task inverts what it reads, SHARD_POSTINGS postings at a time. Such a shard is one row of the index: its documents numbered so
+  that similar ones are neighbours (halved again and again along the direction in which their common words differ most; then by length),
+  and its posting lists as packed arrays. Texts are not shuffled. Lengths and document counts are added up over all shards, so
   every shard scores with the same global statistics.
 * Search: queries go in blocks of about QUERY_BYTES, each broadcast, to the tasks that read the shards. A task keeps the k best of each
   query over its shards, so the threshold of a query only rises from shard to shard. The tasks' results are merged by rank.
 * Pruning: BLOCK documents with neighbouring numbers are a block, and each list knows the largest impact it has in a block.
   1. Lists that at least one in DENSE documents has (a few hundred of some 400,000) are not worth skipping. They are rows of a matrix, and
      one product adds them up for BATCH queries. All else works on the other lists, with these sums as exact parts of the bounds.
-  2. The block maxima of a query's lists bound every score in a block. Without a threshold yet, the FIRST_BLOCKS blocks with the highest
-     bounds are scored to get one. Blocks whose bound is lower than the threshold are skipped, postings and all.
+  2. The block maxima of a query's lists, those of the matrix among them, bound every score in a block. Blocks whose bound is lower than the
+     threshold are skipped before anything else: product, postings and all. Lists of at least BLOCK documents have their block maxima as
+     rows of a table, rounded up. Without a threshold yet, the FIRST_BLOCKS blocks with the highest bounds are scored to get one.
   3. In each other block, lists are set aside as long as their largest impacts there stay below what the threshold still asks for, first
      those that cost most postings for the score they can give. The rest of the lists give the candidates.
   4. A candidate stays if what it has, and the block maxima of the lists set aside, reach the threshold. Only blocks with such a candidate
@@ -54,8 +56,10 @@ BLOCK, FIRST_BLOCKS = 32, 8
 DIGITS = 6
 #: Lists of at least one in so many documents are kept as rows of a matrix.
 DENSE = 24
-#: Queries whose parts from the matrix are computed at once.
-BATCH = 64
+#: Queries whose parts from the matrix are computed at once; fewer where that would make more numbers than BATCH_CELLS.
+BATCH, BATCH_CELLS = 256, 2_000_000
+#: Documents are put beside similar ones by so many common words, or as many as make a matrix of so many numbers, down to groups of LEAF.
+ALIKE_WORDS, ALIKE_CELLS, LEAF = 400, 8_000_000, 2 * BLOCK
 #: Bounds are compared with this slack, so that rounding cannot hide a result.
 SLACK = 1e-5
 NO_ID = 2**63 - 1
@@ -90,6 +94,38 @@ def _inverter(postings: int, documents: int):
     return run
 
 
+def _neighbours(x: np.ndarray) -> np.ndarray:
+    """An order of the rows in which similar ones are near: halves along the direction of most variance, again and again. Any order would be right."""
+    draw, out, open_ = np.random.default_rng(0), [], [np.arange(len(x))]
+    while open_:
+        rows = open_.pop()
+        if len(rows) <= LEAF:
+            out.append(np.sort(rows))
+            continue
+        part = x[rows]
+        mean, v = part.mean(axis=0), draw.standard_normal(x.shape[1]).astype(x.dtype)
+        for _ in range(6):  # power iteration
+            along = part @ v - mean @ v
+            v = along @ part - along.sum() * mean
+            v /= max(float(np.linalg.norm(v)), 1e-9)
+        order = (part @ v).argsort(kind="stable")
+        half = len(rows) // 2
+        open_ += [rows[order[half:]], rows[order[:half]]]
+    return np.concatenate(out) if out else np.empty(0, np.int64)
+
+
+def _alike(n: int, number: np.ndarray, starts: np.ndarray, dfs: np.ndarray) -> np.ndarray:
+    """The order of a shard's documents by their common words. number: the documents of the lists, one list after another."""
+    common = np.flatnonzero(dfs * DENSE >= n)
+    spread = dfs[common].astype(np.int64) * (n - dfs[common])
+    common = common[(-spread).argsort(kind="stable")[: min(ALIKE_WORDS, ALIKE_CELLS // max(1, n))]]
+    x = np.zeros((n, len(common)), np.float32)
+    for k, i in enumerate(common.tolist()):
+        x[number[starts[i] : starts[i] + dfs[i]], k] = math.log(n / dfs[i] + 0.5)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    return _neighbours(x)
+
+
 def invert(docs: list[tuple[int, np.ndarray, np.ndarray, int]]) -> pa.RecordBatch:
     """The shard of documents (doc_id, terms, frequencies, length), as one row."""
     docs = sorted(docs, key=lambda d: (d[3], d[0]))
@@ -98,9 +134,17 @@ def invert(docs: list[tuple[int, np.ndarray, np.ndarray, int]]) -> pa.RecordBatc
     order = np.argsort(every, kind="stable")
     every, number, tfs = every[order], number[order], tfs[order]
     starts = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.empty(0, np.int64)
+    dfs = np.diff(np.append(starts, len(every))).astype(np.int32)
+    order = _alike(len(docs), number, starts, dfs)
+    docs = [docs[i] for i in order.tolist()]
+    place = np.empty(len(docs), np.uint16)
+    place[order] = np.arange(len(docs), dtype=np.uint16)
+    number = place[number]
+    order = (np.repeat(np.arange(len(dfs)) << 16, dfs) + number).argsort(kind="stable")
+    number, tfs = number[order], tfs[order]
     lengths = np.array([d[3] for d in docs], np.int32)
     short = np.uint16 if tfs.max(initial=0) < 1 << 16 else np.int32
-    packed = (np.array([d[0] for d in docs], np.int64), lengths, every[starts], np.diff(np.append(starts, len(every))).astype(np.int32), number, tfs.astype(short))
+    packed = (np.array([d[0] for d in docs], np.int64), lengths, every[starts], dfs, number, tfs.astype(short))
     columns = [pa.array([len(docs)], pa.int32()), pa.array([int(lengths.sum(dtype=np.int64))], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in packed)]
     return pa.RecordBatch.from_arrays(columns, ["docs", "words", "ids", "lengths", "terms", "dfs", "numbers", "tfs"])
 
@@ -158,11 +202,11 @@ class Shard:
         """term: sorted; df: the lengths of the lists, whose documents and frequencies follow one another in docs and tfs."""
         self.ids, self.term, self.n = ids, term, len(ids)
         self.begin = np.concatenate([[0], np.cumsum(df, dtype=np.int64)])
-        self.doc = docs.astype(np.int64)
+        self.doc = docs
         norm = K1 * (1 - B + B * lengths / average)
         self.impact = tfs * (K1 + 1) / (tfs + norm[docs])
         self.blocks = -(-self.n // BLOCK)
-        block = self.doc // BLOCK
+        block = docs // BLOCK
         new = np.zeros(len(block) + 1, bool)
         new[self.begin] = True
         new[1:-1] |= block[1:] != block[:-1]
@@ -175,10 +219,17 @@ class Shard:
         common = np.flatnonzero(df * DENSE >= self.n)
         self.row = np.full(len(term), -1)
         self.row[common] = np.arange(len(common))
-        self.dense = np.zeros((len(common), self.n))
+        self.dense = np.zeros((self.blocks, len(common), BLOCK))
         for k, i in enumerate(common.tolist()):
             a, b = self.begin[i : i + 2]
-            self.dense[k, self.doc[a:b]] = self.impact[a:b]
+            self.dense[block[a:b], k, self.doc[a:b] % BLOCK] = self.impact[a:b]
+        wide = np.flatnonzero((df >= BLOCK) | (self.row >= 0))
+        self.high_row = np.full(len(term), -1)
+        self.high_row[wide] = np.arange(len(wide))
+        self.high = np.zeros((len(wide), self.blocks), np.float32)
+        for k, i in enumerate(wide.tolist()):
+            a, b = self.part_begin[i : i + 2]
+            self.high[k, self.part_block[a:b]] = np.nextafter(self.part_max[a:b].astype(np.float32), np.float32(np.inf))  # never below the maximum
         self.starts = np.arange(self.blocks) * BLOCK
 
     @classmethod
@@ -194,27 +245,44 @@ class Shard:
         at = np.minimum(self.term.searchsorted(terms), max(0, len(self.term) - 1))
         return np.where(self.term[at] == terms, at, -1) if len(self.term) else np.full(len(terms), -1)
 
-    def common(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """What the lists of the matrix give each document, for each query (lists and weights)."""
-        weights = np.zeros((len(queries), len(self.dense)))
+    def alive(self, lists: np.ndarray, weights: np.ndarray, least: float) -> np.ndarray:
+        """The blocks whose documents may reach ``least``, by the maxima of all lists."""
+        if least <= 0:
+            return np.ones(self.blocks, bool)
+        row = self.high_row.take(lists)
+        wide = row >= 0
+        bound = weights[wide] @ self.high.take(row[wide], axis=0)
+        at = lists[~wide]
+        begin, end = self.part_begin.take(at), self.part_begin.take(at + 1)
+        parts = _spread(begin, end)
+        bound += _sums(self.part_block.take(parts), self.part_max.take(parts) * weights[~wide].repeat(end - begin), self.blocks)
+        return bound >= least - SLACK
+
+    def common(self, queries: list[tuple[np.ndarray, np.ndarray]], alive: np.ndarray) -> np.ndarray:
+        """What the lists of the matrix give each document of the blocks that are alive (queries x blocks), for each query (lists and weights)."""
+        weights = np.zeros((len(queries), self.dense.shape[1]))
         for out, (at, w) in zip(weights, queries, strict=True):
             row = self.row[at]
             out[row[row >= 0]] = w[row >= 0]
-        return weights @ self.dense
+        given = np.zeros((len(queries), self.blocks, BLOCK))
+        for b in np.flatnonzero(alive.any(axis=0)).tolist():
+            here = np.flatnonzero(alive[:, b])
+            given[here, b] = weights[here] @ self.dense[b]
+        return given.reshape(len(queries), -1)[:, : self.n]
 
-    def find(self, base: np.ndarray, lists: np.ndarray, weights: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray, int]:
+    def find(self, base: np.ndarray, lists: np.ndarray, weights: np.ndarray, alive: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray, int]:
         """Numbers and scores of documents, with all of the k best that reach ``least`` among them, and how many blocks were scored.
 
-        base: what the lists of the matrix give each document.
+        base: what the lists of the matrix give each document of the blocks that are alive; no other block is looked at.
         """
-        query = _Query(self, base, lists, weights)
+        query = _Query(self, base, lists, weights, alive)
         found, scored = [], np.zeros(self.blocks, bool)
         if least <= 0:
             scored[(-query.bound).argsort(kind="stable")[:FIRST_BLOCKS]] = True
             docs = np.flatnonzero(scored[np.arange(self.n) // BLOCK])
             found.append((docs, query.whole(scored, docs)))
             least = np.partition(found[0][1], len(docs) - k)[len(docs) - k] if len(docs) >= k else 0.0
-        docs, scores, blocks = query.candidates(~scored, least - SLACK)
+        docs, scores, blocks = query.candidates(alive & ~scored, least - SLACK)
         found.append((docs, scores))
         scored |= blocks
         docs, scores = (np.concatenate([f[i] for f in found]) for i in (0, 1))
@@ -223,9 +291,10 @@ class Shard:
 
 
 class _Query:
-    """A query's lists in a shard: by block, first the ones that cost the fewest postings for the score they can give."""
+    """A query's lists in the blocks of a shard that are alive: by block, first the ones that cost the fewest postings for the score they can
+    give."""
 
-    def __init__(self, shard: Shard, base: np.ndarray, at: np.ndarray, weights: np.ndarray):
+    def __init__(self, shard: Shard, base: np.ndarray, at: np.ndarray, weights: np.ndarray, alive: np.ndarray):
         self.shard, self.base = shard, base
         sparse = shard.row.take(at) < 0
         at, weights = at[sparse], weights[sparse]
@@ -234,6 +303,9 @@ class _Query:
         begin, end = shard.part_begin.take(at), shard.part_begin.take(at + 1)
         parts, weight = _spread(begin, end), weights.take(order).repeat(end - begin)
         block = shard.part_block.take(parts)
+        if not alive.all():
+            kept = alive.take(block).nonzero()[0]
+            parts, weight, block = parts.take(kept), weight.take(kept), block.take(kept)
         order = block.argsort(kind="stable")  # by block, in the order of the lists
         self.block, self.parts, self.weight = block.take(order), parts.take(order), weight.take(order)
         self.most = shard.part_max.take(self.parts)
@@ -290,17 +362,25 @@ class Best:
 
     def visit(self, shard: Shard) -> None:
         lists = shard.lists(self.terms)
-        for begin in range(0, len(self.queries), BATCH):
+        batch = max(1, min(BATCH, BATCH_CELLS // max(1, shard.n)))
+        for begin in range(0, len(self.queries), batch):
             asked = []
-            for terms, weights in self.queries[begin : begin + BATCH]:
+            for terms, weights in self.queries[begin : begin + batch]:
                 at = lists.take(terms)
                 asked.append((at[at >= 0], weights[at >= 0]))
-            for q, (base, (at, weights)) in enumerate(zip(shard.common(asked), asked, strict=True), begin):
-                self._one(shard, q, base, at, weights)
-
-    def _one(self, shard: Shard, q: int, base: np.ndarray, at: np.ndarray, weights: np.ndarray) -> None:
-        least = self.scores[q][-1] if len(self.scores[q]) == self.k else 0.0
-        docs, scores, scored = shard.find(base, at, weights, self.k, least)
+            alive = np.array([shard.alive(*one, self._least(q)) for q, one in enumerate(asked, begin)])
+            for q, (base, (at, weights), here) in enumerate(zip(shard.common(asked, alive), asked, alive, strict=True), begin):
+                self._one(shard, q, base, at, weights, here)
+
+    def _least(self, q: int) -> float:
+        """What a document must reach to be among the k best."""
+        return self.scores[q][-1] if len(self.scores[q]) == self.k else 0.0
+
+    def _one(self, shard: Shard, q: int, base: np.ndarray, at: np.ndarray, weights: np.ndarray, alive: np.ndarray) -> None:
+        if not alive.any():
+            self.blocks += shard.blocks
+            return
+        docs, scores, scored = shard.find(base, at, weights, alive, self.k, self._least(q))
         self.blocks += shard.blocks
         self.scored += scored
         if len(docs):

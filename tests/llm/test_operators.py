@@ -146,6 +146,22 @@ def test_search_completes_few_scores(monkeypatch):
         assert ids.tolist() == [d for d, _ in brute_bm25(texts, q, 10)]
 
 
+def test_search_passes_by_what_is_unlike():
+    """Whole texts of four vocabularies, mixed: like texts are neighbours, so most blocks of a shard are passed by before its product."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"{'abcd'[i % 4]}{w}" for w in rng.zipf(1.5, int(rng.integers(40, 60))) % 400) for i in range(3200)]
+    queries = [texts[i] for i in range(0, 400, 17)]
+    best = search.Best(asked(texts, queries), 10)
+    average = sum(len(t.split()) for t in texts) / len(texts)
+    best.visit(shard_of([""] * 1600 + texts[1600:], average))
+    best.blocks = best.scored = 0
+    best.visit(shard_of(texts[:1600], average))
+    assert best.scored < 0.3 * best.blocks
+    for q, ids, scores in zip(queries, best.ids, best.scores, strict=True):
+        want = brute_bm25(texts, q, 10)
+        assert ids.tolist() == [d for d, _ in want] and scores == pytest.approx([s for _, s in want], abs=2e-6)
+
+
 def test_search_with_long_lists_only():
     texts = ["a b" if i % 10 == 0 else "c d" for i in range(6400)]
     shard = shard_of(texts)
