@@ -1,6 +1,7 @@
 """Trees grown level by level on binned events, and boosting with what an event carries from tree to tree in a versioned table.
 
-Events are binned once: a row of the written table holds a byte for each feature. A level of all trees that are grown together is one
+Events are binned once: a row of the written table holds a byte for each feature; derived features that the events lack are computed batch
+by batch as they are binned. A level of all trees that are grown together is one
 job: a task adds up (tree, node, feature, bin, group) histograms of its rows in numpy and hands on one row for each node and feature that
 it met. Only the smaller child of a split is filled, its sibling is the parent less that. The driver sees histograms, whose size is
 nodes x features x bins x groups x sums whatever the number of events, and chooses the splits.
@@ -21,9 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.functions.kinematics import DERIVE
 from tessella.operators.scoring import Leaf, Split
+from tessella.operators.variations import derived_as_they_are
 from tessella.operators.yields import design
-from tessella.schema import BASE_POINTS, BINNING, MONOMIALS
+from tessella.schema import BASE_POINTS, BINNING, MONOMIALS, PRIMARY
 from tessella.sources import models
 from tessella.sources.scratch import cut
 
@@ -71,25 +74,35 @@ def quantile_edges(events: DataFrame, features: Iterable[str], bins: int = 64, a
 
 
 def binned(events: DataFrame, edges: Edges, *keep: str) -> DataFrame:
-    """The written table of (bins, keep): what every level and every tree reads."""
-    rows = events.select(*(F.col(f).cast("double").alias(f"__{i}") for i, f in enumerate(edges.features)), *keep)
+    """The written table of (bins, keep): what every level and every tree reads. Derived features that events lack come from the primary ones."""
+    lacking = {f for f in edges.features if f in DERIVE and f not in events.columns}
+    names = list(dict.fromkeys([f for f in edges.features if f not in lacking] + (list(PRIMARY) if lacking else [])))
+    rows = events.select(*(F.col(f).cast("double").alias(f"__{i}") for i, f in enumerate(names)), *keep)
     schema = T.StructType([T.StructField("bins", T.BinaryType()), *(rows.schema[k] for k in keep)])
     n = len(edges.features)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = edges.codes([batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(n)])
+            values = {f: batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i, f in enumerate(names)}
+            if lacking:
+                nulls = {f: batch.column(i).is_null().to_numpy(zero_copy_only=False) for i, f in enumerate(names)}
+                derived = derived_as_they_are(values, nulls)
+                values |= {f: derived[f] for f in lacking}
+            codes = edges.codes([values[f] for f in edges.features])
             offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * n)
             packed = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, offsets.buffers()[1], pa.py_buffer(codes.tobytes())])
-            yield pa.RecordBatch.from_arrays([packed, *batch.columns[n:]], ["bins", *keep])
+            yield pa.RecordBatch.from_arrays([packed, *batch.columns[len(names) :]], ["bins", *keep])
 
     return cut(rows.mapInArrow(run, schema))
 
 
 def codes_of(batch: pa.RecordBatch) -> np.ndarray:
+    """rows x features: a view of the batch, whose rows all have as many bytes."""
     column = batch.column("bins")
-    joined = b"".join(column.to_pylist())
-    return np.frombuffer(joined, np.uint8).reshape(batch.num_rows, -1)
+    _, offsets, data = column.buffers()
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    ends = np.frombuffer(offsets, kind)[column.offset : column.offset + batch.num_rows + 1]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].reshape(batch.num_rows, -1)
 
 
 # -- trees on bins -------------------------------------------------------------------------------------------------------
@@ -146,6 +159,20 @@ class Grown:
         return out
 
 
+def placed(table: DataFrame, tree: Grown, *keep: str) -> DataFrame:
+    """keep of a binned table's rows, and the value of each row's leaf as an array column."""
+    width = max(map(len, tree.value))
+    schema = T.StructType([*(table.schema[k] for k in keep), T.StructField("value", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * width)
+            values = pa.ListArray.from_arrays(offsets, pa.array(tree.values(codes_of(batch)).ravel()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), values], [*keep, "value"])
+
+    return table.mapInArrow(run, schema)
+
+
 def pruned(tree: Split | Leaf) -> Split | Leaf:
     """Splits whose sides are leaves of one value become that leaf."""
     if isinstance(tree, Leaf):

@@ -165,6 +165,22 @@ def derive_met(e: Columns) -> Columns:
         }
 
 
+def derived_as_they_are(e: Columns, nulls: Columns) -> Columns:
+    """The derived features of events that are neither varied nor rounded, as the Columns of kinematics give them. A null is NaN in e, and
+    nulls says where: a clamped root takes it for 0, the centrality of the missing momentum is undefined then."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        for name in _OBJECTS:
+            e = e | _directions(name, e[f"{name}_eta"], e[f"{name}_phi"])
+        out = derive(e)
+    void = lambda *names: np.logical_or.reduce([nulls[c] for c in names])
+    met = void("PRI_met", "PRI_met_phi", f"{_LEP}_pt", f"{_LEP}_phi")
+    jets = void(*(f"{j}_{x}" for j in (_J1, _J2) for x in ("pt", "eta", "phi"))) & (e["PRI_n_jets"] >= 2)
+    angles = void("PRI_met_phi", f"{_LEP}_phi", f"{_HAD}_phi")
+    for c, at, value in (("DER_mass_transverse_met_lep", met, 0.0), ("DER_mass_jet_jet", jets, 0.0), ("DER_met_phi_centrality", angles, UNDEFINED)):
+        out[c] = np.where(at, value, out[c])
+    return out
+
+
 def fill(e: Columns, shifts: list[tuple[float, float, float]], features: list[str], filled: dict[int, list[np.ndarray]]) -> None:
     """Add events to the (number of rows, sum) of each bin, by point and feature.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessella.functions.kinematics import with_derived
 from tessella.operators import training
 from tessella.operators.scoring import Network
 from tessella.operators.yields import design
@@ -92,7 +93,7 @@ ORDER = ("event_id", "PRI_lep_pt", "PRI_met", "weight")
 
 def samples(spark, sf) -> list:
     """One sample a base point, of unequal sizes."""
-    e = point_events(spark, sf)
+    e = with_derived(point_events(spark, sf))
     return [e.where((F.col("point") == k) & (F.col("event_id") % 11 <= 5 + k % 5)) for k in range(POINTS)]
 
 

@@ -7,9 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from tessella.operators import trees
-from tessella.operators.scoring import tree_column
 from tessella.operators.yields import design
-from tessella.plans.registry import SQL_OF, derived, r, rs
+from tessella.plans.registry import SQL_OF, events, r, rs
 from tessella.schema import BASE_POINTS, FEATURES, MONOMIALS, PROCESSES
 from tessella.sources.fixture import views
 from tessella.sources.scratch import shared_folder
@@ -35,8 +34,8 @@ PARAMETRIC = trees.Parametric(min_size=MIN_SIZE)
 
 # -- events of base points -----------------------------------------------------------------------------------------------
 def point_events(spark, sf):
-    """Every event at one of the base points, with a weight that follows the point and the event's features."""
-    e = derived(spark, sf).withColumn("point", (F.col("event_id") % POINTS).cast("int"))
+    """Every event at one of the base points, with a weight that follows the point and the event's features; primary columns only."""
+    e = events(spark, sf).withColumn("point", (F.col("event_id") % POINTS).cast("int"))
     nu = [F.element_at(F.array(*(F.lit(p[i]) for p in BASE_POINTS)), F.col("point") + 1) for i in range(3)]
     sign = lambda c: F.when(c, 1.0).otherwise(-1.0)
     factor = 1.0 + 0.1 * nu[0] * sign(F.col("PRI_met") > 80) + 0.05 * nu[1] * sign(F.col("PRI_lep_pt") > 40) + 0.04 * nu[2] * sign(F.col("PRI_n_jets") >= 2)
@@ -93,11 +92,9 @@ def _sql_parametric(t: str, source: str, weight: str) -> list[str]:
 @query("q_grow_levels", views(*_BASE, *_MATRICES, *_sql_parametric("a", "base", "pw")) + "SELECT event_id, point, " + ", ".join(f"{rs(f'd[{k + 1}]')} AS d{k}" for k in range(len(MONOMIALS))) + f" FROM base JOIN ae{DEPTH} USING (r, point) JOIN af USING (node)")
 def q_grow_levels(spark, sf):
     """A parametric tree over all features and base points: each event's coefficients."""
-    events = point_events(spark, sf)
-    table = trees.binned(events, EDGES, "weight", "point", "event_id")
+    table = trees.binned(point_events(spark, sf), EDGES, "weight", "point", "event_id")
     grown, _ = trees.grow(table, EDGES, PARAMETRIC, DEPTH)
-    tree = trees.pruned(grown[0].tree(EDGES))
-    return events.select("event_id", "point", *(r(tree_column(tree, k)).alias(f"d{k}") for k in range(len(MONOMIALS))))
+    return trees.placed(table, grown[0], "event_id", "point").select("event_id", "point", *(r(F.col("value")[k]).alias(f"d{k}") for k in range(len(MONOMIALS))))
 
 
 def store(spark) -> trees.Store:
@@ -115,10 +112,10 @@ _moved = lambda rate: f"CASE WHEN point = 0 THEN w ELSE w*exp(-{rate}::double*("
 )
 def q_boost_parametric(spark, sf):
     """Weights after two trees, the first of which counts in full. The second one comes from a run that goes on after the first."""
-    events, kept = point_events(spark, sf), store(spark)
+    rows, kept = point_events(spark, sf), store(spark)
     options = {"depth": DEPTH, "rate": RATE, "first_full": True, "objective": PARAMETRIC, "keep": ("event_id",)}
     for rounds in (1, 2):
-        trees.boost_parametric(kept, events, EDGES, rounds, **options)
+        trees.boost_parametric(kept, rows, EDGES, rounds, **options)
     return kept.version(2).select("event_id", "point", r("weight", 7).alias("weight"))
 
 
@@ -153,7 +150,7 @@ _CLASSES = (f"base AS MATERIALIZED ({_sql_codes('ce', 'w', 'label AS target')})"
 def q_boost_softprob(spark, sf):
     """Class shares after one round of four trees, one a class, grown together."""
     kept = store(spark)
-    trees.boost_newton(kept, derived(spark, sf).withColumn("target", F.col("label")), EDGES, 1, DEPTH, trees.Newton(rate=ETA, l2=L2), ("event_id",))
+    trees.boost_newton(kept, events(spark, sf).withColumn("target", F.col("label")), EDGES, 1, DEPTH, trees.Newton(rate=ETA, l2=L2), ("event_id",))
     parts = [F.exp(F.col("margins")[k]) for k in range(4)]
     return kept.version(1).select("event_id", *(r(parts[k] / (parts[0] + parts[1] + parts[2] + parts[3]), 7).alias(f"p_{p}") for k, p in enumerate(PROCESSES)))
 

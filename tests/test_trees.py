@@ -7,8 +7,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessella.functions.kinematics import with_derived
 from tessella.operators import scoring, trees
 from tessella.operators.yields import design
+from tessella.schema import FEATURES, PRIMARY
+from tessella.sources.fixture import collision_events
 
 POINTS, TERMS = ((0.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 2.0, 0.0)), (("nu_jes",), ("nu_jes", "nu_jes"))
 EDGES = trees.Edges({"x": (1.0, 2.0, 3.0, 4.0), "y": (0.5, 1.5)})
@@ -202,3 +205,24 @@ def test_no_events(spark, events, tmp_path):
     none = events[1].where("false")
     grown, jobs = trees.grow(trees.binned(none, EDGES, "weight", "point"), EDGES, trees.Parametric(POINTS, TERMS), 3)
     assert jobs == 1 and grown[0].tree(EDGES) == scoring.Leaf((0.0, 0.0))
+
+
+def test_derived_features_are_those_of_the_columns(spark):
+    """Binning derives what events lack as the Columns do, also of events with nulls and NaN; leaves are those of the tree's Columns."""
+    e = collision_events(spark, "/root/testdata/sf0.001")
+    for i, c in enumerate(c for c in PRIMARY if c != "PRI_n_jets"):
+        odd = F.when(F.pmod(F.xxhash64("event_id", F.lit(c)), F.lit(60)) == 0, F.lit(None) if i % 2 else F.lit(float("nan")))
+        e = e.withColumn(c, F.when(F.pmod(F.xxhash64("event_id", F.lit(c)), F.lit(60)) == 0, odd).otherwise(F.col(c)))
+    e = e.withColumn("PRI_n_jets", F.when(F.col("event_id") % 41 != 0, F.col("PRI_n_jets"))).withColumn("id", F.monotonically_increasing_id())
+    edges = trees.equal_edges(FEATURES)
+    lacking, given = (trees.binned(x, edges, "id") for x in (e, with_derived(e)))
+    want = {r.id: bytes(r.bins) for r in given.collect()}
+    got = {r.id: bytes(r.bins) for r in lacking.collect()}
+    differ = [(FEATURES[k], i) for i in want for k in range(len(FEATURES)) if want[i][k] != got[i][k]]
+    assert len(want) == len(got) == 6000 and differ == []
+    grown = trees.Grown()
+    child = grown.split(0, FEATURES.index("DER_pt_h"), 5)
+    grown.value[child], grown.value[child + 1] = (1.0, 2.0), (3.0, 4.0)
+    tree = grown.tree(edges)
+    columns = {r.id: [r.a, r.b] for r in with_derived(e).select("id", scoring.tree_column(tree, 0).alias("a"), scoring.tree_column(tree, 1).alias("b")).collect()}
+    assert {r.id: list(r.value) for r in trees.placed(lacking, grown, "id").collect()} == columns
