@@ -140,9 +140,19 @@ def calibrate_isotonic(rows: DataFrame, model, score: str, name: str = "calibrat
     return value.withColumn(name, F.greatest(F.lit(CLIP), F.least(F.lit(1 - CLIP), F.col("__value")))).drop("__score", "__value")
 
 
+#: Rows of a partition that boosting holds in memory and reads again for every level of every tree.
+TRAIN_ROWS = 500_000
+
+
+def dealt(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """rows in partitions of about ``most`` at most; as they are where there are enough partitions."""
+    need = -(-rows.count() // (most or TRAIN_ROWS))
+    return rows.repartition(need) if need > rows.rdd.getNumPartitions() else rows
+
+
 def fit_residuals(rows: DataFrame, features: list[str], target: str = "residual", **options) -> GBTRegressionModel:
     """Boosted trees that predict what a measurement misses its true value by."""
-    data = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="keep").transform(rows)
+    data = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="keep").transform(dealt(rows.select(*features, target)))
     return GBTRegressor(featuresCol="__x", labelCol=target, **{"maxIter": 50, "maxDepth": 4, "stepSize": 0.1, "seed": 42} | options).fit(data)
 
 

@@ -226,3 +226,20 @@ def test_derived_features_are_those_of_the_columns(spark):
     tree = grown.tree(edges)
     columns = {r.id: [r.a, r.b] for r in with_derived(e).select("id", scoring.tree_column(tree, 0).alias("a"), scoring.tree_column(tree, 1).alias("b")).collect()}
     assert {r.id: list(r.value) for r in trees.placed(lacking, grown, "id").collect()} == columns
+
+
+def test_boosting_reads_partitions_of_bounded_size(spark, monkeypatch):
+    """A partition that is too large is dealt out before it is held; the model is that of the same rows in one partition."""
+    rows = spark.range(3000).select((F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 7 * 2.0).alias("residual")).coalesce(1)
+    want = scoring.fit_residuals(rows, ["x"], maxIter=2).toDebugString
+    held, real = [], scoring.GBTRegressor.fit
+
+    def fit(self, data, *more):
+        held.append([len(p) for p in data.rdd.glom().collect()])
+        return real(self, data, *more)
+
+    monkeypatch.setattr(scoring.GBTRegressor, "fit", fit)
+    monkeypatch.setattr(scoring, "TRAIN_ROWS", 500)
+    got = scoring.fit_residuals(rows, ["x"], maxIter=2).toDebugString
+    assert sum(held[0]) == 3000 and max(held[0]) <= 550
+    assert got.split("\n")[1:] == want.split("\n")[1:]
