@@ -6,17 +6,16 @@
   every shard scores with the same global statistics.
 * Search: queries go in blocks of about QUERY_BYTES, each broadcast, to the tasks that read the shards. A task keeps the k best of each
   query over its shards, so the threshold of a query only rises from shard to shard. The tasks' results are merged by rank.
-* Pruning: BLOCK documents with neighbouring numbers are a block, and each list knows the largest impact it has in a block.
-  1. Lists that at least one in DENSE documents has (a few hundred of some 400,000) are not worth skipping. They are rows of a matrix, and
-     one product adds them up for BATCH queries. All else works on the other lists, with these sums as exact parts of the bounds.
-  2. The block maxima of a query's lists, those of the matrix among them, bound every score in a block. Blocks whose bound is lower than the
-     threshold are skipped before anything else: product, postings and all. Lists of at least BLOCK documents have their block maxima as
-     rows of a table, rounded up. Without a threshold yet, the FIRST_BLOCKS blocks with the highest bounds are scored to get one.
-  3. In each other block, lists are set aside as long as their largest impacts there stay below what the threshold still asks for, first
-     those that cost most postings for the score they can give. The rest of the lists give the candidates.
-  4. A candidate stays if what it has, and the block maxima of the lists set aside, reach the threshold. Only blocks with such a candidate
-     have the lists set aside read.
-  As in block-max WAND nothing is lost by that; cursors that move document by document would be slow in Python.
+* Pruning: BLOCK documents with neighbouring numbers are a block. Lists that at least one in DENSE documents has (a few hundred of some
+  400,000) are common; they are rows of a matrix, and each knows the largest impact it has in a block. All other lists are rare. Queries go in
+  batches of BATCH that have the same common words, so that a batch uses few rows of the matrix and asks for the same blocks.
+  1. The postings of a query's rare lists are added up; they are few.
+  2. The most they give in a block, and the block maxima of the common lists, bound every score in it. Blocks whose bound is lower than the
+     threshold are passed by. Without a threshold yet, the FIRST_BLOCKS blocks with the highest bounds are scored to get one.
+  3. In each other block one product adds up the common lists for all queries of the batch that ask for the block.
+  Sums and bounds are float32 up to here and are compared with room for all roundings.
+  4. Documents that reach the threshold are scored anew in float64, from their own lists.
+  Nothing is lost by that; cursors that move document by document would be slow in Python.
 
 A query is a whole text with all its distinct words, each weighted by its frequency in the query. Words are runs of other than white
 space, A-Z lower-cased; idf = ln(1 + (N - n + 0.5) / (n + 0.5)). Scores are rounded to 6 digits, then ties go to the smaller doc_id.
@@ -28,6 +27,7 @@ repeated in full are one query; null doc_ids come last among ties; an empty tabl
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -56,9 +56,9 @@ BLOCK, FIRST_BLOCKS = 32, 8
 DIGITS = 6
 #: Lists of at least one in so many documents are kept as rows of a matrix.
 DENSE = 24
-#: Queries whose parts from the matrix are computed at once; fewer where that would make more numbers than BATCH_CELLS.
+#: Queries that are looked up at once; fewer where their scores would be more numbers than BATCH_CELLS.
 BATCH, BATCH_CELLS = 256, 2_000_000
-#: Documents are put beside similar ones by so many common words, or as many as make a matrix of so many numbers, down to groups of LEAF.
+#: Documents, and queries, are put beside similar ones by so many common words, or as many as make a matrix of so many numbers, down to groups of LEAF.
 ALIKE_WORDS, ALIKE_CELLS, LEAF = 400, 8_000_000, 2 * BLOCK
 #: Bounds are compared with this slack, so that rounding cannot hide a result.
 SLACK = 1e-5
@@ -190,47 +190,30 @@ def _spread(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sums(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of values by place; without values numpy itself would count in integers."""
-    return np.bincount(at, values, n).astype(np.float64, copy=False)
-
-
 class Shard:
-    """A shard's index in memory: lists by term, and for each list its blocks with the largest impact in each."""
+    """A shard's index in memory: rare lists by term, common ones as a matrix with the largest impact in each block, and all of them by document."""
 
     def __init__(self, ids: np.ndarray, lengths: np.ndarray, term: np.ndarray, df: np.ndarray, docs: np.ndarray, tfs: np.ndarray, average: float):
         """term: sorted; df: the lengths of the lists, whose documents and frequencies follow one another in docs and tfs."""
         self.ids, self.term, self.n = ids, term, len(ids)
         self.begin = np.concatenate([[0], np.cumsum(df, dtype=np.int64)])
-        self.doc = docs
         norm = K1 * (1 - B + B * lengths / average)
-        self.impact = tfs * (K1 + 1) / (tfs + norm[docs])
+        impact = tfs * (K1 + 1) / (tfs + norm[docs])
+        pair = np.empty((len(docs), 2), np.float32)  # document and impact of a posting in 8 bytes, so that one take has both
+        pair.view(np.int32)[:, 0], pair[:, 1] = docs, impact
+        self.pair = pair.view(np.int64).ravel()
         self.blocks = -(-self.n // BLOCK)
-        block = docs // BLOCK
-        new = np.zeros(len(block) + 1, bool)
-        new[self.begin] = True
-        new[1:-1] |= block[1:] != block[:-1]
-        self.part = np.flatnonzero(new)  # where each (list, block) begins
-        self.part_block = block[self.part[:-1]].astype(np.uint16)
-        self.part_begin = np.searchsorted(self.part, self.begin)
-        self.part_max = np.maximum.reduceat(self.impact, self.part[:-1]) if len(block) else np.empty(0)
-        most = np.maximum.reduceat(self.part_max, self.part_begin[:-1]) if len(block) else np.empty(0)
-        self.cost = df / most  # postings for what a list can give
         common = np.flatnonzero(df * DENSE >= self.n)
         self.row = np.full(len(term), -1)
         self.row[common] = np.arange(len(common))
-        self.dense = np.zeros((self.blocks, len(common), BLOCK))
-        for k, i in enumerate(common.tolist()):
-            a, b = self.begin[i : i + 2]
-            self.dense[block[a:b], k, self.doc[a:b] % BLOCK] = self.impact[a:b]
-        wide = np.flatnonzero((df >= BLOCK) | (self.row >= 0))
-        self.high_row = np.full(len(term), -1)
-        self.high_row[wide] = np.arange(len(wide))
-        self.high = np.zeros((len(wide), self.blocks), np.float32)
-        for k, i in enumerate(wide.tolist()):
-            a, b = self.part_begin[i : i + 2]
-            self.high[k, self.part_block[a:b]] = np.nextafter(self.part_max[a:b].astype(np.float32), np.float32(np.inf))  # never below the maximum
-        self.starts = np.arange(self.blocks) * BLOCK
+        at = _spread(self.begin[common], self.begin[common + 1])
+        self.dense = np.zeros((self.blocks, len(common), BLOCK), np.float32)
+        self.dense[docs[at] // BLOCK, np.arange(len(common)).repeat(df[common]), docs[at] % BLOCK] = impact[at]
+        self.high = np.ascontiguousarray(self.dense.max(axis=2, initial=0).T)
+        order = docs.argsort(kind="stable")
+        self.own = np.arange(len(term), dtype=np.int32).repeat(df)[order]  # a document's lists, one document after another
+        self.own_impact = impact[order]
+        self.own_begin = np.concatenate([[0], np.bincount(docs, minlength=self.n).cumsum()])
 
     @classmethod
     def of(cls, row: dict[str, pa.Scalar], average: float) -> Shard:
@@ -245,109 +228,94 @@ class Shard:
         at = np.minimum(self.term.searchsorted(terms), max(0, len(self.term) - 1))
         return np.where(self.term[at] == terms, at, -1) if len(self.term) else np.full(len(terms), -1)
 
-    def alive(self, lists: np.ndarray, weights: np.ndarray, least: float) -> np.ndarray:
-        """The blocks whose documents may reach ``least``, by the maxima of all lists."""
-        if least <= 0:
-            return np.ones(self.blocks, bool)
-        row = self.high_row.take(lists)
-        wide = row >= 0
-        bound = weights[wide] @ self.high.take(row[wide], axis=0)
-        at = lists[~wide]
-        begin, end = self.part_begin.take(at), self.part_begin.take(at + 1)
-        parts = _spread(begin, end)
-        bound += _sums(self.part_block.take(parts), self.part_max.take(parts) * weights[~wide].repeat(end - begin), self.blocks)
-        return bound >= least - SLACK
-
-    def common(self, queries: list[tuple[np.ndarray, np.ndarray]], alive: np.ndarray) -> np.ndarray:
-        """What the lists of the matrix give each document of the blocks that are alive (queries x blocks), for each query (lists and weights)."""
-        weights = np.zeros((len(queries), self.dense.shape[1]))
-        for out, (at, w) in zip(weights, queries, strict=True):
-            row = self.row[at]
-            out[row[row >= 0]] = w[row >= 0]
-        given = np.zeros((len(queries), self.blocks, BLOCK))
-        for b in np.flatnonzero(alive.any(axis=0)).tolist():
-            here = np.flatnonzero(alive[:, b])
-            given[here, b] = weights[here] @ self.dense[b]
-        return given.reshape(len(queries), -1)[:, : self.n]
-
-    def find(self, base: np.ndarray, lists: np.ndarray, weights: np.ndarray, alive: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray, int]:
-        """Numbers and scores of documents, with all of the k best that reach ``least`` among them, and how many blocks were scored.
-
-        base: what the lists of the matrix give each document of the blocks that are alive; no other block is looked at.
-        """
-        query = _Query(self, base, lists, weights, alive)
-        found, scored = [], np.zeros(self.blocks, bool)
-        if least <= 0:
-            scored[(-query.bound).argsort(kind="stable")[:FIRST_BLOCKS]] = True
-            docs = np.flatnonzero(scored[np.arange(self.n) // BLOCK])
-            found.append((docs, query.whole(scored, docs)))
-            least = np.partition(found[0][1], len(docs) - k)[len(docs) - k] if len(docs) >= k else 0.0
-        docs, scores, blocks = query.candidates(alive & ~scored, least - SLACK)
-        found.append((docs, scores))
-        scored |= blocks
-        docs, scores = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-        here = scores > 0
-        return docs[here], scores[here], int(scored.sum())
-
-
-class _Query:
-    """A query's lists in the blocks of a shard that are alive: by block, first the ones that cost the fewest postings for the score they can
-    give."""
-
-    def __init__(self, shard: Shard, base: np.ndarray, at: np.ndarray, weights: np.ndarray, alive: np.ndarray):
-        self.shard, self.base = shard, base
-        sparse = shard.row.take(at) < 0
-        at, weights = at[sparse], weights[sparse]
-        order = (shard.cost.take(at) / weights).argsort(kind="stable")
-        at = at.take(order)
-        begin, end = shard.part_begin.take(at), shard.part_begin.take(at + 1)
-        parts, weight = _spread(begin, end), weights.take(order).repeat(end - begin)
-        block = shard.part_block.take(parts)
-        if not alive.all():
-            kept = alive.take(block).nonzero()[0]
-            parts, weight, block = parts.take(kept), weight.take(kept), block.take(kept)
-        order = block.argsort(kind="stable")  # by block, in the order of the lists
-        self.block, self.parts, self.weight = block.take(order), parts.take(order), weight.take(order)
-        self.most = shard.part_max.take(self.parts)
-        self.most *= self.weight
-        sums = np.zeros(len(parts) + 1)
-        self.most.cumsum(out=sums[1:])
-        ends = sums.take(np.bincount(block, minlength=shard.blocks).cumsum())
-        base_bound = np.maximum.reduceat(base, shard.starts)
-        self.bound = base_bound + ends
-        self.bound[1:] -= ends[:-1]
-        self.rest = (ends + base_bound).take(self.block)  # what this part, those after it in the block and the matrix can give
-        self.rest -= sums[:-1]
-
-    def _add(self, picked: np.ndarray) -> np.ndarray:
-        """What the postings of the picked parts give each document."""
-        shard, part = self.shard, self.parts.take(picked)
-        begin, end = shard.part.take(part), shard.part.take(part + 1)
-        postings = _spread(begin, end)
-        gives = shard.impact.take(postings)
-        gives *= self.weight.take(picked).repeat(end - begin)
-        return _sums(shard.doc.take(postings), gives, shard.n)
-
-    def whole(self, blocks: np.ndarray, docs: np.ndarray) -> np.ndarray:
-        """Scores of the documents of some blocks."""
-        return (self.base + self._add(blocks.take(self.block).nonzero()[0]))[docs]
-
-    def candidates(self, blocks: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Numbers and scores of the documents in these blocks that may reach ``least``, and the blocks in which scores were completed."""
-        shard, wanted = self.shard, np.zeros(self.shard.blocks, bool)
-        blocks = blocks & (self.bound >= least)
-        if not blocks.any():
-            return np.empty(0, np.int64), np.empty(0), wanted
-        needed = self.rest >= least
-        needed &= blocks.take(self.block)
-        score = self.base + self._add(needed.nonzero()[0])
-        aside = (~needed).nonzero()[0]
-        block = self.block.take(aside)
-        later = _sums(block, self.most.take(aside), shard.blocks)
-        later[~blocks] = -np.inf
-        docs = (score + later.repeat(BLOCK)[: shard.n] >= least).nonzero()[0]
-        wanted[docs // BLOCK] = True
-        return docs, score[docs] + self._add(aside[wanted.take(block)])[docs], wanted
+    def find(self, number: np.ndarray, at: np.ndarray, w: np.ndarray, least: np.ndarray, k: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+        """For each query numbers and scores of documents, with all of the k best that reach ``least`` among them; and in how many blocks scores
+        were completed. number, at, w: the query, list and weight of each of the queries' terms, one query after another."""
+        n = len(least)
+        ends = number.searchsorted(np.arange(n + 1))
+        # A sum of m positive float32 products is at most m + 2 roundings off, whatever their order; twice that where two such sums are compared.
+        near = 1 - 2.0**-22 * (np.diff(ends) + 4)
+        row = self.row.take(at)
+        rare, common = (row < 0).nonzero()[0], (row >= 0).nonzero()[0]
+        weights = np.zeros((n, len(self.high)), np.float32)
+        weights[number.take(common), row.take(common)] = w.take(common)
+        used = weights.any(axis=0).nonzero()[0]
+        weights = weights.take(used, axis=1)
+        given = np.zeros((n, self.blocks, BLOCK), np.float32)
+        flat = given.reshape(n, -1)
+        cuts = rare.searchsorted(ends).tolist()
+        at_rare, w_rare = at.take(rare), w.take(rare)
+        for q, (a, b) in enumerate(itertools.pairwise(cuts)):
+            if b > a:
+                flat[q, : self.n] = self._rare(at_rare[a:b], w_rare[a:b])
+        bound = weights @ self.high[used]
+        bound += np.maximum.reduceat(flat, np.arange(self.blocks) * BLOCK, axis=1)
+
+        least = np.where(least > 0, least * near - SLACK, 0.0)
+        scored = np.zeros(bound.shape, bool)
+        if (new := (least <= 0).nonzero()[0]).size:
+            first = (-bound[new]).argpartition(min(FIRST_BLOCKS, self.blocks) - 1, axis=1)[:, :FIRST_BLOCKS]
+            scored[new[:, None], first] = True
+            self._complete(given, weights, used, scored)
+            for q, blocks in zip(new.tolist(), first, strict=True):
+                least[q] = _reached(given[q, blocks].ravel(), k) * near[q] - SLACK
+        least = np.nextafter(np.maximum(least, 0).astype(np.float32), np.float32(0))  # rounded down; bounds of 0 are no results
+        more = (bound > least[:, None]) & ~scored
+        self._complete(given, weights, used, more)
+        hits = (flat > least[:, None]).ravel().nonzero()[0]
+        query, doc = np.divmod(hits, flat.shape[1])
+        cuts = query.searchsorted(np.arange(n + 1)).tolist()
+        place, found = np.zeros(len(self.term), np.int32), []
+        for q, (a, b) in enumerate(itertools.pairwise(cuts)):
+            docs = doc[a:b]
+            if b - a > k:
+                score = flat[q].take(docs)
+                docs = docs[score >= _reached(score, k) * near[q] - SLACK]
+            found.append((docs, self._exact(at[ends[q] : ends[q + 1]], w[ends[q] : ends[q + 1]], docs, place)))
+        return found, int(scored.sum() + more.sum())
+
+    def _rare(self, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """What these lists give each document."""
+        begin, end = self.begin.take(at), self.begin.take(at + 1)
+        pair = self.pair.take(_spread(begin, end))
+        return np.bincount(pair.view(np.int32)[::2], pair.view(np.float32)[1::2] * weights.repeat(end - begin), self.n)
+
+    def _complete(self, given: np.ndarray, weights: np.ndarray, used: np.ndarray, blocks: np.ndarray) -> None:
+        """Adds what the used rows of the matrix give the documents of these blocks (queries x blocks)."""
+        for b in blocks.any(axis=0).nonzero()[0].tolist():
+            here = blocks[:, b].nonzero()[0]
+            given[here, b] += weights[here] @ self.dense[b].take(used, axis=0)
+
+    def _exact(self, at: np.ndarray, weights: np.ndarray, docs: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Scores of documents, of all their lists, in float64. place: zeros, as many as there are lists."""
+        if not len(docs):
+            return np.empty(0)
+        begin, end = self.own_begin.take(docs), self.own_begin.take(docs + 1)
+        own = _spread(begin, end)
+        place[at] = np.arange(1, len(at) + 1)
+        asked = place.take(self.own.take(own))
+        place[at] = 0
+        here = asked.nonzero()[0]
+        gives = weights.take(asked.take(here) - 1)
+        gives *= self.own_impact.take(own.take(here))
+        return np.bincount(np.arange(len(docs)).repeat(end - begin).take(here), gives, len(docs))
+
+
+def _reached(scores: np.ndarray, k: int) -> float:
+    """The k-th best score; 0 where there are fewer."""
+    return float(np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) >= k else 0.0
+
+
+def _alike_queries(sizes: np.ndarray, at: np.ndarray, terms: int) -> np.ndarray:
+    """An order of the queries in which those with the same common terms are near: they ask for the same blocks. at: the numbers of their terms."""
+    common = (-np.bincount(at, minlength=terms)).argsort(kind="stable")[: min(ALIKE_WORDS, ALIKE_CELLS // max(1, len(sizes)))]
+    column = np.full(terms, -1)
+    column[common] = np.arange(len(common))
+    column = column.take(at)
+    x = np.zeros((len(sizes), len(common)), np.float32)
+    x[np.arange(len(sizes)).repeat(sizes)[column >= 0], column[column >= 0]] = 1
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    return _neighbours(x)
 
 
 class Best:
@@ -355,39 +323,44 @@ class Best:
 
     def __init__(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int):
         self.k = k
-        self.terms, at = np.unique(np.concatenate([np.empty(0, np.int64), *(q[0] for q in queries)]), return_inverse=True)
-        self.queries = list(zip(np.split(at, np.cumsum([len(q[0]) for q in queries])[:-1]), (q[1] for q in queries), strict=True)) if queries else []
         self.ids, self.scores = [np.empty(0, np.int64)] * len(queries), [np.empty(0)] * len(queries)
         self.blocks = self.scored = 0
+        sizes = np.array([len(terms) for terms, _ in queries], np.int64)
+        self.terms, at = np.unique(np.concatenate([np.empty(0, np.int64), *(q[0] for q in queries)]), return_inverse=True)
+        self.order = _alike_queries(sizes, at, len(self.terms))
+        begin = np.cumsum(sizes) - sizes
+        at_term = _spread(begin[self.order], (begin + sizes)[self.order])
+        self.at, self.weights = at[at_term], np.concatenate([np.empty(0), *(q[1] for q in queries)])[at_term]
+        self.begin = np.concatenate([[0], sizes[self.order].cumsum()])
 
     def visit(self, shard: Shard) -> None:
+        if not shard.n:
+            return
         lists = shard.lists(self.terms)
-        batch = max(1, min(BATCH, BATCH_CELLS // max(1, shard.n)))
-        for begin in range(0, len(self.queries), batch):
-            asked = []
-            for terms, weights in self.queries[begin : begin + batch]:
-                at = lists.take(terms)
-                asked.append((at[at >= 0], weights[at >= 0]))
-            alive = np.array([shard.alive(*one, self._least(q)) for q, one in enumerate(asked, begin)])
-            for q, (base, (at, weights), here) in enumerate(zip(shard.common(asked, alive), asked, alive, strict=True), begin):
-                self._one(shard, q, base, at, weights, here)
+        batch = max(1, min(BATCH, BATCH_CELLS // shard.n))
+        for begin in range(0, len(self.order), batch):
+            queries = self.order[begin : begin + batch].tolist()
+            a, *_, b = cuts = self.begin[begin : begin + len(queries) + 1]
+            at = lists.take(self.at[a:b])
+            here = (at >= 0).nonzero()[0]
+            number = np.arange(len(queries)).repeat(np.diff(cuts))
+            least = np.array([self._least(q) for q in queries])
+            found, scored = shard.find(number.take(here), at.take(here), self.weights[a:b].take(here), least, self.k)
+            self.blocks += shard.blocks * len(queries)
+            self.scored += scored
+            for q, (docs, scores) in zip(queries, found, strict=True):
+                if len(docs):
+                    self._take(q, shard.ids[docs], np.round(scores, DIGITS))
 
     def _least(self, q: int) -> float:
         """What a document must reach to be among the k best."""
         return self.scores[q][-1] if len(self.scores[q]) == self.k else 0.0
 
-    def _one(self, shard: Shard, q: int, base: np.ndarray, at: np.ndarray, weights: np.ndarray, alive: np.ndarray) -> None:
-        if not alive.any():
-            self.blocks += shard.blocks
-            return
-        docs, scores, scored = shard.find(base, at, weights, alive, self.k, self._least(q))
-        self.blocks += shard.blocks
-        self.scored += scored
-        if len(docs):
-            ids, scores = np.concatenate([self.ids[q], shard.ids[docs]]), np.concatenate([self.scores[q], np.round(scores, DIGITS)])
-            ids, scores = ids[scores > 0], scores[scores > 0]
-            order = np.lexsort((ids, -scores))[: self.k]
-            self.ids[q], self.scores[q] = ids[order], scores[order]
+    def _take(self, q: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        ids, scores = np.concatenate([self.ids[q], ids]), np.concatenate([self.scores[q], scores])
+        ids, scores = ids[scores > 0], scores[scores > 0]
+        order = np.lexsort((ids, -scores))[: self.k]
+        self.ids[q], self.scores[q] = ids[order], scores[order]
 
 
 def _searcher(queries, k: int, average: float):

@@ -171,6 +171,40 @@ def test_search_with_long_lists_only():
         assert best.ids[0].tolist() == want and len(set(best.scores[0].tolist())) <= 1
 
 
+def test_search_takes_like_queries_together(monkeypatch):
+    """Mixed queries of four vocabularies: a batch asks for the lists of about one, not of all four."""
+    monkeypatch.setattr(search, "BATCH", 50)
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"{'abcd'[i % 4]}{w}" for w in rng.integers(0, 100, 40)) for i in range(1600)]
+    best, lists, find = search.Best(asked(texts, texts[:200]), 10), [], search.Shard.find
+
+    def counted(shard, number, at, *others):
+        lists.append(len(set(at.tolist())))
+        return find(shard, number, at, *others)
+
+    monkeypatch.setattr(search.Shard, "find", counted)
+    best.visit(shard_of(texts))
+    assert len(lists) == 4 and sum(lists) < 600
+    for q in range(0, 200, 9):
+        assert best.ids[q].tolist() == [d for d, _ in brute_bm25(texts, texts[q], 10)]
+
+
+def test_search_tells_scores_apart_that_float32_does_not():
+    """Scores of common and rare words whose differences show in the sixth digit only, and ties, in several shards."""
+    average = 2e6
+    texts = [f"a a b c{i % 3} " + "z " * (i % 40) + f"rare{i % 9}" for i in range(900)]
+    best = search.Best([(h, w * 40) for h, w in asked(texts, ["a b b c1 c2 rare4 rare5", "a", "rare7 rare8"])], 10)
+    for at in range(0, 900, 300):
+        best.visit(shard_of([""] * at + texts[at : at + 300], average))
+    for q, words in enumerate(("a b b c1 c2 rare4 rare5", "a", "rare7 rare8")):
+        (terms, weights), want = asked(texts, [words])[0], []
+        for i, t in enumerate(texts):
+            found = dict(zip(*(x.tolist() for x in search.terms(t)[:2]), strict=True))
+            score = sum(w * 40 * found[h] * 2.2 / (found[h] + 1.2 * (0.25 + 0.75 * len(t.split()) / average)) for h, w in zip(terms.tolist(), weights, strict=True) if h in found)
+            want += [(-round(score, 6), i)] if score > 0 else []
+        assert best.ids[q].tolist() == [i for _, i in sorted(want)[:10]]
+
+
 def test_search_of_odd_tables(spark):
     """Empty tables, null ids, rows repeated in full, frequencies beyond 16 bits."""
     empty = table(spark, []).limit(0)
