@@ -265,13 +265,13 @@ class Shard:
         hits = (flat > least[:, None]).ravel().nonzero()[0]
         query, doc = np.divmod(hits, flat.shape[1])
         cuts = query.searchsorted(np.arange(n + 1)).tolist()
-        place, found = np.zeros(len(self.term), np.int32), []
+        held, found = np.zeros(len(self.term)), []
         for q, (a, b) in enumerate(itertools.pairwise(cuts)):
             docs = doc[a:b]
             if b - a > k:
                 score = flat[q].take(docs)
                 docs = docs[score >= _reached(score, k) * near[q] - SLACK]
-            found.append((docs, self._exact(at[ends[q] : ends[q + 1]], w[ends[q] : ends[q + 1]], docs, place)))
+            found.append((docs, self._exact(at[ends[q] : ends[q + 1]], w[ends[q] : ends[q + 1]], docs, held)))
         return found, int(scored.sum() + more.sum())
 
     def _rare(self, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -286,19 +286,15 @@ class Shard:
             here = blocks[:, b].nonzero()[0]
             given[here, b] += weights[here] @ self.dense[b].take(used, axis=0)
 
-    def _exact(self, at: np.ndarray, weights: np.ndarray, docs: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Scores of documents, of all their lists, in float64. place: zeros, as many as there are lists."""
-        if not len(docs):
-            return np.empty(0)
-        begin, end = self.own_begin.take(docs), self.own_begin.take(docs + 1)
-        own = _spread(begin, end)
-        place[at] = np.arange(1, len(at) + 1)
-        asked = place.take(self.own.take(own))
-        place[at] = 0
-        here = asked.nonzero()[0]
-        gives = weights.take(asked.take(here) - 1)
-        gives *= self.own_impact.take(own.take(here))
-        return np.bincount(np.arange(len(docs)).repeat(end - begin).take(here), gives, len(docs))
+    def _exact(self, at: np.ndarray, weights: np.ndarray, docs: np.ndarray, held: np.ndarray) -> np.ndarray:
+        """Scores of documents, of all their lists, in float64. held: zeros, as many as there are lists."""
+        out = np.empty(len(docs))
+        if len(docs):
+            held[at] = weights
+            for i, (a, b) in enumerate(zip(self.own_begin.take(docs).tolist(), self.own_begin.take(docs + 1).tolist(), strict=True)):
+                out[i] = held.take(self.own[a:b]) @ self.own_impact[a:b]
+            held[at] = 0
+        return out
 
 
 def _reached(scores: np.ndarray, k: int) -> float:
