@@ -14,7 +14,7 @@
      threshold are passed by. Without a threshold yet, the FIRST_BLOCKS blocks with the highest bounds are scored to get one.
   3. In each other block one product adds up the common lists for all queries of the batch that ask for the block.
   Sums and bounds are float32 up to here and are compared with room for all roundings.
-  4. Documents that reach the threshold are scored anew in float64, from their own lists.
+  4. Documents that reach the threshold are scored anew in float64: from their own lists, or from the query's where they are very many.
   Nothing is lost by that; cursors that move document by document would be slow in Python.
 
 A query is a whole text with all its distinct words, each weighted by its frequency in the query. Words are runs of other than white
@@ -60,6 +60,8 @@ DENSE = 24
 BATCH, BATCH_CELLS = 256, 2_000_000
 #: Documents, and queries, are put beside similar ones by so many common words, or as many as make a matrix of so many numbers, down to groups of LEAF.
 ALIKE_WORDS, ALIKE_CELLS, LEAF = 400, 8_000_000, 2 * BLOCK
+#: Postings that take as long as the calls for one document whose score is completed from its own lists.
+DOC_COST = 400
 #: Bounds are compared with this slack, so that rounding cannot hide a result.
 SLACK = 1e-5
 NO_ID = 2**63 - 1
@@ -197,8 +199,8 @@ class Shard:
         """term: sorted; df: the lengths of the lists, whose documents and frequencies follow one another in docs and tfs."""
         self.ids, self.term, self.n = ids, term, len(ids)
         self.begin = np.concatenate([[0], np.cumsum(df, dtype=np.int64)])
-        norm = K1 * (1 - B + B * lengths / average)
-        impact = tfs * (K1 + 1) / (tfs + norm[docs])
+        self.doc, self.tf, self.norm = docs, tfs, K1 * (1 - B + B * lengths / average)
+        impact = self._impact(slice(None))
         pair = np.empty((len(docs), 2), np.float32)  # document and impact of a posting in 8 bytes, so that one take has both
         pair.view(np.int32)[:, 0], pair[:, 1] = docs, impact
         self.pair = pair.view(np.int64).ravel()
@@ -211,17 +213,21 @@ class Shard:
         self.dense[docs[at] // BLOCK, np.arange(len(common)).repeat(df[common]), docs[at] % BLOCK] = impact[at]
         self.high = np.ascontiguousarray(self.dense.max(axis=2, initial=0).T)
         order = docs.argsort(kind="stable")
-        self.own = np.arange(len(term), dtype=np.int32).repeat(df)[order]  # a document's lists, one document after another
-        self.own_impact = impact[order]
+        self.own = np.arange(len(term), dtype=np.int32).repeat(df).take(order)  # a document's lists, one document after another
+        self.own_impact = impact.take(order)
         self.own_begin = np.concatenate([[0], np.bincount(docs, minlength=self.n).cumsum()])
 
+    def _impact(self, postings: np.ndarray | slice) -> np.ndarray:
+        tf = self.tf[postings].astype(np.float64)
+        return tf * (K1 + 1) / (tf + self.norm.take(self.doc[postings]))
+
     @classmethod
     def of(cls, row: dict[str, pa.Scalar], average: float) -> Shard:
         """Of a row of the index; the arrays are views of the row's buffers."""
         numbers = np.frombuffer(row["numbers"].as_buffer(), np.uint16)
         tfs = row["tfs"].as_buffer()
         kinds = (("ids", np.int64), ("lengths", np.int32), ("terms", np.int64), ("dfs", np.int32))
-        return cls(*(np.frombuffer(row[c].as_buffer(), kind) for c, kind in kinds), numbers, np.frombuffer(tfs, np.int32 if len(numbers) * 4 == tfs.size else np.uint16).astype(np.float64), average)
+        return cls(*(np.frombuffer(row[c].as_buffer(), kind) for c, kind in kinds), numbers, np.frombuffer(tfs, np.int32 if len(numbers) * 4 == tfs.size else np.uint16), average)
 
     def lists(self, terms: np.ndarray) -> np.ndarray:
         """Numbers of the lists of these sorted terms; -1 where there is none."""
@@ -244,7 +250,7 @@ class Shard:
         given = np.zeros((n, self.blocks, BLOCK), np.float32)
         flat = given.reshape(n, -1)
         cuts = rare.searchsorted(ends).tolist()
-        at_rare, w_rare = at.take(rare), w.take(rare)
+        at_rare, w_rare = at.take(rare), w.take(rare).astype(np.float32)
         for q, (a, b) in enumerate(itertools.pairwise(cuts)):
             if b > a:
                 flat[q, : self.n] = self._rare(at_rare[a:b], w_rare[a:b])
@@ -288,12 +294,18 @@ class Shard:
 
     def _exact(self, at: np.ndarray, weights: np.ndarray, docs: np.ndarray, held: np.ndarray) -> np.ndarray:
         """Scores of documents, of all their lists, in float64. held: zeros, as many as there are lists."""
+        if not len(docs):
+            return np.empty(0)
+        begin, end = self.own_begin.take(docs), self.own_begin.take(docs + 1)
+        first, last = self.begin.take(at), self.begin.take(at + 1)
+        if (end - begin + DOC_COST).sum() > 2 * (last - first).sum():  # many copies: the query's lists are less than the documents'
+            postings = _spread(first, last)
+            return np.bincount(self.doc.take(postings), self._impact(postings) * weights.repeat(last - first), self.n).take(docs)
         out = np.empty(len(docs))
-        if len(docs):
-            held[at] = weights
-            for i, (a, b) in enumerate(zip(self.own_begin.take(docs).tolist(), self.own_begin.take(docs + 1).tolist(), strict=True)):
-                out[i] = held.take(self.own[a:b]) @ self.own_impact[a:b]
-            held[at] = 0
+        held[at] = weights
+        for i, (a, b) in enumerate(zip(begin.tolist(), end.tolist(), strict=True)):
+            out[i] = held.take(self.own[a:b]) @ self.own_impact[a:b]
+        held[at] = 0
         return out
 
 

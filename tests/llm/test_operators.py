@@ -189,6 +189,17 @@ def test_search_takes_like_queries_together(monkeypatch):
         assert best.ids[q].tolist() == [d for d, _ in brute_bm25(texts, texts[q], 10)]
 
 
+def test_search_of_many_copies():
+    """Thousands of copies tie: scores come from the query's few lists, and the smallest ids win in each shard and over all."""
+    texts = [f"w{i} x y z" if i % 7 == 0 else "x y z" for i in range(6000)]
+    shards = [shard_of([""] * at + texts[at : at + 3000], 4.0) for at in (3000, 0)]
+    best = search.Best(asked(texts, ["x y z", "w7 x"]), 10)
+    for shard in shards:
+        shard.own[:] = 0  # not read
+        best.visit(shard)
+    assert best.ids[0].tolist() == [1, 2, 3, 4, 5, 6, 8, 9, 10, 11] and best.ids[1].tolist() == [7, 1, 2, 3, 4, 5, 6, 8, 9, 10]
+
+
 def test_search_tells_scores_apart_that_float32_does_not():
     """Scores of common and rare words whose differences show in the sixth digit only, and ties, in several shards."""
     average = 2e6
