@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Scratch, pick
+from tessella.llm.common import Scratch, gives_back, pick, release_memory
 
 K1, B = 1.2, 0.75
 TOP = 10
@@ -80,6 +80,7 @@ def terms(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 def _inverter(postings: int, documents: int):
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
@@ -374,8 +375,10 @@ class Best:
 def _searcher(queries, k: int, average: float):
     """The k best over the shards a task reads, for each query of the broadcast block."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best([(a, b) for _, _, a, b in queries.value], k)
+        release_memory()
         for batch in batches:
             for i in range(batch.num_rows):
                 best.visit(Shard.of({c: batch.column(c)[i] for c in batch.schema.names}, average))
