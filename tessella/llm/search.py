@@ -14,7 +14,7 @@
      threshold are passed by. Without a threshold yet, the FIRST_BLOCKS blocks with the highest bounds are scored to get one.
   3. In each other block one product adds up the common lists for all queries of the batch that ask for the block.
   Sums and bounds are float32 up to here and are compared with room for all roundings.
-  4. Documents that reach the threshold are scored anew in float64: from their own lists, or from the query's where they are very many.
+  4. Documents that reach the threshold are scored anew in float64: copies once, from their own lists, or from the query's where those are less.
   Nothing is lost by that; cursors that move document by document would be slow in Python.
 
 A query is a whole text with all its distinct words, each weighted by its frequency in the query. Words are runs of other than white
@@ -27,6 +27,7 @@ repeated in full are one query; null doc_ids come last among ties; an empty tabl
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections import Counter
@@ -62,6 +63,8 @@ BATCH, BATCH_CELLS = 256, 2_000_000
 ALIKE_WORDS, ALIKE_CELLS, LEAF = 400, 8_000_000, 2 * BLOCK
 #: Postings that take as long as the calls for one document whose score is completed from its own lists.
 DOC_COST = 400
+#: Of more documents than this that reach a query's threshold, copies are scored once.
+MANY_DOCS = 30
 #: Bounds are compared with this slack, so that rounding cannot hide a result.
 SLACK = 1e-5
 NO_ID = 2**63 - 1
@@ -222,6 +225,13 @@ class Shard:
         tf = self.tf[postings].astype(np.float64)
         return tf * (K1 + 1) / (tf + self.norm.take(self.doc[postings]))
 
+    @functools.cached_property
+    def same(self) -> np.ndarray:
+        """For each document the first one that has the same lists and impacts."""
+        first: dict[tuple[bytes, bytes], int] = {}
+        ranges = enumerate(itertools.pairwise(self.own_begin.tolist()))
+        return np.array([first.setdefault((xxhash.xxh3_128_digest(self.own[a:b]), xxhash.xxh3_128_digest(self.own_impact[a:b])), i) for i, (a, b) in ranges], np.int64)
+
     @classmethod
     def of(cls, row: dict[str, pa.Scalar], average: float) -> Shard:
         """Of a row of the index; the arrays are views of the row's buffers."""
@@ -297,9 +307,13 @@ class Shard:
         """Scores of documents, of all their lists, in float64. held: zeros, as many as there are lists."""
         if not len(docs):
             return np.empty(0)
+        if len(docs) > MANY_DOCS:
+            one, back = np.unique(self.same.take(docs), return_inverse=True)
+            if len(one) < len(docs):
+                return self._exact(at, weights, one, held).take(back)
         begin, end = self.own_begin.take(docs), self.own_begin.take(docs + 1)
         first, last = self.begin.take(at), self.begin.take(at + 1)
-        if (end - begin + DOC_COST).sum() > 2 * (last - first).sum():  # many copies: the query's lists are less than the documents'
+        if (end - begin + DOC_COST).sum() > 2 * (last - first).sum():  # the query's lists are less than the documents'
             postings = _spread(first, last)
             return np.bincount(self.doc.take(postings), self._impact(postings) * weights.repeat(last - first), self.n).take(docs)
         out = np.empty(len(docs))
